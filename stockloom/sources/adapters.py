@@ -82,4 +82,5 @@ SKU = "sku AS (SELECT p_partkey AS code, p_name AS name, p_brand AS brand, p_typ
 
 
 def with_sql(*parts: str) -> str:
+    """A WITH clause of the given tables."""
     return "WITH " + ",\n".join(parts) + "\n"
