@@ -187,11 +187,11 @@ def candidate_links(classes: DataFrame, relaxed: float) -> DataFrame:
 def confirmed_links(docs: DataFrame, families: DataFrame, threshold: int, relaxed: float, k: int) -> DataFrame:
     """A spanning forest ``(a, b)`` of the pairs with ``100 * intersection >= threshold * union`` within families.
 
-    docs: rep, text; families: node, component.
+    docs: rep, text; families: node, component. Families grow with the corpus, so they are never broadcast.
     """
     sizes = families.groupBy("component").agg(F.count("*").alias("c"))
     dealt = block_pairs(families.withColumnRenamed("node", "rep").join(sizes, "component"), F.col("c"), ["rep"], FAMILY_BLOCK)
-    rows = docs.join(dealt, "rep").select("component", "lo", "hi", "blk", "rep", "text")
+    rows = docs.join(dealt.hint("merge"), "rep").select("component", "lo", "hi", "blk", "rep", "text")
 
     def work(t: pa.Table) -> dict | None:
         words = _Words()
@@ -255,4 +255,4 @@ def keep_one_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     groups = near_duplicate_texts(docs, id_col, text_col, threshold, k)
     kept = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
+    return docs.join(kept.hint("merge"), id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
