@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-WALK = Window.partitionBy("walk_id").orderBy("frame")
+
+def by_frame() -> WindowSpec:
+    """A walk's frames in order; made on call, because a window needs a session."""
+    return Window.partitionBy("walk_id").orderBy("frame")
 
 
 def steps(frames: DataFrame, focal: float, frame_time: float) -> DataFrame:
@@ -13,8 +16,8 @@ def steps(frames: DataFrame, focal: float, frame_time: float) -> DataFrame:
 
     The first frame of a walk and frames with lost tracking have no displacement: their speed is infinite.
     """
-    dt = F.col("t") - F.lag("t").over(WALK)
-    first = F.lag("t").over(WALK).isNull()
+    dt = F.col("t") - F.lag("t").over(by_frame())
+    first = F.lag("t").over(by_frame()).isNull()
     step = F.when(dt > 0, dt).otherwise(F.lit(frame_time))
     px = F.when(first | F.col("lost"), F.lit(None)).otherwise(F.col("px"))
     angle = F.degrees(F.atan(px / focal))
@@ -23,14 +26,14 @@ def steps(frames: DataFrame, focal: float, frame_time: float) -> DataFrame:
 
 def rolling_median(col: str, rows: int) -> Column:
     """Median over the last ``rows`` frames with the current one; shorter at the start."""
-    return F.percentile(col, 0.5).over(WALK.rowsBetween(1 - rows, 0))
+    return F.percentile(col, 0.5).over(by_frame().rowsBetween(1 - rows, 0))
 
 
 def holds(frames: DataFrame, limit: float, rows: int = 3) -> DataFrame:
     """Maximal runs of frames with a median speed under ``limit``: walk_id, hold, t_from, t_to, frames."""
     med = frames.withColumn("_med", rolling_median("speed", rows)).withColumn("_steady", F.col("_med") < limit)
-    turn = F.when(F.col("_steady") != F.coalesce(F.lag("_steady").over(WALK), ~F.col("_steady")), 1).otherwise(0)
-    runs = med.withColumn("_turn", turn).withColumn("_run", F.sum("_turn").over(WALK)).where("_steady")
+    turn = F.when(F.col("_steady") != F.coalesce(F.lag("_steady").over(by_frame()), ~F.col("_steady")), 1).otherwise(0)
+    runs = med.withColumn("_turn", turn).withColumn("_run", F.sum("_turn").over(by_frame())).where("_steady")
     out = runs.groupBy("walk_id", "_run").agg(F.min("t").alias("t_from"), F.max("t").alias("t_to"), F.count("*").alias("frames"))
     return out.select("walk_id", F.row_number().over(Window.partitionBy("walk_id").orderBy("t_from")).cast("long").alias("hold"), "t_from", "t_to", "frames")
 
@@ -38,8 +41,8 @@ def holds(frames: DataFrame, limit: float, rows: int = 3) -> DataFrame:
 def simple_trigger(frames: DataFrame, limit: float, hold: float, rows: int = 3) -> DataFrame:
     """The first frame of each steady run that has been steady for ``hold``, without the re-arm rule: pure windows."""
     med = frames.withColumn("_steady", rolling_median("speed", rows) < limit)
-    turn = F.when(F.col("_steady") != F.coalesce(F.lag("_steady").over(WALK), ~F.col("_steady")), 1).otherwise(0)
-    runs = med.withColumn("_turn", turn).withColumn("_run", F.sum("_turn").over(WALK)).where("_steady")
+    turn = F.when(F.col("_steady") != F.coalesce(F.lag("_steady").over(by_frame()), ~F.col("_steady")), 1).otherwise(0)
+    runs = med.withColumn("_turn", turn).withColumn("_run", F.sum("_turn").over(by_frame())).where("_steady")
     in_run = Window.partitionBy("walk_id", "_run").orderBy("frame")
     late = runs.withColumn("_from", F.min("t").over(in_run)).where(F.col("t") - F.col("_from") >= hold - 1e-6)
     return late.groupBy("walk_id", "_run").agg(F.min(F.struct("frame", "t", "_from")).alias("f")).select("walk_id", F.col("f.frame").alias("frame"), F.col("f.t").alias("t"), F.col("f._from").alias("hold_from"))
@@ -58,7 +61,7 @@ def gaps(commits: DataFrame) -> DataFrame:
 
 def segments(frames: DataFrame, reset: Column) -> DataFrame:
     """Adds ``segment``: the number of resets so far; a reset's own frame opens the segment."""
-    return frames.withColumn("segment", F.sum(reset.cast("int")).over(WALK).cast("long"))
+    return frames.withColumn("segment", F.sum(reset.cast("int")).over(by_frame()).cast("long"))
 
 
 def flags(commits: DataFrame, dark: float = 50.0, blurry: float = 0.35, glare: float = 0.02) -> DataFrame:
@@ -76,7 +79,7 @@ def stable_candidates(hits: DataFrame, track: str, span: float, least: int) -> D
 
 def dead_reckoned(frames: DataFrame, seen: Column, limit: float) -> DataFrame:
     """Adds ``carried``: seen now, or last seen no longer than ``limit`` ago."""
-    last = F.last(F.when(seen, F.col("t")), ignorenulls=True).over(WALK.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.last(F.when(seen, F.col("t")), ignorenulls=True).over(by_frame().rowsBetween(Window.unboundedPreceding, 0))
     return frames.withColumn("carried", F.coalesce(F.col("t") - last <= limit, F.lit(False)))
 
 

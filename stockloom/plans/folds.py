@@ -94,10 +94,19 @@ def monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulation.summary(simulation.simulate(cells, racks=2))
 
 
+def _feed(df: DataFrame, by: str, path: str, files: int) -> None:
+    """Writes rows as files in order of ``by``, one after the other: a stream reads files in the order of their times."""
+    low, high = df.agg(F.min(by), F.max(by)).first()
+    step = (high - low) / files
+    for i in range(files):
+        part = df.where((F.col(by) >= F.lit(low + i * step)) & ((F.col(by) < F.lit(low + (i + 1) * step)) | F.lit(i == files - 1)))
+        part.coalesce(1).write.mode("append").parquet(path)
+
+
 def streamed_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hold trigger as a stream over written frames, one file a batch: equal to the batch fold."""
     base = fresh_path(spark, "frames")
-    trigger_frames(spark, sf_dir).repartitionByRange(3, "t").sortWithinPartitions("t").write.parquet(f"{base}/in")
+    _feed(trigger_frames(spark, sf_dir), "t", f"{base}/in", 3)
     frames_in = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     got = triggers.stream_commits(frames_in, FRAME_TIME, **TRIGGER)
     q = got.writeStream.foreachBatch(triggers.exactly_once(f"{base}/out", ["walk_id", "n"])).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
@@ -109,7 +118,7 @@ def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts by kind as a stream in append mode: only windows that the watermark has closed are there."""
     base = fresh_path(spark, "windows")
     e = table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("kind"), "value")
-    e.repartitionByRange(4, "ts").write.parquet(f"{base}/in")
+    _feed(e, "ts", f"{base}/in", 4)
     src = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     q = triggers.windowed_counts(src, "1 day").writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()

@@ -160,7 +160,7 @@ FROM (SELECT *, max(CASE WHEN kind = 'view' THEN t END) OVER (PARTITION BY walk_
 
 def random_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir).withColumn("noise", F.col("px") % 7 - 3)
-    return f.select("walk_id", "frame", F.sum("noise").over(motion.WALK).alias("drift"))
+    return f.select("walk_id", "frame", F.sum("noise").over(motion.by_frame()).alias("drift"))
 
 
 RANDOM_WALK = with_sql(FRAMES) + "SELECT walk_id, frame, sum(px % 7 - 3) OVER (PARTITION BY walk_id ORDER BY frame) AS drift FROM frames"

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session with the settings that the operators expect: UTC, AQE, Arrow."""
-    return (
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", shared: str | None = None) -> SparkSession:
+    """A local session with the settings that the operators expect: UTC, AQE, Arrow. ``shared``: the checkpoint folder."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("stockloom")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -17,5 +17,5 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    return (builder.config("spark.checkpoint.dir", shared) if shared else builder).getOrCreate()
