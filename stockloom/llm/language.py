@@ -40,7 +40,7 @@ def codewords(classes: int, seed: int = 5) -> np.ndarray:
         return np.ones((classes, 1))
     if classes <= 5:
         splits = np.arange(1, 2 ** (classes - 1))
-        return np.array([[1.0] * len(splits), *([1.0 if s >> i & 1 else -1.0 for s in splits] for i in range(classes - 1))])
+        return np.array([[1.0] * len(splits), *([-1.0 if s >> i & 1 else 1.0 for s in splits] for i in range(classes - 1))])
     bits = max(15, int(np.ceil(6 * np.log2(classes))))
     rng, best, apart = np.random.default_rng(seed), None, -1.0
     for _ in range(200):
