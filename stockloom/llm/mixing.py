@@ -109,8 +109,9 @@ def mixed_documents(
 ) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it. Texts are not shuffled: each row is held against its source's end."""
     _, sources = plan_mix(docs, id_col, text_col, source_col, weights, max_epochs, share, weight, seed)
-    renamed = sources.withColumnRenamed("source", "_name")
-    drawn = _drawn(docs, id_col, text_col, source_col, weight, seed)
-    got = drawn.join(renamed, F.col("_source").eqNullSafe(F.col("_name"))).withColumn("_copies", _copies())
+    whole = docs.withColumns({"_weight": F.lit(1.0) if weight is None else weight, "_row": F.struct(*(F.col(f"`{c}`") for c in docs.columns))})
+    slim = whole.select("_row", F.col(f"_row.`{id_col}`").alias("_id"), F.col(f"_row.`{text_col}`").alias("_text"), F.col(f"_row.`{source_col}`").alias("_from"), "_weight")  # no other names can clash
+    drawn = _drawn(slim, "_id", "_text", "_from", None if weight is None else F.col("_weight"), seed)
+    got = drawn.join(sources, F.col("_source").eqNullSafe(F.col("source"))).withColumn("_copies", _copies())
     once = got.where("_copies > 0").withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return once.select("_row.*")
