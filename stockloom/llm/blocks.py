@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockloom.plans.groups import dealt, whole_groups
+
 
 def block_pairs(df: DataFrame, count: Column, salt: list[str], size: int) -> DataFrame:
     """Adds ``lo``, ``hi`` and ``blk``: one row for each block pair of which the row is a member."""
@@ -28,62 +30,17 @@ def block_pairs(df: DataFrame, count: Column, salt: list[str], size: int) -> Dat
     )
 
 
-def map_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table], dict | None], schema: str) -> DataFrame:
-    """Applies ``work`` to each group of ``keys``: like a grouped map, with many small groups a call cheap.
-
-    Rows are dealt and sorted by the keys; groups are cut from the Arrow stream where the keys
-    change. ``work`` gets the rows of one group and returns columns, or None for no rows.
-    """
-    from pyspark.sql.types import _parse_datatype_string
-
-    names = [f.name for f in _parse_datatype_string(schema)] if df.sparkSession else []
+def map_groups(df: DataFrame, keys: list[str], work: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
+    """Applies ``work`` to the rows of each group of ``keys``; it returns columns of ``schema``, or None for no rows."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        out: dict[str, list] = {n: [] for n in names}
-        rows = 0
-
-        def flush() -> pa.RecordBatch | None:
-            nonlocal out, rows
-            if not rows:
-                return None
-            made = pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[n])) for n in names], names)
-            out, rows = {n: [] for n in names}, 0
-            return made
-
-        def finish(t: pa.Table) -> None:
-            nonlocal rows
-            if (got := work(t)) is not None and len(got[names[0]]):
-                for n in names:
-                    out[n].append(np.asarray(got[n]))
-                rows += len(got[names[0]])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
-            cut = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
-            if held:
-                last = held[-1].slice(held[-1].num_rows - 1)
-                if any(last.column(last.schema.get_field_index(k)).to_numpy(zero_copy_only=False)[0] != c[0] for k, c in zip(keys, cols, strict=True)):
-                    finish(pa.Table.from_batches(held))
-                    held = []
-            at = 0
-            for c in [*cut.tolist(), batch.num_rows]:
-                piece = batch.slice(at, c - at)
-                held.append(piece)
-                at = c
-                if c < batch.num_rows:
-                    finish(pa.Table.from_batches(held))
-                    held = []
-            if rows >= 20_000 and (made := flush()) is not None:
-                yield made
-        if held:
-            finish(pa.Table.from_batches(held))
-        if (made := flush()) is not None:
-            yield made
+        for b, at in whole_groups(batches, keys):
+            got = [x for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) if (x := work(b.slice(i, j - i))) is not None]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[n] for x in got])) for n in names], names)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return dealt(df, keys).mapInArrow(run, schema)
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

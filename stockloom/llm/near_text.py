@@ -156,7 +156,7 @@ def _candidates(rep: np.ndarray, n: np.ndarray, regs: np.ndarray, blk: np.ndarra
     return x[live], y[live]
 
 
-def _regs(col: pa.ChunkedArray, m: int) -> np.ndarray:
+def _regs(col: pa.Array, m: int) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(-1, m)
 
 
@@ -175,8 +175,8 @@ def candidate_links(classes: DataFrame, relaxed: float) -> DataFrame:
     )
     members = block_pairs(bands.join(buckets, "bucket"), F.col("c"), ["rep", "bucket"], BUCKET_BLOCK).join(classes.select("rep", "n_shingles", "regs"), "rep")
 
-    def work(t: pa.Table) -> dict | None:
-        rep, n, blk = (t[c].to_numpy() for c in ("rep", "n_shingles", "blk"))
+    def work(t: pa.RecordBatch) -> dict | None:
+        rep, n, blk = (t[c].to_numpy(zero_copy_only=False) for c in ("rep", "n_shingles", "blk"))
         x, y = _candidates(rep, n, _regs(t["regs"], M), blk, t["lo"][0].as_py(), t["hi"][0].as_py(), relaxed)
         far, root = forest(len(rep), x, y)
         return {"a": rep[far], "b": rep[root]}
@@ -193,14 +193,14 @@ def confirmed_links(docs: DataFrame, families: DataFrame, threshold: int, relaxe
     dealt = block_pairs(families.withColumnRenamed("node", "rep").join(sizes, "component"), F.col("c"), ["rep"], FAMILY_BLOCK)
     rows = docs.join(dealt.hint("merge"), "rep").select("component", "lo", "hi", "blk", "rep", "text")
 
-    def work(t: pa.Table) -> dict | None:
+    def work(t: pa.RecordBatch) -> dict | None:
         words = _Words()
         sets = [np.unique(shingles(x, words, k)) for x in t["text"].cast(pa.large_binary()).to_pylist()]
         full = np.array([i for i, s in enumerate(sets) if len(s)], int)
         if len(full) < 2:
             return None
         sets = [sets[i] for i in full]
-        rep, blk = t["rep"].to_numpy()[full], t["blk"].to_numpy()[full]
+        rep, blk = t["rep"].to_numpy(zero_copy_only=False)[full], t["blk"].to_numpy(zero_copy_only=False)[full]
         n = np.array([len(s) for s in sets])
         x, y = _candidates(rep, n, registers(sets), blk, t["lo"][0].as_py(), t["hi"][0].as_py(), relaxed)
         near = np.argsort(-np.minimum(n[x], n[y]) / np.maximum(n[x], n[y]), kind="stable")

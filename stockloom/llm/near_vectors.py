@@ -99,8 +99,8 @@ def vector_links(classes: DataFrame, k: int, tables: int, cosine: float) -> Data
     rows = block_pairs(cells.join(sizes, "cell"), F.col("c"), ["rep"], BLOCK).join(classes.select("rep", "size", "vec"), "rep")
     w = window(cosine)
 
-    def work(t: pa.Table) -> dict | None:
-        rep, size, blk = (t[c].to_numpy() for c in ("rep", "size", "blk"))
+    def work(t: pa.RecordBatch) -> dict | None:
+        rep, size, blk = (t[c].to_numpy(zero_copy_only=False) for c in ("rep", "size", "blk"))
         lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
         unit = _units(t["vec"].to_pylist())
         table = t["cell"][0].as_py() // 65536 % tables
