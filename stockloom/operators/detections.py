@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stockloom.functions import geometry as g
 
 BOX = ("x0", "y0", "x1", "y1")
+KNN_BLOCK = 512
 
 
 def prefixed(df: DataFrame, p: str, *cols: str) -> DataFrame:
@@ -110,9 +111,11 @@ def best_offset(votes: DataFrame, sizes: DataFrame, keys: list[str], tie: float)
 def knn(queries: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
     """``(q, rank, g, sim)``: the ``k`` most similar of the gallery by cosine, ties by id; vectors ``v`` have unit length.
 
-    The gallery is grouped into blocks, so that a query meets a block in one row and keeps ``k`` of it; blocks are merged by rank.
+    The gallery is grouped into blocks of about ``KNN_BLOCK`` vectors, so that a query meets a block in one row and keeps
+    ``k`` of it; what the blocks gave is merged by rank.
     """
-    blocks = gallery.groupBy((F.col("id") % 64).alias("_b")).agg(F.collect_list(F.struct("id", "v")).alias("_block"))
+    many = max(1, -(-gallery.count() // KNN_BLOCK))
+    blocks = gallery.groupBy(F.pmod(F.xxhash64("id"), F.lit(many)).alias("_b")).agg(F.collect_list(F.struct("id", "v")).alias("_block"))
     pairs_ = queries.select(F.col("id").alias("q"), F.col("v").alias("qv")).crossJoin(blocks)
     dot = lambda x: F.aggregate(F.zip_with("qv", x, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
     scored = F.transform("_block", lambda s: F.struct((-F.round(dot(s["v"]), 9)).alias("d"), s["id"].alias("g")))

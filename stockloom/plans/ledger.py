@@ -9,6 +9,7 @@ from stockloom.functions.text import escape_cell, gtin14, literal_table
 from stockloom.operators import ledger
 from stockloom.operators.graph import connected_components
 from stockloom.plans.detections import _STATUS, _statused
+from stockloom.plans.index import offsets
 from stockloom.sources.adapters import DETECTIONS, FRAMES, SKU, frames, sku, with_sql
 from stockloom.sources.tables import table
 
@@ -256,11 +257,9 @@ def coco_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _statused(spark, sf_dir).where(F.col("score") >= 0.97)
     cats = s.select("cls").distinct().withColumn("category_id", F.row_number().over(Window.orderBy("cls")).cast("long"))
     within = F.row_number().over(Window.partitionBy("commit_id").orderBy("det_id"))
-    per = s.groupBy("commit_id").agg(F.count("*").alias("_n"))
-    before = per.select("commit_id", (F.sum("_n").over(Window.orderBy("commit_id")) - F.col("_n")).alias("_b"))
-    one = s.join(F.broadcast(cats), "cls").withColumn("_w", within).join(before, "commit_id")
+    one = s.join(cats, "cls").withColumn("_w", within).join(offsets(s, "commit_id"), "commit_id")
     w, h = F.round(F.col("x1") - F.col("x0"), 1), F.round(F.col("y1") - F.col("y0"), 1)
-    return one.select((F.col("_b") + F.col("_w")).cast("long").alias("id"), F.col("commit_id").alias("image_id"), "category_id", F.round("x0", 1).alias("x"), F.round("y0", 1).alias("y"), w.alias("w"), h.alias("h"), F.round(w * h, 1).alias("area"), F.round("score", 3).alias("score"))
+    return one.select((F.col("before") + F.col("_w")).cast("long").alias("id"), F.col("commit_id").alias("image_id"), "category_id", F.round("x0", 1).alias("x"), F.round("y0", 1).alias("y"), w.alias("w"), h.alias("h"), F.round(w * h, 1).alias("area"), F.round("score", 3).alias("score"))
 
 
 COCO_ANNOTATIONS = with_sql(DETECTIONS, _STATUS) + """

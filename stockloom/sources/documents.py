@@ -59,3 +59,9 @@ def missing_frames(frames: DataFrame, cache: DataFrame, video: str, detector: st
 def write_cache(dets: DataFrame, path: str) -> None:
     """Appends detections partitioned by video, detector and threshold, so that a lookup prunes to one folder."""
     dets.write.mode("append").partitionBy("video", "detector", "shown").parquet(path)
+
+
+def folder_size(spark: SparkSession, path: str) -> DataFrame:
+    """Files below a folder and their bytes together; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))

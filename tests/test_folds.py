@@ -85,6 +85,26 @@ def test_counting_with_links_prompts_and_never_double_counts():
     assert (alone.status == "new").sum() == 9  # without links every view counts anew
 
 
+def test_zone_follows_its_items():
+    base = np.array([[0, 0], [10, 0], [10, 10], [0, 10], [5, 5.0]])
+    turn = np.array([[0.98, -0.1], [0.1, 0.98]])
+    h = folds.zone_transform(base, base @ turn.T + [3, -2])
+    assert np.allclose(h, [[0.98, -0.1, 3], [0.1, 0.98, -2], [0, 0, 1]])
+    assert np.allclose(folds.zone_transform(base, 3 * base)[:2, :2], np.eye(2))  # too large a scale: the median shift
+    assert np.allclose(folds.zone_transform(base[:2], base[:2] + 4), [[1, 0, 4], [0, 1, 4], [0, 0, 1]])
+    assert folds.zone_transform(base[:0], base[:0]) is None
+
+
+def test_tracked_items_are_seen_again_and_zones_move_along():
+    box = lambda x: {"x0": x, "y0": 40.0, "x1": x + 10, "y1": 50.0}
+    rows = [dict(walk_id=1, n=n, t=float(n), det_id=i, score=0.9, cls="can", **box(40.0 + 12 * i - 6 * n)) for n in (1, 2, 3) for i in range(4)]
+    rows.append(dict(walk_id=1, n=3, t=3.0, det_id=9, score=0.9, cls="case", **box(50.0)))
+    step = np.array([[1, 0, -6], [0, 1, 0], [0, 0, 1.0]])
+    got = folds.count_walk(pd.DataFrame(rows), {}, 0.5, 100.0, 100.0, 0.5, 12.0, {2: step, 3: step})
+    by = {(r.n, r.det_id): r.status for r in got.itertuples()}
+    assert all(by[n, i] == ("new" if n == 1 else "seen") for n in (1, 2, 3) for i in range(4)) and by[3, 9] == "miss"
+
+
 def test_walk_query_keeps_its_invariants(spark):
     got = plans.counted_walks(spark, SF).toPandas()
     assert set(got.status) <= {"new", "seen", "miss", "edge", "cut", "low"}

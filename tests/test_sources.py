@@ -45,6 +45,13 @@ def test_detection_cache(spark, tmp_path):
     assert [r.frame for r in missing.collect()] == [2]
 
 
+def test_folder_size(spark, tmp_path):
+    (tmp_path / "m" / "n").mkdir(parents=True)
+    (tmp_path / "m" / "a.bin").write_bytes(b"123")
+    (tmp_path / "m" / "n" / "b.bin").write_bytes(b"4567")
+    assert tuple(documents.folder_size(spark, f"{tmp_path}/m").first()) == (2, 7)
+
+
 def lines(spark):
     return spark.createDataFrame([("Z", "0012", "=SUM(A1)", 3, 1, 7, 'say "hi"; bye')], "zone string, sku_code string, sku_name string, units_per_case int, full_cases int, total_units int, notes string")
 
