@@ -20,13 +20,13 @@ from stockloom.llm.text import chunks, held_out, ngram_counts
 
 WIDTH, ORDERS = 4096, (1, 2, 3)
 _OTHER = re.compile(r"[\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")  # letters, but also numbers such as fractions
 
 
 def letters_only(text: bytes) -> bytes:
     """The text in lower case with one space for each run of other characters than letters; empty without a letter."""
     s = text.decode("utf-8", "replace")
-    return _OTHER.sub(" ", s.lower()).encode() if _LETTER.search(s) else b""
+    return _OTHER.sub(" ", s.lower()).encode() if any(m[0].isalpha() for m in _WORDLIKE.finditer(s)) else b""
 
 
 def features(plain: bytes) -> np.ndarray:
