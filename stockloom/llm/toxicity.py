@@ -122,54 +122,54 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class _Lexicon(dict):
-    """What is known of each word as it stands in a text; forgets all when it grows over ``most``."""
+    """What is known of each word as it stands in a text: a row of ``table``; forgets all when ``most`` words are known."""
 
-    most = 400_000
+    most = 600_000
 
     def __init__(self, weights: dict[str, float]):
         super().__init__()
         self.weights = weights
-        self.rows: list[tuple] = []
+        self.table = np.empty((self.most, 11), np.float32)
+
+    def weight(self, core: str) -> float:
+        get = self.weights.get
+        return max(get("=" + core, 0.0), *(get(core[:n], 0.0) for n in STEMS)) if len(core) >= STEMS[0] else get("=" + core, 0.0)
 
     def __missing__(self, raw: bytes) -> int:
-        if len(self) > self.most:
-            self.clear()
         w = raw.decode("utf-8", "replace")
         low = w.lower()
-        core = _TRIM.sub("", low)
-        plain = _INNER.sub("", core.translate(LEET))
-        weight = max((self.weights.get(s, 0.0) for s in stems(core)), default=0.0)
-        hidden = 0
-        if plain != core and (plain in INSULTS or max((self.weights.get(s, 0.0) for s in stems(plain)), default=0.0) > 0) and weight == 0:
-            hidden, weight = 1, max(self.weights.get(s, 0.0) for s in stems(plain))
-        marks = sum(not (c.isalnum() or c.isspace()) for c in w)
-        upper = sum(c.isupper() for c in w)
-        row = (
-            float(core in INSULTS or hidden and plain in INSULTS), weight, float(core in PERSONS), float(upper == len(core) and upper > 1), float(upper),
-            float(w.count("!")), float(w.count("?")), float(marks), float(hidden), float(sum(c.isdigit() for c in w)), float(len(core)),
-        )
-        n = self[raw] = len(self.rows)
-        self.rows.append(row)
+        core = low.strip(".,")
+        hidden, digits, marks = 0, 0, len(low) - len(core)
+        if core.isalpha():
+            weight = self.weight(core)
+            insult = core in INSULTS
+        else:
+            core = _TRIM.sub("", low)
+            plain = _INNER.sub("", core.translate(LEET))
+            weight, insult = self.weight(core), core in INSULTS
+            if plain != core and weight == 0 and (plain in INSULTS or self.weight(plain) > 0):
+                hidden, weight, insult = 1, self.weight(plain), insult or plain in INSULTS
+            marks = sum(not (c.isalnum() or c.isspace()) for c in w)
+            digits = sum(c.isdigit() for c in w)
+        upper = 0 if w == low else 1 if w[1:] == low[1:] else sum(c.isupper() for c in w)
+        n = self[raw] = len(self)
+        self.table[n] = (insult, weight, core in PERSONS, upper == len(core) and upper > 1, upper, w.count("!"), w.count("?"), marks, hidden, digits, len(core))
         return n
 
-    def clear(self) -> None:
-        super().clear()
-        self.rows = []
-
 
 def _features(texts: list[bytes], lexicon: _Lexicon) -> np.ndarray:
     out = np.zeros((len(texts), len(FEATURES)))
-    if len(lexicon) > lexicon.most // 2:
-        lexicon.clear()
     for i, t in enumerate(texts):
         words = t.split()
         if not words:
             continue
         if len(lexicon) + len(words) > lexicon.most:
             lexicon.clear()
+            if len(words) > lexicon.most:
+                lexicon.table = np.empty((len(words), 11), np.float32)
         codes = np.fromiter(map(lexicon.__getitem__, words), np.int64, len(words))
         used, again = np.unique(codes, return_inverse=True)
-        table = np.array([lexicon.rows[c] for c in used])
+        table = lexicon.table[used].astype(np.float64)
         n = np.bincount(again).astype(float)
         total = n @ table
         hit = (table[:, 0] > 0) | (table[:, 1] > 1)
@@ -213,11 +213,14 @@ class ToxicityModel:
     trees: Trees | None
     knots: tuple[np.ndarray, np.ndarray] | None
     base: float
+    lexicon: _Lexicon | None = None
 
-    def scores(self, texts: list[bytes], lexicon: _Lexicon) -> np.ndarray:
+    def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.trees is None:
             return np.full(len(texts), self.base)
-        m = self.trees.margin(_features(texts, lexicon))
+        if self.lexicon is None:  # made where texts are scored, and kept from task to task
+            self.lexicon = _Lexicon(self.weights)
+        m = self.trees.margin(_features(texts, self.lexicon))
         if self.knots is None or not len(self.knots[0]):
             return 1 / (1 + np.exp(-m))
         return np.clip(np.interp(m, *self.knots), 0.0, 1.0)
@@ -259,9 +262,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 4,000 stems and 60 small trees
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = _Lexicon(shared.value.weights)
         for part, texts in chunks(batches, 1, 4_000_000):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.scores(texts, lexicon), pa.float64())], ["_id", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.scores(texts), pa.float64())], ["_id", "score"])
 
     got = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string")).mapInArrow(run, "_id long, score double")
     return got.select(F.col("_id").alias(id_col), held_out("_id").alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
