@@ -145,7 +145,7 @@ def cut_tokens(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "do
         e, last = encoder(tokenizer, False), np.uint32(end_id).tobytes()
         for part, raw in chunks(batches, 1, 3_000_000):
             owner, piece, start, length, crc, kept = [], [], [], [], [], []
-            for i, ids in enumerate(e.encode([t.decode("utf-8", "replace") for t in raw])):
+            for i, ids in enumerate(e.encode(raw)):
                 ids += last
                 n = len(ids) // 4
                 many = -(-n // capacity)

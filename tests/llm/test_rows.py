@@ -304,4 +304,4 @@ def test_cut_encoding_equals_whole_encoding():
     for path, words in ((BYTES, False), (WORDS, True)):
         e, t = Encoder(path, words), Tokenizer.from_file(path)
         for _ in range(2):
-            assert e.encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+            assert e.encode([x.encode() for x in texts]) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
