@@ -59,42 +59,47 @@ def places(unit: np.ndarray, k: int, tables: int) -> tuple[np.ndarray, np.ndarra
     return sign @ (1 << np.arange(k, dtype=np.int64)), unit @ line
 
 
-def _units(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def _units(raw: list[bytes], kind: type) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, vecs = [], []
-        for v in batch.column(1):
-            x = None if not v.is_valid else v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            ok = x is not None and v.values.null_count == 0 and len(x) and np.isfinite(x).all() and x.any()
-            raw = (x + 0.0).tobytes() if ok else None
-            keys.append(xxhash.xxh3_128_digest(raw) if ok else None)
-            vecs.append(raw)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(vecs, pa.binary())], ["_id", "key", "vec"])
+def _classes(kind: type):
+    """Vectors as bytes of their own precision, and a key that equal ones share; both null for vectors that link with nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, vecs = [], []
+            for v in batch.column(1):
+                x = None if not v.is_valid else v.values.to_numpy(zero_copy_only=False).astype(kind)
+                ok = x is not None and v.values.null_count == 0 and len(x) and np.isfinite(x).all() and x.any()
+                raw = (x + kind(0)).tobytes() if ok else None
+                keys.append(xxhash.xxh3_128_digest(raw) if ok else None)
+                vecs.append(raw)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(vecs, pa.binary())], ["_id", "key", "vec"])
+
+    return run
 
 
-def _cells(k: int, tables: int):
+def _cells(k: int, tables: int, kind: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vec = batch.column(batch.schema.get_field_index("vec")).to_pylist()
             out: list = [None] * len(vec)
-            for dim in {len(v) for v in vec}:
-                at = [i for i, v in enumerate(vec) if len(v) == dim]
-                cell, _ = places(_units([vec[i] for i in at]), k, tables)
-                for i, row in zip(at, (cell * tables + np.arange(tables)) * 65536 + dim // 8 % 65536, strict=True):
+            for size in {len(v) for v in vec}:
+                at = [i for i, v in enumerate(vec) if len(v) == size]
+                cell, _ = places(_units([vec[i] for i in at], kind), k, tables)
+                for i, row in zip(at, (cell * tables + np.arange(tables)) * 65536 + size // 4 % 65536, strict=True):
                     out[i] = row
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["rep", "cells"])
 
     return run
 
 
-def vector_links(classes: DataFrame, k: int, tables: int, cosine: float) -> DataFrame:
+def vector_links(classes: DataFrame, k: int, tables: int, cosine: float, kind: type) -> DataFrame:
     """``(rep, links, root)``: links found in one block, weighted by class size, and an edge of their spanning forest."""
-    cells = classes.select("rep", "vec").mapInArrow(_cells(k, tables), "rep long, cells array<long>").select("rep", F.explode("cells").alias("cell"))
+    cells = classes.select("rep", "vec").mapInArrow(_cells(k, tables, kind), "rep long, cells array<long>").select("rep", F.explode("cells").alias("cell"))
     sizes = cells.groupBy("cell").agg(F.count("*").alias("c")).where("c > 1")
     rows = block_pairs(cells.join(sizes, "cell"), F.col("c"), ["rep"], BLOCK).join(classes.select("rep", "size", "vec"), "rep")
     w = window(cosine)
@@ -102,7 +107,7 @@ def vector_links(classes: DataFrame, k: int, tables: int, cosine: float) -> Data
     def work(t: pa.RecordBatch) -> dict | None:
         rep, size, blk = (t[c].to_numpy(zero_copy_only=False) for c in ("rep", "size", "blk"))
         lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
-        unit = _units(t["vec"].to_pylist())
+        unit = _units(t["vec"].to_pylist(), kind)
         table = t["cell"][0].as_py() // 65536 % tables
         cell, spot = places(unit, k, tables)
         a, b = np.flatnonzero(blk == lo), np.flatnonzero(blk == hi)
@@ -145,10 +150,12 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col:
     Vectors that are null, empty or zero, or hold null or non-finite components link with nothing. ``n_links`` counts
     rows, repeated ids too. Other columns are ignored.
     """
-    rows = staged(vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast(T.ArrayType(T.DoubleType())).alias("v")).mapInArrow(_classes, "_id long, key binary, vec binary"), "vectors")
+    kind = np.float32 if vectors.schema[vec_col].dataType == T.ArrayType(T.FloatType(), vectors.schema[vec_col].dataType.containsNull) else np.float64
+    plain = T.ArrayType(T.FloatType() if kind is np.float32 else T.DoubleType())
+    rows = staged(vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast(plain).alias("v")).mapInArrow(_classes(kind), "_id long, key binary, vec binary"), "vectors")
     classes = staged(rows.where("key is not null and _id is not null").groupBy("key").agg(F.min("_id").alias("rep"), F.count("*").alias("size"), F.first("vec").alias("vec")), "classes")
     k, tables = calibrate(classes.count(), cosine, recall)
-    found = staged(vector_links(classes, k, tables, cosine), "links")
+    found = staged(vector_links(classes, k, tables, cosine, kind), "links")
     groups = connected_components(found.select("rep", "root"), "rep", "root").withColumnRenamed("node", "rep")
     own = (
         classes.select("key", "rep", "size")
