@@ -282,8 +282,8 @@ SELECT walk_id, '{' || string_agg('"' || status || '":' || n, ',' ORDER BY statu
 def grid_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A parameter grid crossed with walks: the mean of each walk's ratio, not the ratio of sums."""
     s = _statused(spark, sf_dir)
-    grid = spark.createDataFrame([(k, t) for k in ("inner", "band") for t in (0.92, 0.95, 0.98)], "kind string, threshold double")
-    run = s.crossJoin(F.broadcast(grid)).groupBy("walk_id", "kind", "threshold").agg((100.0 * F.count_if((F.col("status") == F.col("kind")) & (F.col("score") >= F.col("threshold"))) / F.count("*")).alias("p"))
+    each = lambda *values: F.explode(F.array(*map(F.lit, values)))
+    run = s.select("walk_id", "status", "score", each("inner", "band").alias("kind")).select("*", each(0.92, 0.95, 0.98).alias("threshold")).groupBy("walk_id", "kind", "threshold").agg((100.0 * F.count_if((F.col("status") == F.col("kind")) & (F.col("score") >= F.col("threshold"))) / F.count("*")).alias("p"))
     return run.groupBy("kind").pivot("threshold", [0.92, 0.95, 0.98]).agg(F.round(F.avg("p"), 6)).toDF("kind", "t92", "t95", "t98")
 
 
