@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom.functions import geometry as g
+from stockloom.plans.durable import staged
 
 BOX = ("x0", "y0", "x1", "y1")
 KNN_BLOCK = 512
@@ -49,11 +50,14 @@ def without(dets: DataFrame, drop: DataFrame) -> DataFrame:
 
 
 def clean(dets: DataFrame, iou: float = 0.5) -> DataFrame:
-    """Greedy suppression, then row boxes judged on its survivors, then part boxes judged on theirs."""
+    """Greedy suppression, then row boxes judged on its survivors, then part boxes judged on theirs.
+
+    Survivors are written after either step: each of the next joins reads them three times.
+    """
     from stockloom.operators.folds import suppress
 
-    kept = suppress(dets, iou)
-    kept = without(kept, row_boxes(kept))
+    kept = staged(suppress(dets, iou), "suppressed")
+    kept = staged(without(kept, row_boxes(kept)), "rows")
     return without(kept, part_boxes(kept))
 
 
