@@ -1,0 +1,126 @@
+"""Synthetic footage as tables: what stands on the shelves of a storeroom, and where a hand-held camera looks in each frame.
+
+All draws come from whole-number arithmetic on the room and the thing drawn, so rows do not depend on partitions and a room
+is made wherever its row is. Lengths are in millimetres until they become pixels of the canvas.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+# Fixed values of the published test film.
+FRAME_W, FRAME_H, FPS, VIEW_DEG, DISTANCE_M = 720, 1280, 30, 65.0, 1.2
+THINGS = {"bottle": (80, 90, 300, 30), "can": (66, 70, 120, 8), "case": (350, 360, 300, 8)}  # width, spacing, height, products
+SHELVES = (250, 650, 1050, 1450, 1850)
+RACK, AISLE, MARGIN, TOP, FIRST = 1800, 500, 700, 2500, 30
+STEP, OVER, LOW_Y, HIGH_Y = 450, 140, 800, 1420
+SPEED, LEAST_MOVE, PAUSE, LAST_MOVE, LAST_MM = 600.0, 0.7, 0.5, 1.0, 500
+LEAK, ROLL_LEAK, ROLL_SIZE = 0.85, 0.9, 0.0005
+
+SCALE = FRAME_H / 2 / math.tan(math.radians(VIEW_DEG) / 2) / DISTANCE_M / 1000  # canvas pixels in a millimetre
+GROUPS = 16  # more groups than fit on a shelf: the narrowest takes 140 mm
+
+
+def draw(room: str, what: str, which: str, most: int) -> str:
+    """SQL for a number from 0 to ``most - 1``, the same in any engine."""
+    mixed = f"(((CAST({room} AS BIGINT) * 7919 + {what} * 104729 + {which} * 1299709 + 12345) % 2147483647) * 48271) % 2147483647"
+    return f"CAST(floor((({mixed}) * 69621 % 2147483647) / 256.0) AS BIGINT) % {most}"
+
+
+def _pick(name: Column, at: int) -> Column:
+    out = F.lit(None)
+    for thing, values in THINGS.items():
+        out = F.when(name == thing, values[at]).otherwise(out)
+    return out.cast("int")
+
+
+def storeroom_objects(rooms: DataFrame, racks: int = 2) -> DataFrame:
+    """The objects of each ``room``: id, rack, shelf, class, product and canvas box.
+
+    A shelf takes groups of one product side by side, with up to 100 mm between groups, until it is full. Three of five
+    groups are bottles; a group has 1 to 4 cases, else 2 to 12 things. Ids count from 0 by rack, shelf and place.
+    """
+    each = rooms.select(F.col("room").cast("long").alias("room"))
+    for name, n in (("rack", racks), ("shelf", len(SHELVES)), ("grp", GROUPS)):
+        each = each.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name))
+    spot = f"((rack * {len(SHELVES)} + shelf) * {GROUPS} + grp)"
+    drawn = each.withColumn("_c", F.expr(draw("room", "1", spot, 5)))
+    drawn = drawn.withColumn("cls", F.when(F.col("_c") < 3, "bottle").when(F.col("_c") == 3, "can").otherwise("case"))
+    many = F.when(F.col("cls") == "case", 1 + F.expr(draw("room", "2", spot, 4))).otherwise(2 + F.expr(draw("room", "2", spot, 11)))
+    drawn = drawn.withColumn("_n", many).withColumn("product", F.expr(draw("room", "3", spot, 1000)) % _pick(F.col("cls"), 3)).withColumn("_gap", F.expr(draw("room", "4", spot, 101)))
+    before = Window.partitionBy("room", "rack", "shelf").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
+    start = FIRST + F.coalesce(F.sum(F.col("_n") * _pick(F.col("cls"), 1) + F.col("_gap")).over(before), F.lit(0))
+    placed = drawn.withColumn("_start", start).where(F.col("_start") < RACK).withColumn("item", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    left, wide, high = F.col("_start") + F.col("item") * _pick(F.col("cls"), 1), _pick(F.col("cls"), 0), _pick(F.col("cls"), 2)
+    fits = placed.where(left + wide <= RACK)
+    x0 = F.round((left + F.col("rack") * (RACK + AISLE) + MARGIN) * SCALE).cast("long")
+    y0 = F.round((TOP - F.element_at(F.array(*map(F.lit, SHELVES)), F.col("shelf") + 1) - high) * SCALE).cast("long")
+    number = F.row_number().over(Window.partitionBy("room").orderBy("rack", "shelf", "grp", "item")) - 1
+    boxed = fits.select("room", number.cast("long").alias("id"), "rack", "shelf", "cls", "product", x0.alias("x0"), y0.alias("y0"), F.round(wide * SCALE).cast("long").alias("_w"), F.round(high * SCALE).cast("long").alias("_h"))
+    return boxed.select("room", "id", "rack", "shelf", "cls", "product", "x0", "y0", (F.col("x0") + F.col("_w")).alias("x1"), (F.col("y0") + F.col("_h")).alias("y1"))
+
+
+def stops(racks: int = 2) -> list[tuple[str, float, float]]:
+    """Where the camera stops: a snake over each rack, a pause too short to count on the way, and the first views again."""
+    half = FRAME_W / 2 / SCALE
+    span = RACK - 2 * half + 2 * OVER
+    along = [min(i * STEP, span) for i in range(math.ceil(span / STEP - 1e-9) + 1)]
+
+    def snake(rack: int) -> list[tuple[float, float]]:
+        at = rack * (RACK + AISLE) + half - OVER
+        return [(at + x, LOW_Y) for x in along] + [(at + x, HIGH_Y) for x in reversed(along)]
+
+    out = [("hold", x, y) for x, y in snake(0)]
+    for r in range(1, racks):
+        out += [("pause", r * (RACK + AISLE) - AISLE / 2, 1100.0), *(("hold", x, y) for x, y in snake(r))]
+    return out + [("hold", x + 100, y) for x, y in snake(0)[:3]]
+
+
+def segments(racks: int = 2) -> list[tuple[int, str, float, float, float, float, float]]:
+    """``(seq, kind, ax, ay, bx, by, seconds)`` in canvas pixels; holds last longer by a draw of up to 0.6 s."""
+    here = ((MARGIN - MARGIN / 2) * SCALE, (TOP - 1100) * SCALE)
+    out: list[tuple] = []
+    for kind, x, y in stops(racks):
+        to = ((x + MARGIN) * SCALE, (TOP - y) * SCALE)
+        out.append((len(out), "move", *here, *to, max(LEAST_MOVE, math.dist(here, to) / SCALE / SPEED)))
+        out.append((len(out), kind, *to, *to, PAUSE if kind == "pause" else 1.3))
+        here = to
+    return [*out, (len(out), "move", *here, here[0] + LAST_MM * SCALE, here[1], LAST_MOVE)]
+
+
+def camera_frames(rooms: DataFrame, racks: int = 2) -> DataFrame:
+    """The frames filmed in each ``room``: frame, t, kind and the affine from canvas to frame, ``m0`` to ``m5`` by rows.
+
+    Moves ease in and out. In stops the hand trembles: offset and roll are leaky sums of draws, which a window gives as
+    ``leak^k * sum(draw / leak^k)`` over the k-th frames of stops (exact up to about 4,000 of them in a room, some 100 stops);
+    they stand still in moves. Each hold has a distance of its own, kept until the next one.
+    """
+    kinds = "seq int, kind string, ax double, ay double, bx double, by double, secs double".split(", ")
+    listed = F.array(*(F.struct(*(F.lit(v).cast(k.split()[1]).alias(k.split()[0]) for v, k in zip(s, kinds, strict=True))) for s in segments(racks)))
+    seg = rooms.select(F.col("room").cast("long").alias("room"), F.explode(listed).alias("s")).select("room", "s.*")
+    hold = F.col("kind") == "hold"
+    secs = F.when(hold, F.col("secs") + F.expr(draw("room", "5", "seq", 601)) / 1000.0).otherwise(F.col("secs"))
+    seg = seg.withColumn("_n", F.greatest(F.lit(1), F.round(secs * FPS)).cast("long")).withColumn("_own", F.when(hold, 0.95 + F.expr(draw("room", "6", "seq", 101)) / 1000.0))
+    order = Window.partitionBy("room").orderBy("seq")
+    seg = seg.withColumn("_first", F.sum("_n").over(order) - F.col("_n")).withColumn("_zoom", F.coalesce(F.last("_own", ignorenulls=True).over(order), F.lit(1.0)))
+    each = seg.withColumn("_f", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).withColumn("frame", F.col("_first") + F.col("_f"))
+    still, u = F.col("kind") != "move", F.col("_f") / F.col("_n")
+    eased = F.when(still, 0.0).otherwise(3 * u * u - 2 * u * u * u)
+    each = each.withColumn("_cx", F.col("ax") + (F.col("bx") - F.col("ax")) * eased).withColumn("_cy", F.col("ay") + (F.col("by") - F.col("ay")) * eased)
+    upto = Window.partitionBy("room").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("_k", F.sum(still.cast("int")).over(upto).cast("double"))
+
+    def normal(what: int) -> Column:
+        """Near a standard normal: twice the sum of three draws from -0.5 to 0.5."""
+        return F.when(still, 2 * (sum((F.expr(draw("room", str(what + i), "frame", 10001)) for i in range(3)), F.lit(0)) / 10000.0 - 1.5)).otherwise(0.0)
+
+    def leaky(what: int, leak: float) -> Column:
+        return F.pow(F.lit(leak), F.col("_k")) * F.sum(normal(what) / F.pow(F.lit(leak), F.col("_k"))).over(upto)
+
+    each = each.withColumns({"_ox": leaky(10, LEAK), "_oy": leaky(20, LEAK), "_roll": ROLL_SIZE * leaky(30, ROLL_LEAK)})
+    c, s = F.col("_zoom") * F.cos("_roll"), F.col("_zoom") * F.sin("_roll")
+    rows = (c, -s, FRAME_W / 2 + F.col("_ox") - c * F.col("_cx") + s * F.col("_cy"), s, c, FRAME_H / 2 + F.col("_oy") - s * F.col("_cx") - c * F.col("_cy"))
+    return each.select("room", "frame", F.round(F.col("frame") / float(FPS), 4).alias("t"), "kind", *((F.round(m, 4) + 0.0).alias(f"m{i}") for i, m in enumerate(rows)))

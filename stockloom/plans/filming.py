@@ -1,0 +1,59 @@
+"""Queries on synthetic footage: one room for each nation, drawn by its key."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stockloom.operators import filming as f
+from stockloom.sources.tables import table
+
+
+def _rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("room"))
+
+
+def storeroom_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands on the shelves of each room."""
+    return f.storeroom_objects(_rooms(spark, sf_dir))
+
+
+def camera_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the camera looks in each frame."""
+    return f.camera_frames(_rooms(spark, sf_dir))
+
+
+_SPOT = "((rack * 5 + shelf) * 16 + grp)"
+_THINGS = "(VALUES " + ", ".join(f"('{k}', {', '.join(map(str, v))})" for k, v in f.THINGS.items()) + ") k(cls, wide, pitch, high, products)"
+STOREROOM_OBJECTS = f"""
+WITH slots AS (SELECT n_nationkey::BIGINT AS room, rack, shelf, grp FROM nation, range(2) a(rack), range(5) b(shelf), range(16) c(grp)),
+drawn AS (SELECT *, CASE {f.draw('room', '1', _SPOT, 5)} WHEN 3 THEN 'can' WHEN 4 THEN 'case' ELSE 'bottle' END AS cls FROM slots),
+sized AS (SELECT *, CASE WHEN cls = 'case' THEN 1 + {f.draw('room', '2', _SPOT, 4)} ELSE 2 + {f.draw('room', '2', _SPOT, 11)} END AS n,
+  ({f.draw('room', '3', _SPOT, 1000)}) % products AS product, {f.draw('room', '4', _SPOT, 101)} AS gap FROM drawn JOIN {_THINGS} USING (cls)),
+placed AS (SELECT *, 30 + coalesce(sum(n * pitch + gap) OVER (PARTITION BY room, rack, shelf ORDER BY grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sized),
+items AS (SELECT *, unnest(range(n)) AS item FROM placed WHERE start < 1800),
+boxed AS (SELECT room, row_number() OVER (PARTITION BY room ORDER BY rack, shelf, grp, item) - 1 AS id, rack, shelf, cls, product,
+  round((start + item * pitch + rack * 2300 + 700)::DOUBLE * {f.SCALE!r}::DOUBLE)::BIGINT AS x0, round((2500 - (250 + 400 * shelf) - high)::DOUBLE * {f.SCALE!r}::DOUBLE)::BIGINT AS y0, wide, high
+  FROM items WHERE start + item * pitch + wide <= 1800)
+SELECT room, id::BIGINT AS id, rack::INT AS rack, shelf::INT AS shelf, cls, product, x0, y0, x0 + round(wide * {f.SCALE!r}::DOUBLE)::BIGINT AS x1, y0 + round(high * {f.SCALE!r}::DOUBLE)::BIGINT AS y1 FROM boxed"""
+
+
+def _normal(what: int) -> str:
+    return f"(2 * ((({f.draw('room', str(what), 'frame', 10001)}) + ({f.draw('room', str(what + 1), 'frame', 10001)}) + ({f.draw('room', str(what + 2), 'frame', 10001)})) / 10000.0::DOUBLE - 1.5))"
+
+
+_SEGMENTS = ", ".join(f"({n}, '{kind}', {', '.join(f'{v!r}::DOUBLE' for v in map(float, rest))})" for n, kind, *rest in f.segments())
+CAMERA_FRAMES = f"""
+WITH RECURSIVE seg AS (SELECT n_nationkey::BIGINT AS room, s.*, greatest(1, round((secs + CASE WHEN kind = 'hold' THEN ({f.draw('n_nationkey', '5', 'seq', 601)}) / 1000.0::DOUBLE ELSE 0 END) * 30))::BIGINT AS n,
+  CASE WHEN kind = 'hold' THEN 0.95::DOUBLE + ({f.draw('n_nationkey', '6', 'seq', 101)}) / 1000.0::DOUBLE END AS own FROM nation, (VALUES {_SEGMENTS}) s(seq, kind, ax, ay, bx, by_, secs)),
+timed AS (SELECT *, sum(n) OVER w - n AS first, coalesce(last_value(own IGNORE NULLS) OVER w, 1.0) AS zoom FROM seg WINDOW w AS (PARTITION BY room ORDER BY seq)),
+each_ AS (SELECT *, (first + f)::BIGINT AS frame, CASE WHEN kind = 'move' THEN 3 * (f / n) * (f / n) - 2 * (f / n) * (f / n) * (f / n) ELSE 0 END AS eased FROM (SELECT *, unnest(range(n))::DOUBLE AS f FROM timed)),
+shaken AS (SELECT room, frame, kind, zoom, ax + (bx - ax) * eased AS cx, ay + (by_ - ay) * eased AS cy, {_normal(10)} AS ex, {_normal(20)} AS ey, {_normal(30)} AS er FROM each_),
+walked AS (SELECT room, frame, 0::DOUBLE AS ox, 0::DOUBLE AS oy, 0::DOUBLE AS roll FROM shaken WHERE frame = 0
+  UNION ALL SELECT s.room, s.frame, CASE WHEN kind = 'move' THEN ox ELSE 0.85 * ox + ex END, CASE WHEN kind = 'move' THEN oy ELSE 0.85 * oy + ey END, CASE WHEN kind = 'move' THEN roll ELSE 0.9 * roll + 0.0005 * er END
+  FROM walked w JOIN shaken s ON s.room = w.room AND s.frame = w.frame + 1),
+turned AS (SELECT s.room, s.frame, kind, cx, cy, ox, oy, zoom * cos(roll) AS c, zoom * sin(roll) AS s FROM shaken s JOIN walked w ON s.room = w.room AND s.frame = w.frame)
+SELECT room, frame, round(frame / 30.0::DOUBLE, 4) AS t, kind, round(c, 4) + 0.0::DOUBLE AS m0, round(-s, 4) + 0.0::DOUBLE AS m1, round(360 + ox - c * cx + s * cy, 4) + 0.0::DOUBLE AS m2, round(s, 4) + 0.0::DOUBLE AS m3, round(c, 4) + 0.0::DOUBLE AS m4, round(640 + oy - s * cx - c * cy, 4) + 0.0::DOUBLE AS m5 FROM turned"""
+
+QUERIES = {"q81_storeroom_objects": storeroom_objects, "q82_camera_frames": camera_frames}
+ORACLE_SQL = {"q81_storeroom_objects": STOREROOM_OBJECTS, "q82_camera_frames": CAMERA_FRAMES}

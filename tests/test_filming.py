@@ -1,0 +1,50 @@
+"""Synthetic footage: shelves hold what fits, and the camera does what its script says."""
+
+import numpy as np
+import pytest
+
+from stockloom.operators import filming as f
+
+
+@pytest.fixture(scope="module")
+def rooms(spark):
+    return spark.range(3).withColumnRenamed("id", "room")
+
+
+def test_shelves_hold_what_fits(rooms):
+    got = f.storeroom_objects(rooms).toPandas().sort_values(["room", "id"])
+    for _, room in got.groupby("room"):
+        assert room.id.tolist() == list(range(len(room)))
+        for (rack, shelf), row in room.groupby(["rack", "shelf"]):
+            low, high = ((rack * 2300 + 700 + x) * f.SCALE for x in (0, 1800))
+            assert row.x0.min() >= low - 1 and row.x1.max() <= high + 2
+            assert (row.x0.to_numpy()[1:] >= row.x1.to_numpy()[:-1] - 1).all()
+            assert row.x1.max() > high - 500 * f.SCALE
+    assert all(got[got.cls == c]["product"].max() < v[3] for c, v in f.THINGS.items())
+    assert 0.4 < (got.groupby(["room", "rack", "shelf", "cls", "product"]).size().reset_index().cls == "bottle").mean() < 0.8
+
+
+def test_rooms_do_not_depend_on_each_other(rooms):
+    alone = f.storeroom_objects(rooms.where("room = 2")).toPandas().sort_values("id").reset_index(drop=True)
+    among = f.storeroom_objects(rooms.repartition(5)).toPandas().query("room == 2").sort_values("id").reset_index(drop=True)
+    assert alone.equals(among)
+
+
+def test_camera_stands_in_holds_and_moves_between(rooms):
+    got = f.camera_frames(rooms).toPandas().sort_values(["room", "frame"])
+    for _, r in got.groupby("room"):
+        assert r.frame.tolist() == list(range(len(r))) and np.allclose(r.t, r.frame / f.FPS, atol=1e-4)
+        kind = r.kind.to_numpy()
+        runs = kind[np.flatnonzero(np.append(True, kind[1:] != kind[:-1]))].tolist()
+        assert runs == [k for s in f.stops() for k in ("move", s[0])] + ["move"]
+        step = np.hypot(np.diff(r.m2), np.diff(r.m5))
+        both = (kind[1:] == kind[:-1]) & (kind[1:] == "hold")
+        assert np.percentile(step[both], 95) < 6
+        assert step[kind[1:] == "move"].max() > 20
+        hold = r[r.kind == "hold"]
+        assert np.hypot(hold.m0, hold.m3).between(0.949, 1.051).all()
+
+
+def test_no_rooms(rooms):
+    none = rooms.where("room < 0")
+    assert f.storeroom_objects(none).count() == 0 and f.camera_frames(none).count() == 0

@@ -3,11 +3,11 @@
 import pytest
 from compare import both
 
-from stockloom.plans import detections, folds, ledger, motion
+from stockloom.plans import detections, filming, folds, ledger, motion
 
 SF = "/root/testdata/sf0.001"
-QUERIES = detections.QUERIES | motion.QUERIES | ledger.QUERIES | folds.QUERIES
-SQL = detections.ORACLE_SQL | motion.ORACLE_SQL | ledger.ORACLE_SQL | folds.ORACLE_SQL
+QUERIES = detections.QUERIES | motion.QUERIES | ledger.QUERIES | folds.QUERIES | filming.QUERIES
+SQL = detections.ORACLE_SQL | motion.ORACLE_SQL | ledger.ORACLE_SQL | folds.ORACLE_SQL | filming.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
