@@ -82,9 +82,13 @@ def plan_mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weigh
 
 
 def _copies() -> Column:
-    """How often the mix takes a document: the whole epochs, and once more before the end of its source's draw."""
+    """How often the mix takes a document: the whole epochs, and once more before the end of its source's draw.
+
+    A document without words adds nothing to a budget: it is taken once an epoch, and once where there is no whole epoch.
+    """
     before = F.col("cut_cell").isNull() | (F.col("_cell") < F.col("cut_cell")) | ((F.col("_cell") == F.col("cut_cell")) & F.col("cut_key").isNotNull() & (F.col("_key") <= F.col("cut_key")))
-    return (F.col("epochs") + before.cast("long")).cast("long")
+    more = F.when(F.col("_size") > 0, before).otherwise(F.col("epochs") == 0)
+    return (F.col("epochs") + more.cast("long")).cast("long")
 
 
 def mix(

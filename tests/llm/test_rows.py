@@ -81,6 +81,12 @@ def test_mix_reaches_its_targets(spark):
     assert texts.to_dict() == {r.doc_id: r.copies for r in got.itertuples() if r.copies}
 
 
+def test_documents_without_words_keep_to_the_epochs(spark):
+    rows = [(1, "a b c", None, "a", 0), (2, "", None, "a", 0), (3, None, None, "a", 0), (4, "a " * 900, None, "b", 0), (5, "", None, "b", 0), (6, "", None, "c", 0)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).toPandas().set_index("doc_id")
+    assert got.copies.to_dict() == {1: 3, 2: 3, 3: 3, 4: 1, 5: 1, 6: 1}
+
+
 def test_heavier_documents_are_drawn_more_often(spark):
     from pyspark.sql import functions as F
 
