@@ -1,5 +1,7 @@
 """Learned operators on held-out rows, and the parts of each model on small inputs."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +51,31 @@ def test_language_without_letters(spark):
     assert [got[i] for i in (1, 2, 3)] == [("und", 0.0)] * 3 and got[4][0] == "de"
 
 
+def _many_languages(spark, languages=70, each=9):
+    rnd = random.Random(3)
+    rows = []
+    for k in range(languages):
+        own = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 8))) for _ in range(12)]
+        rows += [(each * k + i, " ".join(rnd.choice(own) for _ in range(40)), f"x{k:02d}") for i in range(each)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_every_language_is_learned(spark):
+    docs = _many_languages(spark)
+    model = language.fit_language(docs)
+    got = language.identify_language(docs, model).join(docs.drop("text"), "doc_id").toPandas()
+    assert len(model.names) == 70 and (got.lang_pred == got.lang).mean() > 0.98
+
+
+def test_language_sums_in_tasks_give_the_same_weights(spark):
+    docs = _many_languages(spark, 8, 40)
+    here, tasks = language.fit_language(docs), language.fit_language(docs, most_here=0)
+    assert here.names == tasks.names and np.allclose(here.weights, tasks.weights, atol=1e-4)
+    mixed = docs.withColumn("lang", F.concat(F.lit("x"), (F.xxhash64("doc_id") % 3).cast("string")))  # labels that no text tells
+    blind = language.fit_language(mixed, most_here=0)
+    assert blind.sharpness == 1 and language.identify_language(docs, blind).where("held_out").agg(F.avg("score")).first()[0] < 0.7
+
+
 @pytest.mark.parametrize("classes", [2, 3, 4, 5, 12])
 def test_codewords_tell_classes_apart(classes):
     code = language.codewords(classes)
