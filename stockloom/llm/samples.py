@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from stockloom.llm.text import held_out
 
 
+def _known(labels: DataFrame, targets: list[str], id_col: str) -> DataFrame:
+    known = labels.select(F.col(id_col).cast("long").alias("_id"), *targets).dropna()
+    return known.where(~held_out("_id")).groupBy("_id").agg(*(F.max(t).alias(t) for t in targets))
+
+
+def _with_texts(docs: DataFrame, picked: DataFrame, targets: list[str], id_col: str, text_col: str) -> DataFrame:
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
+    got = texts.join(F.broadcast(picked), "_id").groupBy("_id", *targets).agg(F.max("text").alias("text"))
+    return got.select("_id", "text", *targets)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, targets: list[str], max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(_id, text, targets...)`` of at most ``max_rows`` labelled documents that are not held out.
 
@@ -15,8 +26,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, targets: list[str], max_
     nulls are left out; of several labels of one id, and of several texts of one id, the largest counts.
     The broadcast side has ``max_rows`` rows at most, without texts.
     """
-    known = labels.select(F.col(id_col).cast("long").alias("_id"), *targets).dropna()
-    picked = known.where(~held_out("_id")).groupBy("_id").agg(*(F.max(t).alias(t) for t in targets)).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
-    got = texts.join(F.broadcast(picked), "_id").groupBy("_id", *targets).agg(F.max("text").alias("text"))
-    return got.select("_id", "text", *targets)
+    picked = _known(labels, targets, id_col).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+    return _with_texts(docs, picked, targets, id_col, text_col)
+
+
+def label_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, float]]:
+    """As ``labelled_sample`` for one label of 0 and 1, but of each value those with the smallest id hashes: all of a value
+    with no more than half of ``max_rows``, the rest from the other. Also the share of the rows of each value that is taken."""
+    known = _known(labels, [label], id_col).withColumn(label, F.col(label).cast("int"))
+    count = {0: 0, 1: 0} | {int(r[label]): r["count"] for r in known.groupBy(label).count().collect()}
+    take = {v: min(count[v], max(max_rows // 2, max_rows - count[1 - v])) for v in (0, 1)}
+    picked = [known.where(F.col(label) == v).orderBy(F.xxhash64("_id"), "_id").limit(take[v]) for v in (0, 1)]
+    return _with_texts(docs, picked[0].unionByName(picked[1]), [label], id_col, text_col), {v: take[v] / max(count[v], 1) for v in (0, 1)}

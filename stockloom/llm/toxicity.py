@@ -1,7 +1,9 @@
 """Toxicity: gradient-boosted trees over dense features of the whole text, calibrated by isotonic regression.
 
 Training rows are split by id hash: the first part teaches a lexicon (word stems by log-odds, counted in Spark), the
-second the trees, the third the calibration, so that no step sees rows which shaped its inputs.
+second the trees, the third the calibration, so that no step sees rows which shaped its inputs. Where the third has few rows
+of a label, the parts take turns, and the calibration learns from the margins of all rows. Rows of the rarer label are sampled
+more densely; the calibration puts that right.
 """
 
 from __future__ import annotations
@@ -16,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.llm.samples import labelled_sample
+from stockloom.llm.samples import label_sample
 from stockloom.llm.text import chunks, held_out
+from stockloom.plans.durable import staged
 
 # Fixed word lists: plain insults, and words that address a person, in the languages of the corpus.
 INSULTS = frozenset(
@@ -211,7 +214,7 @@ def learn_lexicon(sample: DataFrame, label: str, most: int = 4000) -> dict[str,
 class ToxicityModel:
     weights: dict[str, float]
     trees: Trees | None
-    knots: tuple[np.ndarray, np.ndarray] | None
+    knots: tuple[np.ndarray, np.ndarray] | None  # there whenever there are trees
     base: float
     lexicon: _Lexicon | None = None
 
@@ -221,8 +224,6 @@ class ToxicityModel:
         if self.lexicon is None:  # made where texts are scored, and kept from task to task
             self.lexicon = _Lexicon(self.weights)
         m = self.trees.margin(_features(texts, self.lexicon))
-        if self.knots is None or not len(self.knots[0]):
-            return 1 / (1 + np.exp(-m))
         return np.clip(np.interp(m, *self.knots), 0.0, 1.0)
 
 
@@ -236,25 +237,63 @@ def _feature_rows(weights: dict[str, float]):
     return run
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20_000) -> ToxicityModel:
-    """Learns from at most ``max_rows`` labelled documents that are not held out; only dense features reach the driver.
+FEW = 20
 
-    Without rows of both labels the model is the share of label 1 (0 without rows).
-    """
-    sample = labelled_sample(docs, labels, [label], max_rows, id_col, text_col).withColumn("part", F.pmod(F.xxhash64(F.lit(3), "_id"), F.lit(10)))
+
+@dataclass
+class _Turn:
+    """A lexicon, the trees over it, and the margins and labels of rows that neither has seen."""
+
+    weights: dict[str, float]
+    trees: Trees
+    both: bool  # the trees had rows of both labels
+    margin: np.ndarray
+    y: np.ndarray
+
+
+def _turn(sample: DataFrame, label: str, turn: int) -> _Turn:
+    """The parts from ``2 * turn`` on: four teach the lexicon, four the trees, two are kept back. Without rows of both
+    labels for the trees, the rows of the lexicon teach them too."""
+    sample = sample.withColumn("part", F.pmod(F.col("part") - 2 * turn, F.lit(10)))
     weights = learn_lexicon(sample.where("part < 4"), label)
-    rows = sample.where("part >= 4").select(F.col("_id"), F.col(label).cast("int").alias("y"), "text", "part")
-    got = rows.select("_id", "y", "text").mapInArrow(_feature_rows(weights), "_id long, y int, x array<double>").withColumn("part", F.pmod(F.xxhash64(F.lit(3), "_id"), F.lit(10))).orderBy("_id").collect()
-    y = np.array([r["y"] for r in got], float)
-    if not len(y) or y.min() == y.max():
-        return ToxicityModel(weights, None, None, float(y.mean()) if len(y) else 0.0)
-    x, part = np.array([r["x"] for r in got]), np.array([r["part"] for r in got])
+
+    def rows(where: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        # the part travels with the label, since features are made of id, label and text alone
+        some = sample.where(where).select("_id", (F.col("part") * 2 + F.col(label)).cast("int").alias("y"), "text")
+        got = some.mapInArrow(_feature_rows(weights), "_id long, y int, x array<double>").orderBy("_id").collect()
+        both = np.array([r["y"] for r in got], np.int64)
+        return np.array([r["x"] for r in got], float).reshape(-1, len(FEATURES)), (both % 2).astype(float), both // 2
+
+    x, y, part = rows("part >= 4")
     learn, hold = part < 8, part >= 8
-    if y[learn].min() == y[learn].max():
-        learn = np.ones(len(y), bool)
-    trees = Trees().fit(x[learn], y[learn])
-    few = y[hold].sum() < 20 or (1 - y[hold]).sum() < 20
-    return ToxicityModel(weights, trees, None if few else isotonic(trees.margin(x[hold]), y[hold]), float(y.mean()))
+    if len(set(y[learn])) < 2:
+        x, y, part = rows("true")
+        learn, hold = part < 8, part >= 8
+    trees = Trees()
+    if learn.any():
+        trees.fit(x[learn], y[learn])
+    return _Turn(weights, trees, len(set(y[learn])) == 2, trees.margin(x[hold]), y[hold])
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20_000) -> ToxicityModel:
+    """Learns from at most ``max_rows`` labelled documents that are not held out, with as many of the rarer label as half of
+    them hold; only dense features reach the driver.
+
+    Always calibrated: with fewer than ``FEW`` kept-back rows of either label by five turns of the parts. Without rows of
+    both labels the model is the share of label 1 (0 without rows).
+    """
+    picked, dense = label_sample(docs, labels, label, max_rows, id_col, text_col)
+    sample = staged(picked.withColumn("part", F.pmod(F.xxhash64(F.lit(3), "_id"), F.lit(10))), "labelled")
+    counts = {int(r[label]): r["count"] for r in sample.groupBy(label).count().collect()}
+    if len(counts) < 2:
+        return ToxicityModel({}, None, None, float(max(counts, default=0)))
+    turns = [_turn(sample, label, 0)]
+    if min(turns[0].y.sum(), (1 - turns[0].y).sum()) < FEW:
+        turns += [_turn(sample, label, k) for k in range(1, 5)]
+    used = next((t for t in turns if t.both), turns[0])
+    knots, p = isotonic(np.concatenate([t.margin for t in turns]), np.concatenate([t.y for t in turns]))
+    toxic, clean = counts[1] / dense[1], counts[0] / dense[0]
+    return ToxicityModel(used.weights, used.trees, (knots, p * dense[0] / (p * dense[0] + (1 - p) * dense[1])), toxic / (toxic + clean))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.7) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stockloom.llm import language, quality_model, toxicity
+from stockloom.llm import language, quality_model, samples, toxicity
 from stockloom.sources.tables import table
 
 SF = "/root/testdata/sf0.1"
@@ -38,6 +38,29 @@ def test_held_out_rows_teach_nothing(spark, docs, labels):
     assert a.weights == b.weights and all((x[2] == y[2]).all() for x, y in zip(a.trees.nodes, b.trees.nodes, strict=True))
 
 
+def test_few_toxic_rows_are_calibrated(spark):
+    """Too few for a fifth with 20 of each: calibrated all the same, so scores are shares of labels."""
+    rare = table(spark, "/root/testdata/sf0.01", "labels")
+    few = table(spark, "/root/testdata/sf0.01", "documents")
+    model = toxicity.fit_toxicity(few, rare)
+    assert model.knots is not None and (np.diff(model.knots[1]) >= 0).all()
+    got = toxicity.score_toxicity(few, model).where("not held_out").join(rare, "doc_id").toPandas()
+    assert abs(got.score.mean() - got.toxic.mean()) < 0.05
+
+
+def test_sample_keeps_the_rarer_label_and_its_prior(spark):
+    ids = spark.range(6000).select(F.col("id").alias("doc_id"))
+    text = F.when(F.col("doc_id") % 40 == 0, "you vile gromble").otherwise("a calm day")
+    docs, rare = ids.withColumn("text", text), ids.withColumn("toxic", (F.col("doc_id") % 40 == 0).cast("int"))
+    model = toxicity.fit_toxicity(docs, rare, max_rows=400)
+    known = rare.where(~toxicity.held_out("doc_id")).agg(F.sum("toxic"), F.count("*")).first()
+    sample, dense = samples.label_sample(docs, rare, "toxic", 400)
+    assert sample.where("toxic = 1").count() == known[0] and sample.count() == 400 and dense[1] == 1
+    assert model.base == pytest.approx(known[0] / known[1])
+    got = toxicity.score_toxicity(docs, model).join(rare, "doc_id").groupBy("toxic").agg(F.avg("score").alias("s")).collect()
+    assert {r.toxic: r.s > 0.5 for r in got} == {0: False, 1: True}
+
+
 def test_language_on_held_out_rows(docs):
     got = language.identify_language(docs, language.fit_language(docs)).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
     assert (got.lang_pred == got.lang).mean() > 0.98 and got.score.between(0, 1).all()
