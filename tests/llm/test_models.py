@@ -96,7 +96,7 @@ def test_language_sums_in_tasks_give_the_same_weights(spark):
     assert here.names == tasks.names and np.allclose(here.weights, tasks.weights, atol=1e-4)
     mixed = docs.withColumn("lang", F.concat(F.lit("x"), (F.xxhash64("doc_id") % 3).cast("string")))  # labels that no text tells
     blind = language.fit_language(mixed, most_here=0)
-    assert blind.sharpness == 1 and language.identify_language(docs, blind).where("held_out").agg(F.avg("score")).first()[0] < 0.7
+    assert blind.sharpness < 8 and language.identify_language(docs, blind).where("held_out").agg(F.avg("score")).first()[0] < 0.7
 
 
 @pytest.mark.parametrize("classes", [2, 3, 4, 5, 12])
