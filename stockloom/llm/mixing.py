@@ -2,8 +2,10 @@
 
 Each document draws an exponential key divided by its quality weight. Within a source documents are taken in key order
 until their summed sizes reach the source's budget; whole epochs come first, the draw decides the remaining fraction.
-The prefix sum has two levels: sums of key cells find the cell where a source's budget ends, and only the documents of
-that cell are sorted, so that no task holds a whole source. Expressions and joins only.
+The prefix sum has three levels: sums of key cells find the cell where a source's budget ends, the distinct keys of that cell
+are sorted, and rows with the key at the end, which are repeated rows, are counted by the partition they were written in. So no
+task holds a whole source. Cells are steps of the logarithm of the key: an exponential key of any weight falls in one of them with
+a probability of at most ``ln(2) / (e * CELLS)``. Expressions and joins only.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from stockloom.llm.text import WORD
 from stockloom.plans.durable import staged
 
-CELLS = 1024
+CELLS = 512  # for each doubling of the key
 
 
 def word_count(text_col: str) -> Column:
@@ -51,34 +53,55 @@ def targets(sources: DataFrame, weights: tuple[float, ...], max_epochs: float, s
 
 
 def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column | None, seed: int) -> DataFrame:
-    """``docs`` with ``_size``, ``_source``, ``_cell`` and ``_key``; a tie in all of the key is a repeated row."""
+    """``docs`` with ``_size``, ``_source``, ``_key``, ``_cell`` and ``_n``; a tie in all of the key is a repeated row.
+
+    ``_n`` numbers rows by partition and place: write the table before using it, so that the numbers stay.
+    """
     sized = docs.withColumn("_size", word_count(text_col)).withColumn("_source", F.col(source_col).cast("string"))
     w = quality_weight(text_col, F.col("_size")) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(1.0)), F.lit(1e-6))
     code = F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(-1))
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_col, code), 11) + 0.5) / float(2**53)
-    key = sized.withColumn("_draw", -F.log(u) / w)
-    cell = F.least(F.floor(CELLS * (1 - F.exp(-F.col("_draw")))), F.lit(CELLS - 1)).cast("int")
-    return key.withColumn("_cell", cell).withColumn("_key", F.struct("_draw", F.col(id_col).cast("long").alias("id"), code.alias("code"))).drop("_draw")
+    drawn = sized.withColumn("_key", F.struct((-F.log(u) / w).alias("draw"), F.col(id_col).cast("long").alias("id"), code.alias("code"), F.col("_size").alias("size")))
+    return drawn.withColumn("_cell", F.floor(CELLS * F.log2("_key.draw")).cast("int")).withColumn("_n", F.monotonically_increasing_id())
+
 
+def _last_copy(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``(source, cut_n)`` where only ``copies`` of the rows with a source's last key are taken: the ``_n`` of the last of them.
 
-def plan_mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], max_epochs: float, share: float, weight: Column | None, seed: int) -> tuple[DataFrame, DataFrame]:
-    """``(rows, sources)``: the drawn documents without texts, and for each source its target and where its draw ends."""
-    rows = staged(_drawn(docs, id_col, text_col, source_col, weight, seed).select(F.col(id_col).alias("_id"), "_size", "_source", "_cell", "_key"), "drawn")
+    Such rows are counted by the partition they were written in; only one partition's rows are sorted for each source.
+    """
+    some = cuts.where("copies < there").select(F.col("source").alias("_s"), "cut_cell", "cut_key", "copies")
+    same = F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("cut_cell")) & (F.col("_key") == F.col("cut_key"))
+    tied = rows.join(some, same).select("_s", "_n", F.shiftrightunsigned("_n", 33).alias("_part"), "copies")
+    parts = tied.groupBy("_s", "_part", "copies").agg(F.count("*").alias("_m"))
+    parts = parts.withColumn("_to", F.sum("_m").over(Window.partitionBy("_s").orderBy("_part"))).where(F.col("_to") >= F.col("copies"))
+    end = parts.groupBy("_s").agg(F.min(F.struct("_part", (F.col("copies") - F.col("_to") + F.col("_m")).alias("nth"))).alias("e"))
+    end = end.select(F.col("_s").alias("_t"), F.col("e._part").alias("_own"), "e.nth")
+    ranked = tied.join(end, F.col("_s").eqNullSafe(F.col("_t")) & (F.col("_part") == F.col("_own"))).withColumn("_r", F.row_number().over(Window.partitionBy("_s").orderBy("_n")))
+    return ranked.where("_r = nth").select(F.col("_s").alias("_u"), F.col("_n").alias("cut_n"))
+
+
+def plan_mix(rows: DataFrame, weights: tuple[float, ...], max_epochs: float, share: float) -> DataFrame:
+    """For each source of the written ``rows`` its size, target, whole epochs, and where its draw ends: cell, key and row."""
     cells = rows.groupBy("_source", "_cell").agg(F.sum("_size").alias("_sum"))
     sources = staged(targets(cells.groupBy(F.col("_source").alias("source")).agg(F.sum("_sum").alias("source_size")), weights, max_epochs, share), "targets")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     sources = sources.withColumn("epochs", epochs).withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
-    same = F.col("_source").eqNullSafe(F.col("source"))
     reach = F.sum("_sum").over(Window.partitionBy("_source").orderBy("_cell"))
-    ends = cells.withColumn("_reach", reach).join(sources, same).where(F.col("_reach") > F.col("budget"))
-    end = ends.groupBy("source").agg(F.min_by(F.struct("_cell", (F.col("budget") - F.col("_reach") + F.col("_sum")).alias("rest")), "_cell").alias("e")).select(F.col("source").alias("_s"), "e._cell", "e.rest")
+    ends = cells.withColumn("_reach", reach).join(sources, F.col("_source").eqNullSafe(F.col("source"))).where(F.col("_reach") > F.col("budget"))
+    end = ends.groupBy("source").agg(F.min_by(F.struct("_cell", (F.col("budget") - F.col("_reach") + F.col("_sum")).alias("rest")), "_cell").alias("e")).select(F.col("source").alias("_s"), F.col("e._cell").alias("cut_cell"), "e.rest")
     end = staged(end, "ends")
-    last = rows.join(end.withColumnRenamed("_cell", "_end"), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_end")))
-    order = Window.partitionBy("_source").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
-    taken = last.withColumn("_upto", F.sum("_size").over(order) - F.col("_size") / 2).where(F.col("_upto") <= F.col("rest"))
-    cut = taken.groupBy(F.col("_source").alias("_t")).agg(F.max("_key").alias("cut_key"))
-    out = sources.join(end.select("_s", F.col("_cell").alias("cut_cell")), F.col("source").eqNullSafe(F.col("_s")), "left").join(cut, F.col("source").eqNullSafe(F.col("_t")), "left")
-    return rows, staged(out.select("source", "source_size", "target", "epochs", "cut_cell", "cut_key"), "mix")
+    last = rows.where("_size > 0").join(end, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("cut_cell")))
+    keys = last.groupBy("_s", "cut_cell", "_key", "rest").agg(F.count("*").alias("there"))
+    size = F.col("_key.size")
+    before = F.sum(size * F.col("there")).over(Window.partitionBy("_s").orderBy("_key")) - size * F.col("there")
+    take = F.least(F.col("there"), F.floor((F.col("rest") - before) / size + 0.5))  # the last one where that comes nearer to the target
+    cut = keys.withColumn("copies", take.cast("long")).where("copies > 0").groupBy("_s", "cut_cell").agg(F.max(F.struct(F.col("_key").alias("cut_key"), "copies", "there")).alias("c"))
+    cut = staged(cut.select(F.col("_s").alias("source"), "cut_cell", "c.cut_key", "c.copies", "c.there"), "cuts")
+    out = sources.join(end.select("_s", "cut_cell"), F.col("source").eqNullSafe(F.col("_s")), "left")
+    out = out.join(cut.select(F.col("source").alias("_t"), "cut_key"), F.col("source").eqNullSafe(F.col("_t")), "left")
+    out = out.join(_last_copy(rows, cut), F.col("source").eqNullSafe(F.col("_u")), "left")
+    return staged(out.select("source", "source_size", "target", "epochs", "cut_cell", "cut_key", "cut_n"), "mix")
 
 
 def _copies() -> Column:
@@ -86,7 +109,8 @@ def _copies() -> Column:
 
     A document without words adds nothing to a budget: it is taken once an epoch, and once where there is no whole epoch.
     """
-    before = F.col("cut_cell").isNull() | (F.col("_cell") < F.col("cut_cell")) | ((F.col("_cell") == F.col("cut_cell")) & F.col("cut_key").isNotNull() & (F.col("_key") <= F.col("cut_key")))
+    tied = (F.col("_key") == F.col("cut_key")) & (F.col("cut_n").isNull() | (F.col("_n") <= F.col("cut_n")))
+    before = F.col("cut_cell").isNull() | (F.col("_cell") < F.col("cut_cell")) | ((F.col("_cell") == F.col("cut_cell")) & F.coalesce((F.col("_key") < F.col("cut_key")) | tied, F.lit(False)))
     more = F.when(F.col("_size") > 0, before).otherwise(F.col("epochs") == 0)
     return (F.col("epochs") + more.cast("long")).cast("long")
 
@@ -99,11 +123,12 @@ def mix(
 
     Sources in code-point order, null last, weigh ``weights`` in turn. ``weight`` is a document's quality weight; by default
     it comes from its text. The document at the end of a draw is taken if that comes nearer to the target, so that a source
-    misses its target by half of one document at most. Null texts have size 0; sources without words have target 0. Equal
-    seeds and rows give equal results; repeated rows are drawn together.
+    misses its target by half of one document at most, repeated rows included: of equal rows as many are taken as fit. Null
+    texts have size 0; sources without words have target 0. Equal seeds and rows give equal results. An empty table gives none.
     """
-    rows, sources = plan_mix(docs, id_col, text_col, source_col, weights, max_epochs, share, weight, seed)
-    got = rows.join(sources, F.col("_source").eqNullSafe(F.col("source")))
+    drawn = _drawn(docs, id_col, text_col, source_col, weight, seed)
+    rows = staged(drawn.select(F.col(id_col).alias("_id"), "_size", "_source", "_cell", "_key", "_n"), "drawn")
+    got = rows.join(plan_mix(rows, weights, max_epochs, share), F.col("_source").eqNullSafe(F.col("source")))
     return got.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source", "source_size", "target", (F.col("_size") * _copies()).alias("taken"), _copies().alias("copies"))
 
 
@@ -111,11 +136,14 @@ def mixed_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), max_epochs: float = 3.0, share: float = 1.0,
     weight: Column | None = None, seed: int = 17,
 ) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it. Texts are not shuffled: each row is held against its source's end."""
-    _, sources = plan_mix(docs, id_col, text_col, source_col, weights, max_epochs, share, weight, seed)
+    """The rows of ``docs``, each as often as the mix takes it; the same for nulls, ties and empty tables as ``mix``.
+
+    Rows are written once with their keys, so that words are counted once and repeated rows keep their numbers; texts are not shuffled.
+    """
     whole = docs.withColumns({"_weight": F.lit(1.0) if weight is None else weight, "_row": F.struct(*(F.col(f"`{c}`") for c in docs.columns))})
     slim = whole.select("_row", F.col(f"_row.`{id_col}`").alias("_id"), F.col(f"_row.`{text_col}`").alias("_text"), F.col(f"_row.`{source_col}`").alias("_from"), "_weight")  # no other names can clash
-    drawn = _drawn(slim, "_id", "_text", "_from", None if weight is None else F.col("_weight"), seed)
-    got = drawn.join(sources, F.col("_source").eqNullSafe(F.col("source"))).withColumn("_copies", _copies())
+    rows = staged(_drawn(slim, "_id", "_text", "_from", None if weight is None else F.col("_weight"), seed).select("_row", "_size", "_source", "_cell", "_key", "_n"), "drawn")
+    sources = plan_mix(rows, weights, max_epochs, share)
+    got = rows.join(sources, F.col("_source").eqNullSafe(F.col("source"))).withColumn("_copies", _copies())
     once = got.where("_copies > 0").withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     return once.select("_row.*")

@@ -87,6 +87,29 @@ def test_documents_without_words_keep_to_the_epochs(spark):
     assert got.copies.to_dict() == {1: 3, 2: 3, 3: 3, 4: 1, 5: 1, 6: 1}
 
 
+def test_repeated_rows_meet_their_targets(spark):
+    """Each source is one row repeated, or two: only as many of the equal rows are taken as fit."""
+    rows = [(1, "w " * 20, "en", "a", 0)] * 100 + [(2, "v " * 20, "en", "b", 0)] * 100 + [(3, "x " * 7, "en", None, 0)] * 90 + [(4, "y " * 20, "en", None, 0)] * 70
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    for share in (1.0, 0.43):
+        got = mixing.mix(docs, share=share).toPandas()
+        by = got.groupby("source", dropna=False).agg({"target": "first", "taken": "sum"})
+        assert (abs(by.taken - by.target) <= 10).all() and len(got) == len(rows)
+        assert (got.groupby("doc_id").copies.max() - got.groupby("doc_id").copies.min() <= 1).all()
+        texts = mixing.mixed_documents(docs, share=share).groupBy("doc_id").count().toPandas().set_index("doc_id")["count"].to_dict()
+        assert texts == {k: v for k, v in got.groupby("doc_id").copies.sum().to_dict().items() if v}
+    assert {tuple(sorted(mixing.mix(docs.repartition(n)).groupBy("doc_id", "copies").count().toPandas().itertuples(index=False, name=None))) for n in (1, 3)}.__len__() == 1
+
+
+@pytest.mark.parametrize("weight", [1.0, 0.2, 0.05])
+def test_key_cells_stay_small_for_every_weight(spark, weight):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("s").alias("source"))
+    cells = mixing._drawn(docs, "doc_id", "text", "source", F.lit(weight), 17).groupBy("_cell").count().toPandas()["count"]
+    assert cells.max() <= 0.005 * 20_000
+
+
 def test_heavier_documents_are_drawn_more_often(spark):
     from pyspark.sql import functions as F
 
