@@ -3,11 +3,14 @@
 Row counts of the source partitions are fixed; how many rows each of them sends to each shard is drawn from the
 multivariate hypergeometric law, which is what a uniform permutation of all rows would give. Each partition then permutes
 its rows and sends the drawn numbers, and each shard permutes what it has received. The matrix is drawn at two levels:
-groups of partitions in one row, then the partitions of each group in a row of its own. Expressions, joins and windows only.
+groups of partitions in one row, then the partitions of each group in a row of its own. A draw costs the same at every row
+count. Expressions, joins and windows only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,19 +18,31 @@ from stockloom.plans.durable import staged
 
 MOST_PARTS, GROUP = 4096, 64
 SLOT_BITS = 10
+SUMMED = 400.0  # variance up to which terms are summed
+TRIES = 64
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def hypergeometric(whole: Column, good: Column, draws: Column, u: Column) -> Column:
-    """The number of good ones in ``draws`` from ``whole`` with ``good``, from a uniform ``u``: exact inversion.
+def _log_factorial_step(a: Column, b: Column) -> Column:
+    """``ln(b!) - ln(a!)`` by Stirling's series, without the cancellation of two large numbers.
 
-    Terms of the law are summed outwards from the mode, by their ratios, over 9 standard deviations (mass beyond: 1e-18).
+    Rejection is used where all counts at the mode are in the hundreds, so that the series is exact there; far below, where
+    it is off by 3e-4 at most, the odds are under e^-50.
     """
-    n, k, d = whole.cast("double"), good.cast("double"), draws.cast("double")
-    low, high = F.greatest(F.lit(0.0), d - (n - k)), F.least(d, k)
-    mode = F.least(high, F.greatest(low, F.floor((d + 1) * (k + 1) / (n + 2)).cast("double")))
-    spread = F.sqrt(F.greatest(F.lit(0.0), d * k / F.greatest(n, F.lit(1.0)) * (1 - k / F.greatest(n, F.lit(1.0))) * (n - d) / F.greatest(n - 1, F.lit(1.0))))
-    reach = F.ceil(9 * spread) + 20
-    p = F.struct(n.alias("n"), k.alias("k"), d.alias("d"), mode.alias("m"), F.least(high - mode, reach.cast("double")).cast("int").alias("up"), F.least(mode - low, reach.cast("double")).cast("int").alias("down"), u.alias("u"))
+
+    def step(q: Column) -> Column:
+        x, y = q["x"], q["y"]
+        return (x - 0.5) * F.log1p((y - x) / x) + (y - x) * (F.log(y) - 1) + (1 / y - 1 / x) / 12 - (1 / (y * y * y) - 1 / (x * x * x)) / 360
+
+    return _bound(F.struct((a + 1).alias("x"), (b + 1).alias("y")), step)
+
+
+def _by_sum(p: Column, seed: list[Column]) -> Column:
+    """Inversion: terms of the law are summed outwards from the mode, by their ratios, over 9 standard deviations (mass beyond: 1e-18)."""
 
     def steps(count: Column) -> Column:
         return F.when(count > 0, F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).otherwise(F.expr("cast(array() as array<int>)"))
@@ -49,23 +64,70 @@ def hypergeometric(whole: Column, good: Column, draws: Column, u: Column) -> Col
         step = lambda s, i: F.struct((s["w"] * ratio(q, i)).alias("w"), (s["t"] + s["w"] * ratio(q, i)).alias("t"), F.when(s["t"] < want, i).otherwise(s["at"]).alias("at"))
         return F.aggregate(steps(count), zero, step, lambda s: s["at"])
 
-    def draw(q: Column) -> Column:
-        def with_sums(r: Column) -> Column:
-            want = q["u"] * (1 + r["a"] + r["b"])
-            above, below = find(q, rise, q["up"], want - 1), find(q, fall, q["down"], want - 1 - r["a"])
-            return F.when(want < 1, q["m"]).when(want < 1 + r["a"], q["m"] + above).otherwise(q["m"] - below)
+    reach = F.ceil(9 * F.sqrt(p["v"])) + 20
+    up, down = (F.least(room, reach.cast("double")).cast("int") for room in (p["high"] - p["m"], p["m"] - p["low"]))
+
+    def draw(r: Column) -> Column:
+        want = r["u"] * (1 + r["a"] + r["b"])
+        above, below = find(p, rise, up, want - 1), find(p, fall, down, want - 1 - r["a"])
+        return F.when(want < 1, p["m"]).when(want < 1 + r["a"], p["m"] + above).otherwise(p["m"] - below)
+
+    return _bound(F.struct(total(p, rise, up).alias("a"), total(p, fall, down).alias("b"), uniform(*seed).alias("u")), draw)
+
+
+def _by_rejection(p: Column, seed: list[Column]) -> Column:
+    """Ratio of uniforms (Stadlober, 1990) on the smaller of good and bad and of drawn and left, then back by symmetry.
+
+    About three in four tries are taken; after ``TRIES`` refusals (1e-38) the mode is.
+    """
+    mean = p["d"] * p["k"] / p["n"]
+    hat = 1.7155277699214135 * F.sqrt(p["v"] + 0.5) + 0.8989161620588988  # 2 sqrt(2 / e) and 3 - 2 sqrt(3 / e)
+
+    def attempt(i: Column) -> Column:
+        u, w = uniform(*seed, F.lit("u"), i), uniform(*seed, F.lit("v"), i)
+
+        def judge(x: Column) -> Column:
+            rest = p["n"] - p["k"] - p["d"]
+            odds = _log_factorial_step(x, p["m"]) + _log_factorial_step(p["k"] - x, p["k"] - p["m"]) + _log_factorial_step(p["d"] - x, p["d"] - p["m"]) + _log_factorial_step(rest + x, rest + p["m"])
+            inside = (x >= p["low"]) & (x <= p["high"])
+            return F.when(inside, F.when(2 * F.log(u) <= odds, x))
+
+        return _bound(F.floor(mean + 0.5 + hat * (w - 0.5) / u).cast("double"), judge)
+
+    first = F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), F.lit(None).cast("double"), lambda got, i: F.when(got.isNotNull(), got).otherwise(attempt(i)))
+    return F.coalesce(first, p["m"])
+
+
+def hypergeometric(whole: Column, good: Column, draws: Column, seed: list[Column]) -> Column:
+    """The number of good ones in ``draws`` from ``whole`` with ``good``, drawn by the hash of ``seed``.
+
+    Small variances are inverted, others drawn by rejection: both follow the law itself, and neither grows with the counts.
+    """
+    n, k, d = (c.cast("double") for c in (whole, good, draws))
+    few, drawn = k <= n - k, d <= n - d
+    p = F.struct(n.alias("n"), F.when(few, k).otherwise(n - k).alias("k"), F.when(drawn, d).otherwise(n - d).alias("d"), few.alias("few"), drawn.alias("drawn"), k.alias("good"), d.alias("draws"))
+
+    def shape(q: Column) -> Column:
+        safe = F.greatest(q["n"], F.lit(1.0))
+        var = q["d"] * q["k"] / safe * (1 - q["k"] / safe) * (q["n"] - q["d"]) / F.greatest(q["n"] - 1, F.lit(1.0))
+        high = F.least(q["d"], q["k"])
+        mode = F.least(high, F.floor((q["d"] + 1) * (q["k"] + 1) / (q["n"] + 2)).cast("double"))
+        return F.struct(*(q[c].alias(c) for c in ("n", "k", "d", "few", "drawn", "good", "draws")), F.greatest(F.lit(0.0), var).alias("v"), F.lit(0.0).alias("low"), high.alias("high"), mode.alias("m"))
 
-        sums = F.struct(total(q, rise, q["up"]).alias("a"), total(q, fall, q["down"]).alias("b"))
-        return F.element_at(F.transform(F.array(sums), with_sums), 1)
+    def back(q: Column, x: Column) -> Column:
+        """From the smaller kinds to what was asked: first of the kinds, then of the draws."""
+        own = _bound(x, lambda y: F.when(q["few"], y).otherwise(q["d"] - y))
+        return _bound(own, lambda y: F.when(q["drawn"], y).otherwise(q["good"] - y)).cast("long")
 
-    return F.element_at(F.transform(F.array(p), draw), 1).cast("long")
+    value = lambda q: F.when(q["v"] <= SUMMED, _by_sum(q, seed)).otherwise(_by_rejection(q, seed))
+    return _bound(p, lambda q: _bound(shape(q), lambda s: back(s, value(s))))
 
 
 def uniform(*cols: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11) + 0.5) / float(2**53)
 
 
-def deal(parts: Column, capacity: Column, seed: int, name: str) -> Column:
+def deal(parts: Column, capacity: Column, seed: int, name: Column) -> Column:
     """Rows ``(id, sent)`` of a matrix with row sums ``parts`` (array of struct(id, n)) and column sums ``capacity``."""
     nothing = F.expr("cast(array() as array<bigint>)")
 
@@ -76,7 +138,7 @@ def deal(parts: Column, capacity: Column, seed: int, name: str) -> Column:
 
         def shard(s: Column, j: Column) -> Column:
             room = F.element_at(left, j)
-            x = hypergeometric(s["whole"], room, s["rest"], uniform(F.lit(seed), F.lit(name), part["id"], j))
+            x = hypergeometric(s["whole"], room, s["rest"], [F.lit(seed), name, part["id"], j])
             once = F.transform(F.array(x), lambda y: F.struct((s["whole"] - room).alias("whole"), (s["rest"] - y).alias("rest"), F.concat(s["sent"], F.array(y)).alias("sent")))
             return F.element_at(once, 1)
 
@@ -96,26 +158,29 @@ def deal(parts: Column, capacity: Column, seed: int, name: str) -> Column:
 def communication_matrix(parts: DataFrame, shards: int, seed: int) -> DataFrame:
     """``(part, sent)`` from ``(part, n)``: the rows that each partition sends to each shard; shard sizes differ by one at most.
 
-    At most ``MOST_PARTS`` partitions in groups of ``GROUP``: no array is longer than that.
+    Partitions are drawn in ``GROUP`` groups: first what each group sends, in one row, then each group's partitions in a row of
+    its own. A draw costs the same at every row count, so that the first row is a fraction of a second's work.
     """
     grouped = parts.groupBy((F.col("part") % GROUP).cast("long").alias("g")).agg(F.sort_array(F.collect_list(F.struct(F.col("part").cast("long").alias("id"), F.col("n").alias("n")))).alias("parts"), F.sum("n").alias("n"))
-    top = grouped.agg(F.sort_array(F.collect_list(F.struct(F.col("g").alias("id"), "n"))).alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    top = grouped.agg(F.sort_array(F.collect_list(F.struct(F.col("g").alias("id"), "n"))).alias("parts"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     capacity = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda j: F.floor(F.col("n") / shards) + (j < F.col("n") % shards).cast("long"))
-    lots = staged(top.select(F.explode(deal(F.col("groups"), capacity, seed, "groups")).alias("r")).select(F.col("r.id").alias("g"), F.col("r.sent").alias("lot")), "lots")
-    return staged(grouped.join(lots, "g").select(F.explode(deal(F.col("parts"), F.col("lot"), seed, "parts")).alias("r")).select(F.col("r.id").alias("part"), "r.sent"), "matrix")
+    rows = F.explode(deal(F.col("parts"), F.col("lot"), seed, F.col("level"))).alias("r")  # built once: it is a large expression
+    lots = staged(top.select("parts", capacity.alias("lot"), F.lit("groups").alias("level")).select(rows).select(F.col("r.id").alias("g"), F.col("r.sent").alias("lot")), "lots")
+    return staged(grouped.join(lots, "g").select("parts", "lot", F.lit("parts").alias("level")).select(rows).select(F.col("r.id").alias("part"), "r.sent"), "matrix")
 
 
-def shuffle_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", seed: int = 23, overhead: int = 16) -> DataFrame:
+def shuffle_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", seed: int = 23, overhead: int = 16, parts: int = MOST_PARTS) -> DataFrame:
     """``(id, size, text_crc32, shard, slot)`` for each row: a uniform random deal, shard counts at most one apart.
 
     size: UTF-8 bytes of the text (null: none) and ``overhead``; the crc of a null text is that of an empty one. Slots
     count from 0 in each shard. Source partitions are those of the scan, so that a deal is repeated with equal
-    input splits and seed; repeated rows are dealt like others. An empty table gives no rows.
+    input splits and seed; repeated rows are dealt like others. An empty table gives no rows. The matrix has ``parts`` rows at
+    most: beyond so many partitions several are permuted together (about 40 bytes a row, no texts).
     """
     slim = staged(
         docs.select(
             F.col(id_col).cast("long").alias("_id"), (F.coalesce(F.octet_length(text_col), F.lit(0)) + overhead).cast("long").alias("size"),
-            F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"), (F.spark_partition_id() % MOST_PARTS).cast("long").alias("part"),
+            F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"), (F.spark_partition_id() % parts).cast("long").alias("part"),
         ), "slim",
     )
     matrix = communication_matrix(slim.groupBy("part").agg(F.count("*").alias("n")), shards, seed)

@@ -287,14 +287,34 @@ def test_shards_are_exact_and_uniform(spark):
 
 
 def test_hypergeometric_draws_follow_the_law(spark):
-    from math import comb
+    from math import exp, lgamma
 
     from pyspark.sql import functions as F
 
-    for n, k, d in ((10, 4, 5), (60, 13, 22), (7, 7, 3), (9, 0, 4), (5, 2, 5)):
-        got = spark.range(4000).select(sharding.hypergeometric(F.lit(n), F.lit(k), F.lit(d), (F.col("id") + 0.5) / 4000).alias("x")).groupBy("x").count().collect()
-        law = {x: comb(k, x) * comb(n - k, d - x) / comb(n, d) for x in range(max(0, d - n + k), min(d, k) + 1)}
-        assert sum(abs(r["count"] / 4000 - law.get(r.x, 0)) for r in got) < 0.01 and {r.x for r in got} <= set(law)
+    for n, k, d in ((10, 4, 5), (60, 13, 22), (7, 7, 3), (9, 0, 4), (5, 2, 5), (10_000, 5_000, 5_000), (10_000, 8_000, 3_000), (40_000, 37_000, 22_000), (10**10, 4 * 10**9, 10**9), (10**10, 10**10 - 5000, 6 * 10**9)):
+        rows = 12_000 if n > 100 else 4000
+        got = spark.range(rows).select(sharding.hypergeometric(F.lit(n), F.lit(k), F.lit(d), [F.lit(5), F.lit(n), F.col("id")]).alias("x")).toPandas().x.to_numpy()
+        low, high, mean, sd = max(0, d - n + k), min(d, k), d * k / n, np.sqrt(d * k / n * (1 - k / n) * (n - d) / max(n - 1, 1))
+        assert got.min() >= low and got.max() <= high
+        if n > 10**6:
+            assert abs(got.mean() - mean) < 4 * sd / np.sqrt(rows) and abs(got.std() / sd - 1) < 4 / np.sqrt(2 * rows)
+            continue
+        choose = lambda a, b: lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1)
+        xs = np.arange(max(low, int(mean - 8 * sd - 2)), min(high, int(mean + 8 * sd + 2)) + 1)
+        law = np.cumsum([exp(choose(k, int(x)) + choose(n - k, d - int(x)) - choose(n, d)) for x in xs])
+        seen = np.searchsorted(np.sort(got), xs, "right") / rows
+        assert np.abs(seen - law).max() < 1.95 / np.sqrt(rows)  # Kolmogorov's bound at one in a thousand
+
+
+def test_matrix_of_ten_thousand_million_rows_takes_seconds(spark):
+    import time
+
+    parts = spark.range(64).selectExpr("id as part", "156250000 + id * 1000 as n")
+    began = time.perf_counter()
+    got = sharding.communication_matrix(parts, 40, 23).toPandas()
+    assert time.perf_counter() - began < 60
+    sent = np.stack(got.sort_values("part").sent.to_numpy())
+    assert (sent.sum(1) == 156_250_000 + 1000 * np.arange(64)).all() and sent.sum(0).max() - sent.sum(0).min() <= 1 and (sent >= 0).all()
 
 
 def test_wavelet_matrix_answers_like_the_plain_sequence():
