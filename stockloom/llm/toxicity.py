@@ -1,8 +1,8 @@
 """Toxicity: gradient-boosted trees over dense features of the whole text, calibrated by isotonic regression.
 
-Training rows are split by id hash: the first part teaches a lexicon (word stems by log-odds, counted in Spark), the
-second the trees, the third the calibration, so that no step sees rows which shaped its inputs. Where the third has few rows
-of a label, the parts take turns, and the calibration learns from the margins of all rows. Rows of the rarer label are sampled
+Training rows are split into ten parts by id hash: four teach a lexicon (word stems by log-odds, counted in Spark), four
+the trees, two are kept back, so that no step sees rows which shaped its inputs. The parts take five turns, at every size, so that
+the calibration learns from margins of all rows, each by a model that has not seen it. Rows of the rarer label are sampled
 more densely; the calibration puts that right.
 """
 
@@ -129,9 +129,9 @@ class _Lexicon(dict):
 
     most = 600_000
 
-    def __init__(self, weights: dict[str, float]):
+    def __init__(self, weights: dict[str, float], most: int = most):
         super().__init__()
-        self.weights = weights
+        self.weights, self.most = weights, most
         self.table = np.empty((self.most, 11), np.float32)
 
     def weight(self, core: str) -> float:
@@ -191,23 +191,33 @@ def _features(texts: list[bytes], lexicon: _Lexicon) -> np.ndarray:
     return out
 
 
-def learn_lexicon(sample: DataFrame, label: str, most: int = 4000) -> dict[str, float]:
-    """At most ``most`` word stems with their log-odds of label 1, counted by documents; sample has _id, text and the label."""
+PARTS, TURNS = 10, 5
+
+
+def _place(part, turn: int):
+    """Where a part stands in a turn: under 4 for the lexicon, under 8 for the trees, else kept back; columns or arrays."""
+    return (part + (PARTS - 2 * turn)) % PARTS
+
+
+def learn_lexicons(sample: DataFrame, label: str, totals: list[tuple[int, int]]) -> list[dict[str, float]]:
+    """For each turn the word stems that speak for label 1, with their log-odds, counted by documents in one job.
+
+    A stem counts if its odds are over eight times those of label 0 and it is in two documents of label 1 or more (one in 200 of
+    them). sample: _id, text, label, part; totals: rows of label 1 and all rows that a turn's lexicon learns from.
+    """
     word = F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace("text", r"[^\p{L}\p{N}\s]+", " ")), r"\s+")))
-    words = sample.select("_id", label, word.alias("w")).where("w <> ''")
+    words = sample.select("_id", "part", label, word.alias("w")).where("w <> ''")
     stem = F.explode(F.array(F.concat(F.lit("="), F.col("w")), *(F.when(F.length("w") >= n, F.substring("w", 1, n)) for n in STEMS)))
-    terms = words.select("_id", label, stem.alias("s")).where("s is not null").distinct()
-    total = sample.agg(F.sum(label).alias("p"), F.count("*").alias("n")).first()
-    p, n = total["p"] or 0, total["n"]
-    if not p or p == n:
-        return {}
-    odds = F.log((F.col("a") + 0.5) / (p + 1)) - F.log((F.col("b") + 0.5) / (n - p + 1))
-    found = (
-        terms.groupBy("s").agg(F.sum(label).alias("a"), F.sum(1 - F.col(label)).alias("b"))
-        .where((F.col("a") >= max(2, p // 200)) & (F.col("a") * (n - p) > 8 * p * F.col("b")))
-        .select("s", odds.alias("w")).orderBy(F.desc("w"), "s").limit(most)
-    )
-    return {r["s"]: float(r["w"]) for r in found.collect()}
+    terms = words.select("_id", "part", label, stem.alias("s")).where("s is not null").distinct()
+    in_turn = [(_place(F.col("part"), k) < 4).cast("long") for k in range(TURNS)]
+    counted = terms.groupBy("s").agg(*(F.sum(x * F.col(label)).alias(f"a{k}") for k, x in enumerate(in_turn)), *(F.sum(x * (1 - F.col(label))).alias(f"b{k}") for k, x in enumerate(in_turn)))
+    weights = []
+    for k, (p, n) in enumerate(totals):
+        a, b = F.col(f"a{k}"), F.col(f"b{k}")
+        odds = F.log((a + 0.5) / (p + 1)) - F.log((b + 0.5) / (n - p + 1))
+        weights.append(F.when((a >= max(2, p // 200)) & (a * (n - p) > 8 * p * b), odds).alias(f"w{k}"))
+    found = counted.select("s", *weights).where(" or ".join(f"w{k} is not null" for k in range(TURNS))).collect()
+    return [{r["s"]: float(r[f"w{k}"]) for r in found if r[f"w{k}"] is not None} for k in range(TURNS)]
 
 
 @dataclass
@@ -227,78 +237,65 @@ class ToxicityModel:
         return np.clip(np.interp(m, *self.knots), 0.0, 1.0)
 
 
-def _feature_rows(weights: dict[str, float]):
+def _feature_rows(lexicons: list[dict[str, float]]):
+    """For each row its features under the lexicons of the turns that have not learned from it, one after the other."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = _Lexicon(weights)
-        for part, texts in chunks(batches, 2, 4_000_000):
-            x = _features(texts, lexicon)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["_id", "y", "x"])
+        known = [_Lexicon(w, 200_000) for w in lexicons]
+        for some, texts in chunks(batches, 3, 4_000_000):
+            part = some.column(2).to_numpy()
+            x: list[list[float]] = [[] for _ in texts]
+            for k, lexicon in enumerate(known):
+                own = np.flatnonzero(_place(part, k) >= 4)
+                for i, row in zip(own.tolist(), _features([texts[i] for i in own], lexicon).tolist(), strict=True):
+                    x[i] += row
+            yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(3)), pa.array(x, pa.list_(pa.float64()))], ["_id", "y", "part", "x"])
 
     return run
 
 
-FEW = 20
-
-
-@dataclass
-class _Turn:
-    """A lexicon, the trees over it, and the margins and labels of rows that neither has seen."""
-
-    weights: dict[str, float]
-    trees: Trees
-    both: bool  # the trees had rows of both labels
-    margin: np.ndarray
-    y: np.ndarray
-
-
-def _turn(sample: DataFrame, label: str, turn: int) -> _Turn:
-    """The parts from ``2 * turn`` on: four teach the lexicon, four the trees, two are kept back. Without rows of both
-    labels for the trees, the rows of the lexicon teach them too."""
-    sample = sample.withColumn("part", F.pmod(F.col("part") - 2 * turn, F.lit(10)))
-    weights = learn_lexicon(sample.where("part < 4"), label)
-
-    def rows(where: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        # the part travels with the label, since features are made of id, label and text alone
-        some = sample.where(where).select("_id", (F.col("part") * 2 + F.col(label)).cast("int").alias("y"), "text")
-        got = some.mapInArrow(_feature_rows(weights), "_id long, y int, x array<double>").orderBy("_id").collect()
-        both = np.array([r["y"] for r in got], np.int64)
-        return np.array([r["x"] for r in got], float).reshape(-1, len(FEATURES)), (both % 2).astype(float), both // 2
-
-    x, y, part = rows("part >= 4")
-    learn, hold = part < 8, part >= 8
-    if len(set(y[learn])) < 2:
-        x, y, part = rows("true")
-        learn, hold = part < 8, part >= 8
-    trees = Trees()
-    if learn.any():
-        trees.fit(x[learn], y[learn])
-    return _Turn(weights, trees, len(set(y[learn])) == 2, trees.margin(x[hold]), y[hold])
-
-
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20_000) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 12_000) -> ToxicityModel:
     """Learns from at most ``max_rows`` labelled documents that are not held out, with as many of the rarer label as half of
     them hold; only dense features reach the driver.
 
-    Always calibrated: with fewer than ``FEW`` kept-back rows of either label by five turns of the parts. Without rows of
-    both labels the model is the share of label 1 (0 without rows).
+    Always calibrated, by the margins of every turn whose trees had rows of both labels. Without such a turn the model is the share
+    of label 1 (0 without rows).
     """
     picked, dense = label_sample(docs, labels, label, max_rows, id_col, text_col)
-    sample = staged(picked.withColumn("part", F.pmod(F.xxhash64(F.lit(3), "_id"), F.lit(10))), "labelled")
-    counts = {int(r[label]): r["count"] for r in sample.groupBy(label).count().collect()}
-    if len(counts) < 2:
-        return ToxicityModel({}, None, None, float(max(counts, default=0)))
-    turns = [_turn(sample, label, 0)]
-    if min(turns[0].y.sum(), (1 - turns[0].y).sum()) < FEW:
-        turns += [_turn(sample, label, k) for k in range(1, 5)]
-    used = next((t for t in turns if t.both), turns[0])
-    knots, p = isotonic(np.concatenate([t.margin for t in turns]), np.concatenate([t.y for t in turns]))
-    toxic, clean = counts[1] / dense[1], counts[0] / dense[0]
-    return ToxicityModel(used.weights, used.trees, (knots, p * dense[0] / (p * dense[0] + (1 - p) * dense[1])), toxic / (toxic + clean))
+    sample = staged(picked.withColumn("part", F.pmod(F.xxhash64(F.lit(3), "_id"), F.lit(PARTS)).cast("int")), "labelled")
+    counts = {(int(r[label]), int(r["part"])): r["count"] for r in sample.groupBy(label, "part").count().collect()}
+    of = lambda v, parts=range(PARTS): sum(counts.get((v, p), 0) for p in parts)
+    toxic, clean = of(1) / (dense[1] or 1), of(0) / (dense[0] or 1)
+    base = toxic / (toxic + clean) if toxic + clean else 0.0
+    learn = [[p for p in range(PARTS) if _place(p, k) < 4] for k in range(TURNS)]
+    fit = [[p for p in range(PARTS) if 4 <= _place(p, k) < 8] for k in range(TURNS)]
+    able = [k for k in range(TURNS) if of(0, fit[k]) and of(1, fit[k])]
+    if not able:
+        return ToxicityModel({}, None, None, base)
+    lexicons = learn_lexicons(sample, label, [(of(1, parts), of(0, parts) + of(1, parts)) for parts in learn])
+    rows = sample.select("_id", F.col(label).cast("int").alias("y"), "part", "text").mapInArrow(_feature_rows(lexicons), "_id long, y int, part int, x array<double>")
+    got = sorted(rows.collect(), key=lambda r: r["_id"])  # sorted here: a sort in Spark would make features twice
+    part, y = np.array([r["part"] for r in got]), np.array([r["y"] for r in got], float)
+    before = {p: [k for k in range(TURNS) if _place(p, k) >= 4] for p in range(PARTS)}
+    trees, margins, truth = {}, [], []
+    for k in able:
+        x = np.full((len(got), len(FEATURES)), np.nan)
+        for i in np.flatnonzero(_place(part, k) >= 4).tolist():
+            at = before[int(part[i])].index(k) * len(FEATURES)
+            x[i] = got[i]["x"][at : at + len(FEATURES)]
+        own, kept = (_place(part, k) >= 4) & (_place(part, k) < 8), _place(part, k) >= 8
+        trees[k] = Trees().fit(x[own], y[own])
+        margins.append(trees[k].margin(x[kept]))
+        truth.append(y[kept])
+    knots, p = isotonic(np.concatenate(margins), np.concatenate(truth))
+    if not len(knots):
+        return ToxicityModel({}, None, None, base)
+    return ToxicityModel(lexicons[able[0]], trees[able[0]], (knots, p * dense[0] / (p * dense[0] + (1 - p) * dense[1])), base)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.7) -> DataFrame:
     """``(id, held_out, score, predicted)`` for each row; null and empty texts are scored as texts without words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 4,000 stems and 60 small trees
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # stems of a bounded sample and 60 small trees
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches, 1, 4_000_000):
