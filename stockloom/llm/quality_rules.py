@@ -142,29 +142,30 @@ def measure_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string")).mapInArrow(run, f"_id long, {RESULT}").withColumnRenamed("_id", id_col)
 
 
-def judge_quality(
-    measures: DataFrame, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST, min_words: int = 50, max_repeat_percent: int = 50
-) -> DataFrame:
-    """Adds ``base_failed`` and ``kept``.
+def verdict(n, again, covered, longest, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST, min_words: int = 50, max_repeat_percent: int = 50):
+    """``(base_failed, kept)`` from the measures, as columns or as arrays.
 
     base_failed: fewer than ``min_words`` words, or over ``max_repeat_percent`` percent of them in repeated windows of three.
-    kept: not base_failed, repeats cover at most ``max_covered`` of the words, the longest has at most
-    ``max_longest`` words.
+    kept: not base_failed, repeats cover at most ``max_covered`` of the words, the longest has at most ``max_longest`` words.
     """
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    fine = (F.col("n_covered_words") <= max_covered * F.col("n_words")) & (F.col("longest_repeat") <= max_longest)
-    return measures.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & fine)
+    failed = (n < min_words) | (100 * again > max_repeat_percent * n)
+    return failed, ~failed & (covered <= max_covered * n) & (longest <= max_longest)
 
 
-def filter_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns as they are; repeated rows stay repeated."""
+def judge_quality(measures: DataFrame, **limits) -> DataFrame:
+    """Adds ``base_failed`` and ``kept``; see ``verdict`` for the rule and its ``limits``."""
+    failed, kept = verdict(*(F.col(c) for c in ("n_words", "n_repeat_words", "n_covered_words", "longest_repeat")), **limits)
+    return measures.withColumn("base_failed", failed).withColumn("kept", kept)
+
+
+def filter_quality(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
+    """The rows of ``docs`` that ``verdict`` keeps, all columns as they are; repeated rows stay repeated, null and empty texts go."""
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches, at, 4_000_000):
             words, _, _, _, again, covered, longest, _ = _measure(texts, MIN_REPEAT)
-            n, again, covered, longest = (x.to_numpy() for x in (words, again, covered, longest))
-            keep = (n >= 50) & (100 * again <= 50 * n) & (covered <= MAX_COVERED * n) & (longest <= MAX_LONGEST)
-            yield part.filter(pa.array(keep))
+            _, kept = verdict(*(x.to_numpy() for x in (words, again, covered, longest)), **limits)
+            yield part.filter(pa.array(kept))
 
-    at = docs.columns.index(text_col)
     return docs.mapInArrow(run, docs.schema)
