@@ -169,13 +169,14 @@ def cut_tokens(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "do
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string")).mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 
 
-def pack(pieces: DataFrame, capacity: int, order: list[str], length_col: str = "length", salts: int = 256) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, order: list[str], length_col: str = "length", per_salt: int = 16_384) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces with lengths from 1 to ``capacity``; every piece gets a place.
 
     ``order`` names columns that tell rows apart; equal rows are interchangeable. The pieces of one length are ranked in
-    ``salts`` parts, so that a common length is not one task. Reads ``pieces`` three times: pass a written table.
-    An empty table stays empty.
+    parts of about ``per_salt`` at most, as many as all pieces would fill, so that no common length is one task at any size.
+    Reads ``pieces`` four times: pass a written table. An empty table stays empty.
     """
+    salts = -(-max(pieces.count(), 1) // per_salt)
     cell = [F.col(length_col), F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int").alias("_salt")]
     sizes = pieces.groupBy(*cell).agg(F.count("*").alias("_n"))
     lengths = sizes.groupBy(length_col).agg(F.sum("_n").alias("n")).collect()  # capacity rows at most
