@@ -29,6 +29,7 @@ from stockloom.operators.graph import connected_components
 from stockloom.plans.durable import staged
 
 CELL, BLOCK, MIN_COUNT = 256, 512, 2
+STEP = 2.0**20
 
 
 def window(cosine: float) -> float:
@@ -49,14 +50,18 @@ def calibrate(n: int, cosine: float, recall: float) -> tuple[int, int]:
 @lru_cache(8)
 def _directions(dim: int, k: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng([11, dim])
-    return rng.standard_normal((dim, tables)), rng.standard_normal((dim, tables * k))
+    return np.rint(STEP * rng.standard_normal((dim, tables))), np.rint(STEP * rng.standard_normal((dim, tables * k)))
 
 
 def places(unit: np.ndarray, k: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cell and position of each unit vector in each table."""
+    """Cell and position of each unit vector in each table.
+
+    Products are of whole numbers under 2^53, so they are exact: a vector has the same places in whichever block it is.
+    """
     line, planes = _directions(unit.shape[1], k, tables)
-    sign = (unit @ planes > 0).reshape(len(unit), tables, k) if k else np.zeros((len(unit), tables, 0), bool)
-    return sign @ (1 << np.arange(k, dtype=np.int64)), unit @ line
+    whole = np.rint(STEP * unit)
+    sign = (whole @ planes > 0).reshape(len(unit), tables, k) if k else np.zeros((len(unit), tables, 0), bool)
+    return sign @ (1 << np.arange(k, dtype=np.int64)), whole @ line / STEP**2
 
 
 def _units(raw: list[bytes], kind: type) -> np.ndarray:
