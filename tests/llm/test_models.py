@@ -109,12 +109,32 @@ def test_codewords_tell_classes_apart(classes):
 def test_quality_on_held_out_rows(docs, labels):
     model = quality_model.fit_quality(docs, labels.withColumn("grade", quality_model.rating()))
     got = quality_model.score_quality(docs, model).where("held_out").join(labels, "doc_id").toPandas()
-    assert got[got.quality == 1].kept.mean() > 0.98 and got[got.quality == 0].kept.mean() < 0.4
+    assert got[got.quality == 1].kept.mean() > 0.98 and got[got.quality == 0].kept.mean() < 0.1
     assert (got.tail_1 >= got.tail_2).all() and got.expected_grade.between(0, 2).all()
     kept = quality_model.select_quality(docs, model)
     assert kept.columns == docs.columns
 
 
+def test_null_labels_and_odd_grades_teach_nothing(spark):
+    rows = [(0, 0), (1, 1), (1, 0), (None, 0), (1, None), (0, None), (None, None)]
+    got = spark.createDataFrame(rows, "quality int, toxic int").select(quality_model.rating().alias("g")).collect()
+    assert [r.g for r in got] == [0, 1, 2, None, None, 0, None]
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "good calm words here").otherwise("zzz ### zzz").alias("text"))
+    plain = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, 2).otherwise(0).alias("grade"))
+    odd = plain.withColumn("grade", F.when(F.col("doc_id") % 10 == 0, None).when(F.col("doc_id") % 10 == 5, 7).when(F.col("doc_id") % 10 == 7, -1).otherwise(F.col("grade")))
+    assert np.allclose(quality_model.fit_quality(docs, odd).weights, quality_model.fit_quality(docs, plain.where("doc_id % 10 not in (0, 5, 7)")).weights)
+    assert quality_model.score_quality(docs, quality_model.fit_quality(docs, plain.where("false"))).where("kept").count() == 60
+
+
+def test_selection_tail_lies_between_poor_and_good():
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 3, 600)
+    x = np.zeros((600, 4), np.float32)
+    x[np.arange(600), np.minimum(y, 1)] = 1
+    assert 0.2 < quality_model.select_tail(x, y, 3, 0.99) < 0.95
+    assert quality_model.select_tail(x, np.ones(600, int), 3, 0.99) == 0.5
+
+
 def test_ordinal_model_recovers_thresholds():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((3000, 3)).astype(np.float32)
