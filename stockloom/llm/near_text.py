@@ -4,12 +4,12 @@
    ``floor(1 - log_b(h))`` of the exponentially distributed minimum hash ``h``, cut to 0..q+1
    (Ertl, 2021). Equal sets are one class from here on.
 2. Registers are cut into bands. Classes with an equal band are a bucket; buckets with the same
-   members are worked on once. Buckets are dealt into bounded block pairs. For each pair in a block
+   members are worked on once, in blocks (``grouped_components``). For each pair in a block
    the joint likelihood of the register order counts, given both set sizes, decides whether the
    maximum-likelihood similarity reaches a relaxed threshold. Only a spanning forest leaves the task.
-3. The connected components of that forest are families of candidates. Each family is again dealt into
-   bounded block pairs, now with whole texts, and links are confirmed on full shingle sets. Within
-   a block a pair is skipped only if confirmed links already join it.
+3. The connected components of that forest are families of candidates. Families are worked on in blocks again,
+   now with whole texts, and links are confirmed on full shingle sets. A pair is skipped only if confirmed links
+   already join it.
 4. Connected components of the confirmed links are the groups.
 
 Nothing is capped: a pair at the threshold is missed only if no band agrees or its likelihood
@@ -23,17 +23,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockloom.llm.blocks import block_pairs, forest, map_groups
-from stockloom.operators.graph import connected_components
+from stockloom.llm.blocks import grouped_components, sides, star, unlike
+from stockloom.llm.text import WORD
 from stockloom.plans.durable import staged
 
 BASE, RATE, TOP = 1.001, 20.0, 65535
 BANDS, ROWS = 24, 5
 M = BANDS * ROWS
-BUCKET_BLOCK, FAMILY_BLOCK = 1024, 512
+BUCKET_BLOCK, FAMILY_BLOCK = 512, 256
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -108,11 +108,12 @@ def _sketches(id_col: str, k: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(at, end - at),
+                        batch.column(2).slice(at, end - at),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array([regs[own[i]].tobytes() if i in own else None for i in range(len(sets))], pa.binary()),
                     ],
-                    [id_col, "n_shingles", "set_hash", "regs"],
+                    [id_col, "text_hash", "n_shingles", "set_hash", "regs"],
                 )
                 at = end
 
@@ -120,8 +121,8 @@ def _sketches(id_col: str, k: int):
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
-    """``(id, n_shingles, set_hash, regs)``: sketches merge by the larger value of each register."""
-    return docs.select(id_col, text_col).mapInArrow(_sketches(id_col, k), f"{id_col} long, n_shingles long, set_hash binary, regs binary")
+    """``(id, text_hash, n_shingles, set_hash, regs)``: sketches merge by the larger value of each register."""
+    return docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(_sketches(id_col, k), f"{id_col} long, text_hash long, n_shingles long, set_hash binary, regs binary")
 
 
 def _slope(dp, dm, d0, nu, nv, j):
@@ -148,63 +149,51 @@ def likely(ra: np.ndarray, na: np.ndarray, rb: np.ndarray, nb: np.ndarray, j: fl
     return fits & ((eq == m) | (_slope(gt, m - eq - gt, eq, nu, nv, j) >= 0))
 
 
-def _candidates(rep: np.ndarray, n: np.ndarray, regs: np.ndarray, blk: np.ndarray, lo: int, hi: int, j: float) -> tuple[np.ndarray, np.ndarray]:
-    a, b = np.flatnonzero(blk == lo), np.flatnonzero(blk == hi)
-    x, y = np.nonzero(likely(regs[a], n[a], regs[b], n[b], j))
-    x, y = a[x], b[y]
-    live = x < y if lo == hi else rep[x] != rep[y]
-    return x[live], y[live]
-
-
 def _regs(col: pa.Array, m: int) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(-1, m)
 
 
-def candidate_links(classes: DataFrame, relaxed: float) -> DataFrame:
-    """A spanning forest ``(a, b)`` of the likely pairs that share a band; classes has rep, n_shingles, regs."""
+def candidate_families(classes: DataFrame, relaxed: float) -> DataFrame:
+    """``(node, component)`` of the likely pairs that share a band; classes has node, n_shingles, regs."""
     width = 2 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * width + 1, F.lit(width))))
-    bands = classes.select("rep", F.explode(keys).alias("bucket"))
+    bands = classes.select("node", F.explode(keys).alias("bucket"))
     buckets = (
         bands.groupBy("bucket")
-        .agg(F.count("*").alias("c"), F.min("rep").alias("low"), F.max("rep").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("x"))
+        .agg(F.count("*").alias("c"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("x"))
         .where("c > 1 and low <> high")
         .groupBy("c", "low", "high", "x")
         .agg(F.min("bucket").alias("bucket"))
         .select("bucket", "c")
     )
-    members = block_pairs(bands.join(buckets, "bucket"), F.col("c"), ["rep", "bucket"], BUCKET_BLOCK).join(classes.select("rep", "n_shingles", "regs"), "rep")
 
     def work(t: pa.RecordBatch) -> dict | None:
-        rep, n, blk = (t[c].to_numpy(zero_copy_only=False) for c in ("rep", "n_shingles", "blk"))
-        x, y = _candidates(rep, n, _regs(t["regs"], M), blk, t["lo"][0].as_py(), t["hi"][0].as_py(), relaxed)
-        far, root = forest(len(rep), x, y)
-        return {"a": rep[far], "b": rep[root]}
+        _, label, a, b = sides(t)
+        n, regs = t["n_shingles"].to_numpy(), _regs(t["regs"], M)
+        return star(label, *unlike(label, a, b, *np.nonzero(likely(regs[a], n[a], regs[b], n[b], relaxed))))
 
-    return map_groups(members.select("bucket", "lo", "hi", "blk", "rep", "n_shingles", "regs"), ["bucket", "lo", "hi"], work, "a long, b long")
+    members = staged(bands.join(buckets, "bucket").select("bucket", "node", "c"), "buckets")
+    return grouped_components(members, "bucket", BUCKET_BLOCK, lambda rows: rows.join(classes.select("node", "n_shingles", "regs"), "node"), work)
 
 
-def confirmed_links(docs: DataFrame, families: DataFrame, threshold: int, relaxed: float, k: int) -> DataFrame:
-    """A spanning forest ``(a, b)`` of the pairs with ``100 * intersection >= threshold * union`` within families.
+def confirmed_components(texts: DataFrame, families: DataFrame, threshold: int, relaxed: float, k: int) -> DataFrame:
+    """``(node, component)`` of the pairs with ``100 * intersection >= threshold * union`` within families.
 
-    docs: rep, text; families: node, component. Families grow with the corpus, so they are never broadcast.
+    texts: node, text; families: node, component. Families grow with the corpus, so they are never broadcast.
     """
     sizes = families.groupBy("component").agg(F.count("*").alias("c"))
-    dealt = block_pairs(families.withColumnRenamed("node", "rep").join(sizes, "component"), F.col("c"), ["rep"], FAMILY_BLOCK)
-    rows = docs.join(dealt.hint("merge"), "rep").select("component", "lo", "hi", "blk", "rep", "text")
+    members = staged(families.withColumnRenamed("component", "family").join(sizes.withColumnRenamed("component", "family"), "family").select("family", "node", "c"), "members")
 
     def work(t: pa.RecordBatch) -> dict | None:
         words = _Words()
         sets = [np.unique(shingles(x, words, k)) for x in t["text"].cast(pa.large_binary()).to_pylist()]
-        full = np.array([i for i, s in enumerate(sets) if len(s)], int)
-        if len(full) < 2:
-            return None
-        sets = [sets[i] for i in full]
-        rep, blk = t["rep"].to_numpy(zero_copy_only=False)[full], t["blk"].to_numpy(zero_copy_only=False)[full]
+        _, label, a, b = sides(t)
         n = np.array([len(s) for s in sets])
-        x, y = _candidates(rep, n, registers(sets), blk, t["lo"][0].as_py(), t["hi"][0].as_py(), relaxed)
+        regs = registers(sets)
+        x, y = unlike(label, a, b, *np.nonzero(likely(regs[a], n[a], regs[b], n[b], relaxed)))
         near = np.argsort(-np.minimum(n[x], n[y]) / np.maximum(n[x], n[y]), kind="stable")
-        root = list(range(len(sets)))
+        known, at = np.unique(label, return_inverse=True)
+        root = list(range(len(known)))
 
         def top(i: int) -> int:
             while root[i] != i:
@@ -212,21 +201,42 @@ def confirmed_links(docs: DataFrame, families: DataFrame, threshold: int, relaxe
                 i = root[i]
             return i
 
-        a, b = [], []
+        one, other = [], []
         for i, j in zip(x[near].tolist(), y[near].tolist(), strict=True):
-            p, q = top(i), top(j)
+            p, q = top(at[i]), top(at[j])
             if p == q:
                 continue
             s, u = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
-            at = np.searchsorted(u, s)
-            both = int((u[np.minimum(at, len(u) - 1)] == s).sum())
+            spot = np.searchsorted(u, s)
+            both = int((u[np.minimum(spot, len(u) - 1)] == s).sum())
             if 100 * both >= threshold * (len(s) + len(u) - both):
                 root[p] = q
-                a.append(rep[i])
-                b.append(rep[j])
-        return {"a": np.array(a, np.int64), "b": np.array(b, np.int64)}
+                one.append(label[i])
+                other.append(label[j])
+        return {"a": np.array(one, np.int64), "b": np.array(other, np.int64)}
+
+    return grouped_components(members, "family", FAMILY_BLOCK, lambda rows: rows.join(texts.hint("merge"), "node"), work)
 
-    return map_groups(rows, ["component", "lo", "hi"], work, "a long, b long")
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: int, k: int, margin: float) -> DataFrame:
+    """``(_id, text_hash, n_shingles, first)`` for each row; first: the smallest ``(_id, text_hash)`` of its group, null without shingles.
+
+    A class of equal sets goes by its smallest id; where one id stands for several classes, by a hash of its set.
+    """
+    d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
+    marks = staged(sketch(d, "_id", "text", k), "sketches")
+    some = marks.where("n_shingles > 0 and _id is not null").groupBy("set_hash").agg(F.min(F.struct("_id", "text_hash")).alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
+    shared = F.count("*").over(Window.partitionBy("low._id")) > 1
+    classes = staged(some.withColumn("node", F.when(shared, F.xxhash64("set_hash")).otherwise(F.col("low._id"))), "classes")
+    relaxed = threshold / 100 - margin
+    families = staged(candidate_families(classes, relaxed), "families")
+    wanted = families.join(classes.select("node", F.col("low._id").alias("_id"), F.col("low.text_hash").alias("text_hash")), "node").select("_id", "text_hash", "node")
+    own = d.withColumn("text_hash", F.xxhash64("text"))
+    texts = staged(own.join(wanted.hint("merge"), ["_id", "text_hash"]).dropDuplicates(["_id", "text_hash"]).select("node", "text"), "texts")
+    groups = confirmed_components(texts, families, threshold, relaxed, k)
+    joined = staged(classes.select("set_hash", "node", "low").join(groups, "node", "left").select("set_hash", "low", F.coalesce("component", "node").alias("group")), "groups")
+    firsts = joined.groupBy("group").agg(F.min("low").alias("first"))
+    return marks.select("_id", "text_hash", "n_shingles", "set_hash").join(joined.join(firsts, "group").select("set_hash", "first"), "set_hash", "left").drop("set_hash")
 
 
 def near_duplicate_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80, k: int = 5, margin: float = 0.15) -> DataFrame:
@@ -238,21 +248,19 @@ def near_duplicate_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str
     of white space have no shingles and link with nothing. Rows that repeat an id are linked each by its own text.
     A row with a null id has a null component unless its text has a class with another id. Columns beside id and text are ignored.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
-    marks = staged(sketch(d, "_id", "text", k), "sketches")
-    classes = staged(marks.where("n_shingles > 0 and _id is not null").groupBy("set_hash").agg(F.min("_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs")), "classes")
-    relaxed = threshold / 100 - margin
-    families = staged(connected_components(candidate_links(classes, relaxed)), "families")
-    groups = connected_components(confirmed_links(d.withColumnRenamed("_id", "rep"), families, threshold, relaxed, k))
-    own = classes.select("set_hash", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
-    return marks.select("_id", "n_shingles", "set_hash").join(own, "set_hash", "left").select(F.col("_id").alias(id_col), "n_shingles", F.coalesce("component_id", "_id").alias("component_id"))
+    got = _grouped(docs, id_col, text_col, threshold, k, margin)
+    return got.select(F.col("_id").alias(id_col), "n_shingles", F.coalesce("first._id", "_id").alias("component_id"))
 
 
-def keep_one_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80, k: int = 5) -> DataFrame:
+def keep_one_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80, k: int = 5, margin: float = 0.15) -> DataFrame:
     """The rows of ``docs`` with one document of each group of near-duplicates, the one with the smallest id.
 
-    All columns stay as they are. Rows that repeat a kept id are one document; rows with a null id all stay.
+    All columns stay as they are. Of rows with the same id and text one stays, whatever their other columns; texts that share an
+    id are documents of their own. Rows with a null id and texts without words all stay.
     """
-    groups = near_duplicate_texts(docs, id_col, text_col, threshold, k)
-    kept = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(kept.hint("merge"), id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
+    kept = _grouped(docs, id_col, text_col, threshold, k, margin).where("first = struct(_id, text_hash)").select("_id", "text_hash").distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    rows = rows.select("_row", F.col(f"_row.`{id_col}`").cast("long").alias("_id"), F.col(f"_row.`{text_col}`").cast("string").alias("_text"))
+    alone = F.col("_id").isNull() | ~F.coalesce(F.col("_text").rlike(WORD), F.lit(False))
+    first = rows.where(~alone).withColumn("text_hash", F.xxhash64("_text")).join(kept.hint("merge"), ["_id", "text_hash"], "left_semi").dropDuplicates(["_id", "text_hash"])
+    return first.select("_row").unionByName(rows.where(alone).select("_row")).select("_row.*")

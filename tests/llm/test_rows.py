@@ -190,9 +190,14 @@ def test_repeated_spans_are_maximal(spark):
     assert sorted((s.first, s.words) for s in r.spans) == [(2, 8), (12, 8)] and r.n_covered_words == 16
 
 
-def test_near_texts_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [3, 512])
+def test_near_texts_equal_brute_force(spark, monkeypatch, block):
+    """In small blocks, where every family and bucket is worked on twice, and in large ones."""
     import random
 
+    monkeypatch.setattr(near_text, "BUCKET_BLOCK", block)
+    monkeypatch.setattr(near_text, "FAMILY_BLOCK", block)
+
     from odd import words
 
     rnd, rows = random.Random(5), []
@@ -220,8 +225,35 @@ def test_near_texts_equal_brute_force(spark):
                 p, q = sorted((top(a), top(b)))
                 root[q] = p
     assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == {d: (len(sets[d]), top(d)) for d in sets}
-    kept = {r.doc_id for r in near_text.keep_one_text(docs, threshold=85).collect()}
-    assert kept == {d for d in sets if top(d) == d}
+    if block > 3:
+        kept = {r.doc_id for r in near_text.keep_one_text(docs, threshold=85).collect()}
+        assert kept == {d for d in sets if top(d) == d}
+
+
+def test_texts_that_share_an_id_are_all_kept(spark):
+    from odd import words
+
+    a, b = words(1, 60), words(2, 60)
+    rows = [(1, a), (5, b), (5, a), (5, b), (7, words(3, 60)), (7, words(4, 60)), (None, a), (None, None), (8, ""), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = Counter((r.doc_id, r.text) for r in near_text.keep_one_text(docs).collect())
+    assert kept == Counter([(1, a), (5, b), (7, words(3, 60)), (7, words(4, 60)), (None, a), (None, None), (8, ""), (8, "")])
+    assert sorted((r.doc_id, r.component_id) for r in near_text.near_duplicate_texts(docs.where("text is not null and doc_id is not null and text <> ''")).collect()) == [(1, 1), (5, 1), (5, 5), (5, 5), (7, 7), (7, 7)]
+
+
+def test_a_large_family_moves_its_texts_a_few_times(spark, monkeypatch):
+    """400 near copies and blocks of 20: compared with all others they would move 20 times each."""
+    from odd import words
+
+    from stockloom.llm import blocks
+
+    base = words(1, 100).split()
+    docs = spark.createDataFrame([(i, " ".join(base[:i % 100] + [f"x{i}"] + base[i % 100 + 1:])) for i in range(400)], "doc_id long, text string")
+    moved, deal = [], blocks.map_groups
+    monkeypatch.setattr(near_text, "FAMILY_BLOCK", 20)
+    monkeypatch.setattr(blocks, "map_groups", lambda df, keys, *rest: (moved.append(df.count()), deal(df, keys, *rest))[1])
+    assert near_text.near_duplicate_texts(docs).select("component_id").distinct().count() == 1
+    assert 400 in moved and sum(moved[len(moved) - 1 - moved[::-1].index(400) :]) <= 2 * 400
 
 
 def test_sketches_merge_by_maximum_and_estimate_similarity():
