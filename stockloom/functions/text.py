@@ -28,7 +28,13 @@ def gtin14(body: Column) -> Column:
     return F.concat(padded, gtin_check_digit(padded).cast("string"))
 
 
+def known_classes(table: Column, classes: tuple[str, ...]) -> Column:
+    """The map as it is; an error that names a key which is none of ``classes``."""
+    odd = F.filter(F.map_keys(table), lambda k: ~k.isin(*classes))
+    return F.when(F.size(odd) > 0, F.raise_error(F.concat(F.lit("unknown class: "), F.array_join(odd, ", ")))).otherwise(table)
+
+
 def literal_table(text: Column) -> Column:
-    """``a=1,b=2`` as a map of trimmed keys to whole numbers."""
+    """``a=1,b=2`` as a map of trimmed keys to whole numbers; a repeated key is an error."""
     pairs = F.transform(F.split(text, ","), lambda p: F.struct(F.trim(F.element_at(F.split(p, "="), 1)).alias("k"), F.trim(F.element_at(F.split(p, "="), 2)).cast("long").alias("v")))
     return F.map_from_entries(pairs)

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom.functions import geometry as g
 from stockloom.plans.durable import staged
+from stockloom.plans.groups import dealt, whole_groups
 
 BOX = ("x0", "y0", "x1", "y1")
-KNN_BLOCK = 512
+KNN_BLOCK = 2048
 
 
 def prefixed(df: DataFrame, p: str, *cols: str) -> DataFrame:
@@ -81,12 +86,23 @@ def gated_new(dets: DataFrame, items: DataFrame, gate: float, weight: tuple[floa
     return at(dets).join(near, on, "left_anti").drop("_x", "_y", "_i", "_j")
 
 
+def near_items(points: DataFrame, items: DataFrame, keys: list[str], x: str, y: str, reach: float) -> DataFrame:
+    """Points with the items of equal ``keys`` in the nine grid cells around them: all within ``reach`` on either axis, and some more.
+
+    items: keys, ix, iy and others; names of points and items differ but for the keys.
+    """
+    cell = lambda c: F.floor(F.col(c) / reach)
+    ring = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    spread = items.select("*", ring.alias("_di")).select("*", ring.alias("_dj")).withColumn("_i", cell("ix") + F.col("_di")).withColumn("_j", cell("iy") + F.col("_dj")).drop("_di", "_dj")
+    return points.withColumn("_i", cell(x)).withColumn("_j", cell(y)).join(spread, [*keys, "_i", "_j"]).drop("_i", "_j")
+
+
 def offset_candidates(dets: DataFrame, items: DataFrame, keys: list[str], limit: float, quantum: float) -> DataFrame:
     """Distinct quantised offsets that move some detection of a commit onto an item of its class (and no offset).
 
-    dets: keys, commit_id, cls, cx, cy; items: keys, cls, ix, iy.
+    dets: keys, commit_id, cls, cx, cy; items: keys, cls, ix, iy. Joined on grid cells as wide as ``limit``.
     """
-    d = dets.join(items, [*keys, "cls"]).withColumn("dx", F.col("ix") - F.col("cx")).withColumn("dy", F.col("iy") - F.col("cy"))
+    d = near_items(dets, items, [*keys, "cls"], "cx", "cy", limit).withColumn("dx", F.col("ix") - F.col("cx")).withColumn("dy", F.col("iy") - F.col("cy"))
     near = d.where((F.abs("dx") <= limit) & (F.abs("dy") <= limit))
     q = near.select(*keys, *((F.round(F.col(c) / quantum) * quantum).alias(c) for c in ("dx", "dy")))
     return q.unionByName(dets.select(*keys).distinct().select(*keys, F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"))).distinct()
@@ -94,10 +110,9 @@ def offset_candidates(dets: DataFrame, items: DataFrame, keys: list[str], limit:
 
 def offset_votes(dets: DataFrame, items: DataFrame, cands: DataFrame, keys: list[str], gate: float) -> DataFrame:
     """Votes of each candidate: detections that it moves to within ``gate`` of an item of their class, 1 if the nearest such item
-    has their product and 0.5 if not."""
-    moved = dets.join(cands, keys).join(items, [*keys, "cls"])
-    dist = F.hypot(F.col("cx") + F.col("dx") - F.col("ix"), F.col("cy") + F.col("dy") - F.col("iy"))
-    hit = moved.withColumn("dist", dist).where(F.col("dist") <= gate)
+    has their product and 0.5 if not. Moved points meet items on grid cells as wide as the gate."""
+    moved = dets.join(cands, keys).withColumn("_mx", F.col("cx") + F.col("dx")).withColumn("_my", F.col("cy") + F.col("dy"))
+    hit = near_items(moved, items, [*keys, "cls"], "_mx", "_my", gate).withColumn("dist", F.hypot(F.col("_mx") - F.col("ix"), F.col("_my") - F.col("iy"))).where(F.col("dist") <= gate)
     best = hit.groupBy(*keys, "dx", "dy", "det_id").agg(F.min_by(F.col("sku") == F.col("item_sku"), F.struct("dist", F.col("sku") != F.col("item_sku"))).alias("agree"))
     return best.groupBy(*keys, "dx", "dy").agg(F.sum(F.when(F.col("agree"), 1.0).otherwise(0.5)).alias("votes"))
 
@@ -115,27 +130,49 @@ def best_offset(votes: DataFrame, sizes: DataFrame, keys: list[str], tie: float)
 def knn(queries: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
     """``(q, rank, g, sim)``: the ``k`` most similar of the gallery by cosine, ties by id; vectors ``v`` have unit length.
 
-    The gallery is grouped into blocks of about ``KNN_BLOCK`` vectors, so that a query meets a block in one row and keeps
-    ``k`` of it; what the blocks gave is merged by rank.
+    Exact: queries and gallery, which holds the queries' rows too, are dealt into blocks of about ``KNN_BLOCK``; each pair of
+    blocks is one matrix product in one task, of which a query keeps ``k``; what the pairs gave is merged by rank. A row is not its own neighbour.
+    """
+    many = {n: max(1, -(-df.count() // KNN_BLOCK)) for n, df in (("q", queries), ("g", gallery))}
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(many[n])).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(many[n] - 1)))
+    vec = F.col("v").cast("array<double>").alias("v")
+    sides = queries.select("id", vec, block("q").alias("qb"), F.lit(0).alias("side"), every("g").alias("gb"))
+    sides = sides.unionByName(gallery.select("id", vec, block("g").alias("gb"), F.lit(1).alias("side"), every("q").alias("qb")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, at in whole_groups(batches, ["qb", "gb"]):
+            ids, side = b["id"].to_numpy(), b["side"].to_numpy()
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                v = np.array(b["v"].slice(i, j - i).to_pylist(), float)
+                own, other = np.flatnonzero(side[i:j] == 0), np.flatnonzero(side[i:j] == 1)
+                if not len(own) or not len(other):
+                    continue
+                other = other[np.argsort(ids[i:j][other], kind="stable")]
+                sim = np.round(v[own] @ v[other].T, 9)
+                sim[ids[i:j][own][:, None] == ids[i:j][other][None]] = -np.inf
+                best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+                got, row = np.take_along_axis(sim, best, 1), np.repeat(np.arange(len(own)), best.shape[1])
+                live = np.isfinite(got.ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][own][row][live]), pa.array(ids[i:j][other][best.ravel()][live]), pa.array(got.ravel()[live])], ["q", "g", "sim"])
+
+    best = dealt(sides, ["qb", "gb"]).mapInArrow(run, "q long, g long, sim double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "g"))
+    return best.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("q", "rank", "g", "sim")
+
+
+def in_any_zone(dets: DataFrame, zones: DataFrame, keys: list[str], cell: float = 16.0) -> DataFrame:
+    """Detections whose centre lies in a zone of an earlier commit: a semi join on grid cells, of which a zone has all that it touches.
+
+    zones: keys, zone_n, zx0, zy0, zx1, zy1.
     """
-    many = max(1, -(-gallery.count() // KNN_BLOCK))
-    blocks = gallery.groupBy(F.pmod(F.xxhash64("id"), F.lit(many)).alias("_b")).agg(F.collect_list(F.struct("id", "v")).alias("_block"))
-    pairs_ = queries.select(F.col("id").alias("q"), F.col("v").alias("qv")).crossJoin(blocks)
-    dot = lambda x: F.aggregate(F.zip_with("qv", x, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
-    scored = F.transform("_block", lambda s: F.struct((-F.round(dot(s["v"]), 9)).alias("d"), s["id"].alias("g")))
-    best = pairs_.select("q", F.explode(F.slice(F.array_sort(scored), 1, k)).alias("s"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy("s.d", "s.g"))
-    return best.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("q", "rank", F.col("s.g").alias("g"), (-F.col("s.d")).alias("sim"))
-
-
-def in_any_zone(dets: DataFrame, zones: DataFrame, keys: list[str]) -> DataFrame:
-    """Detections whose centre lies in a zone of an earlier commit: a semi join. zones: keys, zone_n, zx0, zy0, zx1, zy1."""
     cx, cy = g.centre(g.box())
-    z = zones.select(*(F.col(k).alias(f"_{k}") for k in keys), "zone_n", "zx0", "zy0", "zx1", "zy1")
-    on = (F.col("zone_n") < F.col("n")) & g.in_rect(cx, cy, (F.col("zx0"), F.col("zy0"), F.col("zx1"), F.col("zy1")))
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
+    z = zones.select(*(F.col(k).alias(f"_{k}") for k in keys), "zone_n", "zx0", "zy0", "zx1", "zy1", span("zx0", "zx1").alias("_zi")).select("*", span("zy0", "zy1").alias("_zj"))
+    on = (F.col("_i") == F.col("_zi")) & (F.col("_j") == F.col("_zj")) & (F.col("zone_n") < F.col("n")) & g.in_rect(cx, cy, (F.col("zx0"), F.col("zy0"), F.col("zx1"), F.col("zy1")))
     for k in keys:
         on = on & (F.col(k) == F.col(f"_{k}"))
-    return dets.join(z, on, "left_semi")
+    return dets.withColumn("_i", F.floor(cx / cell)).withColumn("_j", F.floor(cy / cell)).join(z, on, "left_semi").drop("_i", "_j")
 
 
 def view_items(items: DataFrame, views: DataFrame, cell: float) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def stock_lines(groups: DataFrame, manual: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -42,15 +46,32 @@ LIFECYCLE = {("open", "finish"): "review", ("review", "lock"): "locked", ("revie
 
 
 def lifecycle_errors(events: DataFrame, key: str, order: list[str], action: str) -> DataFrame:
-    """Actions that a session's state did not allow. The state after each valid action is a function of the action alone,
-    so the state before an event is that of the last earlier action (open at the start)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    before = F.coalesce(F.lag(F.col(action)).over(w), F.lit("resume"))
-    after = F.create_map(*(x for (_, a), s in LIFECYCLE.items() for x in (F.lit(a), F.lit(s))))
-    state = F.try_element_at(after, before)
-    allowed = F.create_map(*(x for s, a in LIFECYCLE for x in (F.lit(f"{s}/{a}"), F.lit(True))))
-    ok = F.coalesce(F.try_element_at(allowed, F.concat_ws("/", "state", action)), F.lit(False))
-    return events.withColumn("state", state).where(~ok)
+    """Actions that a session's state did not allow, with that state. A refused action leaves the state as it is; sessions begin open.
+
+    Rows are dealt by session and sorted; one state goes from row to row, so that memory does not follow a session's length.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, state = object(), "open"
+        for batch in batches:
+            states, refused = [], []
+            for k, a in zip(batch.column(key).to_pylist(), batch.column(action).to_pylist(), strict=True):
+                if k != session:
+                    session, state = k, "open"
+                states.append(state)
+                after = LIFECYCLE.get((state, a))
+                refused.append(after is None)
+                state = after or state
+            yield batch.append_column("state", pa.array(states, pa.string())).filter(pa.array(refused, pa.bool_()))
+
+    rows = events.repartition(key).sortWithinPartitions(key, *order)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("state", T.StringType())]))
+
+
+def overlapping_sessions(sessions: DataFrame, device: str, start: str, end: str) -> DataFrame:
+    """Sessions that begin while an earlier one of their device is still open: each device may have one active session."""
+    earlier = Window.partitionBy(device).orderBy(start, "session").rowsBetween(Window.unboundedPreceding, -1)
+    return sessions.withColumn("busy_until", F.max(end).over(earlier)).where(F.col("busy_until") > F.col(start))
 
 
 def gate(name: str, metric: Column, limit: float, at_most: bool = True) -> Column:
@@ -59,17 +80,24 @@ def gate(name: str, metric: Column, limit: float, at_most: bool = True) -> Colum
     return F.struct(F.lit(name).alias("gate"), F.round(metric.cast("double"), 6).alias("value"), F.lit(float(limit)).alias("limit"), F.when(ok, "pass").otherwise("fail").alias("verdict"))
 
 
-def precision_recall(scored: DataFrame, label: str, score: str) -> DataFrame:
-    """Cumulative precision and recall at each distinct score, best first; sums over score groups, not over rows."""
-    at = scored.groupBy(score).agg(F.sum(label).alias("_p"), F.count("*").alias("_n"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("_p").over(Window.partitionBy(F.lit(0)))
-    return at.select(score, F.sum("_p").over(w).cast("long").alias("hits"), F.sum("_n").over(w).cast("long").alias("shown"), total.cast("long").alias("positives"))
+def precision_recall(scored: DataFrame, label: str, score: str, spans: int = 1024) -> DataFrame:
+    """Cumulative hits and shown at each distinct score, best first, and all positives.
+
+    Sums over score groups, then over spans of scores: only the spans, ``spans`` for each unit of the score, meet in one place.
+    """
+    at = scored.groupBy(score).agg(F.sum(label).alias("_p"), F.count("*").alias("_n")).withColumn("_span", F.floor(F.col(score) * spans))
+    per = at.groupBy("_span").agg(F.sum("_p").alias("_sp"), F.sum("_n").alias("_sn"))
+    above = Window.partitionBy(F.lit(0)).orderBy(F.desc("_span")).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
+    base = per.select("_span", before("_sp").alias("_bp"), before("_sn").alias("_bn"), F.sum("_sp").over(Window.partitionBy(F.lit(0))).alias("_all"))
+    w = Window.partitionBy("_span").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    own = at.select(score, "_span", F.sum("_p").over(w).alias("_p"), F.sum("_n").over(w).alias("_n")).join(base, "_span")
+    return own.select(score, (F.col("_bp") + F.col("_p")).cast("long").alias("hits"), (F.col("_bn") + F.col("_n")).cast("long").alias("shown"), F.col("_all").cast("long").alias("positives"))
 
 
-def op_tree_histogram(spark, edges_view: str, root: str) -> DataFrame:
+def op_tree_histogram(edges: DataFrame, root: str) -> DataFrame:
     """Counts of node types below a root of an adjacency table (parent, child, kind): a recursive expression for shallow trees."""
-    return spark.sql(f"""WITH RECURSIVE tree (node, kind, depth) AS (
-      SELECT child, kind, 1 FROM {edges_view} WHERE parent = '{root}'
-      UNION ALL SELECT e.child, e.kind, t.depth + 1 FROM tree t JOIN {edges_view} e ON e.parent = t.node)
-    SELECT kind, CAST(depth AS BIGINT) AS depth, count(*) AS n FROM tree GROUP BY kind, depth""")
+    return edges.sparkSession.sql("""WITH RECURSIVE tree (node, kind, depth) AS (
+      SELECT child, kind, 1 FROM {edges} WHERE parent = {root}
+      UNION ALL SELECT e.child, e.kind, t.depth + 1 FROM tree t JOIN {edges} e ON e.parent = t.node)
+    SELECT kind, CAST(depth AS BIGINT) AS depth, count(*) AS n FROM tree GROUP BY kind, depth""", edges=edges, root=root)

@@ -59,6 +59,13 @@ def gaps(commits: DataFrame) -> DataFrame:
     return commits.withColumn("gap", F.col("t") - F.lag("t").over(Window.partitionBy("walk_id").orderBy("n")))
 
 
+def gap_summary(commits: DataFrame, opened: Column, closed: Column) -> DataFrame:
+    """Gaps of each walk's commits: the longest counts the time from ``opened`` to the first and from the last to ``closed`` too,
+    the median only the gaps between commits (null for one commit)."""
+    of = gaps(commits).groupBy("walk_id").agg(F.max("gap").alias("_inner"), F.median("gap").alias("median_gap"), F.count("*").alias("commits"), F.min("t").alias("_first"), F.max("t").alias("_last"), F.first(opened).alias("opened"), F.first(closed).alias("closed"))
+    return of.select("walk_id", F.greatest("_inner", F.col("_first") - F.col("opened"), F.col("closed") - F.col("_last")).alias("max_gap"), "median_gap", "commits", (F.col("closed") - F.col("opened")).alias("length"))
+
+
 def segments(frames: DataFrame, reset: Column) -> DataFrame:
     """Adds ``segment``: the number of resets so far; a reset's own frame opens the segment."""
     return frames.withColumn("segment", F.sum(reset.cast("int")).over(by_frame()).cast("long"))
@@ -84,6 +91,9 @@ def dead_reckoned(frames: DataFrame, seen: Column, limit: float) -> DataFrame:
 
 
 def leaky_walk(rows: DataFrame, key: str, order: str, noise: str, keep: float) -> DataFrame:
-    """``x = keep * x + noise`` along each group, last value and number of steps; a fold over a sorted array of one walk."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(order, noise))), lambda s: s[noise])
-    return rows.groupBy(key).agg(listed.alias("_l")).select(key, F.size("_l").cast("long").alias("steps"), F.aggregate("_l", F.lit(0.0), lambda x, e: keep * x + e).alias("x"))
+    """``x = keep * x + noise`` along each group, last value and number of steps; ``order`` counts a group's rows from 1.
+
+    The last value is the sum of all noise, each times ``keep`` to the power of the steps since: one aggregate, whatever a walk's length.
+    """
+    since = F.max(order).over(Window.partitionBy(key)) - F.col(order)
+    return rows.withColumn("_since", since).groupBy(key).agg(F.count("*").alias("steps"), F.sum(F.col(noise) * F.pow(F.lit(keep), "_since")).alias("x"))

@@ -268,23 +268,25 @@ FROM (SELECT DISTINCT d.walk_id, d.cls, c.n AS a FROM detections d JOIN commits
 
 
 def late_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Linked commits more than 10 days and 2 commits apart (J24), and the overlap with the commit before."""
+    """Linked commits more than 10 days and 2 commits apart."""
     return _links(spark, sf_dir).where("tb - ta > 10 and b - a > 2").groupBy("walk_id").agg(F.count("*").alias("revisits"), F.max(F.col("b") - F.col("a")).alias("farthest"))
 
 
 LATE_REVISITS = with_sql(COMMITS, _LINKS_SQL) + "SELECT walk_id, count(*) AS revisits, max(b - a) AS farthest FROM links WHERE tb - ta > 10 AND b - a > 2 GROUP BY walk_id"
 
 
-def _vectors(spark: SparkSession, sf_dir: str, odd: int) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 2 == odd).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+def _knn(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The neighbours of every row with an id divisible by 20 among all other rows."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return d.knn(v.where("id % 20 = 0"), v, k)
 
 
 def knn_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.knn(_vectors(spark, sf_dir, 1), _vectors(spark, sf_dir, 0), 3).select("q", "rank", "g")
+    return _knn(spark, sf_dir, 3).select("q", "rank", "g")
 
 
 _KNN = """knn AS (SELECT q, rank, g, sim FROM (SELECT a.vec_id AS q, b.vec_id AS g, s AS sim, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY s DESC, b.vec_id) AS BIGINT) AS rank
-  FROM (SELECT * FROM embeddings WHERE vec_id % 2 = 1) a, (SELECT * FROM embeddings WHERE vec_id % 2 = 0) b,
+  FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) a JOIN embeddings b ON a.vec_id <> b.vec_id,
   LATERAL (SELECT round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 9) AS s)) WHERE rank <= 3)"""
 KNN_TOP3 = with_sql(_KNN) + "SELECT q, rank, g FROM knn"
 
@@ -292,7 +294,7 @@ KNN_TOP3 = with_sql(_KNN) + "SELECT q, rank, g FROM knn"
 def knn_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-1 and top-3 accuracy of the teach-once suggestion against the labels."""
     names = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    k = d.knn(_vectors(spark, sf_dir, 1), _vectors(spark, sf_dir, 0), 3)
+    k = _knn(spark, sf_dir, 3)
     j = k.join(names.select(F.col("vec_id").alias("q"), F.col("label").alias("truth")), "q").join(names.select(F.col("vec_id").alias("g"), F.col("label").alias("guess")), "g")
     per = j.groupBy("q", "truth").agg(F.max(F.when((F.col("rank") == 1) & (F.col("truth") == F.col("guess")), 1).otherwise(0)).alias("one"), F.max((F.col("truth") == F.col("guess")).cast("int")).alias("three"))
     return per.groupBy(F.col("truth").alias("label")).agg(F.count("*").alias("queries"), F.sum("one").alias("top1"), F.sum("three").alias("top3"))
@@ -306,7 +308,7 @@ FROM (SELECT q, e.label AS truth, max(CASE WHEN rank = 1 AND e.label = f.label T
 
 def ratio_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest neighbours that are closer than 0.98 of the second, by distance (J13; descriptors are unit vectors)."""
-    k = d.knn(_vectors(spark, sf_dir, 1), _vectors(spark, sf_dir, 0), 2)
+    k = _knn(spark, sf_dir, 2)
     two = k.groupBy("q").agg(F.min_by("g", "rank").alias("g"), F.max(F.when(F.col("rank") == 1, F.col("sim"))).alias("s1"), F.max(F.when(F.col("rank") == 2, F.col("sim"))).alias("s2"))
     return two.where(F.sqrt(2 - 2 * F.col("s1")) < 0.98 * F.sqrt(2 - 2 * F.col("s2"))).select("q", "g")
 

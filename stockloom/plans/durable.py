@@ -1,7 +1,8 @@
 """Lineage cuts that survive lost executors.
 
 Tables are written as Parquet below ``spark.checkpoint.dir`` and read back. Every executor must
-see that folder. Only where the setting is missing (tests, notebooks) a local folder is used.
+see that folder. Where the setting is missing, a local
+folder serves a local master (tests, notebooks); on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -15,7 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, from ``spark.checkpoint.dir``."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "stockloom")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or "file://" + os.path.join(tempfile.gettempdir(), "stockloom")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -1,4 +1,4 @@
-"""Queries on folds, the simulation and streams. Where SQL cannot follow a fold there is none; tests hold these to invariants."""
+"""Queries on folds and streams. Where SQL cannot follow a fold there is none; tests hold these to hand-made walks, brute force and invariants."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockloom.functions import geometry as g
-from stockloom.operators import folds, motion, simulation
-from stockloom.plans.detections import _links
-from stockloom.plans.durable import fresh_path
-from stockloom.sources.adapters import commits, detections, frames
+from stockloom.operators import counting, folds, motion
+from stockloom.operators.detections import gated_new, near_items
+from stockloom.operators.graph import connected_components
+from stockloom.plans.detections import _LINKS_SQL, _links
+from stockloom.plans.durable import fresh_path, staged
+from stockloom.sources.adapters import COMMITS, DETECTIONS, FRAMES, commits, detections, frames, with_sql
 from stockloom.sources.tables import table
 from stockloom.streaming import triggers
 
@@ -26,20 +28,49 @@ def trigger_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("walk_id", "frame", "t", "speed", (turned / 4).alias("dx"), (F.col("px") % 5).alias("dy"), "lost", F.col("px").alias("sharp"))
 
 
+def _rounded(c: DataFrame) -> DataFrame:
+    return c.withColumns({k: F.round(k, 6) for k in ("t", "hold_from", "t_key", "step_deg")})
+
+
+_TURNED = f"degrees(atan(sqrt(ntx * ntx + nty * nty) / {TRIGGER['focal']}))"
+_TRIGGERED = FRAMES + f""",
+tf AS (SELECT walk_id, frame, t, lost, px AS sharp, CASE WHEN kind = 'click' THEN -px ELSE px END / 4 AS dx, px % 5 AS dy,
+  median(CASE WHEN lost THEN 'infinity'::DOUBLE ELSE speed END) OVER (PARTITION BY walk_id ORDER BY frame ROWS 2 PRECEDING) < {TRIGGER['limit']} AS steady FROM frames),
+nx AS (SELECT walk_id AS w, frame AS f, t AS ft, lost AS fl, sharp AS fs, dx AS fx, dy AS fy, steady AS st FROM tf)"""
+# A row for each frame: the state after it, and what it fired. The keyframe is found afterwards, by a join on the frames of the hold.
+HOLD_TRIGGER = "WITH RECURSIVE " + _TRIGGERED + f""",
+walked AS (SELECT walk_id, frame, t, steady, true AS armed, CASE WHEN steady THEN t END AS since, CASE WHEN steady THEN frame END AS first, 0.0::DOUBLE AS tx, 0.0::DOUBLE AS ty, false AS astray, 0::BIGINT AS n, false AS fired, NULL::DOUBLE AS step
+    FROM tf WHERE frame = 1
+  UNION ALL SELECT w, f, ft, st, now AND NOT fire, s1, f1, CASE WHEN fire THEN 0.0 ELSE ntx END, CASE WHEN fire THEN 0.0 ELSE nty END, off AND NOT fire, n + CASE WHEN fire THEN 1 ELSE 0 END, fire, CASE WHEN NOT off AND n > 0 THEN {_TURNED} END
+    FROM (SELECT *, coalesce(st AND now AND ft - s1 >= {TRIGGER['hold']} - 1e-6, false) AS fire
+      FROM (SELECT *, armed OR again AS now, CASE WHEN NOT st THEN NULL WHEN again OR since IS NULL THEN ft ELSE since END AS s1, CASE WHEN NOT st THEN NULL WHEN again OR since IS NULL THEN f ELSE first END AS f1
+        FROM (SELECT *, NOT armed AND (fl OR {_TURNED} >= {TRIGGER['rearm']}) AS again
+          FROM (SELECT *, tx + CASE WHEN fl THEN 0 ELSE fx END AS ntx, ty + CASE WHEN fl THEN 0 ELSE fy END AS nty, astray OR fl AS off FROM walked JOIN nx ON w = walk_id AND f = frame + 1)))))
+SELECT c.walk_id, n, round(c.t, 6) AS t, round(since, 6) AS hold_from, arg_max(k.frame, (k.sharp, -k.frame)) AS frame, round(arg_max(k.t, (k.sharp, -k.frame)), 6) AS t_key, round(step, 6) AS step_deg, false AS no_hold
+FROM walked c JOIN tf k ON k.walk_id = c.walk_id AND k.frame BETWEEN c.first AND c.frame AND k.t >= c.t - {TRIGGER['hold']} WHERE fired GROUP BY c.walk_id, n, c.t, since, step"""
+TIMED_TRIGGER = "WITH RECURSIVE " + _TRIGGERED + f""",
+walked AS (SELECT walk_id, frame, t, t - {FRAME_TIME} AS opened, 1::BIGINT AS since, NULL::DOUBLE AS from_, NULL::BIGINT AS first, 0.0::DOUBLE AS tx, 0.0::DOUBLE AS ty, false AS astray, 0::BIGINT AS n, false AS fired, NULL::DOUBLE AS step FROM tf WHERE frame = 1
+  UNION ALL SELECT w, f, ft, CASE WHEN fire THEN ft ELSE opened END, CASE WHEN fire THEN f + 1 ELSE since END, opened, since, CASE WHEN fire THEN 0.0 ELSE ntx END, CASE WHEN fire THEN 0.0 ELSE nty END, off AND NOT fire,
+      n + CASE WHEN fire THEN 1 ELSE 0 END, fire, CASE WHEN NOT off AND n > 0 THEN {_TURNED} END
+    FROM (SELECT *, ft - opened >= 48.0 - 1e-6 AS fire, tx + CASE WHEN fl THEN 0 ELSE fx END AS ntx, ty + CASE WHEN fl THEN 0 ELSE fy END AS nty, astray OR fl AS off FROM walked JOIN nx ON w = walk_id AND f = frame + 1))
+SELECT c.walk_id, n, round(c.t, 6) AS t, round(from_, 6) AS hold_from, arg_max(k.frame, (k.sharp, -k.frame)) AS frame, round(arg_max(k.t, (k.sharp, -k.frame)), 6) AS t_key, round(step, 6) AS step_deg, false AS no_hold
+FROM walked c JOIN tf k ON k.walk_id = c.walk_id AND k.frame BETWEEN c.first AND c.frame WHERE fired GROUP BY c.walk_id, n, c.t, from_, step"""
+
+
 def hold_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.trigger_commits(trigger_frames(spark, sf_dir), FRAME_TIME, **TRIGGER)
+    return _rounded(folds.trigger_commits(trigger_frames(spark, sf_dir), FRAME_TIME, **TRIGGER))
 
 
 def timed_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.trigger_commits(trigger_frames(spark, sf_dir), FRAME_TIME, every=48.0, **TRIGGER)
+    return _rounded(folds.trigger_commits(trigger_frames(spark, sf_dir), FRAME_TIME, every=48.0, **TRIGGER))
 
 
 def sweep_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.trigger_commits(trigger_frames(spark, sf_dir), FRAME_TIME, sweep=0.5, sweep_speed=200.0, **TRIGGER)
+    return _rounded(folds.trigger_commits(trigger_frames(spark, sf_dir), FRAME_TIME, sweep=0.5, sweep_speed=200.0, **TRIGGER))
 
 
 def fallback_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.trigger_commits(trigger_frames(spark, sf_dir), FRAME_TIME, fallback=0.7, sweep_speed=200.0, **TRIGGER)
+    return _rounded(folds.trigger_commits(trigger_frames(spark, sf_dir), FRAME_TIME, fallback=0.7, sweep_speed=200.0, **TRIGGER))
 
 
 def consistent_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +81,14 @@ def consistent_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.consistent_links(lk, pairs.select("walk_id", "commit_n", "a", "c"))
 
 
+CONSISTENT_LINKS = "WITH RECURSIVE " + COMMITS + ", " + _LINKS_SQL + """,
+ordered AS (SELECT walk_id, b AS commit_n, a, inliers, row_number() OVER (PARTITION BY walk_id, b ORDER BY inliers DESC, a) AS rank FROM links),
+step AS (SELECT walk_id, commit_n, rank, [a] AS kept FROM ordered WHERE rank = 1
+  UNION ALL SELECT o.walk_id, o.commit_n, o.rank, CASE WHEN len(list_filter(s.kept, lambda x: (x + o.a) % 4 = 0)) > 0 THEN s.kept ELSE list_append(s.kept, o.a) END
+  FROM step s JOIN ordered o ON o.walk_id = s.walk_id AND o.commit_n = s.commit_n AND o.rank = s.rank + 1)
+SELECT walk_id, commit_n, a, inliers FROM ordered JOIN (SELECT walk_id, commit_n, arg_max(kept, rank) AS kept FROM step GROUP BY walk_id, commit_n) USING (walk_id, commit_n) WHERE list_contains(kept, a)"""
+
+
 def _walk_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = commits(spark, sf_dir)
     dets = detections(spark, sf_dir).join(c.select("commit_id", "n", "t"), "commit_id")
@@ -60,68 +99,97 @@ def _walk_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 def counted_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zones, matching and prompts with keyframe links (S5 in the image plane)."""
-    return folds.count_commits(*_walk_inputs(spark, sf_dir), 0.92, 130.0, 100.0, 1.0, 12.0)
+    return counting.count_commits(*_walk_inputs(spark, sf_dir), 0.92, 130.0, 100.0, 1.0, 12.0)
 
 
 def tracked_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with items carried from commit to commit and dead reckoning of 30 days."""
-    return folds.count_commits(*_walk_inputs(spark, sf_dir), 0.92, 130.0, 100.0, 1.0, 12.0, motion=True, dead_reckon=30.0)
+    return counting.count_commits(*_walk_inputs(spark, sf_dir), 0.92, 130.0, 100.0, 1.0, 12.0, motion=True, dead_reckon=30.0)
 
 
-def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One-to-one matches of each walk and class between the sides of its lines, gated (J4): pairs and cost."""
-    import numpy as np
-    import pandas as pd
-
-    cx, cy = g.centre(g.box())
-    d = detections(spark, sf_dir).select("walk_id", "cls", "side", "commit_id", "det_id", cx.alias("cx"), cy.alias("cy"))
+GATE = 20.0
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, cost, rest = 0, 0.0, 0
-        for _, p in pdf.sort_values(["commit_id", "det_id"]).groupby("cls"):
-            a, b = p[p.side == "O"], p[p.side == "F"]
-            dist = np.hypot(a.cx.to_numpy()[:, None] - b.cx.to_numpy()[None], a.cy.to_numpy()[:, None] - b.cy.to_numpy()[None])
-            got = folds.match_one_to_one(dist, 20.0)
-            n, cost, rest = n + len(got), cost + float(sum(dist[i, j] for i, j in got)), rest + len(a) - len(got)
-        return pd.DataFrame({"walk_id": [pdf.walk_id.iloc[0]], "matches": [n], "cost": [round(cost, 4)], "left_over": [rest]})
 
-    return d.groupBy("walk_id").applyInPandas(match, "walk_id long, matches long, cost double, left_over long")
+def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-to-one matches of each walk and class between the sides of its lines, gated (J4): matches, cost, rest.
 
+    Pairs within the gate meet on grid cells; each connected group of such pairs is assigned on its own, which is exact, since
+    no pair beyond the gate may match.
+    """
+    cx, cy = g.centre(g.box())
+    key = F.xxhash64("commit_id", "det_id")
+    d = detections(spark, sf_dir).select("walk_id", "cls", "side", key.alias("k"), cx.alias("cx"), cy.alias("cy"))
+    items = d.where("side = 'F'").select("walk_id", "cls", F.col("k").alias("item"), F.col("cx").alias("ix"), F.col("cy").alias("iy"))
+    pairs = near_items(d.where("side = 'O'"), items, ["walk_id", "cls"], "cx", "cy", GATE).withColumn("dist", F.hypot(F.col("cx") - F.col("ix"), F.col("cy") - F.col("iy")))
+    pairs = staged(pairs.where(F.col("dist") <= GATE).select("walk_id", F.col("k").alias("det"), "item", "dist"), "gated")
+    groups = connected_components(pairs, "det", "item")
+    got = folds.assigned_groups(pairs.join(groups.select(F.col("node").alias("det"), F.col("component").alias("grp")), "det").select("walk_id", "grp", "det", "item", "dist"))
+    of = got.groupBy("walk_id").agg(F.sum("matches").alias("matches"), F.sum("cost").alias("cost"))
+    whole = d.groupBy("walk_id").agg(F.count_if(F.col("side") == "O").alias("dets"))
+    matches = F.coalesce("matches", F.lit(0)).cast("long")
+    return whole.join(of, "walk_id", "left").select("walk_id", matches.alias("matches"), F.round(F.coalesce("cost", F.lit(0.0)), 4).alias("cost"), (F.col("dets") - matches).alias("left_over"))
+
+
+STRATEGIES = {"near": 6.0, "wide": 12.0}
+DRIFTS = (0.0, 2.0, 5.0, 8.0)
+
+
+def strategy_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counted and missed detections of one side for each gate and drift: the drift moves a detection before it is gated."""
+    all_ = detections(spark, sf_dir)
+    drift = F.explode(F.array(*map(F.lit, DRIFTS))).alias("drift")
+    moved = all_.where("side = 'O'").select("*", drift).withColumns({c: F.col(c) + F.col("drift") for c in ("x0", "x1")})
+    items = all_.where("side = 'F'")
+    out = None
+    for name, gate in STRATEGIES.items():
+        new = gated_new(moved, items, gate, (1.0, 0.5), ["walk_id", "cls"]).groupBy("drift").agg(F.count("*").alias("counted")).withColumn("strategy", F.lit(name))
+        out = new if out is None else out.unionByName(new)
+    total = all_.where("side = 'O'").agg(F.count("*").alias("detections"))  # one row
+    return out.crossJoin(total).select("strategy", "drift", "counted", "detections", F.round(100.0 * (F.col("detections") - F.col("counted")) / F.col("detections"), 6).alias("seen_percent"))
+
+
+STRATEGY_GRID = with_sql(DETECTIONS) + f"""
+SELECT strategy, drift, count(*) AS counted, any_value(detections) AS detections, round(100.0::DOUBLE * (any_value(detections) - count(*)) / any_value(detections), 6) AS seen_percent
+FROM (SELECT * FROM detections WHERE side = 'O') a, (VALUES {', '.join(f"('{k}', {v}::DOUBLE)" for k, v in STRATEGIES.items())}) s(strategy, gate), (VALUES {', '.join(f'({v}::DOUBLE)' for v in DRIFTS)}) g(drift), (SELECT count(*) AS detections FROM detections WHERE side = 'O')
+WHERE NOT EXISTS (SELECT 1 FROM detections b WHERE b.side = 'F' AND a.walk_id = b.walk_id AND a.cls = b.cls AND ((a.x0 + drift + a.x1 + drift) / 2 - (b.x0 + b.x1) / 2) ** 2 + (((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2) * 0.5) ** 2 <= gate * gate) GROUP BY strategy, drift"""
+
+
+def _slices(df: DataFrame, by: str, path: str, many: int):
+    """Writes rows in slices of time, one after the other, each by all tasks; yields after each, so that a stream can take it in."""
+    rows = staged(df, "feed")
+    low, high = rows.agg(F.min(by), F.max(by)).first()
+    step = (high - low) / many if low is not None else 0
+    for i in range(many if low is not None else 1):
+        part = rows.where((F.col(by) >= F.lit(low + i * step)) & ((F.col(by) < F.lit(low + (i + 1) * step)) | F.lit(i == many - 1))) if low is not None else rows
+        part.write.mode("append").parquet(path)
+        yield i
 
-def monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Double and missed shares of three strategies over drifts: mean of three seeds."""
-    cells = simulation.grid(spark, ["low"], ["mixed"], ["S1", "S2", "S5"], [0, 5], 3)
-    return simulation.summary(simulation.simulate(cells, racks=2))
 
+def streamed_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hold trigger as a stream over slices of time, taken up again from its checkpoint for each: equal to the batch fold.
 
-def _feed(df: DataFrame, by: str, path: str, files: int) -> None:
-    """Writes rows as files in order of ``by``, one after the other: a stream reads files in the order of their times."""
-    low, high = df.agg(F.min(by), F.max(by)).first()
-    step = (high - low) / files
-    for i in range(files):
-        part = df.where((F.col(by) >= F.lit(low + i * step)) & ((F.col(by) < F.lit(low + (i + 1) * step)) | F.lit(i == files - 1)))
-        part.coalesce(1).write.mode("append").parquet(path)
+    The state of a walk without frames for 40 days is dropped.
+    """
+    base = fresh_path(spark, "frames")
+    frames_of = trigger_frames(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("t") * 3600))
+    for _ in _slices(frames_of, "t", f"{base}/in", 3):
+        got = triggers.stream_commits(spark.readStream.schema(frames_of.schema).parquet(f"{base}/in"), FRAME_TIME, expire="40 days", **TRIGGER)
+        q = got.writeStream.foreachBatch(triggers.exactly_once(f"{base}/out", ["walk_id", "n"])).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return _rounded(spark.read.schema(folds.COMMIT_SCHEMA + ", batch long").parquet(f"{base}/out").drop("batch"))
 
 
-def streamed_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hold trigger as a stream over written frames, one file a batch: equal to the batch fold."""
-    base = fresh_path(spark, "frames")
-    _feed(trigger_frames(spark, sf_dir), "t", f"{base}/in", 3)
-    frames_in = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    got = triggers.stream_commits(frames_in, FRAME_TIME, **TRIGGER)
-    q = got.writeStream.foreachBatch(triggers.exactly_once(f"{base}/out", ["walk_id", "n"])).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{base}/out").drop("batch")
+STREAMED_COMMITS = HOLD_TRIGGER
 
 
 def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts by kind as a stream in append mode: only windows that the watermark has closed are there."""
     base = fresh_path(spark, "windows")
     e = table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("kind"), "value")
-    _feed(e, "ts", f"{base}/in", 4)
-    src = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    q = triggers.windowed_counts(src, "1 day").writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    for _ in _slices(e, "ts", f"{base}/in", 4):
+        src = spark.readStream.schema(e.schema).parquet(f"{base}/in")
+        q = triggers.windowed_counts(src, "1 day").writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
     return spark.read.schema("start timestamp, kind string, frames long, total double").parquet(f"{base}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
@@ -152,6 +220,6 @@ def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 SLIDING_WINDOWS = """
 SELECT (date_trunc('day', ts) - INTERVAL 1 DAY * k)::TIMESTAMP AS start, event_type AS kind, count(*) AS frames, round(sum(value), 4) AS total FROM events, (VALUES (0), (1)) v(k) GROUP BY ALL"""
 
-_NAMES = "hold_trigger timed_trigger sweep_trigger fallback_trigger consistent_links counted_walks tracked_walks assigned monte_carlo streamed_commits streamed_windows batch_windows session_windows sliding_windows".split()
+_NAMES = "hold_trigger timed_trigger sweep_trigger fallback_trigger consistent_links counted_walks tracked_walks assigned strategy_grid streamed_commits streamed_windows batch_windows session_windows sliding_windows".split()
 QUERIES = {f"q{i + 67}_{n}": globals()[n] for i, n in enumerate(_NAMES)}
 ORACLE_SQL = {f"q{i + 67}_{n}": globals()[n.upper()] for i, n in enumerate(_NAMES) if n.upper() in globals()}

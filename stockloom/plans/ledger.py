@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stockloom.functions.text import escape_cell, gtin14, literal_table
+from stockloom.functions.text import escape_cell, gtin14, known_classes, literal_table
 from stockloom.operators import ledger
 from stockloom.operators.graph import connected_components
 from stockloom.plans.detections import _STATUS, _statused
@@ -91,9 +91,12 @@ def catalogue_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 CATALOGUE_DUPLICATES = with_sql(SKU) + "SELECT code, mapped, n FROM (SELECT code, concat_ws('-', brand, units_per_case) AS mapped, count(*) OVER (PARTITION BY concat_ws('-', brand, units_per_case)) AS n FROM sku) WHERE n > 1"
 
 
+SIZES = ("STANDARD", "SMALL", "MEDIUM", "LARGE", "ECONOMY", "PROMO")
+
+
 def truth_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals against a literal table of truth; classes without a truth stay (SC5, J15)."""
-    truth = spark.range(1).select(F.explode(literal_table(F.lit("STANDARD = 100, SMALL=200,LARGE =300"))).alias("cls", "truth"))
+    truth = spark.range(1).select(F.explode(known_classes(literal_table(F.lit("STANDARD = 100, SMALL=200,LARGE =300")), SIZES)).alias("cls", "truth"))
     got = _statused(spark, sf_dir).where("status = 'inner'").groupBy(F.element_at(F.split("cls", " "), 1).alias("cls")).agg(F.count("*").alias("got"))
     return got.join(F.broadcast(truth), "cls", "left").select("cls", "got", "truth")
 
@@ -136,11 +139,12 @@ def lifecycle_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.lifecycle_errors(e, "walk_id", ["frame"], "action").select("walk_id", "frame", "state", "action")
 
 
-LIFECYCLE_ERRORS = with_sql(FRAMES) + """
-SELECT walk_id, frame, state, action FROM (SELECT walk_id, frame, action, CASE coalesce(lag(action) OVER (PARTITION BY walk_id ORDER BY frame), 'resume')
-    WHEN 'finish' THEN 'review' WHEN 'lock' THEN 'locked' WHEN 'resume' THEN 'open' WHEN 'reopen' THEN 'review' END AS state
-  FROM (SELECT walk_id, frame, ['finish', 'lock', 'resume', 'reopen'][CAST(px % 4 + 1 AS BIGINT)] AS action FROM frames))
-WHERE NOT (state, action) IN (('open', 'finish'), ('review', 'lock'), ('review', 'resume'), ('locked', 'reopen'))"""
+_AFTER = "CASE state || '/' || action " + " ".join(f"WHEN '{s}/{a}' THEN '{t}'" for (s, a), t in ledger.LIFECYCLE.items())
+LIFECYCLE_ERRORS = "WITH RECURSIVE " + FRAMES + f""",
+acts AS (SELECT walk_id, frame, ['finish', 'lock', 'resume', 'reopen'][CAST(px % 4 + 1 AS BIGINT)] AS action FROM frames),
+walked AS (SELECT walk_id, frame, 'open' AS state, action FROM acts WHERE frame = 1
+  UNION ALL SELECT walk_id, frame + 1, {_AFTER} ELSE state END, next FROM walked JOIN (SELECT walk_id AS nw, frame AS nf, action AS next FROM acts) ON nw = walk_id AND nf = frame + 1)
+SELECT walk_id, frame, state, action FROM walked WHERE ({_AFTER} END) IS NULL"""
 
 
 def review_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,8 +246,7 @@ def op_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = r.select(F.lit("model").alias("parent"), name("r", "r_regionkey").alias("child"), F.lit("function").alias("kind"))
     edges = edges.unionByName(n.select(name("r", "n_regionkey").alias("parent"), name("n", "n_nationkey").alias("child"), F.lit("block").alias("kind")))
     edges = edges.unionByName(s.select(name("n", "s_nationkey").alias("parent"), name("s", "s_suppkey").alias("child"), F.when(F.col("s_suppkey") % 3 == 0, "topk").otherwise("conv").alias("kind")))
-    edges.createOrReplaceTempView("stockloom_op_edges")
-    return ledger.op_tree_histogram(spark, "stockloom_op_edges", "model")
+    return ledger.op_tree_histogram(edges, "model")
 
 
 OP_INVENTORY = """WITH RECURSIVE edges AS (SELECT 'model' AS parent, 'r' || r_regionkey AS child, 'function' AS kind FROM region UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, 'block' FROM nation

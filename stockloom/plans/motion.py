@@ -75,14 +75,18 @@ FROM frames a JOIN frames b ON a.walk_id = b.walk_id AND b.t >= a.t - 24.0 AND b
 
 
 def commit_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = motion.gaps(commits(spark, sf_dir))
-    ends = g.groupBy("walk_id").agg(F.max("gap").alias("max_gap"), F.median("gap").alias("median_gap"), F.count("*").alias("commits"), (F.max("t") - F.min("t")).alias("days"))
-    return ends.select("walk_id", F.round("max_gap", 6).alias("max_gap"), F.round("median_gap", 6).alias("median_gap"), "commits", F.round(F.col("commits") / F.greatest("days", F.lit(1.0)), 6).alias("commits_a_day"))
+    """Gaps with the ends of the recording, which is that of all walks."""
+    c = commits(spark, sf_dir)
+    ends = c.agg(F.min("t").alias("opened"), F.max("t").alias("closed"))  # one row
+    g = motion.gap_summary(c.crossJoin(ends), F.col("opened"), F.col("closed"))
+    return g.select("walk_id", F.round("max_gap", 6).alias("max_gap"), F.round("median_gap", 6).alias("median_gap"), "commits", F.round(F.col("commits") / F.greatest("length", F.lit(1.0)), 6).alias("commits_a_day"))
 
 
 COMMIT_GAPS = with_sql(COMMITS) + """
-SELECT walk_id, round(max(gap), 6) AS max_gap, round(median(gap), 6) AS median_gap, count(*) AS commits, round(count(*) / greatest(max(t) - min(t), 1.0), 6) AS commits_a_day
-FROM (SELECT *, t - lag(t) OVER (PARTITION BY walk_id ORDER BY n) AS gap FROM commits) GROUP BY walk_id"""
+SELECT m.walk_id, max_gap, median_gap, commits, round(commits / greatest((SELECT max(t) - min(t) FROM commits), 1.0), 6) AS commits_a_day
+FROM (SELECT walk_id, round(max(moment - before), 6) AS max_gap FROM (SELECT walk_id, moment, lag(moment) OVER (PARTITION BY walk_id ORDER BY moment, k) AS before
+  FROM (SELECT walk_id, t AS moment, n AS k FROM commits UNION ALL SELECT DISTINCT walk_id, (SELECT min(t) FROM commits), 0 FROM commits UNION ALL SELECT DISTINCT walk_id, (SELECT max(t) FROM commits), 1000000000 FROM commits)) GROUP BY walk_id) m
+JOIN (SELECT walk_id, count(*) AS commits, round(median(gap), 6) AS median_gap FROM (SELECT *, t - lag(t) OVER (PARTITION BY walk_id ORDER BY n) AS gap FROM commits) GROUP BY walk_id) i ON m.walk_id = i.walk_id"""
 
 
 def step_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,10 +33,11 @@ def truth_holds(doc: DataFrame) -> DataFrame:
 
 
 def view_truth(spark: SparkSession, path: str) -> DataFrame:
-    """Counts of each view and class; classes are trimmed, and of several rows for a key the last line counts."""
-    raw = spark.read.option("header", True).schema(VIEW_TRUTH).csv(path).withColumn("_n", F.monotonically_increasing_id())
+    """Counts of each view and class; classes are trimmed, and of several rows for a key the last line of the last file (by
+    path) counts. Lines of a file keep their order: its blocks are read in order of their start."""
+    raw = spark.read.option("header", True).schema(VIEW_TRUTH).csv(path).select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_n"))
     named = raw.withColumn("class", F.trim("class"))
-    last = F.row_number().over(Window.partitionBy("commit", "class").orderBy(F.desc("_n")))
+    last = F.row_number().over(Window.partitionBy("commit", "class").orderBy(F.desc("_f"), F.desc("_b"), F.desc("_n")))
     return named.withColumn("_r", last).where("_r = 1").select("commit", "class", "count")
 
 

@@ -87,8 +87,28 @@ def summary_json(settings: dict[str, str], commits: DataFrame, totals: DataFrame
     return listed.crossJoin(counts).select(F.to_json(F.struct(known.alias("settings"), "commits", "totals")).alias("value"))
 
 
+def truth_document(objects: DataFrame, affines: DataFrame, holds: DataFrame, pause: tuple[float, float], frame_size: tuple[int, int], fps: int, px_per_m: float) -> DataFrame:
+    """One row ``value``: the truth of one walk as JSON, with its objects, a transform for each frame, and its holds in order.
+
+    objects: id, cls, sku, box; affines: frame, m; holds: t_from, t_to. A walk's document is one row by its nature.
+    """
+    listed = objects.agg(F.sort_array(F.collect_list(F.struct("id", "cls", "sku", "box"))).alias("objects"))
+    moved = affines.agg(F.transform(F.sort_array(F.collect_list(F.struct("frame", "m"))), lambda s: s["m"]).alias("affine"))
+    held = holds.agg(F.transform(F.sort_array(F.collect_list(F.struct("t_from", "t_to"))), lambda s: F.array(s["t_from"], s["t_to"])).alias("holds"))
+    known = F.array(*map(F.lit, pause)).alias("pause"), F.array(*map(F.lit, frame_size)).alias("frame_size"), F.lit(fps).alias("fps"), F.lit(px_per_m).alias("px_per_m")
+    return moved.crossJoin(held).crossJoin(listed).select(F.to_json(F.struct("affine", "holds", *known, "objects")).alias("value"))
+
+
+def inventory_json(histogram: DataFrame) -> DataFrame:
+    """One row ``value``: the counts of node kinds as a JSON object with sorted keys. histogram: kind, n."""
+    per = histogram.groupBy("kind").agg(F.sum("n").alias("n"))
+    return per.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n"))))).alias("value"))
+
+
 def markdown_table(df: DataFrame, max_rows: int = 1000) -> str:
-    """A report table of at most ``max_rows`` rows."""
-    rows = df.limit(max_rows).collect()
+    """A report table. A report is read by people, so that more than ``max_rows`` rows are an error."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"a report holds at most {max_rows} rows")
     line = lambda cells: "| " + " | ".join("–" if c is None else f"{c:g}" if isinstance(c, float) else str(c) for c in cells) + " |"
     return "\n".join([line(df.columns), "|" + "---|" * len(df.columns), *map(line, rows)]) + "\n"

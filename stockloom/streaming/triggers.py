@@ -13,23 +13,30 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from stockloom.operators.folds import COMMIT_SCHEMA, FRAME_COLUMNS, Trigger, run_trigger
 
 
-def stream_commits(frames: DataFrame, frame_time: float, **options) -> DataFrame:
+def stream_commits(frames: DataFrame, frame_time: float, expire: str = "1 day", late: str = "0 seconds", **options) -> DataFrame:
     """The commits of each walk of a stream of frames: the batch fold with its state kept between micro-batches.
 
     Frames of a walk must arrive in time order across batches; inside a batch they are sorted. A pending commit is not
-    flushed at the end.
+    flushed at the end. Frames have their event time in ``ts``: a walk's state is dropped once the watermark is ``expire`` past its
+    last frame, so that state does not grow with all walks ever seen; a later frame begins the walk anew.
     """
     Trigger(**options)
+    span = int(pd.Timedelta(expire).total_seconds() * 1000)
     names = [c.split()[0] for c in COMMIT_SCHEMA.split(", ")]
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         machine = pickle.loads(state.get[0]) if state.exists else Trigger(**options)
         rows = pd.concat(list(pdfs))
         got = run_trigger(rows, frame_time, options, machine)
         state.update((pickle.dumps(machine),))
+        last = int(pd.Timestamp(rows["ts"].max()).tz_localize(None).timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + span)
         yield pd.DataFrame([{"walk_id": key[0], **c} for c in got], columns=names)
 
-    return frames.select("walk_id", *FRAME_COLUMNS).groupBy("walk_id").applyInPandasWithState(step, COMMIT_SCHEMA, "machine binary", "append", GroupStateTimeout.NoTimeout)
+    return frames.withWatermark("ts", late).select("walk_id", "ts", *FRAME_COLUMNS).groupBy("walk_id").applyInPandasWithState(step, COMMIT_SCHEMA, "machine binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(frames: DataFrame, length: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:

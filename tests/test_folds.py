@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stockloom.operators import folds
+from stockloom.operators import counting, folds
 from stockloom.plans import folds as plans
 
 SF = "/root/testdata/sf0.001"
@@ -71,37 +71,73 @@ def test_assignment_is_the_cheapest(n, m, rnd):
     assert cost[i, j].sum() == pytest.approx(best)
 
 
-def test_counting_with_links_prompts_and_never_double_counts():
-    box = lambda x: {"x0": x, "y0": 40.0, "x1": x + 10, "y1": 50.0}
-    rows = [dict(walk_id=1, n=1, t=0.0, det_id=i, score=0.9, cls="can", **box(30.0 + 12 * i)) for i in range(4)]
-    rows += [dict(walk_id=1, n=2, t=1.0, det_id=i, score=0.9, cls="can", **box(20.0 + 12 * i)) for i in range(4)]  # the view moved by 10
-    rows += [dict(walk_id=1, n=2, t=1.0, det_id=9, score=0.9, cls="bottle", **box(50.0)), dict(walk_id=1, n=2, t=1.0, det_id=10, score=0.1, cls="can", **box(50.0)), dict(walk_id=1, n=2, t=1.0, det_id=11, score=0.9, cls="can", **box(-2.0))]
-    links = {(1, 2): (np.array([[1, 0, -10], [0, 1, 0], [0, 0, 1.0]]), 60)}
-    got = folds.count_walk(pd.DataFrame(rows), links, 0.5, 100.0, 100.0, 0.5, 12.0)
-    by = {(r.n, r.det_id): r.status for r in got.itertuples()}
+BOX = "x0 y0 x1 y1".split()
+
+
+def count(spark, rows, links, *options, **more):
+    """Statuses by (commit, detection); links: (from, to) -> transform, inliers."""
+    dets = spark.createDataFrame(pd.DataFrame(rows))
+    tied = [(1, a, b, [float(x) for x in np.asarray(h).ravel()], n) for (a, b), (h, n) in links.items()]
+    got = counting.count_commits(dets, spark.createDataFrame(tied, "walk_id long, a long, b long, h array<double>, inliers long"), *options, **more).collect()
+    assert len(got) == len(rows)
+    return {(r.n, r.det_id): r.status for r in got}
+
+
+def at(x, wide=10.0):
+    return dict(zip(BOX, (x, 40.0, x + wide, 50.0), strict=True))
+
+
+def test_counting_with_links_prompts_and_never_double_counts(spark):
+    rows = [dict(walk_id=1, n=1, t=0.0, det_id=i, score=0.9, cls="can", **at(30.0 + 12 * i)) for i in range(4)]
+    rows += [dict(walk_id=1, n=2, t=1.0, det_id=i, score=0.9, cls="can", **at(20.0 + 12 * i)) for i in range(4)]  # the view moved by 10
+    rows += [dict(walk_id=1, n=2, t=1.0, det_id=9, score=0.9, cls="bottle", **at(50.0)), dict(walk_id=1, n=2, t=1.0, det_id=10, score=0.1, cls="can", **at(50.0)), dict(walk_id=1, n=2, t=1.0, det_id=11, score=0.9, cls="can", **at(-2.0))]
+    by = count(spark, rows, {(1, 2): ([[1, 0, -10], [0, 1, 0], [0, 0, 1]], 60)}, 0.5, 100.0, 100.0, 0.5, 12.0)
     assert [by[1, i] for i in range(4)] == ["new"] * 4 and [by[2, i] for i in range(4)] == ["seen"] * 4
     assert (by[2, 9], by[2, 10], by[2, 11]) == ("miss", "low", "cut")
-    alone = folds.count_walk(pd.DataFrame(rows), {}, 0.5, 100.0, 100.0, 0.5, 12.0)
-    assert (alone.status == "new").sum() == 9  # without links every view counts anew
+    alone = count(spark, rows, {}, 0.5, 100.0, 100.0, 0.5, 12.0)
+    assert list(alone.values()).count("new") == 9  # without links every view counts anew
+
+
+def test_common_offset_needs_support_and_takes_the_shortest():
+    box = np.array([[20.0 + 12 * i, 40, 30 + 12 * i, 50] for i in range(4)])
+    kind = np.array(["can"] * 4, object)
+    pairs = counting.Pairs.of(box, kind, box + [4, 0, 4, 0], kind)
+    assert pairs.offset(box).tolist() == [0, 0]  # all are within half a box unmoved: the shortest of equals
+    far = counting.Pairs.of(box, kind, box + [4, 4, 4, 4], kind)
+    assert np.hypot(*(far.offset(box) - 4)) <= 5 and len(far.matches(far.offset(box))) == 4
+    two = counting.Pairs.of(box[:2], kind[:2], box[:2] + [4, 4, 4, 4], kind[:2])
+    assert two.offset(box[:2]).tolist() == [0, 0]  # two are too few
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(1, 4), st.integers(1, 4), st.randoms(use_true_random=False))
+def test_matches_are_the_cheapest_of_the_largest(n, m, rnd):
+    spot = lambda: [x := rnd.randint(0, 30), y := rnd.randint(0, 10), x + 20, y + 20]  # noqa: E731, F841
+    a, b = np.array([spot() for _ in range(n)], float), np.array([spot() for _ in range(m)], float)
+    kind = lambda k: np.array(["x"] * k, object)
+    pairs = counting.Pairs.of(a, kind(n), b, kind(m))
+    got = pairs.matches(np.zeros(2))
+    far = np.full((n, m), np.inf)
+    far[pairs.det, pairs.item] = pairs.distance(np.zeros(2))
+    best = min((sum(-1000 + far[i, j] for i, j in zip(range(n), p, strict=False) if j >= 0 and far[i, j] <= 1) for p in itertools.permutations([*range(m), *[-1] * n], n)), default=0)
+    assert sum(-1000 + far[i, j] for i, j in got) == pytest.approx(best) and len({i for i, _ in got}) == len(got) == len({j for _, j in got})
 
 
 def test_zone_follows_its_items():
     base = np.array([[0, 0], [10, 0], [10, 10], [0, 10], [5, 5.0]])
     turn = np.array([[0.98, -0.1], [0.1, 0.98]])
-    h = folds.zone_transform(base, base @ turn.T + [3, -2])
+    h = counting.zone_transform(base, base @ turn.T + [3, -2])
     assert np.allclose(h, [[0.98, -0.1, 3], [0.1, 0.98, -2], [0, 0, 1]])
-    assert np.allclose(folds.zone_transform(base, 3 * base)[:2, :2], np.eye(2))  # too large a scale: the median shift
-    assert np.allclose(folds.zone_transform(base[:2], base[:2] + 4), [[1, 0, 4], [0, 1, 4], [0, 0, 1]])
-    assert folds.zone_transform(base[:0], base[:0]) is None
-
-
-def test_tracked_items_are_seen_again_and_zones_move_along():
-    box = lambda x: {"x0": x, "y0": 40.0, "x1": x + 10, "y1": 50.0}
-    rows = [dict(walk_id=1, n=n, t=float(n), det_id=i, score=0.9, cls="can", **box(40.0 + 12 * i - 6 * n)) for n in (1, 2, 3) for i in range(4)]
-    rows.append(dict(walk_id=1, n=3, t=3.0, det_id=9, score=0.9, cls="case", **box(50.0)))
-    step = np.array([[1, 0, -6], [0, 1, 0], [0, 0, 1.0]])
-    got = folds.count_walk(pd.DataFrame(rows), {}, 0.5, 100.0, 100.0, 0.5, 12.0, {2: step, 3: step})
-    by = {(r.n, r.det_id): r.status for r in got.itertuples()}
+    assert np.allclose(counting.zone_transform(base, 3 * base)[:2, :2], np.eye(2))  # too large a scale: the median shift
+    assert np.allclose(counting.zone_transform(base[:2], base[:2] + 4), [[1, 0, 4], [0, 1, 4], [0, 0, 1]])
+    assert counting.zone_transform(base[:0], base[:0]) is None
+
+
+def test_tracked_items_are_seen_again_and_zones_move_along(spark):
+    rows = [dict(walk_id=1, n=n, t=float(n), det_id=i, score=0.9, cls="can", **at(40.0 + 12 * i - 6 * n)) for n in (1, 2, 3) for i in range(4)]
+    rows.append(dict(walk_id=1, n=3, t=3.0, det_id=9, score=0.9, cls="case", **at(50.0)))
+    step = ([[1, 0, -6], [0, 1, 0], [0, 0, 1]], 50)
+    by = count(spark, rows, {(1, 2): step, (2, 3): step}, 0.5, 100.0, 100.0, 0.5, 12.0, motion=True)
     assert all(by[n, i] == ("new" if n == 1 else "seen") for n in (1, 2, 3) for i in range(4)) and by[3, 9] == "miss"
 
 
@@ -144,19 +180,51 @@ def test_streamed_windows_are_the_closed_batch_windows(spark):
     assert {r[0] for r in b - a} == {max(r[0] for r in b)}  # only the last day is still open
 
 
-def test_simulation_ranks_the_strategies(spark):
-    from stockloom.operators import simulation
+def test_assigned_groups_equal_brute_force(spark):
+    rows = [(1, 1, 10, 20, 3.0), (1, 1, 10, 21, 1.0), (1, 1, 11, 21, 1.5), (2, 5, 30, 40, 2.0), (2, 5, 30, 41, 2.5), (2, 5, 31, 40, 9.0)]
+    got = folds.assigned_groups(spark.createDataFrame(rows, "walk_id long, grp long, det long, item long, dist double")).collect()
+    assert sorted((r.walk_id, r.matches, r.cost) for r in got) == [(1, 2, 4.5), (2, 2, 11.5)]
 
-    got = simulation.summary(simulation.simulate(simulation.grid(spark, ["low"], ["mixed"], ["S1", "S2", "S5", "S6"], [5], 4), racks=2)).toPandas().set_index("strategy")
-    assert got.double["S5"] <= got.double["S2"] <= got.double["S1"]
-    assert got.double["S1"] > 10 and got.double["S6"] < 2 and got.missed["S5"] < 10
 
+def test_idle_walks_leave_the_state(spark, tmp_path):
+    """Without expiry the second part of a walk goes on counting from the first; with it the walk begins anew."""
+    from stockloom.streaming import triggers
 
-def test_wrong_rack_is_only_caught_by_markers(spark):
-    from stockloom.operators import simulation
+    start = pd.Timestamp("2024-01-01")
+    first = walk().assign(walk_id=1)
+    late = pd.concat([walk().assign(walk_id=2, t=lambda f: f.t + 500), walk(n=1).assign(walk_id=2, t=900.0)])
+    again = walk().assign(walk_id=1, t=lambda f: f.t + 1000)
 
-    got = simulation.summary(simulation.simulate(simulation.grid(spark, ["low"], ["identical"], ["S5", "S6"], [0], 2, wrong_rack=True))).toPandas().set_index("strategy")
-    assert got.missed["S5"] > 40 and got.missed["S6"] < 10
+    def commits(expire, name):
+        out = f"{tmp_path}/{name}"
+        for part in (first, late, again):
+            part = part.assign(ts=start + pd.to_timedelta(part.t, unit="s"))
+            spark.createDataFrame(part).coalesce(1).write.mode("append").parquet(f"{out}/in")
+            src = spark.readStream.schema(spark.read.parquet(f"{out}/in").schema).parquet(f"{out}/in")
+            q = triggers.stream_commits(src, 0.1, expire=expire).writeStream.foreachBatch(triggers.exactly_once(f"{out}/got", ["walk_id", "n", "t"])).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+            q.awaitTermination()
+        return sorted((r.walk_id, r.n) for r in spark.read.parquet(f"{out}/got").collect())
+
+    assert commits("10 seconds", "short").count((1, 1)) == 2 and commits("1 day", "long").count((1, 1)) == 1
+
+
+def test_a_repeated_batch_is_written_once(spark, tmp_path):
+    from stockloom.streaming import triggers
+
+    write = triggers.exactly_once(f"{tmp_path}/out", ["k"])
+    for _ in range(2):
+        write(spark.createDataFrame([(1,), (1,), (2,)], "k long"), 7)
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+def test_detectors_go_by_name(spark):
+    from stockloom.operators import detectors
+
+    boxes = spark.createDataFrame([(10.0, 10.0, 20.0, 20.0, 0.4), (50.0, 10.0, 63.0, 20.0, 0.9)], "x0 double, y0 double, x1 double, y1 double, score double")
+    assert [r.counted for r in detectors.detector("rfdetr")(boxes).orderBy("score").collect()] == [False, True]
+    assert detectors.detector("rfdetr_tiled")(boxes).count() == 1 and detectors.detector("oracle")(boxes).count() == 1
+    with pytest.raises(ValueError):
+        detectors.detector("other")
 
 
 def test_consistent_links_drop_the_weaker_of_a_clash(spark):

@@ -5,6 +5,7 @@ import io
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from stockloom.functions import geometry as g
@@ -119,3 +120,48 @@ def test_geometry(spark):
 def test_lifecycle(spark):
     e = spark.createDataFrame([(1, i, a) for i, a in enumerate(["finish", "lock", "reopen", "resume", "finish", "finish"])], "s int, i int, action string")
     assert [(r.i, r.state) for r in ledger.lifecycle_errors(e, "s", ["i"], "action").collect()] == [(5, "review")]
+    middle = spark.createDataFrame([(1, 0, "lock"), (1, 1, "finish"), (1, 2, "lock"), (2, 0, "finish"), (2, 1, "finish"), (2, 2, "resume")], "s int, i int, action string")
+    assert sorted((r.s, r.i, r.state) for r in ledger.lifecycle_errors(middle, "s", ["i"], "action").collect()) == [(1, 0, "open"), (2, 1, "review")]
+
+
+def test_gaps_count_the_ends(spark):
+    from stockloom.operators import motion
+
+    c = spark.createDataFrame([(1, 1, 10.0), (1, 2, 12.0), (1, 3, 15.0), (2, 1, 4.0)], "walk_id int, n int, t double")
+    got = {r.walk_id: (r.max_gap, r.median_gap) for r in motion.gap_summary(c, F.lit(0.0), F.lit(16.0)).collect()}
+    assert got == {1: (10.0, 2.5), 2: (12.0, None)}
+
+
+def test_written_truth_is_read_back(spark, tmp_path):
+    objects = spark.createDataFrame([(2, "can", "c2", [1, 2, 3, 4]), (1, "case", "c1", [5, 6, 7, 8])], "id int, cls string, sku string, box array<int>")
+    affines = spark.createDataFrame([(1, [1.0, 0.0, 5.0, 0.0, 1.0, 0.0]), (0, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0])], "frame int, m array<double>")
+    holds = spark.createDataFrame([(3.0, 4.0), (0.0, 1.5)], "t_from double, t_to double")
+    doc = sinks.truth_document(objects, affines, holds, (2.0, 3.0), (640, 480), 30, 500.0)
+    (tmp_path / "t.json").write_text(doc.first().value)
+    d = documents.truth_document(spark, f"{tmp_path}/t.json")
+    assert [r.id for r in documents.truth_objects(d).collect()] == [1, 2] and [r.m[2] for r in documents.truth_affines(d).orderBy("frame").collect()] == [0.0, 5.0]
+    assert documents.truth_holds(d).orderBy("hold").first().t_to == 1.5 and d.first().pause == [2.0, 3.0]
+
+
+def test_small_documents_and_their_bounds(spark):
+    kinds = spark.createDataFrame([("conv", 1, 3), ("topk", 2, 1), ("conv", 2, 4)], "kind string, depth int, n long")
+    assert json.loads(sinks.inventory_json(kinds).first().value) == {"conv": 7, "topk": 1}
+    with pytest.raises(ValueError):
+        sinks.markdown_table(spark.range(5), max_rows=4)
+
+
+def test_unknown_classes_are_an_error(spark):
+    ok = text.known_classes(text.literal_table(F.lit("can=1, case = 2")), ("can", "case"))
+    assert one(spark, ok)[0] == {"can": 1, "case": 2}
+    with pytest.raises(Exception, match="unknown class: crate"):
+        one(spark, text.known_classes(text.literal_table(F.lit("can=1, crate = 2")), ("can", "case")))
+
+
+def test_no_shared_folder_is_an_error_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from stockloom.plans import durable
+
+    lone = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError):
+        durable.shared_dir(lone)
