@@ -3,6 +3,9 @@
 from collections import Counter
 
 import corpus_pipeline
+import pytest
+from odd import no_documents, odd_documents
+
 from stockloom.llm import near_text, quality_rules
 from stockloom.plans.durable import staged
 from stockloom.sources.tables import table
@@ -37,7 +40,23 @@ def test_stages_take_effect(spark):
 
 
 def test_run_is_the_stages(spark):
-    assert corpus_pipeline.run(spark, SF).count() > 0
+    docs = table(spark, SF, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = staged(stage(spark, docs, SF), name)
+    of = lambda df: Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in df.collect())
+    run = corpus_pipeline.run(spark, SF)
+    assert of(run) == of(docs) and run.columns == docs.columns
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_stand_odd_and_empty_tables(spark, name, stage):
+    for docs in (odd_documents(spark, clashing=True), no_documents(spark)):
+        out = stage(spark, docs, SF)
+        rows = out.collect()
+        if name != "packing":
+            assert out.columns == docs.columns and {(r.doc_id, r.text) for r in rows} <= {(r.doc_id, r.text) for r in docs.collect()}
+        if name in ("near_duplicates", "packing") and docs.take(1):
+            assert {r.doc_id for r in rows} >= {1, 6, 7, 10, None}
 
 
 def test_registered(spark):
