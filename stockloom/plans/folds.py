@@ -17,6 +17,7 @@ from stockloom.streaming import triggers
 
 TRIGGER = {"hold": 6.0, "limit": 60.0, "rearm": 15.0, "focal": 100.0, "width": 120.0, "height": 90.0}
 FRAME_TIME = 1.0
+SWEEP_SPEED = 200.0
 
 
 def trigger_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,9 +35,10 @@ def _rounded(c: DataFrame) -> DataFrame:
 
 _TURNED = f"degrees(atan(sqrt(ntx * ntx + nty * nty) / {TRIGGER['focal']}))"
 _TRIGGERED = FRAMES + f""",
-tf AS (SELECT walk_id, frame, t, lost, px AS sharp, CASE WHEN kind = 'click' THEN -px ELSE px END / 4 AS dx, px % 5 AS dy,
-  median(CASE WHEN lost THEN 'infinity'::DOUBLE ELSE speed END) OVER (PARTITION BY walk_id ORDER BY frame ROWS 2 PRECEDING) < {TRIGGER['limit']} AS steady FROM frames),
-nx AS (SELECT walk_id AS w, frame AS f, t AS ft, lost AS fl, sharp AS fs, dx AS fx, dy AS fy, steady AS st FROM tf)"""
+tf AS (SELECT *, coalesce(pace < {TRIGGER['limit']}, false) AS steady, coalesce(pace < {SWEEP_SPEED}, false) AS slow FROM (
+  SELECT walk_id, frame, t, lost, px AS sharp, CASE WHEN kind = 'click' THEN -px ELSE px END / 4 AS dx, px % 5 AS dy,
+    median(CASE WHEN lost THEN 'infinity'::DOUBLE ELSE speed END) OVER (PARTITION BY walk_id ORDER BY frame ROWS 2 PRECEDING) AS pace FROM frames)),
+nx AS (SELECT walk_id AS w, frame AS f, t AS ft, lost AS fl, sharp AS fs, dx AS fx, dy AS fy, steady AS st, slow AS sl FROM tf)"""
 # A row for each frame: the state after it, and what it fired. The keyframe is found afterwards, by a join on the frames of the hold.
 HOLD_TRIGGER = "WITH RECURSIVE " + _TRIGGERED + f""",
 walked AS (SELECT walk_id, frame, t, steady, true AS armed, CASE WHEN steady THEN t END AS since, CASE WHEN steady THEN frame END AS first, 0.0::DOUBLE AS tx, 0.0::DOUBLE AS ty, false AS astray, 0::BIGINT AS n, false AS fired, NULL::DOUBLE AS step
@@ -56,6 +58,35 @@ walked AS (SELECT walk_id, frame, t, t - {FRAME_TIME} AS opened, 1::BIGINT AS si
 SELECT c.walk_id, n, round(c.t, 6) AS t, round(from_, 6) AS hold_from, arg_max(k.frame, (k.sharp, -k.frame)) AS frame, round(arg_max(k.t, (k.sharp, -k.frame)), 6) AS t_key, round(step, 6) AS step_deg, false AS no_hold
 FROM walked c JOIN tf k ON k.walk_id = c.walk_id AND k.frame BETWEEN c.first AND c.frame WHERE fired GROUP BY c.walk_id, n, c.t, from_, step"""
 
+# The same walk over the view's advance: the sharpest frame so far past the mark is part of the state, and the next advance counts from it.
+_AHEAD = f"1 - greatest(0.0::DOUBLE, 1 - abs(nsx) / {TRIGGER['width']}::DOUBLE) * greatest(0.0::DOUBLE, 1 - abs(nsy) / {TRIGGER['height']}::DOUBLE)"
+_MOVED = """SELECT *, tx + CASE WHEN fl THEN 0 ELSE fx END AS ntx, ty + CASE WHEN fl THEN 0 ELSE fy END AS nty,
+  sx + CASE WHEN fl THEN 0 ELSE fx END AS nsx, sy + CASE WHEN fl THEN 0 ELSE fy END AS nsy, astray OR fl AS off FROM walked JOIN nx ON w = walk_id AND f = frame + 1"""
+_BEST = "CASE WHEN take THEN fs ELSE bs END AS b2s, CASE WHEN take THEN f ELSE bf END AS b2f, CASE WHEN take THEN ft ELSE bt END AS b2t, CASE WHEN take THEN nsx ELSE bx END AS b2x, CASE WHEN take THEN nsy ELSE b_y END AS b2y"
+_NO_BEST = "CASE WHEN fire THEN NULL ELSE b2s END, CASE WHEN fire THEN NULL ELSE b2f END, CASE WHEN fire THEN NULL ELSE b2t END, CASE WHEN fire THEN NULL ELSE b2x END, CASE WHEN fire THEN NULL ELSE b2y END"
+_START = "0.0::DOUBLE AS tx, 0.0::DOUBLE AS ty, 0.0::DOUBLE AS sx, 0.0::DOUBLE AS sy"
+SWEEP_TRIGGER = "WITH RECURSIVE " + _TRIGGERED + f""",
+walked AS (SELECT walk_id, frame, t, t - {FRAME_TIME} AS opened, {_START}, CASE WHEN slow THEN sharp END AS bs, CASE WHEN slow THEN frame END AS bf, CASE WHEN slow THEN t END AS bt, CASE WHEN slow THEN 0.0::DOUBLE END AS bx, CASE WHEN slow THEN 0.0::DOUBLE END AS b_y,
+      false AS astray, 0::BIGINT AS n, false AS fired, NULL::DOUBLE AS from_, NULL::BIGINT AS kf, NULL::DOUBLE AS kt, NULL::DOUBLE AS step FROM tf WHERE frame = 1
+  UNION ALL SELECT w, f, ft, CASE WHEN fire THEN b2t ELSE opened END, CASE WHEN fire THEN 0.0 ELSE ntx END, CASE WHEN fire THEN 0.0 ELSE nty END, nsx - CASE WHEN fire THEN b2x ELSE 0 END, nsy - CASE WHEN fire THEN b2y ELSE 0 END, {_NO_BEST},
+      off AND NOT fire, n + CASE WHEN fire THEN 1 ELSE 0 END, fire, opened, b2f, b2t, CASE WHEN NOT off AND n > 0 THEN {_TURNED} END
+    FROM (SELECT *, ahead >= goal AND b2s IS NOT NULL AS fire FROM (SELECT *, {_BEST} FROM (SELECT *, ahead >= goal - 0.25::DOUBLE AND sl AND (bs IS NULL OR fs > bs) AS take
+      FROM (SELECT *, {_AHEAD} AS ahead, CASE WHEN n > 0 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS goal FROM ({_MOVED}))))))
+SELECT walk_id, n, round(t, 6) AS t, round(from_, 6) AS hold_from, kf AS frame, round(kt, 6) AS t_key, round(step, 6) AS step_deg, false AS no_hold FROM walked WHERE fired"""
+FALLBACK_TRIGGER = "WITH RECURSIVE " + _TRIGGERED + f""",
+walked AS (SELECT walk_id, frame, t, true AS armed, CASE WHEN steady THEN t END AS since, CASE WHEN steady THEN frame END AS first, {_START}, NULL::DOUBLE AS bs, NULL::BIGINT AS bf, NULL::DOUBLE AS bt, NULL::DOUBLE AS bx, NULL::DOUBLE AS b_y,
+      false AS astray, 0::BIGINT AS n, false AS held, false AS swept, NULL::BIGINT AS kf, NULL::DOUBLE AS kt, NULL::DOUBLE AS step FROM tf WHERE frame = 1
+  UNION ALL SELECT w, f, ft, now AND NOT hit, s1, f1, CASE WHEN fire THEN 0.0 ELSE ntx END, CASE WHEN fire THEN 0.0 ELSE nty END, CASE WHEN hit THEN 0.0 WHEN fire THEN nsx - b2x ELSE nsx END, CASE WHEN hit THEN 0.0 WHEN fire THEN nsy - b2y ELSE nsy END, {_NO_BEST},
+      off AND NOT fire, n + CASE WHEN fire THEN 1 ELSE 0 END, hit, fire AND NOT hit, b2f, b2t, CASE WHEN NOT off AND n > 0 THEN {_TURNED} END
+    FROM (SELECT *, hit OR ahead >= 0.7::DOUBLE AND b2s IS NOT NULL AND NOT st AS fire FROM (SELECT *, {_BEST} FROM (SELECT *, NOT hit AND ahead >= 0.7::DOUBLE - 0.35::DOUBLE AND sl AND (bs IS NULL OR fs > bs) AS take
+      FROM (SELECT *, coalesce(st AND now AND ft - s1 >= {TRIGGER['hold']} - 1e-6, false) AS hit, {_AHEAD} AS ahead
+        FROM (SELECT *, armed OR again AS now, CASE WHEN NOT st THEN NULL WHEN again OR since IS NULL THEN ft ELSE since END AS s1, CASE WHEN NOT st THEN NULL WHEN again OR since IS NULL THEN f ELSE first END AS f1
+          FROM (SELECT *, NOT armed AND (fl OR {_TURNED} >= {TRIGGER['rearm']}) AS again FROM ({_MOVED})))))))),
+keys AS (SELECT c.walk_id, n, c.t, since AS from_, arg_max(k.frame, (k.sharp, -k.frame)) AS frame, arg_max(k.t, (k.sharp, -k.frame)) AS kt, step, false AS no_hold
+    FROM walked c JOIN tf k ON k.walk_id = c.walk_id AND k.frame BETWEEN c.first AND c.frame AND k.t >= c.t - {TRIGGER['hold']} WHERE held GROUP BY c.walk_id, n, c.t, since, step
+  UNION ALL SELECT walk_id, n, t, kt, kf, kt, step, true FROM walked WHERE swept)
+SELECT walk_id, n, round(t, 6) AS t, round(from_, 6) AS hold_from, frame, round(kt, 6) AS t_key, round(step, 6) AS step_deg, no_hold FROM keys"""
+
 
 def hold_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(folds.trigger_commits(trigger_frames(spark, sf_dir), FRAME_TIME, **TRIGGER))
@@ -66,11 +97,11 @@ def timed_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sweep_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(folds.trigger_commits(trigger_frames(spark, sf_dir), FRAME_TIME, sweep=0.5, sweep_speed=200.0, **TRIGGER))
+    return _rounded(folds.trigger_commits(trigger_frames(spark, sf_dir), FRAME_TIME, sweep=0.5, sweep_speed=SWEEP_SPEED, **TRIGGER))
 
 
 def fallback_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(folds.trigger_commits(trigger_frames(spark, sf_dir), FRAME_TIME, fallback=0.7, sweep_speed=200.0, **TRIGGER))
+    return _rounded(folds.trigger_commits(trigger_frames(spark, sf_dir), FRAME_TIME, fallback=0.7, sweep_speed=SWEEP_SPEED, **TRIGGER))
 
 
 def consistent_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,6 +231,8 @@ def batch_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BATCH_WINDOWS = "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type AS kind, count(*) AS frames, round(sum(value), 4) AS total FROM events GROUP BY ALL"
+# Slices come in order of time, so no row is late; the watermark, an hour behind the last row, has closed all windows that end before it.
+STREAMED_WINDOWS = f"SELECT * FROM ({BATCH_WINDOWS}) WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
 
 
 def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
