@@ -1,4 +1,4 @@
-"""Queries on folds and streams. Where SQL cannot follow a fold there is none; tests hold these to hand-made walks, brute force and invariants."""
+"""Queries on folds and streams. Where a fold has no SQL, tests hold it to hand-made walks, brute force and invariants."""
 
 from __future__ import annotations
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stockloom.functions import geometry as g
 from stockloom.operators import detectors, ledger, motion
 from stockloom.plans.detections import _LINKS_SQL, _STATUS, _links, _statused
-from stockloom.plans.folds import fallback_trigger, hold_trigger, sweep_trigger, timed_trigger
+from stockloom.plans.folds import FALLBACK_TRIGGER, HOLD_TRIGGER, SWEEP_TRIGGER, TIMED_TRIGGER, fallback_trigger, hold_trigger, sweep_trigger, timed_trigger
 from stockloom.sources.adapters import COMMITS, DETECTIONS, FRAMES, commits, detections, frames, sku, with_sql
 from stockloom.sources.tables import table
 
@@ -201,6 +201,11 @@ def trigger_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("trigger").agg(F.count("*").alias("commits"), F.countDistinct("walk_id").alias("walks"), F.count("step_deg").alias("steps"), F.count_if("no_hold").alias("without_hold"))
 
 
+_RUNS_SQL = {"hold": HOLD_TRIGGER, "timed": TIMED_TRIGGER, "sweep": SWEEP_TRIGGER, "fallback": FALLBACK_TRIGGER}
+TRIGGER_COMPARISON = f"""SELECT "trigger", count(*) AS commits, count(DISTINCT walk_id) AS walks, count(step_deg) AS steps, count(*) FILTER (WHERE no_hold) AS without_hold
+FROM ({" UNION ALL ".join(f"SELECT '{k}' AS " + f'"trigger", walk_id, step_deg, no_hold FROM ({v})' for k, v in _RUNS_SQL.items())}) GROUP BY "trigger" """
+
+
 _NAMES = (
     "truth_objects truth_frames detector_counts after_matching prompt_counts overlap_coverage previous_links clipped_frames rack_lines usable_frames corrected_groups busy_devices confusion trigger_comparison"
 ).split()
