@@ -13,9 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stockloom.llm.samples import first_by_hash
 from stockloom.llm.text import chunks, held_out, ngram_counts
 from stockloom.plans.durable import staged
 
@@ -193,11 +194,7 @@ def fit_language(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id"
     are not held out. Up to ``most_here`` training rows are solved on the driver, more are summed in tasks; the weights are the
     same, and trust and sharpness come from rows that the weights used for them have not seen."""
     known = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(lang_col).cast("string").alias("lang")).dropna().where(~held_out("_id"))
-    few = known.distinct().withColumn("salt", F.pmod(F.xxhash64(F.lit(9), "_id"), F.lit(256)))
-    for parts in (256, 16, 1):  # a common language is ranked in parts first: no window after the first has over 16 times as many rows as are taken
-        order = Window.partitionBy("lang", F.pmod("salt", F.lit(parts))).orderBy(F.xxhash64("_id"), "_id")
-        few = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
-    picked = few.select("_id", "lang")
+    picked = first_by_hash(known.distinct(), "lang", per_language).select("_id", "lang")
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

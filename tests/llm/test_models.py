@@ -160,3 +160,14 @@ def test_hidden_insults_count():
     at = toxicity.FEATURES.index
     assert plain[at("insult_count")] == hidden[at("insult_count")] == 1 and calm[at("insult_count")] == 0
     assert hidden[at("obfuscated")] == 1 and plain[at("near_person")] == 1
+
+
+def test_first_by_hash_is_the_exact_ranking(spark):
+    rows = spark.range(5000).select(F.col("id").alias("_id"), F.when(F.col("id") % 50 == 0, 1).when(F.col("id") % 7 == 0, 2).otherwise(0).alias("g"))
+    take = {0: 300, 1: 40, 2: 10_000}
+    got = samples.first_by_hash(rows, "g", F.when(F.col("g") == 0, 300).when(F.col("g") == 1, 40).otherwise(10_000)).toPandas()
+    every = rows.withColumn("h", F.xxhash64("_id")).toPandas()
+    for g, n in take.items():
+        assert sorted(got[got.g == g]["_id"]) == sorted(every[every.g == g].sort_values("h")["_id"][:n])
+    assert samples.first_by_hash(rows.limit(0), "g", 5).count() == 0
+    assert samples.first_by_hash(rows, "g", 0).count() == 0
