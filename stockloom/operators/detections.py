@@ -193,3 +193,16 @@ def best_sighting(sightings: DataFrame, links: DataFrame) -> DataFrame:
 def status(score: Column, b: g.Box, threshold: float, width: float, height: float, margin: float, band: float) -> Column:
     """``low`` before ``cut`` before the view status."""
     return F.when(score < threshold, "low").otherwise(g.view_status(b, F.lit(width), F.lit(height), F.lit(margin), F.lit(band)))
+
+
+def box_hits(shown: DataFrame, truth: DataFrame, least: float) -> DataFrame:
+    """``shown`` with ``hit``, 1 for a box that finds a truth of its view and class.
+
+    Each box stands for the truth that it overlaps most, by ``least`` at least (the smallest id of equal ones); of the boxes for one
+    truth the best scored finds it, the others are wrong. Both tables: commit_id, cls, det_id (unique in the view), x0, y0, x1, y1.
+    """
+    there = truth.select("commit_id", "cls", F.col("det_id").alias("_truth"), *(F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")))
+    pairs = shown.select("commit_id", "cls", "det_id", "score", *g.box()).join(there, ["commit_id", "cls"]).withColumn("_iou", F.round(g.iou(g.box(), g.box("_")), 9)).where(F.col("_iou") >= least)
+    best = pairs.groupBy("commit_id", "det_id", "score").agg(F.max(F.struct("_iou", (-F.col("_truth")).alias("m"))).alias("_b"))
+    found = best.groupBy("commit_id", F.col("_b.m").alias("m")).agg(F.max(F.struct("score", (-F.col("det_id")).alias("d"))).alias("_f")).select("commit_id", (-F.col("_f.d")).alias("det_id"), F.lit(1).alias("_hit"))
+    return shown.join(found, ["commit_id", "det_id"], "left").withColumn("hit", F.coalesce("_hit", F.lit(0)).cast("long")).drop("_hit")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stockloom.operators.graph import connected_components
+
 
 def stock_lines(groups: DataFrame, manual: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Counted units and manual lines summed per product. total_units = full_cases * units_per_case + loose_units.
@@ -95,6 +97,31 @@ def precision_recall(scored: DataFrame, label: str, score: str, spans: int = 102
     return own.select(score, (F.col("_bp") + F.col("_p")).cast("long").alias("hits"), (F.col("_bn") + F.col("_n")).cast("long").alias("shown"), F.col("_all").cast("long").alias("positives"))
 
 
+def average_precision(scored: DataFrame, truths: DataFrame, cls: str, hit: str, score: str) -> DataFrame:
+    """``(cls, shown, hits, positives, ap)``: the area below each class's precision at its recall, precision being the best at that recall or more.
+
+    truths: cls, positives. Hits are summed by class and score before any window, so give scores rounded to the steps that
+    matter. A class with nothing shown has 0.
+    """
+    at = scored.groupBy(cls, score).agg(F.sum(hit).alias("_p"), F.count("*").alias("_n"))
+    down = Window.partitionBy(cls).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    below = Window.partitionBy(cls).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
+    run = at.withColumn("_exact", F.sum("_p").over(down) / F.sum("_n").over(down)).withColumn("_best", F.max("_exact").over(below))
+    per = run.groupBy(cls).agg(F.sum("_n").alias("shown"), F.sum("_p").alias("hits"), F.sum(F.col("_p") * F.col("_best")).alias("_area"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return truths.join(per, cls, "left").select(cls, zero("shown"), zero("hits"), "positives", F.coalesce(F.col("_area") / F.col("positives"), F.lit(0.0)).alias("ap"))
+
+
+def regrouped(items: DataFrame, merges: DataFrame, splits: DataFrame) -> DataFrame:
+    """``(item, grp)`` after merges of groups and splits of items: merged groups take the smallest id, a split item has no group but its own (null).
+
+    items: item, grp; merges: a, b; splits: item, repeats allowed. Taking a row out of merges or splits undoes it.
+    """
+    roots = connected_components(merges, "a", "b")
+    own = items.join(splits.select("item", F.lit(True).alias("_alone")).distinct(), "item", "left").join(roots.withColumnRenamed("node", "grp"), "grp", "left")
+    return own.select("item", F.when(F.col("_alone").isNull(), F.coalesce("component", "grp")).alias("grp"))
+
+
 def op_tree_histogram(edges: DataFrame, root: str) -> DataFrame:
     """Counts of node types below a root of an adjacency table (parent, child, kind): a recursive expression for shallow trees."""
     return edges.sparkSession.sql("""WITH RECURSIVE tree (node, kind, depth) AS (

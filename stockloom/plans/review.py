@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from stockloom.functions import geometry as g
 from stockloom.operators import detectors, ledger, motion
-from stockloom.plans.detections import _LINKS_SQL, _STATUS, _links, _statused
+from stockloom.operators.detections import box_hits
+from stockloom.plans.detections import _IOU, _LINKS_SQL, _STATUS, _links, _statused
 from stockloom.plans.folds import FALLBACK_TRIGGER, HOLD_TRIGGER, SWEEP_TRIGGER, TIMED_TRIGGER, fallback_trigger, hold_trigger, sweep_trigger, timed_trigger
 from stockloom.sources.adapters import COMMITS, DETECTIONS, FRAMES, commits, detections, frames, sku, with_sql
 from stockloom.sources.tables import table
@@ -206,8 +207,86 @@ TRIGGER_COMPARISON = f"""SELECT "trigger", count(*) AS commits, count(DISTINCT w
 FROM ({" UNION ALL ".join(f"SELECT '{k}' AS " + f'"trigger", walk_id, step_deg, no_hold FROM ({v})' for k, v in _RUNS_SQL.items())}) GROUP BY "trigger" """
 
 
+def mean_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average precision of each class and the mean over classes (A25): lines of side O are shown, those of side F are the truth."""
+    d = detections(spark, sf_dir).withColumn("score", F.round("score", 2))
+    truth = d.where("side = 'F'")
+    hits = box_hits(d.where("side = 'O'"), truth, 0.1)
+    per = ledger.average_precision(hits, truth.groupBy("cls").agg(F.count("*").alias("positives")), "cls", "hit", "score")
+    mean = F.avg("ap").over(Window.partitionBy(F.lit(0)))  # a row a class
+    return per.select("cls", "shown", "hits", "positives", F.round("ap", 9).alias("ap"), F.round(mean, 9).alias("mean_ap"))
+
+
+MEAN_PRECISION = with_sql(DETECTIONS, f"""d AS (SELECT * REPLACE (round(score, 2) AS score) FROM detections),
+best AS (SELECT a.commit_id, a.det_id, a.score, b.det_id AS truth FROM d a JOIN d b ON a.commit_id = b.commit_id AND a.cls = b.cls AND a.side = 'O' AND b.side = 'F' WHERE round({_IOU}, 9) >= 0.1
+  QUALIFY row_number() OVER (PARTITION BY a.commit_id, a.det_id ORDER BY round({_IOU}, 9) DESC, b.det_id) = 1),
+found AS (SELECT commit_id, det_id FROM best QUALIFY row_number() OVER (PARTITION BY commit_id, truth ORDER BY score DESC, det_id) = 1),
+scored AS (SELECT cls, score, count(f.det_id) AS p, count(*) AS n FROM d LEFT JOIN found f ON f.commit_id = d.commit_id AND f.det_id = d.det_id WHERE side = 'O' GROUP BY cls, score),
+run AS (SELECT *, sum(p) OVER w / sum(n) OVER w AS precise FROM scored WINDOW w AS (PARTITION BY cls ORDER BY score DESC)),
+per AS (SELECT cls, sum(n) AS shown, sum(p) AS hits, sum(p * best) AS area FROM (SELECT *, (SELECT max(precise) FROM run b WHERE b.cls = a.cls AND b.score <= a.score) AS best FROM run a) GROUP BY cls),
+aps AS (SELECT t.cls, coalesce(shown, 0)::BIGINT AS shown, coalesce(hits, 0)::BIGINT AS hits, positives, coalesce(area / positives, 0) AS ap
+  FROM (SELECT cls, count(*) AS positives FROM d WHERE side = 'F' GROUP BY cls) t LEFT JOIN per ON per.cls = t.cls)""") + """
+SELECT cls, shown, hits, positives, round(ap, 9) AS ap, round((SELECT avg(ap) FROM aps), 9) AS mean_ap FROM aps"""
+
+
+def pilot_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares and percentiles of a pilot, a row each (A26, A30): recounted and exported sessions, their length, the wait for the first export,
+    the lateral distance and the days between two sightings of a product."""
+    kind = lambda k: F.count_if(F.col("kind") == k) > 0
+    start = F.min("t")
+    s = frames(spark, sf_dir).groupBy("walk_id").agg(kind("error").alias("redone"), kind("purchase").alias("sent"), F.round(F.max("t") - start, 3).alias("hours"), F.round(F.min(F.when(F.col("kind") == "purchase", F.col("t"))) - start, 3).alias("wait"))
+    before = lambda c: F.lag(c).over(Window.partitionBy("walk_id", "sku").orderBy("at", "commit_id", "det_id"))
+    cx, day = g.centre(g.box())[0], F.unix_micros(F.col("at").cast("timestamp")) / 8.64e10
+    again = detections(spark, sf_dir).withColumn("cx", cx).withColumn("day", day).select(F.abs(F.col("cx") - before("cx")).alias("off"), F.round(F.col("day") - before("day"), 3).alias("days"))
+    share = lambda c: F.avg(F.col(c).cast("double"))
+    one = s.agg(share("redone").alias("recount share"), share("sent").alias("exported share"), *(F.percentile(c, p).alias(f"{c} p{int(p * 100)}") for c in ("hours", "wait") for p in (0.5, 0.95)))
+    two = again.agg(*(F.percentile(c, p).alias(f"{c} p{int(p * 100)}") for c in ("off", "days") for p in (0.5, 0.95)))
+    rows = lambda t: t.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.round(F.col(f"`{c}`"), 6).alias("value")) for c in t.columns))).alias("r")).select("r.*")
+    return rows(one).unionByName(rows(two))
+
+
+def _percentiles_sql(source: str, *names: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{c} p{int(p * 100)}', round(quantile_cont({c}, {p}), 6) FROM {source}" for c in names for p in (0.5, 0.95))
+
+
+PILOT_METRICS = with_sql(FRAMES, DETECTIONS, """s AS (SELECT walk_id, bool_or(kind = 'error') AS redone, bool_or(kind = 'purchase') AS sent, round(max(t) - min(t), 3) AS hours,
+  round(min(t) FILTER (WHERE kind = 'purchase') - min(t), 3) AS wait FROM frames GROUP BY walk_id)""", """again AS (SELECT abs((x0 + x1) / 2 - lag((x0 + x1) / 2) OVER w) AS off, round(epoch_us("at") / 8.64e10 - lag(epoch_us("at") / 8.64e10) OVER w, 3) AS days
+  FROM detections WINDOW w AS (PARTITION BY walk_id, sku ORDER BY "at", commit_id, det_id))""") + f"""
+SELECT 'recount share' AS metric, round(avg(redone::INT), 6) AS value FROM s UNION ALL SELECT 'exported share', round(avg(sent::INT), 6) FROM s
+UNION ALL {_percentiles_sql("s", "hours", "wait")} UNION ALL {_percentiles_sql("again", "off", "days")}"""
+
+
+def regrouped_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items and units of each group after people merged groups and split items off (X7, R12): suppliers are merges, products of one unit are split."""
+    k = sku(spark, sf_dir)
+    items = k.select(F.col("code").alias("item"), (F.col("code") % 400).alias("grp"))
+    merges = table(spark, sf_dir, "supplier").where("s_suppkey % 4 = 0").select((F.col("s_suppkey") % 400).alias("a"), ((F.col("s_suppkey") * 3 + 1) % 400).alias("b"))
+    got = ledger.regrouped(items, merges, k.where("units_per_case = 1").select(F.col("code").alias("item")))
+    return got.join(k.select(F.col("code").alias("item"), "units_per_case"), "item").groupBy("grp").agg(F.count("*").alias("items"), F.sum("units_per_case").alias("units"))
+
+
+REGROUPED_ITEMS = "WITH RECURSIVE " + """pairs AS (SELECT s_suppkey % 400 AS a, (s_suppkey * 3 + 1) % 400 AS b FROM supplier WHERE s_suppkey % 4 = 0), ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+met AS (SELECT a AS grp, a AS seen FROM ways UNION SELECT m.grp, w.b FROM met m JOIN ways w ON w.a = m.seen), roots AS (SELECT grp, min(seen) AS root FROM met GROUP BY grp)
+SELECT CASE WHEN p_size <> 1 THEN coalesce(root, p_partkey % 400) END AS grp, count(*) AS items, CAST(sum(p_size) AS BIGINT) AS units FROM part LEFT JOIN roots ON grp = p_partkey % 400 GROUP BY 1"""
+
+
+def plausible_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links whose registration and whose zones' fit are plausible (P19, P20); their measures come from the keys."""
+    lk = _links(spark, sf_dir)
+    ka, kb = F.col("ka"), F.col("kb")
+    registered = g.plausible_registration(F.col("inliers"), 100 + ka % 200, (ka + kb) % 5 != 0, ka % 60 / 10, kb % 20 / 100, kb % 30 / 100)
+    fits = g.plausible_fit(0.5 + ka % 13 / 10, (kb % 9 - 4) / 10)
+    return lk.select("walk_id", "a", "b", registered.alias("registered"), fits.alias("fits"))
+
+
+PLAUSIBLE_LINKS = with_sql(COMMITS, _LINKS_SQL, "m AS (SELECT *, 0.5::DOUBLE + (ka % 13) / 10 AS fa, (kb % 9 - 4) / 10 AS fb FROM links)") + """
+SELECT walk_id, a, b, inliers >= 40 AND inliers * 4 >= 100 + ka % 200 AND (ka + kb) % 5 <> 0 AND (ka % 60) / 10 > 0.2 AND (ka % 60) / 10 < 5 AND (kb % 20) / 100 >= 0.03 AND (kb % 30) / 100 >= 0.08 AS registered,
+  sqrt(fa * fa + fb * fb) > 2 / 3 AND sqrt(fa * fa + fb * fb) < 1.5 AND abs(atan2(fb, fa)) < 0.26 AS fits FROM m"""
+
+
 _NAMES = (
-    "truth_objects truth_frames detector_counts after_matching prompt_counts overlap_coverage previous_links clipped_frames rack_lines usable_frames corrected_groups busy_devices confusion trigger_comparison"
+    "truth_objects truth_frames detector_counts after_matching prompt_counts overlap_coverage previous_links clipped_frames rack_lines usable_frames corrected_groups busy_devices confusion trigger_comparison "
+    "mean_precision pilot_metrics regrouped_items plausible_links"
 ).split()
 QUERIES = {f"q{i + 81}_{n}": globals()[n] for i, n in enumerate(_NAMES)}
 ORACLE_SQL = {f"q{i + 81}_{n}": globals()[n.upper()] for i, n in enumerate(_NAMES) if n.upper() in globals()}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stockloom.functions import geometry as g
 from stockloom.functions import text
-from stockloom.operators import ledger
+from stockloom.operators import detections, ledger
 from stockloom.operators.graph import connected_components
 from stockloom.sources import documents, sinks
 
@@ -165,3 +165,26 @@ def test_no_shared_folder_is_an_error_on_a_cluster(spark):
     lone = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="yarn"))
     with pytest.raises(ValueError):
         durable.shared_dir(lone)
+
+
+def test_average_precision_of_hand_made_views(spark):
+    box = "commit_id long, cls string, det_id long, score double, x0 double, y0 double, x1 double, y1 double"
+    truth = spark.createDataFrame([(1, "a", 1, 1.0, 0.0, 0.0, 10.0, 10.0), (1, "a", 2, 1.0, 20.0, 0.0, 30.0, 10.0), (1, "b", 3, 1.0, 0.0, 0.0, 10.0, 10.0), (2, "c", 1, 1.0, 0.0, 0.0, 1.0, 1.0)], box)
+    shown = spark.createDataFrame([
+        (1, "a", 11, 0.9, 0.0, 0.0, 10.0, 10.0), (1, "a", 12, 0.9, 0.0, 0.0, 10.0, 9.0),  # one truth, the same score: the smaller id finds it
+        (1, "a", 13, 0.5, 20.0, 0.0, 30.0, 10.0), (1, "a", 14, 0.7, 50.0, 50.0, 60.0, 60.0), (1, "b", 15, 0.4, 40.0, 0.0, 50.0, 10.0), (2, "a", 16, 0.3, 0.0, 0.0, 10.0, 10.0),
+    ], box)
+    hits = detections.box_hits(shown, truth, 0.5)
+    assert {r.det_id for r in hits.where("hit = 1").collect()} == {11, 13} and hits.count() == 6
+    per = ledger.average_precision(hits, truth.groupBy("cls").agg(F.count("*").alias("positives")), "cls", "hit", "score")
+    assert {r.cls: (r.shown, r.hits, r.positives, r.ap) for r in per.collect()} == {"a": (5, 2, 2, 0.5), "b": (1, 0, 1, 0.0), "c": (0, 0, 1, 0.0)}
+
+
+def test_regrouped_merges_splits_and_undo(spark):
+    items = spark.createDataFrame([(i, i % 5) for i in range(10)], "item long, grp long")
+    merges = spark.createDataFrame([(4, 2), (2, 1), (2, 1)], "a long, b long")
+    splits = spark.createDataFrame([(7,), (7,)], "item long")
+    got = {r["item"]: r["grp"] for r in ledger.regrouped(items, merges, splits).collect()}
+    assert got == {i: {0: 0, 1: 1, 2: 1, 3: 3, 4: 1}[i % 5] for i in range(10)} | {7: None}
+    undone = {r["item"]: r["grp"] for r in ledger.regrouped(items, merges.limit(0), splits.limit(0)).collect()}
+    assert undone == {i: i % 5 for i in range(10)}
