@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockloom.functions import geometry as g
+from stockloom.operators import commits as committed
 from stockloom.operators import counting, folds, motion
 from stockloom.operators.detections import gated_new, near_items
 from stockloom.operators.graph import connected_components
@@ -89,19 +90,19 @@ SELECT walk_id, n, round(t, 6) AS t, round(from_, 6) AS hold_from, frame, round(
 
 
 def hold_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(folds.trigger_commits(trigger_frames(spark, sf_dir), FRAME_TIME, **TRIGGER))
+    return _rounded(committed.trigger_commits(trigger_frames(spark, sf_dir), FRAME_TIME, **TRIGGER))
 
 
 def timed_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(folds.trigger_commits(trigger_frames(spark, sf_dir), FRAME_TIME, every=48.0, **TRIGGER))
+    return _rounded(committed.trigger_commits(trigger_frames(spark, sf_dir), FRAME_TIME, every=48.0, **TRIGGER))
 
 
 def sweep_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(folds.trigger_commits(trigger_frames(spark, sf_dir), FRAME_TIME, sweep=0.5, sweep_speed=SWEEP_SPEED, **TRIGGER))
+    return _rounded(committed.trigger_commits(trigger_frames(spark, sf_dir), FRAME_TIME, sweep=0.5, sweep_speed=SWEEP_SPEED, **TRIGGER))
 
 
 def fallback_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(folds.trigger_commits(trigger_frames(spark, sf_dir), FRAME_TIME, fallback=0.7, sweep_speed=SWEEP_SPEED, **TRIGGER))
+    return _rounded(committed.trigger_commits(trigger_frames(spark, sf_dir), FRAME_TIME, fallback=0.7, sweep_speed=SWEEP_SPEED, **TRIGGER))
 
 
 def consistent_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +208,7 @@ def streamed_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
         got = triggers.stream_commits(spark.readStream.schema(frames_of.schema).parquet(f"{base}/in"), FRAME_TIME, expire="40 days", **TRIGGER)
         q = got.writeStream.foreachBatch(triggers.exactly_once(f"{base}/out", ["walk_id", "n"])).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
         q.awaitTermination()
-    return _rounded(spark.read.schema(folds.COMMIT_SCHEMA + ", batch long").parquet(f"{base}/out").drop("batch"))
+    return _rounded(spark.read.schema(committed.COMMIT_SCHEMA + ", batch long").parquet(f"{base}/out").drop("batch"))
 
 
 STREAMED_COMMITS = HOLD_TRIGGER

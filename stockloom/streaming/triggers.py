@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from stockloom.operators.folds import COMMIT_SCHEMA, FRAME_COLUMNS, Trigger, run_trigger
+from stockloom.operators.commits import COMMIT_SCHEMA, FRAME_COLUMNS, Trigger, run_trigger
 
 
 def stream_commits(frames: DataFrame, frame_time: float, expire: str = "1 day", late: str = "0 seconds", **options) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stockloom.operators import counting, folds
+from stockloom.operators import commits, counting, folds
 from stockloom.plans import folds as plans
 
 SF = "/root/testdata/sf0.001"
@@ -20,44 +20,44 @@ def walk(n=100, dt=0.1, speed=lambda t: 1.0, dx=lambda t: 0.0, lost=lambda t: Fa
 
 
 def test_hold_fires_once_until_the_view_turns():
-    got = folds.run_trigger(walk(), 0.1, {})
+    got = commits.run_trigger(walk(), 0.1, {})
     assert [(c["n"], round(c["t"], 3), c["hold_from"]) for c in got] == [(1, 0.8, 0.0)]
     turned = walk(dx=lambda t: 60.0 if t == 2.0 else 0.0)  # 60 px at a focal length of 500: 6.8 degrees
-    got = folds.run_trigger(turned, 0.1, {})
+    got = commits.run_trigger(turned, 0.1, {})
     assert len(got) == 2 and got[1]["hold_from"] == pytest.approx(2.0) and got[1]["step_deg"] > 5
 
 
 def test_lost_tracking_rearms_and_hides_the_step():
-    got = folds.run_trigger(walk(lost=lambda t: 2.0 <= t < 2.1, speed=lambda t: np.inf if 2.0 <= t < 2.1 else 1.0), 0.1, {})
+    got = commits.run_trigger(walk(lost=lambda t: 2.0 <= t < 2.1, speed=lambda t: np.inf if 2.0 <= t < 2.1 else 1.0), 0.1, {})
     assert len(got) == 2 and got[1]["step_deg"] is None
 
 
 def test_hold_takes_the_sharpest_frame_of_its_window():
-    got = folds.run_trigger(walk(sharp=lambda t: 5.0 if abs(t - 0.3) < 1e-9 else 1.0), 0.1, {})
+    got = commits.run_trigger(walk(sharp=lambda t: 5.0 if abs(t - 0.3) < 1e-9 else 1.0), 0.1, {})
     assert got[0]["t_key"] == pytest.approx(0.3)
 
 
 def test_timed_trigger_restarts_where_it_fires():
-    got = folds.run_trigger(walk(), 0.1, {"every": 2.0})
+    got = commits.run_trigger(walk(), 0.1, {"every": 2.0})
     assert np.allclose([c["t"] for c in got], [1.9, 3.9, 5.9, 7.9, 9.9])  # the first window opens a frame early
 
 
 def test_sweep_commits_each_half_view_and_waits_for_slow_frames():
     moving = walk(dx=lambda t: 16.0)  # 640 px wide: half a view in 20 frames
-    assert len(folds.run_trigger(moving, 0.1, {"sweep": 0.5})) >= 5
-    assert not folds.run_trigger(moving, 0.1, {"sweep": 0.5, "sweep_speed": 0.5})
+    assert len(commits.run_trigger(moving, 0.1, {"sweep": 0.5})) >= 5
+    assert not commits.run_trigger(moving, 0.1, {"sweep": 0.5, "sweep_speed": 0.5})
 
 
 def test_fallback_flags_views_without_a_hold():
     fast = walk(dx=lambda t: 16.0, speed=lambda t: 20.0)
-    got = folds.run_trigger(fast, 0.1, {"fallback": 0.7, "sweep_speed": 30.0})
+    got = commits.run_trigger(fast, 0.1, {"fallback": 0.7, "sweep_speed": 30.0})
     assert got and all(c["no_hold"] for c in got)
-    assert not folds.run_trigger(fast, 0.1, {})
+    assert not commits.run_trigger(fast, 0.1, {})
 
 
 def test_conflicting_triggers_are_rejected():
     with pytest.raises(ValueError):
-        folds.Trigger(every=2.0, sweep=0.5)
+        commits.Trigger(every=2.0, sweep=0.5)
 
 
 @settings(max_examples=60, deadline=None)
