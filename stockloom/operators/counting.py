@@ -1,244 +1,231 @@
 """Counting a walk's views: which detections are new, which were counted before, and which need a question.
 
-Spark gives every detection its place in the view (low, cut, inner, band) and deals each walk's links and detections as one run of
-rows. A walk is a fold over its commits: sightings of items, as flat arrays, are carried into a view by a join with the view's
-links; pairs of detections and carried items of one class vote for a common offset and are matched one to one inside
-the connected groups of their gate. Gates are inclusive.
+All walks go on together, one commit each in a superstep. Step ``n`` takes every walk's commit number ``n`` and is a plan over
+what the steps before it have written:
+
+- items come into the view by a join of their sightings with the commit's links, each through the best-registered commit
+  that saw it; with motion, items and counted zones are tables that move from step to step;
+- a detection is asked about if a counted zone covers its centre: a semi join with the zones' moved frames;
+- the detections and carried items of one commit meet in a small helper: pairs of a class vote for a common offset, and those within
+  the gate after it fall into connected groups, of which the cheapest one-to-one matches are taken.
+
+A step is written before the next one reads it. A group holds one commit of a walk, never a walk. Gates are inclusive.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockloom.functions import geometry as g
 from stockloom.operators.detections import status as view_place
-from stockloom.operators.folds import assign
-from stockloom.plans.groups import whole_groups
+from stockloom.operators.folds import FORBIDDEN, assign
+from stockloom.plans.durable import fresh_path, staged
+from stockloom.plans.groups import dealt, whole_groups
 
 REACH, QUANTUM, LEAST, SHARE = 0.5, 2.0, 3, 0.25
+BOX = ("x0", "y0", "x1", "y1")
+STATUS_SCHEMA = "walk_id long, n long, det_id long, cls string, status string"
+_STEP = STATUS_SCHEMA + ", t double, x0 double, y0 double, x1 double, y1 double, item long"
+IDENTITY = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
 
 
-def moved_points(h: np.ndarray, xy: np.ndarray) -> np.ndarray:
-    """Points (n, k, 2) under a transform for each of the n."""
-    out = np.einsum("nij,nkj->nki", h[:, :, :2], xy) + h[:, None, :, 2]
-    return out[..., :2] / out[..., 2:]
-
-
-def moved_boxes(h: np.ndarray, box: np.ndarray) -> np.ndarray:
-    """The hulls of boxes (n, 4) under a transform for each."""
-    corners = moved_points(h, box[:, [[0, 1], [2, 1], [2, 3], [0, 3]]])
-    return np.hstack([corners.min(1), corners.max(1)])
-
-
-def in_any(quads: np.ndarray, xy: np.ndarray) -> np.ndarray:
-    """Which points lie in one of the convex quads (n, 4, 2) or on its border."""
-    side = np.roll(quads, -1, 1) - quads
-    away = xy[:, None, None] - quads[None]
-    turn = side[None, ..., 0] * away[..., 1] - side[None, ..., 1] * away[..., 0]
-    return ((turn >= 0).all(2) | (turn <= 0).all(2)).any(1)
-
-
-@dataclass
-class Pairs:
-    """Detections and carried items of one class that are near enough to matter: indices, difference, half box of the detection."""
-
-    det: np.ndarray
-    item: np.ndarray
-    diff: np.ndarray
-    half: np.ndarray
-
-    @classmethod
-    def of(cls, box: np.ndarray, kind: np.ndarray, carried: np.ndarray, carried_kind: np.ndarray) -> Pairs:
-        det, item = np.nonzero(kind[:, None] == carried_kind[None])
-        mid = lambda b: (b[:, :2] + b[:, 2:]) / 2
-        return cls(det, item, mid(carried)[item] - mid(box)[det], np.maximum(REACH * (box[det, 2:] - box[det, :2]), 1e-9))
-
-    def distance(self, offset: np.ndarray) -> np.ndarray:
-        """In half boxes, after the detections have moved by ``offset``."""
-        return np.hypot(*((self.diff - offset) / self.half).T)
-
-    def offset(self, box: np.ndarray) -> np.ndarray:
-        """The move within half a median box that brings most detections to an item, the shortest of equals; none for too few.
-
-        Each pair proposes its own difference, rounded to the grid; pairs are sorted by detection, so that a proposal's
-        support is counted by runs.
-        """
-        limit = REACH * np.median(box[:, 2:] - box[:, :2], axis=0)
-        own = self.diff[(np.abs(self.diff) <= limit).all(1)]
-        proposals = np.unique(np.vstack([np.zeros((1, 2)), QUANTUM * np.round(own / QUANTUM)]) + 0.0, axis=0)
-        starts = np.flatnonzero(np.diff(self.det, prepend=-1))
-        support = np.array([np.logical_or.reduceat(self.distance(p) <= 1, starts).sum() for p in proposals])
-        if support.max() < max(LEAST, SHARE * len(box)):
-            return np.zeros(2)
-        return np.array(min(proposals[support == support.max()].tolist(), key=lambda p: (math.hypot(*p), p)))
-
-    def matches(self, offset: np.ndarray) -> list[tuple[int, int]]:
-        """The cheapest one-to-one matches with a distance of 1 or less, found within each connected group of such pairs."""
-        far = self.distance(np.asarray(offset))
-        near = np.flatnonzero(far <= 1)
-        group = {("d", d): k for k, d in enumerate(self.det[near])} | {("i", i): -1 - k for k, i in enumerate(self.item[near])}
-        ends = [(("d", self.det[p]), ("i", self.item[p]), p) for p in near]
-        changed = True
-        while changed:  # labels sink to the smallest of the group
-            changed = False
-            for d, i, _ in ends:
-                low = min(group[d], group[i])
-                if group[d] != low or group[i] != low:
-                    group[d] = group[i] = low
-                    changed = True
-        out = []
-        for label in sorted({group[d] for d, _, _ in ends}):
-            own = [p for d, _, p in ends if group[d] == label]
-            dets, items = np.unique(self.det[own]), np.unique(self.item[own])
-            cost = np.full((len(dets), len(items)), 1e3)
-            cost[np.searchsorted(dets, self.det[own]), np.searchsorted(items, self.item[own])] = far[own]
-            out += [(int(dets[a]), int(items[b])) for a, b in zip(*assign(cost), strict=True) if cost[a, b] <= 1]
-        return out
-
-
-def zone_transform(base: np.ndarray, now: np.ndarray) -> np.ndarray | None:
-    """How a zone has moved, from the centres of its counted items then and now: a least-squares similarity from four of them
-    if its scale is within (2/3, 1.5) and its rotation under 0.26 rad, else their median shift; None without any."""
-    if not len(base):
-        return None
-    if len(base) >= 4:
-        mid, to = base.mean(0), now.mean(0)
-        p, q = base - mid, now - to
-        size = (p**2).sum()
-        if size > 0:
-            a, b = (p * q).sum() / size, (p[:, 0] * q[:, 1] - p[:, 1] * q[:, 0]).sum() / size
-            if 2 / 3 < math.hypot(a, b) < 1.5 and abs(math.atan2(b, a)) < 0.26:
-                r = np.array([[a, -b], [b, a]])
-                return np.vstack([np.hstack([r, (to - r @ mid)[:, None]]), [0, 0, 1]])
-    dx, dy = np.median(now - base, axis=0)
-    return np.array([[1, 0, dx], [0, 1, dy], [0, 0, 1.0]])
-
-
-@dataclass
-class Zone:
-    """The inner frame of a view, and how it lies now: by the items counted there, else by the motion for a while."""
-
-    n: int
-    items: np.ndarray
-    centres: np.ndarray
-    t: float
-    motion: np.ndarray = field(default_factory=lambda: np.eye(3))
-
-    def follow(self, step: np.ndarray | None, boxes: np.ndarray, t: float, patience: float) -> np.ndarray | None:
-        self.motion = self.motion if step is None else step @ self.motion
-        here = ~np.isnan(boxes[self.items, 0])
-        self.t = t if here.any() else self.t
-        own = boxes[self.items[here]]
-        h = zone_transform(self.centres[here], (own[:, :2] + own[:, 2:]) / 2)
-        return self.motion if h is None and t - self.t <= patience else h
-
-
-class Walk:
-    """The items and zones of a walk; ``view`` takes the commits one after the other."""
-
-    def __init__(self, width: float, height: float, band: float, tracked: bool, patience: float):
-        self.size, self.tracked, self.patience = (width, height), tracked, patience
-        self.frame = np.array([[band, band], [width - band, band], [width - band, height - band], [band, height - band]])
-        self.kind = np.empty(0, object)
-        self.box, self.t = np.empty((0, 4)), np.empty(0)  # where an item is now; NaN once it is lost
-        self.seen = [np.empty(0, int), np.empty(0, int), np.empty((0, 4))]  # sightings: item, commit, box
-        self.zones: list[Zone] = []
-
-    def _track(self, step: np.ndarray | None, t: float) -> np.ndarray:
-        """Moves items and zones with the view; the transforms of the zones that are still known, others are dropped."""
-        if step is not None and len(self.box):
-            self.box = moved_boxes(np.broadcast_to(step, (len(self.box), 3, 3)), self.box)
-            mid = (self.box[:, :2] + self.box[:, 2:]) / 2
-            inside = ((mid >= 0) & (mid < self.size)).all(1)
-            self.t[inside] = t
-        self.box[t - self.t > self.patience] = np.nan
-        found = [(z, z.follow(step, self.box, t, self.patience)) for z in self.zones]
-        self.zones = [z for z, h in found if h is not None]  # a lost zone comes back through a link only
-        return np.array([h for _, h in found if h is not None]).reshape(-1, 3, 3)
-
-    def _linked(self, links: dict[int, tuple[np.ndarray, int]], skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Items and their boxes in this view, each through the best-registered linked commit that saw it, the later of equals."""
-        item, n, box = self.seen
-        own = np.flatnonzero(np.isin(n, list(links)) & ~skip[item])
-        power = np.array([links[k][1] for k in n[own].tolist()], float)
-        own = own[np.lexsort((n[own], power, item[own]))]
-        best = own[np.append(item[own][1:] != item[own][:-1], True)] if len(own) else own
-        return item[best], moved_boxes(np.array([links[k][0] for k in n[best].tolist()]).reshape(-1, 3, 3), box[best])
-
-    def view(self, n: int, t: float, box: np.ndarray, place: np.ndarray, kind: np.ndarray, links: dict[int, tuple[np.ndarray, int]], step: np.ndarray | None) -> np.ndarray:
-        """The status of each detection of a commit: low and cut as they are, else seen, miss, new or edge. A miss is never
-        stored, so that it prompts again in later views."""
-        zones = self._track(step, t) if self.tracked else np.empty((0, 3, 3))
-        known = {z.n for z in self.zones} if self.tracked else set()
-        zones = np.concatenate([zones, np.array([h for k, (h, _) in links.items() if k not in known]).reshape(-1, 3, 3)])
-        held = np.flatnonzero(~np.isnan(self.box[:, 0])) if self.tracked else np.empty(0, int)
-        skip = np.zeros(len(self.kind), bool)
-        skip[held] = True
-        which, where = self._linked(links, skip)
-        which, where = np.concatenate([held, which]), np.concatenate([self.box[held], where])
-        out = place.copy()
-        live = np.flatnonzero((place == "inner") | (place == "band"))
-        mid = (box[live, :2] + box[live, 2:]) / 2
-        owner = np.full(len(live), -1)
-        pairs = Pairs.of(box[live], kind[live], where, self.kind[which])
-        if len(pairs.det):
-            for d, i in pairs.matches(pairs.offset(box[live])):
-                owner[d] = which[i]
-        asked = in_any(moved_points(zones, np.broadcast_to(self.frame, (len(zones), 4, 2))), mid) if len(zones) else np.zeros(len(live), bool)
-        out[live] = np.select([owner >= 0, asked, place[live] == "inner"], ["seen", "miss", "new"], "edge")
-        fresh = np.flatnonzero(out[live] == "new")
-        owner[fresh] = len(self.kind) + np.arange(len(fresh))
-        self.kind = np.concatenate([self.kind, kind[live[fresh]]])
-        self.box, self.t = np.concatenate([self.box, np.empty((len(fresh), 4))]), np.concatenate([self.t, np.empty(len(fresh))])
-        got = owner >= 0
-        self.box[owner[got]], self.t[owner[got]] = box[live[got]], t
-        self.seen = [np.concatenate(x) for x in zip(self.seen, (owner[got], np.full(got.sum(), n), box[live[got]]), strict=True)]
-        self.zones.append(Zone(n, owner[got], mid[got], t))
-        return out
+def _nine(values) -> Column:
+    return F.array(*(v if isinstance(v, Column) else F.lit(float(v)) for v in values))
 
 
-STATUS_SCHEMA = "walk_id long, n long, det_id long, cls string, status string"
+def chained(later: Column, first: Column) -> Column:
+    """The transform that applies ``first``, then ``later``; nine numbers in row order."""
+    return F.array(*(sum((later[3 * i + k] * first[3 * k + j] for k in (1, 2)), later[3 * i] * first[j]) for i in range(3) for j in range(3)))
+
+
+def zone_fit(many: Column, px: Column, py: Column, qx: Column, qy: Column, size: Column, along: Column, across: Column, dx: Column, dy: Column) -> Column:
+    """How a zone has moved, from sums over its counted items: a least-squares similarity from four of them on if its scale is
+    within (2/3, 1.5) and its rotation under 0.26 rad, else the median shift ``dx, dy``.
+
+    px, py, qx, qy: mean centres then and now; size, along, across: sums of squares then, of products and of cross products.
+    """
+    a, b = along / F.when(size > 0, size), across / F.when(size > 0, size)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    turned = F.array(a, -b, qx - (a * px - b * py), b, a, qy - (b * px + a * py), zero, zero, one)
+    fits = (many >= 4) & F.coalesce(g.plausible_fit(a, b), F.lit(False))
+    return F.when(fits, turned).otherwise(F.array(one, zero, dx, zero, one, dy, zero, zero, one))
+
+
+def moved_zones(then: DataFrame, now: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, h)`` of each zone with an item in ``now``. then: keys, item, cx, cy; now: walk_id, item, ix, iy."""
+    both = then.join(now, ["walk_id", "item"])
+    means = both.groupBy(*keys).agg(F.count("*").alias("many"), *(F.avg(c).alias(f"m_{c}") for c in ("cx", "cy", "ix", "iy")), F.median(F.col("ix") - F.col("cx")).alias("dx"), F.median(F.col("iy") - F.col("cy")).alias("dy"))
+    d = both.join(means, keys)
+    px, py, qx, qy = (F.col(c) - F.col(f"m_{c}") for c in ("cx", "cy", "ix", "iy"))
+    sums = d.groupBy(*keys).agg(F.sum(px * px + py * py).alias("size"), F.sum(px * qx + py * qy).alias("along"), F.sum(px * qy - py * qx).alias("across"))
+    h = zone_fit(F.col("many"), *(F.col(f"m_{c}") for c in ("cx", "cy", "ix", "iy")), *map(F.col, ("size", "along", "across", "dx", "dy")))
+    return means.join(sums, keys).select(*keys, h.alias("h"))
+
+
+def frames_over(dets: DataFrame, frames: DataFrame, width: float, height: float, band: float) -> DataFrame:
+    """``(walk_id, det_id)`` of the detections whose centre lies in the inner frame of a view under one of its walk's transforms ``h``."""
+    corners = [(band, band), (width - band, band), (width - band, height - band), (band, height - band)]
+    quad = [g.warp_point(F.col("_h"), F.lit(x), F.lit(y)) for x, y in corners]
+    cx, cy = g.centre(g.box())
+    other = frames.select(F.col("walk_id").alias("_w"), F.col("h").alias("_h"))
+    return dets.join(other, (F.col("walk_id") == F.col("_w")) & g.in_convex(cx, cy, quad), "left_semi").select("walk_id", "det_id")
+
+
+def _groups(det: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """The connected group of each pair, as its smallest detection."""
+    label = det.copy()
+    while True:
+        before = label
+        for side in (item, det):
+            _, at = np.unique(side, return_inverse=True)
+            low = np.full(at.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(low, at, label)
+            label = low[at]
+        if (label == before).all():
+            return label
+
+
+def cheapest_matches(det: np.ndarray, item: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One-to-one matches of gated pairs: most matches first, then the cheapest, found in each connected group."""
+    out = []
+    label = _groups(det, item) if len(det) else det
+    for own in (label == x for x in np.unique(label)):
+        rows, cols = np.unique(det[own]), np.unique(item[own])
+        cost = np.full((len(rows), len(cols)), FORBIDDEN)
+        cost[np.searchsorted(rows, det[own]), np.searchsorted(cols, item[own])] = far[own]
+        i, j = assign(cost)
+        used = cost[i, j] < FORBIDDEN
+        out.append(np.stack([rows[i[used]], cols[j[used]]]))
+    return tuple(np.concatenate(out, axis=1)) if out else (det, item)
+
+
+def view_matches(box: np.ndarray, cls: np.ndarray, there: np.ndarray, there_cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The detections of one commit, and the carried items (boxes in this view) that they show again.
+
+    Each pair of a class proposes its difference, rounded to a grid, if that is within half a median box. The offset that brings most
+    detections within half their own box of an item wins, the shortest and smallest of equals, and none if it has less support than
+    three or a quarter of the detections; pairs within the gate after it are matched.
+    """
+    det, item = np.nonzero(cls[:, None] == there_cls[None])
+    if not len(det):
+        return det, item
+    size = box[:, 2:] - box[:, :2]
+    diff = (there[item, :2] + there[item, 2:] - box[det, :2] - box[det, 2:]) / 2
+    half = np.maximum(REACH * size[det], 1e-9)
+    likely = diff[(np.abs(diff) <= REACH * np.median(size, axis=0)).all(1)]
+    offsets = np.unique(np.vstack([np.zeros((1, 2)), QUANTUM * np.round(likely / QUANTUM)]) + 0.0, axis=0)
+    far = lambda o: np.hypot(*((diff - o) / half).T)
+    support = np.array([len(np.unique(det[far(o) <= 1])) for o in offsets])
+    best = np.lexsort((offsets[:, 1], offsets[:, 0], np.hypot(*offsets.T), -support))[0]
+    gap = far(offsets[best] if support[best] >= max(LEAST, SHARE * len(box)) else np.zeros(2))
+    near = gap <= 1
+    return cheapest_matches(det[near], item[near], gap[near])
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The detections of each walk's commit (place is not null) with the carried item (place is null) that they show."""
+    for b, at in whole_groups(batches, ["walk_id"]):
+        v = {c: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("place", "cls", *BOX, "item")}
+        box, item = np.stack([v[c] for c in BOX], 1), np.full(b.num_rows, -1)
+        is_det = np.array([p is not None for p in v["place"]], bool)
+        live = np.isin(v["place"].astype(str), ("inner", "band"))
+        for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            d, k = np.flatnonzero(live[i:j]) + i, np.flatnonzero(~is_det[i:j]) + i
+            if len(d) and len(k):
+                x, y = view_matches(box[d], v["cls"][d], box[k], v["cls"][k])
+                item[d[x]] = v["item"][k[y]]
+        got = b.set_column(b.schema.get_field_index("item"), "item", pa.array(item, mask=item < 0))
+        yield got.filter(pa.array(is_det))
+
+
+def _linked_items(seen: DataFrame, links: DataFrame) -> DataFrame:
+    """Items and their boxes in the view, through the linked commit with most inliers that saw them, the later of equals."""
+    other = links.select("walk_id", F.col("a").alias("n"), "h", "inliers")
+    got = seen.join(other, ["walk_id", "n"]).groupBy("walk_id", "item").agg(F.max_by(F.struct("cls", *BOX, "h"), F.struct("inliers", "n")).alias("s")).select("walk_id", "item", "s.*")
+    return got.select("walk_id", "item", "cls", *(x.alias(c) for c, x in zip(BOX, g.warp_box(F.col("h"), g.box()), strict=True)))
+
+
+def _finished(dets: DataFrame, carried: DataFrame | None, asked: DataFrame | None, n: int) -> DataFrame:
+    """Statuses of a commit; a new item goes by its commit and detection. A miss is never stored, so that it prompts again."""
+    d = dets.withColumn("item", F.lit(None).cast("long"))
+    d = d.withColumn("asked", F.lit(False)) if asked is None else d.join(asked.withColumn("asked", F.lit(True)), ["walk_id", "det_id"], "left")
+    d = d.select("walk_id", "t", "det_id", *BOX, "cls", "place", F.coalesce("asked", F.lit(False)).alias("asked"), "item")
+    if carried is not None:
+        d = dealt(d.unionByName(carried, allowMissingColumns=True), ["walk_id"]).mapInArrow(_matched, d.schema)
+    live = F.col("place").isin("inner", "band")
+    status = F.when(~live, F.col("place")).when(F.col("item").isNotNull(), "seen").when(F.col("asked"), "miss").when(F.col("place") == "inner", "new").otherwise("edge")
+    item = F.when(F.col("status") == "new", F.lit(n << 32) + F.col("det_id")).otherwise(F.col("item"))
+    return d.withColumn("status", status).select("walk_id", F.lit(n).cast("long").alias("n"), "det_id", "cls", "status", "t", *BOX, item.alias("item"))
+
+
+def _moved_on(items: DataFrame, now: DataFrame, width: float, height: float, patience: float) -> DataFrame:
+    """Items after the step to this commit: moved with the view, in time while inside it, gone after ``patience`` outside."""
+    d = items.join(now, "walk_id")
+    box = [F.when(F.col("h").isNull(), old).otherwise(new).alias(c) for c, old, new in zip(BOX, g.box(), g.warp_box(F.col("h"), g.box()), strict=True)]
+    d = d.select("walk_id", "item", "cls", *box, "seen_at", "now", F.col("h").isNotNull().alias("moved"))
+    cx, cy = g.centre(g.box())
+    inside = F.col("moved") & (cx >= 0) & (cx < width) & (cy >= 0) & (cy < height)
+    return d.withColumn("seen_at", F.when(inside, F.col("now")).otherwise(F.col("seen_at"))).where(F.col("now") - F.col("seen_at") <= patience).select("walk_id", "item", "cls", *BOX, "seen_at")
+
+
+def _zones_on(zones: DataFrame, seen: DataFrame, items: DataFrame, now: DataFrame, patience: float) -> DataFrame:
+    """Zones after the step: as their items lie now, else as the view has moved for a while; others are dropped."""
+    z = zones.drop("h").join(now.withColumnRenamed("h", "step"), "walk_id")
+    z = z.withColumn("motion", F.when(F.col("step").isNull(), F.col("motion")).otherwise(chained(F.col("step"), F.col("motion"))))
+    cx, cy = g.centre(g.box())
+    here = items.select("walk_id", "item", cx.alias("ix"), cy.alias("iy"))
+    then = seen.select("walk_id", F.col("n").alias("zone"), "item", cx.alias("cx"), cy.alias("cy")).join(zones.select("walk_id", "zone"), ["walk_id", "zone"], "left_semi")
+    z = z.join(moved_zones(then, here, ["walk_id", "zone"]), ["walk_id", "zone"], "left").withColumn("zone_t", F.when(F.col("h").isNotNull(), F.col("now")).otherwise(F.col("zone_t")))
+    return z.withColumn("h", F.coalesce("h", F.when(F.col("now") - F.col("zone_t") <= patience, F.col("motion")))).where("h is not null").select("walk_id", "zone", "zone_t", "motion", "h")
 
 
 def count_commits(dets: DataFrame, links: DataFrame, threshold: float, width: float, height: float, margin: float, band: float, motion: bool = False, dead_reckon: float = 3.0) -> DataFrame:
-    """The status of every detection of every walk. dets: walk_id, n, t, det_id, box, score, cls; links: walk_id, a, b, h (nine doubles), inliers.
+    """The status of every detection of every walk. dets: walk_id, n (1, 2, ...), t, det_id, box, score, cls; links: walk_id, a, b, h (nine doubles), inliers.
 
     Without ``motion`` items are carried by links. With it, links between neighbouring commits are the motion: items and zones move
-    with it, and are lost once they have been out of view for over ``dead_reckon``. Detections and links of a walk come
-    as one run of rows, links first, so that many small walks cost a few Arrow batches. Memory follows one walk.
+    with it, and are lost once they have been out of view for over ``dead_reckon``. As many supersteps as the longest walk has
+    commits; each reads its own commits and links from folders by number and writes its result, so a lost executor costs one step.
     """
+    spark = dets.sparkSession
+    base = fresh_path(spark, "walks")
     place = view_place(F.col("score"), g.box(), threshold, width, height, margin, band)
-    cols = "walk_id n t det_id x0 y0 x1 y1 cls".split()
-    rows = dets.select(F.lit(1).alias("_kind"), F.col("walk_id").cast("long"), F.col("n").cast("long"), F.col("t").cast("double"), F.col("det_id").cast("long"), *(F.col(c).cast("double") for c in cols[4:8]), F.col("cls").cast("string"), place.alias("place"))
-    tied = links.select(F.lit(0).alias("_kind"), F.col("walk_id").cast("long"), F.col("b").cast("long").alias("n"), F.col("a").cast("long").alias("det_id"), F.col("h").cast("array<double>").alias("h"), F.col("inliers").cast("long").alias("inliers"))
-    both = rows.unionByName(tied, allowMissingColumns=True).repartition("walk_id").sortWithinPartitions("walk_id", "_kind", "n", "det_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, at in whole_groups(batches, ["walk_id"]):
-            v = {c: batch[c].to_numpy(zero_copy_only=False) for c in ("_kind", *cols, "place", "inliers")}
-            box = np.stack([v[c] for c in ("x0", "y0", "x1", "y1")], 1)
-            is_link = v["_kind"] == 0
-            nine = np.zeros((batch.num_rows, 3, 3))
-            nine[is_link] = batch["h"].filter(pa.array(is_link)).flatten().to_numpy(zero_copy_only=False).reshape(-1, 3, 3)
-            found = np.full(batch.num_rows, "", dtype=object)
-            for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                mid = i + int(np.count_nonzero(is_link[i:j]))
-                to: dict[int, dict] = {}
-                for k in range(i, mid):
-                    to.setdefault(int(v["n"][k]), {})[int(v["det_id"][k])] = (nine[k], int(v["inliers"][k]))
-                walk, cut = Walk(width, height, band, motion, dead_reckon), np.flatnonzero(np.diff(v["n"][mid:j], prepend=-1)) + mid
-                for a, b in zip(cut.tolist(), [*cut[1:].tolist(), j], strict=True):
-                    n = int(v["n"][a])
-                    own = to.get(n, {})
-                    found[a:b] = walk.view(n, float(v["t"][a]), box[a:b], v["place"][a:b], v["cls"][a:b], own, own[n - 1][0] if motion and n - 1 in own else None)
-            kept = pa.array(~is_link)
-            yield pa.RecordBatch.from_arrays([*(batch[c].filter(kept) for c in ("walk_id", "n", "det_id", "cls")), pa.array(found[~is_link], pa.string())], ["walk_id", "n", "det_id", "cls", "status"])
-
-    return both.mapInArrow(run, STATUS_SCHEMA)
+    cols = [F.col("walk_id").cast("long"), F.col("n").cast("int"), F.col("t").cast("double"), F.col("det_id").cast("long"), *(F.col(c).cast("double").alias(c) for c in BOX), F.col("cls").cast("string"), place.alias("place")]
+    dets.select(*cols).repartition("n").write.partitionBy("n").parquet(f"{base}/dets")
+    tied = links.select(F.col("walk_id").cast("long"), F.col("b").cast("int").alias("b"), F.col("a").cast("long").alias("a"), F.col("h").cast("array<double>").alias("h"), F.col("inliers").cast("long").alias("inliers"))
+    tied.repartition("b").write.partitionBy("b").parquet(f"{base}/links")
+    schema = "walk_id long, t double, det_id long, x0 double, y0 double, x1 double, y1 double, cls string, place string, n int"
+    all_dets, all_links = spark.read.schema(schema).parquet(f"{base}/dets"), spark.read.schema("walk_id long, a long, h array<double>, inliers long, b int").parquet(f"{base}/links")
+    last = all_dets.agg(F.max("n")).first()[0] or 0
+    linked = {r["b"] for r in all_links.select("b").distinct().collect()}  # commit numbers, at most the steps there are
+    done = spark.read.schema(_STEP)
+    items = zones = None
+    for n in range(1, last + 1):
+        own, to = all_dets.where(F.col("n") == n).drop("n"), all_links.where(F.col("b") == n)
+        live = own.where("place in ('inner', 'band')")
+        seen = done.parquet(*[f"{base}/step={i}" for i in range(1, n)]).where("item is not null") if n > 1 else None
+        carried = _linked_items(seen, to) if n > 1 and n in linked else None
+        frames = to.select("walk_id", "h") if n in linked else None
+        if motion and n > 1:
+            now = own.groupBy("walk_id").agg(F.max("t").alias("now")).join(to.where(F.col("a") == n - 1).select("walk_id", "h"), "walk_id", "left")
+            items = staged(_moved_on(items, now, width, height, dead_reckon), "items")
+            zones = staged(_zones_on(zones, seen, items, now, dead_reckon), "zones")
+            held = items.drop("seen_at")
+            carried = held if carried is None else held.unionByName(carried.join(held, ["walk_id", "item"], "left_anti"))
+            moved = zones.select("walk_id", "h")
+            frames = moved if frames is None else moved.unionByName(to.join(zones, (to["walk_id"] == zones["walk_id"]) & (to["a"] == zones["zone"]), "left_anti").select("walk_id", "h"))
+        asked = frames_over(live, frames, width, height, band) if frames is not None else None
+        _finished(own, carried, asked, n).write.parquet(f"{base}/step={n}")
+        if motion:
+            step = done.parquet(f"{base}/step={n}").where("item is not null")
+            fresh = step.select("walk_id", "item", "cls", *BOX, F.col("t").alias("seen_at"))
+            items = fresh if items is None else items.join(fresh, ["walk_id", "item"], "left_anti").unionByName(fresh)
+            zone = own.groupBy("walk_id").agg(F.max("t").alias("zone_t")).select("walk_id", F.lit(n).cast("long").alias("zone"), "zone_t", _nine(IDENTITY).alias("motion"), _nine(IDENTITY).alias("h"))
+            zones = zone if zones is None else zones.unionByName(zone)
+    if not last:
+        return spark.createDataFrame([], STATUS_SCHEMA)
+    return done.parquet(*[f"{base}/step={i}" for i in range(1, last + 1)]).select("walk_id", "n", "det_id", "cls", "status")

@@ -98,39 +98,79 @@ def test_counting_with_links_prompts_and_never_double_counts(spark):
     assert list(alone.values()).count("new") == 9  # without links every view counts anew
 
 
+def view_pairs(dets, items):
+    """Matches (detection, item) of boxes with classes."""
+    side = lambda rows: (np.array([b for _, b in rows], float), np.array([k for k, _ in rows], object))
+    return sorted(zip(*map(np.ndarray.tolist, counting.view_matches(*side(dets), *side(items))), strict=True))
+
+
 def test_common_offset_needs_support_and_takes_the_shortest():
-    box = np.array([[20.0 + 12 * i, 40, 30 + 12 * i, 50] for i in range(4)])
-    kind = np.array(["can"] * 4, object)
-    pairs = counting.Pairs.of(box, kind, box + [4, 0, 4, 0], kind)
-    assert pairs.offset(box).tolist() == [0, 0]  # all are within half a box unmoved: the shortest of equals
-    far = counting.Pairs.of(box, kind, box + [4, 4, 4, 4], kind)
-    assert np.hypot(*(far.offset(box) - 4)) <= 5 and len(far.matches(far.offset(box))) == 4
-    two = counting.Pairs.of(box[:2], kind[:2], box[:2] + [4, 4, 4, 4], kind[:2])
-    assert two.offset(box[:2]).tolist() == [0, 0]  # two are too few
+    box = [("can", (20 + 12 * i, 40, 30 + 12 * i, 50)) for i in range(4)]
+    moved = lambda by, many=4: [(k, (a + by, b + by, c + by, d + by)) for k, (a, b, c, d) in box[:many]]
+    assert view_pairs(box, moved(4)) == [(i, i) for i in range(4)]  # 5.7 px off: past half a box, reached by an offset
+    assert view_pairs(box[:2], moved(4, 2)) == []  # two are too few to vote
+    assert view_pairs(box, moved(2)) == [(i, i) for i in range(4)] and view_pairs(box, [("bottle", b) for _, b in moved(2)]) == []
 
 
 @settings(max_examples=40, deadline=None)
 @given(st.integers(1, 4), st.integers(1, 4), st.randoms(use_true_random=False))
 def test_matches_are_the_cheapest_of_the_largest(n, m, rnd):
-    spot = lambda: [x := rnd.randint(0, 30), y := rnd.randint(0, 10), x + 20, y + 20]  # noqa: E731, F841
+    spot = lambda: [rnd.randint(0, 30), rnd.randint(0, 10)]
     a, b = np.array([spot() for _ in range(n)], float), np.array([spot() for _ in range(m)], float)
-    kind = lambda k: np.array(["x"] * k, object)
-    pairs = counting.Pairs.of(a, kind(n), b, kind(m))
-    got = pairs.matches(np.zeros(2))
-    far = np.full((n, m), np.inf)
-    far[pairs.det, pairs.item] = pairs.distance(np.zeros(2))
+    far = np.hypot(*((a[:, None] - b[None]) / 10).transpose(2, 0, 1))
+    det, item = np.nonzero(far <= 1)
+    got = list(zip(*counting.cheapest_matches(det, item, far[det, item]), strict=True))
     best = min((sum(-1000 + far[i, j] for i, j in zip(range(n), p, strict=False) if j >= 0 and far[i, j] <= 1) for p in itertools.permutations([*range(m), *[-1] * n], n)), default=0)
     assert sum(-1000 + far[i, j] for i, j in got) == pytest.approx(best) and len({i for i, _ in got}) == len(got) == len({j for _, j in got})
 
 
-def test_zone_follows_its_items():
+def test_zone_follows_its_items(spark):
     base = np.array([[0, 0], [10, 0], [10, 10], [0, 10], [5, 5.0]])
     turn = np.array([[0.98, -0.1], [0.1, 0.98]])
-    h = counting.zone_transform(base, base @ turn.T + [3, -2])
-    assert np.allclose(h, [[0.98, -0.1, 3], [0.1, 0.98, -2], [0, 0, 1]])
-    assert np.allclose(counting.zone_transform(base, 3 * base)[:2, :2], np.eye(2))  # too large a scale: the median shift
-    assert np.allclose(counting.zone_transform(base[:2], base[:2] + 4), [[1, 0, 4], [0, 1, 4], [0, 0, 1]])
-    assert counting.zone_transform(base[:0], base[:0]) is None
+
+    def fit(then, now):
+        rows = lambda xy, x, y: spark.createDataFrame([(1, 1, i, float(a), float(b)) for i, (a, b) in enumerate(xy)], f"walk_id long, zone long, item long, {x} double, {y} double")
+        got = counting.moved_zones(rows(then, "cx", "cy"), rows(now, "ix", "iy").drop("zone"), ["walk_id", "zone"]).collect()
+        return np.array(got[0].h).reshape(3, 3) if got else None
+
+    assert np.allclose(fit(base, base @ turn.T + [3, -2]), [[0.98, -0.1, 3], [0.1, 0.98, -2], [0, 0, 1]])
+    assert np.allclose(fit(base, 3 * base)[:2, :2], np.eye(2))  # too large a scale: the median shift
+    assert np.allclose(fit(base[:2], base[:2] + 4), [[1, 0, 4], [0, 1, 4], [0, 0, 1]])
+
+
+@pytest.mark.parametrize("motion", [False, True])
+def test_supersteps_equal_the_fold(spark, motion):
+    """Random walks whose views shift and turn a little, with wrong links, gaps and detections that come and go."""
+    import walk_fold
+
+    rng, rows, tied = np.random.default_rng(7 + motion), [], []
+    for w in range(12):
+        shelf = rng.integers(0, [300, 80], (25, 2)).astype(float)
+        kind, at, t = rng.choice(["can", "bottle"], 25), 0.0, 0.0
+        starts = []
+        for n in range(1, 8):
+            at, t = at + float(rng.integers(0, 60)), t + float(rng.integers(1, 20))
+            starts.append(at)
+            for i, (x, y) in enumerate(shelf):
+                x0, y0 = x - at + rng.integers(-3, 4), y + rng.integers(-2, 3)
+                if -15 < x0 < 130 and rng.random() < 0.9:
+                    rows.append({"walk_id": w, "n": n, "t": t, "det_id": i, "x0": x0, "y0": y0, "x1": x0 + 14, "y1": y0 + 12, "score": float(rng.choice([0.3, 0.9, 0.95])), "cls": str(kind[i])})
+            for a in range(1, n):
+                if rng.random() < (0.8 if a == n - 1 else 0.3):
+                    wrong = rng.random() < 0.15
+                    tied.append((w, a, n, [1.0, 0.001, starts[a - 1] - at + (50 if wrong else 2), -0.001, 1.0, 1.0, 0.0, 0.0, 1.0], int(rng.integers(40, 45))))
+    dets = spark.createDataFrame(pd.DataFrame(rows))
+    links = spark.createDataFrame(tied, "walk_id long, a long, b long, h array<double>, inliers long")
+    options = (0.5, 130.0, 100.0, 1.0, 12.0)
+    got = {(r.walk_id, r.n, r.det_id): r.status for r in counting.count_commits(dets, links, *options, motion=motion, dead_reckon=25.0).collect()}
+    from pyspark.sql import functions as F
+
+    from stockloom.functions import geometry as g
+    from stockloom.operators.detections import status
+
+    placed = dets.withColumn("place", status(F.col("score"), g.box(), *options)).toPandas()
+    want = walk_fold.statuses(placed, links.toPandas(), 130.0, 100.0, 12.0, motion, 25.0)
+    assert got == want and {"new", "seen", "miss", "edge", "cut", "low"} == set(want.values())
 
 
 def test_tracked_items_are_seen_again_and_zones_move_along(spark):
