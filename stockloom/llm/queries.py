@@ -71,4 +71,4 @@ def op13_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack_best_fit, op3_quality_rules, op4_toxicity, op5_language, op6_quality_model, op7_wavelet_files, op8_near_texts, op9_near_vectors, op10_shards, op11_source_divergence, op12_token_alignment, op13_repeated_windows)}
 
 #: The others cannot be written in SQL; tests/llm holds them against brute force, round trips or held-out rows.
-ORACLE_SQL: dict[str, str] = {"op11_source_divergence": divergence.SOURCE_DIVERGENCE_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_source_divergence": divergence.SOURCE_DIVERGENCE_SQL, "op13_repeated_windows": repeats.REMOVE_REPEATS_SQL}

@@ -32,11 +32,11 @@ from stockloom.plans.durable import staged
 from stockloom.plans.groups import dealt, whole_groups
 
 BLOCK_BYTES = 4_000_000
-BUCKET_GRAMS, BUCKET_RUNS = 4_000_000, 150_000  # rows that one task sorts
+BUCKET_GRAMS, BUCKET_RUNS = 1_000_000, 50_000  # rows that one task sorts
 HOT = 50_000
-_SLICE = 1 << 22
-_PLACES = np.uint64(23)  # low bits of an anchor's key: its place in a slice of a block and the window after it
-_BASE = 0x9E3779B97F4A7C15
+_SLICE = 1 << 20
+_PLACES = np.uint64(21)  # low bits of an anchor's key: its place in a slice of a block and the window after it
+_BASE, _SPREAD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 def _hashes(x: np.ndarray, k: int) -> np.ndarray:
@@ -90,7 +90,8 @@ def anchors(body: bytes, ends: np.ndarray, window: int, gram: int) -> tuple[np.n
         got.append((h[spot[cut[live]]], cut[live] + at, many[live]))
     if not got:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    digit, start, many = (np.concatenate(c) for c in zip(*got, strict=True))
+    least, start, many = (np.concatenate(c) for c in zip(*got, strict=True))
+    digit = least * np.uint64(_SPREAD)  # the smallest hashes lie close together
     return (digit >> np.uint64(8)) << np.uint64(8), start, many
 
 
@@ -377,3 +378,20 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     alone = [F.col("_id").alias(id_col), F.octet_length("_text").cast("long").alias("n_bytes"), *(F.lit(0).cast("long").alias(c) for c in ("n_removed", "n_spans")), F.sha2(text, 256).alias("kept_sha256")]
     none = F.array().cast("array<struct<start: bigint, stop: bigint>>").alias("spans")
     return got.unionByName(d.where("_id is null").select(*alone, none, *[text.alias("kept")] * with_kept))
+
+
+#: The contract of ``remove_repeats`` with a window of 50 over ``documents``, without spans.
+REMOVE_REPEATS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+b AS (SELECT r, doc_id, octet_length(raw) AS n, hex(raw) AS x FROM d),
+w AS MATERIALIZED (SELECT r, doc_id, s, md5(x[2*s+1:2*s+100]) AS h FROM (SELECT r, doc_id, x, unnest(range(n - 49)) AS s FROM b WHERE doc_id IS NOT NULL AND n >= 50)),
+low AS (SELECT h, min(doc_id) AS first FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT w.r, w.s FROM w JOIN low USING (h) WHERE w.doc_id > low.first),
+cut AS (SELECT r, s, s + 50 AS e, CASE WHEN s > max(s + 50) OVER (PARTITION BY r ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM gone),
+num AS (SELECT r, s, e, sum(new) OVER (PARTITION BY r ORDER BY s) AS k FROM cut),
+spans AS (SELECT r, k, min(s) AS a, max(e) AS z FROM num GROUP BY r, k),
+lists AS (SELECT r, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM spans GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(list_sum(z) - list_sum(a), 0)::BIGINT AS n_removed, coalesce(len(a), 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN a IS NULL THEN x ELSE array_to_string(list_transform(range(len(a) + 1), lambda i: x[2 * (CASE WHEN i = 0 THEN 0 ELSE z[i] END) + 1:2 * (CASE WHEN i = len(a) THEN n ELSE a[i + 1] END)]), '') END)) AS kept_sha256
+FROM b LEFT JOIN lists USING (r)
+"""
