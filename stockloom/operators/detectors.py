@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 # The scores from which a detector shows and counts a box, and whether it works on tiles.
 THRESHOLDS = {"rfdetr": (0.3, 0.5, False), "rfdetr_tiled": (0.3, 0.5, True), "owlv2": (0.2, 0.3, False), "owlv2_caps": (0.15, 0.2, False), "oracle": (0.5, 0.5, False)}
@@ -32,3 +35,24 @@ def detector(name: str) -> Callable[[DataFrame], DataFrame]:
         return whole.where(F.col("score") >= shown).withColumn("counted", F.col("score") >= counted)
 
     return apply
+
+
+class _Detector:
+    """The table function: boxes in, the boxes that the named detector shows out, with ``counted``."""
+
+    @staticmethod
+    def analyze(boxes: AnalyzeArgument, name: AnalyzeArgument) -> AnalyzeResult:
+        if name.value not in THRESHOLDS:
+            raise ValueError(f"no detector {name.value!r}; there are {', '.join(THRESHOLDS)}")
+        return AnalyzeResult(StructType([*boxes.dataType.fields, StructField("counted", BooleanType())]))
+
+    def eval(self, box, name: str):
+        shown, counted, tiled = THRESHOLDS[name]
+        cut = tiled and min(abs(box["x0"] - TILE[0]), abs(box["x1"] - TILE[0]), abs(box["y0"] - TILE[1]), abs(box["y1"] - TILE[1])) <= EDGE
+        if box["score"] is not None and box["score"] >= shown and not cut:
+            yield (*box, box["score"] >= counted)
+
+
+def register(spark: SparkSession) -> None:
+    """``SELECT * FROM detector(TABLE(...), 'owlv2')``: any table with x0, y0, x1, y1 and score; an unknown name is an error of the analysis."""
+    spark.udtf.register("detector", udtf(_Detector))

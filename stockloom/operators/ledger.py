@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,3 +128,16 @@ def op_tree_histogram(edges: DataFrame, root: str) -> DataFrame:
       SELECT child, kind, 1 FROM {edges} WHERE parent = {root}
       UNION ALL SELECT e.child, e.kind, t.depth + 1 FROM tree t JOIN {edges} e ON e.parent = t.node)
     SELECT kind, CAST(depth AS BIGINT) AS depth, count(*) AS n FROM tree GROUP BY kind, depth""", edges=edges, root=root)
+
+
+EXAMPLE = "group_id long, code long, v array<float>, session long"
+
+
+def teach(confirmed: DataFrame, path: str) -> None:
+    """Appends confirmed groups (group_id, code, v, session) as examples, a folder for each session; nothing written is changed."""
+    confirmed.select("group_id", F.col("code").cast("long").alias("code"), F.col("v").cast("array<float>").alias("v"), F.col("session").cast("long").alias("session")).repartition("session").write.mode("append").partitionBy("session").parquet(path)
+
+
+def examples(spark: SparkSession, path: str) -> DataFrame:
+    """All examples taught so far; a filter on ``session`` reads only the folders it needs."""
+    return spark.read.schema(EXAMPLE).parquet(path)

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from stockloom.functions import geometry as g
 from stockloom.operators import commits as committed
-from stockloom.operators import counting, folds, motion
+from stockloom.operators import counting, folds, motion, registration
 from stockloom.operators.detections import gated_new, near_items
 from stockloom.operators.graph import connected_components
-from stockloom.plans.detections import _LINKS_SQL, _links
+from stockloom.plans import scenes
+from stockloom.plans.detections import HEIGHT, WIDTH, _links
 from stockloom.plans.durable import fresh_path, staged
 from stockloom.sources.adapters import COMMITS, DETECTIONS, FRAMES, commits, detections, frames, with_sql
 from stockloom.sources.tables import table
@@ -105,20 +106,41 @@ def fallback_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(committed.trigger_commits(trigger_frames(spark, sf_dir), FRAME_TIME, fallback=0.7, sweep_speed=SWEEP_SPEED, **TRIGGER))
 
 
-def consistent_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of each commit without look-alikes: two earlier commits clash if they are near in key but not linked."""
-    lk = _links(spark, sf_dir).select("walk_id", F.col("b").alias("commit_n"), "a", "inliers")
-    other = lk.select(F.col("walk_id").alias("w"), F.col("commit_n").alias("m"), F.col("a").alias("c"))
-    pairs = lk.join(other, (F.col("walk_id") == F.col("w")) & (F.col("commit_n") == F.col("m")) & (F.col("a") < F.col("c"))).where((F.col("a") + F.col("c")) % 4 == 0)
-    return folds.consistent_links(lk, pairs.select("walk_id", "commit_n", "a", "c"))
+OVER = 0.3
 
 
-CONSISTENT_LINKS = "WITH RECURSIVE " + COMMITS + ", " + _LINKS_SQL + """,
-ordered AS (SELECT walk_id, b AS commit_n, a, inliers, row_number() OVER (PARTITION BY walk_id, b ORDER BY inliers DESC, a) AS rank FROM links),
+def consistent_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposed links of each commit without look-alikes (J12): of two candidates whose views share over 0.3 of this view, but which are not
+    proposed with each other, the weaker goes. Views are warped to this one and cut with each other; all by commit."""
+    c = commits(spark, sf_dir)
+    key = lambda n: c.select("walk_id", F.col("n").alias(n), F.col("commit_id").alias(f"k{n}"))
+    lk = scenes.proposed_pairs(spark, sf_dir).join(key("a"), ["walk_id", "a"]).join(key("b"), ["walk_id", "b"])
+    lk = staged(lk.select("walk_id", "a", "b", "ka", "kb", (40 + (F.col("ka") * 7 + F.col("kb") * 13) % 60).alias("inliers")), "proposed")
+    other = lk.select("walk_id", "b", F.col("a").alias("c"), F.col("ka").alias("kc"))
+    linked = lk.select("walk_id", "a", F.col("b").alias("c"))
+    met = lk.join(other, ["walk_id", "b"]).where("a < c").join(linked, ["walk_id", "a", "c"], "left_anti")
+    quad = lambda k: scenes._warped(scenes.view_transform(F.col(k), F.col("kb")))
+    view = [(F.lit(x), F.lit(y)) for x, y in scenes._CORNERS(0.0)]
+    shared = F.abs(g.signed_area(g.clipped(g.clipped(g.polygon(quad("ka")), quad("kc")), view)))
+    clash = met.where(shared > OVER * WIDTH * HEIGHT).select("walk_id", "b", F.explode(F.array(F.struct("a", F.col("c").alias("foe")), F.struct(F.col("c").alias("a"), F.col("a").alias("foe")))).alias("p"))
+    foes = clash.groupBy("walk_id", "b", F.col("p.a").alias("a")).agg(F.collect_set("p.foe").alias("foes"))
+    rows = lk.join(foes, ["walk_id", "b", "a"], "left").select("walk_id", F.col("b").alias("commit_n"), "a", "inliers", F.coalesce("foes", F.array().cast("array<bigint>")).alias("foes"))
+    return registration.consistent_links(rows)
+
+
+_QUAD = lambda k: scenes._polygon_sql(scenes._warped_sql(k, "kb"))
+CONSISTENT_LINKS = "WITH RECURSIVE " + ", ".join([
+    COMMITS, scenes.WORDS, "lk AS (SELECT p.walk_id, p.a, p.b, x.commit_id AS ka, y.commit_id AS kb, 40 + (x.commit_id * 7 + y.commit_id * 13) % 60 AS inliers FROM (" + scenes.PAIRS + ") p JOIN commits x ON x.walk_id = p.walk_id AND x.n = p.a JOIN commits y ON y.walk_id = p.walk_id AND y.n = p.b)",
+    f"met AS (SELECT x.walk_id, x.b, x.a, y.a AS c, {_QUAD('x.ka').replace('(kb', '(x.kb')} AS one, {_QUAD('y.ka').replace('(kb', '(x.kb')} AS two, {scenes._VIEW} AS view_ FROM lk x JOIN lk y ON x.walk_id = y.walk_id AND x.b = y.b AND x.a < y.a WHERE NOT EXISTS (SELECT 1 FROM lk z WHERE z.walk_id = x.walk_id AND z.a = x.a AND z.b = y.a))",
+    *scenes._clip_steps("met", "one", "two", "cut"), *scenes._clip_steps("cut4", "cut_p4", "view_", "seen"),
+    f"clash AS (SELECT walk_id, b, a, c FROM seen4 WHERE {scenes._area_sql('seen_p4')} > {OVER * WIDTH * HEIGHT}::DOUBLE)",
+    """foes AS (SELECT walk_id, b, a, list(c) AS foes FROM (SELECT walk_id, b, a, c FROM clash UNION ALL SELECT walk_id, b, c, a FROM clash) GROUP BY ALL),
+ordered AS (SELECT l.walk_id, l.b AS commit_n, l.a, l.inliers, coalesce(f.foes, []) AS foes, row_number() OVER (PARTITION BY l.walk_id, l.b ORDER BY l.inliers DESC, l.a) AS rank FROM lk l LEFT JOIN foes f ON f.walk_id = l.walk_id AND f.b = l.b AND f.a = l.a),
 step AS (SELECT walk_id, commit_n, rank, [a] AS kept FROM ordered WHERE rank = 1
-  UNION ALL SELECT o.walk_id, o.commit_n, o.rank, CASE WHEN len(list_filter(s.kept, lambda x: (x + o.a) % 4 = 0)) > 0 THEN s.kept ELSE list_append(s.kept, o.a) END
+  UNION ALL SELECT o.walk_id, o.commit_n, o.rank, CASE WHEN list_has_any(s.kept, o.foes) THEN s.kept ELSE list_append(s.kept, o.a) END
   FROM step s JOIN ordered o ON o.walk_id = s.walk_id AND o.commit_n = s.commit_n AND o.rank = s.rank + 1)
-SELECT walk_id, commit_n, a, inliers FROM ordered JOIN (SELECT walk_id, commit_n, arg_max(kept, rank) AS kept FROM step GROUP BY walk_id, commit_n) USING (walk_id, commit_n) WHERE list_contains(kept, a)"""
+SELECT walk_id, commit_n, a, inliers FROM ordered JOIN (SELECT walk_id, commit_n, arg_max(kept, rank) AS kept FROM step GROUP BY walk_id, commit_n) USING (walk_id, commit_n) WHERE list_contains(kept, a)""",
+])
 
 
 def _walk_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -59,3 +59,44 @@ def exactly_once(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]
         df.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
     return write
+
+
+def first_in_time(rows: DataFrame, key: str, late: str) -> DataFrame:
+    """The first row of each key of a stream with event time ``ts``; rows behind the watermark are dropped, and keys older than it are forgotten."""
+    return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+
+
+def dropped(fed: DataFrame, kept: DataFrame, key: str) -> DataFrame:
+    """Every key of ``fed`` with its columns, how often it was fed, and whether any of it is in ``kept``."""
+    others = [c for c in fed.columns if c != key]
+    once = fed.groupBy(key).agg(F.count("*").alias("fed"), *(F.first(c).alias(c) for c in others))
+    return once.join(kept.select(key).distinct().withColumn("kept", F.lit(True)), key, "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+
+
+def limited(spark: SparkSession, schema, path: str, files: int | None = None, size: str | None = None) -> DataFrame:
+    """A stream of Parquet files that takes at most so many files, or bytes, a batch, so that a backlog is worked off at a steady rate."""
+    reader = spark.readStream.schema(schema)
+    for option, value in (("maxFilesPerTrigger", files), ("maxBytesPerTrigger", size)):
+        reader = reader.option(option, value) if value else reader
+    return reader.parquet(path)
+
+
+def taken(query) -> list[tuple[int, int]]:
+    """``(batch, rows)`` of the batches of a query that took rows, as far as its progress is kept."""
+    return [(p["batchId"], p["numInputRows"]) for p in query.recentProgress if p["numInputRows"]]
+
+
+def whole_result(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink for complete results: each batch writes its own folder, once."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return write
+
+
+def last_result(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What the last batch of ``whole_result`` wrote."""
+    rows = spark.read.schema(f"{schema}, batch long").parquet(path)
+    last = rows.agg(F.max("batch")).first()[0]
+    return rows.where(F.col("batch") == F.lit(last)).drop("batch")

@@ -265,9 +265,3 @@ def test_detectors_go_by_name(spark):
     assert detectors.detector("rfdetr_tiled")(boxes).count() == 1 and detectors.detector("oracle")(boxes).count() == 1
     with pytest.raises(ValueError):
         detectors.detector("other")
-
-
-def test_consistent_links_drop_the_weaker_of_a_clash(spark):
-    links = spark.createDataFrame([(1, 5, 1, 90), (1, 5, 2, 80), (1, 5, 3, 70), (1, 6, 1, 50)], "walk_id long, commit_n long, a long, inliers long")
-    clash = spark.createDataFrame([(1, 5, 2, 1), (1, 5, 2, 3), (1, 6, 1, 2)], "walk_id long, commit_n long, a long, c long")
-    assert sorted((r.commit_n, r.a) for r in folds.consistent_links(links, clash).collect()) == [(5, 1), (5, 3), (6, 1)]
