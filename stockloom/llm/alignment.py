@@ -31,11 +31,11 @@ from stockloom.llm.tokens import _BYTE_LETTERS, _plain
 from stockloom.llm.wavelet import _put
 from stockloom.plans.durable import fresh_path, staged
 
-SHARD_BYTES = 3_000_000
-MOST_PARTS = 500_000
-PARTIAL = 3_000_000  # distinct pairs that a task counts before it passes them on
+SHARD_BYTES = 2_000_000
+MOST_PARTS = 200_000
+PARTIAL = 2_000_000  # distinct pairs that a task counts before it passes them on
 PAIRS_PER_FILE = 2_000_000
-LOOKED_UP = 3_000_000  # links that a task looks up at a time
+LOOKED_UP = 1_000_000  # links that a task looks up at a time
 SPACE_MARK = "▁"
 
 
