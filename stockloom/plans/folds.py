@@ -15,7 +15,7 @@ from stockloom.plans.detections import HEIGHT, WIDTH, _links
 from stockloom.plans.durable import fresh_path, staged
 from stockloom.sources.adapters import COMMITS, DETECTIONS, FRAMES, commits, detections, frames, with_sql
 from stockloom.sources.tables import table
-from stockloom.streaming import triggers
+from stockloom.streaming import triggers, walks
 
 TRIGGER = {"hold": 6.0, "limit": 60.0, "rearm": 15.0, "focal": 100.0, "width": 120.0, "height": 90.0}
 FRAME_TIME = 1.0
@@ -161,6 +161,19 @@ def tracked_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.count_commits(*_walk_inputs(spark, sf_dir), 0.92, 130.0, 100.0, 1.0, 12.0, motion=True, dead_reckon=30.0)
 
 
+def streamed_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statuses of ``counted_walks`` from a stream of commits over slices of time, taken up again from its checkpoint for each."""
+    base = fresh_path(spark, "commits")
+    dets, links = _walk_inputs(spark, sf_dir)
+    timed = dets.withColumn("ts", F.timestamp_seconds(F.round(F.col("t") * 86_400).cast("long")))
+    rows = walks.commit_rows(timed, links, 0.92, 130.0, 100.0, 1.0, 12.0)
+    for _ in _slices(rows, "ts", f"{base}/in", 3):
+        src = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        q = walks.stream_statuses(src, 130.0, 100.0, 12.0, expire="3650 days").writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(counting.STATUS_SCHEMA).parquet(f"{base}/out")
+
+
 GATE = 20.0
 
 
@@ -277,5 +290,5 @@ SLIDING_WINDOWS = """
 SELECT (date_trunc('day', ts) - INTERVAL 1 DAY * k)::TIMESTAMP AS start, event_type AS kind, count(*) AS frames, round(sum(value), 4) AS total FROM events, (VALUES (0), (1)) v(k) GROUP BY ALL"""
 
 _NAMES = "hold_trigger timed_trigger sweep_trigger fallback_trigger consistent_links counted_walks tracked_walks assigned strategy_grid streamed_commits streamed_windows batch_windows session_windows sliding_windows".split()
-QUERIES = {f"q{i + 67}_{n}": globals()[n] for i, n in enumerate(_NAMES)}
+QUERIES = {f"q{i + 67}_{n}": globals()[n] for i, n in enumerate(_NAMES)} | {"q109_streamed_statuses": streamed_statuses}
 ORACLE_SQL = {f"q{i + 67}_{n}": globals()[n.upper()] for i, n in enumerate(_NAMES) if n.upper() in globals()}

@@ -192,6 +192,36 @@ def test_walk_query_keeps_its_invariants(spark):
     assert not set(opening.status) & {"seen", "miss"}
 
 
+def test_streamed_statuses_are_those_of_the_batch(spark):
+    got = plans.streamed_statuses(spark, SF)
+    assert got.count() == 6000 and got.exceptAll(plans.counted_walks(spark, SF)).isEmpty()
+
+
+def test_idle_walks_are_forgotten_and_others_are_not(spark, tmp_path):
+    """A walk that comes back after its state has expired is counted anew; with a longer time its items are seen again."""
+    from pyspark.sql import functions as F
+
+    from stockloom.streaming import walks
+
+    day = lambda n: 86_400 * (n + 100)
+    dets = [(w, n, i, 20.0 + 12 * i, 40.0, 30.0 + 12 * i, 50.0, 0.9, "can", t) for w, n, t in ((1, 1, day(0)), (2, 1, day(20)), (2, 2, day(40)), (1, 2, day(41))) for i in range(4)]
+    d = spark.createDataFrame(dets, "walk_id long, n long, det_id long, x0 double, y0 double, x1 double, y1 double, score double, cls string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    same = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    links = spark.createDataFrame([(1, 1, 2, same, 50), (2, 1, 2, same, 50)], "walk_id long, a long, b long, h array<double>, inliers long")
+    rows = walks.commit_rows(d, links, 0.5, 100.0, 100.0, 0.5, 12.0)
+
+    def run(expire, name):
+        for low, high in ((0, 10), (10, 30), (30, 40.5), (40.5, 50)):
+            rows.where(F.unix_timestamp("ts").between(int(day(low)), int(day(high)) - 1)).write.mode("append").parquet(f"{tmp_path}/{name}/in")
+            src = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/{name}/in")
+            q = walks.stream_statuses(src, 100.0, 100.0, 12.0, expire=expire).writeStream.format("parquet").option("path", f"{tmp_path}/{name}/out").option("checkpointLocation", f"{tmp_path}/{name}/state").trigger(availableNow=True).start()
+            q.awaitTermination()
+        return {(r.walk_id, r.n): r.status for r in spark.read.parquet(f"{tmp_path}/{name}/out").where("det_id = 1").collect()}
+
+    assert run("25 days", "short") == {(1, 1): "new", (2, 1): "new", (2, 2): "seen", (1, 2): "miss"}  # asked about, but no item is known any more
+    assert run("100 days", "long") == {(1, 1): "new", (2, 1): "new", (2, 2): "seen", (1, 2): "seen"}
+
+
 def test_suppression_leaves_no_overlap_and_drops_only_overlapped(spark):
     from stockloom.sources.adapters import detections
 
