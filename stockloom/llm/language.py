@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockloom.llm.samples import first_by_hash
@@ -157,31 +157,41 @@ def _summed(rows: DataFrame, at: dict[str, int], f: Callable[[np.ndarray, np.nda
     return np.sum([np.frombuffer(r["sums"]) for r in rows.mapInArrow(run, "sums binary").collect()], 0)
 
 
+def _aside() -> Column:
+    """The fifth of the training rows that trust and sharpness come from, by the id alone."""
+    return F.pmod(F.xxhash64(F.lit(7), "_id"), F.lit(5)) == 0
+
+
+def _judged(predicted: np.ndarray, label: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, float]:
+    """Trust of each bit and the sharpness, from predictions for rows that were set aside; without any all bits count alike."""
+    trust = _trust((np.sign(predicted) == code[label]).mean(0) if len(label) else np.ones(code.shape[1]))
+    fits = sum((_likelihoods(losses(predicted[i : i + 512], code, trust), label[i : i + 512]) for i in range(0, len(label), 512)), np.zeros(len(SHARP)))
+    return trust, float(SHARP[int(np.argmax(fits))])
+
+
 def _fit_here(rows: DataFrame, names: list[str], code: np.ndarray) -> LanguageModel:
-    """All rows on the driver; trust and sharpness from ridge predictions without the row itself."""
+    """As ``_fit_in_tasks`` with all rows on the driver, where few rows make their products with each other the smaller system."""
     at = {n: i for i, n in enumerate(names)}
-    got = rows.orderBy("_id", "lang").collect()
+    got = rows.withColumn("aside", _aside()).orderBy("_id", "lang").collect()
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float64)
-    label = np.array([at[r["lang"]] for r in got])
-    y = code[label]
-    one_x = np.hstack([x, np.ones((len(x), 1))])
-    solve = np.linalg.inv(one_x @ one_x.T + EASE * np.eye(len(x)))
-    left_out = y - (solve @ y) / np.diag(solve)[:, None]
-    trust = _trust((np.sign(left_out) == y).mean(0))
-    parts = range(0, len(x), 512)
-    fits = sum(_likelihoods(losses(left_out[i : i + 512], code, trust), label[i : i + 512]) for i in parts)
-    return LanguageModel(names, code, (one_x.T @ (solve @ y)).astype(np.float32), trust, float(SHARP[int(np.argmax(fits))]))
+    x = np.hstack([x, np.ones((len(x), 1))])
+    label, back = np.array([at[r["lang"]] for r in got]), np.array([r["aside"] for r in got])
+
+    def weights(own: np.ndarray) -> np.ndarray:
+        return x[own].T @ np.linalg.solve(x[own] @ x[own].T + EASE * np.eye(int(own.sum())), code[label[own]])
+
+    trust, sharp = _judged(x[back] @ weights(~back), label[back], code)
+    return LanguageModel(names, code, weights(np.ones(len(x), bool)).astype(np.float32), trust, sharp)
 
 
 def _fit_in_tasks(rows: DataFrame, names: list[str], code: np.ndarray, count: int) -> LanguageModel:
     """Sums of all rows in tasks; trust and sharpness from the predictions for a fifth of them, by weights learned without it."""
     at = {n: i for i, n in enumerate(names)}
-    back = F.pmod(F.xxhash64(F.lit(7), "_id"), F.lit(5)) == 0
     tasks = min(64, -(-count // WIDTH))
     gram, right = EASE * np.eye(SIDE), np.zeros((SIDE, code.shape[1]))
-    _normal_sums(rows.where(~back), at, code, gram, right, tasks)
+    _normal_sums(rows.where(~_aside()), at, code, gram, right, tasks)
     first = np.linalg.solve(gram, right)
-    aside = rows.where(back)
+    aside = rows.where(_aside())
     hits = _summed(aside, at, lambda x, label: np.append((np.sign(x @ first) == code[label]).sum(0), len(x)))
     trust = _trust(hits[:-1] / hits[-1])
     fits = _summed(aside, at, lambda x, label: _likelihoods(losses(x @ first, code, trust), label))
@@ -191,8 +201,8 @@ def _fit_in_tasks(rows: DataFrame, names: list[str], code: np.ndarray, count: in
 
 def fit_language(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = 400, most_here: int = WIDTH) -> LanguageModel:
     """Learns every language from the whole texts of ``per_language`` of its documents (those of the smallest id hashes) that
-    are not held out. Up to ``most_here`` training rows are solved on the driver, more are summed in tasks; the weights are the
-    same, and trust and sharpness come from rows that the weights used for them have not seen."""
+    are not held out. Up to ``most_here`` training rows are solved on the driver, more are summed in tasks; either way gives
+    the same weights, and the same trust and sharpness, which come from a fifth of the rows and weights learned without it."""
     known = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(lang_col).cast("string").alias("lang")).dropna().where(~held_out("_id"))
     picked = first_by_hash(known.distinct(), "lang", per_language).select("_id", "lang")
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null")
@@ -204,7 +214,7 @@ def fit_language(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id"
                 [part.column(0), part.column(1), pa.array([features(t).astype(np.float16).tobytes() if t else None for t in plain], pa.binary())], ["_id", "lang", "x"]
             )
 
-    one = texts.join(F.broadcast(picked), ["_id", "lang"]).groupBy("_id", "lang").agg(F.max("text").alias("text"))
+    one = texts.join(picked.hint("merge"), ["_id", "lang"]).groupBy("_id", "lang").agg(F.max("text").alias("text"))
     rows = staged(one.mapInArrow(run, "_id long, lang string, x binary").where("x is not null"), "languages")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     names, count = sorted(counts), sum(counts.values())
