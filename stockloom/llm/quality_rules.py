@@ -21,7 +21,7 @@ from stockloom.llm.text import chunks
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
-MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 8, 0.45, 50
+MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 8, 1 / 3, 30
 
 RESULT = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "

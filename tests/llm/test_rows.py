@@ -386,3 +386,16 @@ def test_cut_encoding_equals_whole_encoding():
         e, t = Encoder(path, words), Tokenizer.from_file(path)
         for _ in range(2):
             assert e.encode([x.encode() for x in texts]) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
+def test_the_suffix_array_rejects_what_the_base_rule_passes(spark):
+    """A long passage twice, and many short ones: under half of the words are in repeated windows, yet too much is said again."""
+    from odd import words
+
+    passage, rest = words(70, 60), words(71, 180)
+    short = [words(80 + i, 9) for i in range(7)]
+    rows = [(1, f"{passage} {rest} {passage}"), (2, " ".join([*short, words(72, 200), *short])), (3, rest), (4, words(73, 300))]
+    got = {r.doc_id: r for r in quality_rules.judge_quality(quality_rules.measure_quality(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [got[i].kept for i in (1, 2, 3, 4)] == [False, False, True, True]
+    assert got[1].longest_repeat == 60 and got[2].longest_repeat < 30 or got[2].n_covered_words * 3 > got[2].n_words
