@@ -1,9 +1,9 @@
 """Toxicity: gradient-boosted trees over dense features of the whole text, calibrated by isotonic regression.
 
-Training rows are split into ten parts by id hash: four teach a lexicon (word stems by log-odds, counted in Spark), four
-the trees, two are kept back, so that no step sees rows which shaped its inputs. The parts take five turns, at every size, so that
-the calibration learns from margins of all rows, each by a model that has not seen it. Rows of the rarer label are sampled
-more densely; the calibration puts that right.
+Training rows are split into ten parts by id hash. Lexicons (word stems by log-odds, counted in Spark) are learned from several sets
+of parts, so that trees learn from features that a row's own label has no part in. The scoring trees learn from all rows; the same
+fit is done five times with two parts kept back, at every size, and the calibration learns from the margins of those. Rows of the
+rarer label are sampled more densely; the calibration puts that right.
 """
 
 from __future__ import annotations
@@ -195,29 +195,40 @@ PARTS, TURNS = 10, 5
 
 
 def _place(part, turn: int):
-    """Where a part stands in a turn: under 4 for the lexicon, under 8 for the trees, else kept back; columns or arrays."""
+    """Where a part stands in a turn: under 4 in its first half, under 8 in its second, else kept back; columns or arrays."""
     return (part + (PARTS - 2 * turn)) % PARTS
 
 
+#: The parts that each lexicon is learned from: the first halves of the turns, all but what a turn keeps back, and all.
+HALVES = [[p for p in range(PARTS) if _place(p, k) < 4] for k in range(TURNS)]
+FOLDS = [[p for p in range(PARTS) if _place(p, k) < 8] for k in range(TURNS)]
+LEXICONS = [*HALVES, *FOLDS, list(range(PARTS))]
+
+
+def lexicons_of(part: int) -> list[int]:
+    """The lexicons, by their place in ``LEXICONS``, whose features a row's part gets: halves that have not learned from it, then the fold that keeps it back."""
+    return [k for k in range(TURNS) if part not in HALVES[k]] + [TURNS + k for k in range(TURNS) if part not in FOLDS[k]]
+
+
 def learn_lexicons(sample: DataFrame, label: str, totals: list[tuple[int, int]]) -> list[dict[str, float]]:
-    """For each turn the word stems that speak for label 1, with their log-odds, counted by documents in one job.
+    """For each of ``LEXICONS`` the word stems that speak for label 1, with their log-odds, counted by documents in one job.
 
     A stem counts if its odds are over eight times those of label 0 and it is in two documents of label 1 or more (one in 200 of
-    them). sample: _id, text, label, part; totals: rows of label 1 and all rows that a turn's lexicon learns from.
+    them). sample: _id, text, label, part; totals: rows of label 1 and all rows that a lexicon learns from. What reaches the driver
+    follows the bounded sample.
     """
     word = F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace("text", r"[^\p{L}\p{N}\s]+", " ")), r"\s+")))
     words = sample.select("_id", "part", label, word.alias("w")).where("w <> ''")
     stem = F.explode(F.array(F.concat(F.lit("="), F.col("w")), *(F.when(F.length("w") >= n, F.substring("w", 1, n)) for n in STEMS)))
     terms = words.select("_id", "part", label, stem.alias("s")).where("s is not null").distinct()
-    in_turn = [(_place(F.col("part"), k) < 4).cast("long") for k in range(TURNS)]
-    counted = terms.groupBy("s").agg(*(F.sum(x * F.col(label)).alias(f"a{k}") for k, x in enumerate(in_turn)), *(F.sum(x * (1 - F.col(label))).alias(f"b{k}") for k, x in enumerate(in_turn)))
+    by_part = terms.groupBy("s").agg(*(F.sum(F.when(F.col("part") == p, F.col(label)).otherwise(0)).alias(f"a{p}") for p in range(PARTS)), *(F.sum(F.when(F.col("part") == p, 1 - F.col(label)).otherwise(0)).alias(f"b{p}") for p in range(PARTS)))
     weights = []
-    for k, (p, n) in enumerate(totals):
-        a, b = F.col(f"a{k}"), F.col(f"b{k}")
+    for k, (parts, (p, n)) in enumerate(zip(LEXICONS, totals, strict=True)):
+        a, b = (sum((F.col(f"{c}{i}") for i in parts[1:]), F.col(f"{c}{parts[0]}")) for c in "ab")
         odds = F.log((a + 0.5) / (p + 1)) - F.log((b + 0.5) / (n - p + 1))
         weights.append(F.when((a >= max(2, p // 200)) & (a * (n - p) > 8 * p * b), odds).alias(f"w{k}"))
-    found = counted.select("s", *weights).where(" or ".join(f"w{k} is not null" for k in range(TURNS))).collect()
-    return [{r["s"]: float(r[f"w{k}"]) for r in found if r[f"w{k}"] is not None} for k in range(TURNS)]
+    found = by_part.select("s", *weights).where(" or ".join(f"w{k} is not null" for k in range(len(LEXICONS)))).collect()
+    return [{r["s"]: float(r[f"w{k}"]) for r in found if r[f"w{k}"] is not None} for k in range(len(LEXICONS))]
 
 
 @dataclass
@@ -238,16 +249,16 @@ class ToxicityModel:
 
 
 def _feature_rows(lexicons: list[dict[str, float]]):
-    """For each row its features under the lexicons of the turns that have not learned from it, one after the other."""
+    """For each row its features under the lexicons of its part, one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [_Lexicon(w, 200_000) for w in lexicons]
+        known = [_Lexicon(w, 200_000) for w in lexicons[:-1]]
         for some, texts in chunks(batches, 3, 4_000_000):
-            part = some.column(2).to_numpy()
+            part = some.column(2).to_pylist()
             x: list[list[float]] = [[] for _ in texts]
             for k, lexicon in enumerate(known):
-                own = np.flatnonzero(_place(part, k) >= 4)
-                for i, row in zip(own.tolist(), _features([texts[i] for i in own], lexicon).tolist(), strict=True):
+                own = [i for i, p in enumerate(part) if k in lexicons_of(p)]
+                for i, row in zip(own, _features([texts[i] for i in own], lexicon).tolist(), strict=True):
                     x[i] += row
             yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(3)), pa.array(x, pa.list_(pa.float64()))], ["_id", "y", "part", "x"])
 
@@ -258,8 +269,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_co
     """Learns from at most ``max_rows`` labelled documents that are not held out, with as many of the rarer label as half of
     them hold; only dense features reach the driver.
 
-    Always calibrated, by the margins of every turn whose trees had rows of both labels. Without such a turn the model is the share
-    of label 1 (0 without rows).
+    Trees learn from features that a row's own label has no part in: each half of the rows has them from the lexicon of another one. They are
+    fitted on all rows and score with the lexicon of all. The calibration comes from the same fit done five times with a fifth of the
+    rows kept back, whose margins are taken with the lexicon of the others. Without rows of both labels in such a fit the model is the
+    share of label 1 (0 without rows).
     """
     picked, dense = label_sample(docs, labels, label, max_rows, id_col, text_col)
     sample = staged(picked.withColumn("part", F.pmod(F.xxhash64(F.lit(3), "_id"), F.lit(PARTS)).cast("int")), "labelled")
@@ -267,30 +280,33 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_co
     of = lambda v, parts=range(PARTS): sum(counts.get((v, p), 0) for p in parts)
     toxic, clean = of(1) / (dense[1] or 1), of(0) / (dense[0] or 1)
     base = toxic / (toxic + clean) if toxic + clean else 0.0
-    learn = [[p for p in range(PARTS) if _place(p, k) < 4] for k in range(TURNS)]
-    fit = [[p for p in range(PARTS) if 4 <= _place(p, k) < 8] for k in range(TURNS)]
-    able = [k for k in range(TURNS) if of(0, fit[k]) and of(1, fit[k])]
+    able = [k for k in range(TURNS) if of(0, FOLDS[k]) and of(1, FOLDS[k])]
     if not able:
         return ToxicityModel({}, None, None, base)
-    lexicons = learn_lexicons(sample, label, [(of(1, parts), of(0, parts) + of(1, parts)) for parts in learn])
+    lexicons = learn_lexicons(sample, label, [(of(1, parts), of(0, parts) + of(1, parts)) for parts in LEXICONS])
     rows = sample.select("_id", F.col(label).cast("int").alias("y"), "part", "text").mapInArrow(_feature_rows(lexicons), "_id long, y int, part int, x array<double>")
     got = sorted(rows.collect(), key=lambda r: r["_id"])  # sorted here: a sort in Spark would make features twice
     part, y = np.array([r["part"] for r in got]), np.array([r["y"] for r in got], float)
-    before = {p: [k for k in range(TURNS) if _place(p, k) >= 4] for p in range(PARTS)}
-    trees, margins, truth = {}, [], []
+    wide = len(FEATURES)
+
+    def features(of_part) -> np.ndarray:
+        """Each row's features under the lexicon that ``of_part`` names for its part."""
+        at = [lexicons_of(p).index(of_part(p)) * wide if of_part(p) is not None else None for p in range(PARTS)]
+        return np.array([r["x"][at[p] : at[p] + wide] if at[p] is not None else [np.nan] * wide for r, p in zip(got, part.tolist(), strict=True)])
+
+    margins, truth = [], []
     for k in able:
-        x = np.full((len(got), len(FEATURES)), np.nan)
-        for i in np.flatnonzero(_place(part, k) >= 4).tolist():
-            at = before[int(part[i])].index(k) * len(FEATURES)
-            x[i] = got[i]["x"][at : at + len(FEATURES)]
-        own, kept = (_place(part, k) >= 4) & (_place(part, k) < 8), _place(part, k) >= 8
-        trees[k] = Trees().fit(x[own], y[own])
-        margins.append(trees[k].margin(x[kept]))
+        other = (k + 2) % TURNS  # its first half is this turn's second
+        x = features(lambda p: k if _place(p, k) >= 4 and _place(p, k) < 8 else other if _place(p, k) < 4 else TURNS + k)  # noqa: B023
+        kept = _place(part, k) >= 8
+        trees = Trees().fit(x[~kept], y[~kept])
+        margins.append(trees.margin(x[kept]))
         truth.append(y[kept])
     knots, p = isotonic(np.concatenate(margins), np.concatenate(truth))
     if not len(knots):
         return ToxicityModel({}, None, None, base)
-    return ToxicityModel(lexicons[able[0]], trees[able[0]], (knots, p * dense[0] / (p * dense[0] + (1 - p) * dense[1])), base)
+    trees = Trees().fit(features(lambda p: lexicons_of(p)[0]), y)
+    return ToxicityModel(lexicons[-1], trees, (knots, p * dense[0] / (p * dense[0] + (1 - p) * dense[1])), base)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.7) -> DataFrame:
