@@ -162,17 +162,23 @@ def knn(queries: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
 
 
 def in_any_zone(dets: DataFrame, zones: DataFrame, keys: list[str], cell: float = 16.0) -> DataFrame:
-    """Detections whose centre lies in a zone of an earlier commit: a semi join on grid cells, of which a zone has all that it touches.
+    """Detections whose centre lies in a zone of an earlier commit, by grid cells, of which a zone has all that it touches.
 
-    zones: keys, zone_n, zx0, zy0, zx1, zy1.
+    Of the zones that cover a cell whole only the earliest counts: one row a cell answers for them all. Only detections that it
+    does not answer for look at the zones whose border goes through their cell. zones: keys, zone_n, zx0, zy0, zx1, zy1.
     """
     cx, cy = g.centre(g.box())
     span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
-    z = zones.select(*(F.col(k).alias(f"_{k}") for k in keys), "zone_n", "zx0", "zy0", "zx1", "zy1", span("zx0", "zx1").alias("_zi")).select("*", span("zy0", "zy1").alias("_zj"))
-    on = (F.col("_i") == F.col("_zi")) & (F.col("_j") == F.col("_zj")) & (F.col("zone_n") < F.col("n")) & g.in_rect(cx, cy, (F.col("zx0"), F.col("zy0"), F.col("zx1"), F.col("zy1")))
-    for k in keys:
+    z = zones.select(*keys, "zone_n", "zx0", "zy0", "zx1", "zy1", span("zx0", "zx1").alias("_i")).select("*", span("zy0", "zy1").alias("_j"))
+    whole = (F.col("_i") * cell >= F.col("zx0")) & ((F.col("_i") + 1) * cell <= F.col("zx1")) & (F.col("_j") * cell >= F.col("zy0")) & ((F.col("_j") + 1) * cell <= F.col("zy1"))
+    first = z.where(whole).groupBy(*keys, "_i", "_j").agg(F.min("zone_n").alias("_first"))
+    d = dets.withColumn("_i", F.floor(cx / cell)).withColumn("_j", F.floor(cy / cell)).join(first, [*keys, "_i", "_j"], "left")
+    known = F.coalesce(F.col("_first") < F.col("n"), F.lit(False))
+    border = z.where(~whole).select(*(F.col(k).alias(f"_{k}") for k in (*keys, "_i", "_j")), "zone_n", "zx0", "zy0", "zx1", "zy1")
+    on = (F.col("zone_n") < F.col("n")) & g.in_rect(cx, cy, (F.col("zx0"), F.col("zy0"), F.col("zx1"), F.col("zy1")))
+    for k in (*keys, "_i", "_j"):
         on = on & (F.col(k) == F.col(f"_{k}"))
-    return dets.withColumn("_i", F.floor(cx / cell)).withColumn("_j", F.floor(cy / cell)).join(z, on, "left_semi").drop("_i", "_j")
+    return d.where(known).unionByName(d.where(~known).join(border, on, "left_semi")).select(dets.columns)
 
 
 def view_items(items: DataFrame, views: DataFrame, cell: float) -> DataFrame:

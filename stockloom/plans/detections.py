@@ -101,27 +101,27 @@ SELECT a.commit_id, a.det_id AS a, b.det_id AS b, round({_IOU}, 9) AS iou FROM d
 
 
 def row_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.row_boxes(detections(spark, sf_dir).withColumn("cls", F.lit("any")))
+    return d.row_boxes(detections(spark, sf_dir).withColumn("cls", F.col("side")))
 
 
 ROW_BOXES = with_sql(DETECTIONS) + f"""
-SELECT a.commit_id, a.det_id FROM detections a JOIN detections b ON a.commit_id = b.commit_id AND a.det_id <> b.det_id
+SELECT a.commit_id, a.det_id FROM detections a JOIN detections b ON a.commit_id = b.commit_id AND a.side = b.side AND a.det_id <> b.det_id
 WHERE (b.x0 + b.x1) / 2 > a.x0 AND (b.x0 + b.x1) / 2 < a.x1 AND (b.y0 + b.y1) / 2 > a.y0 AND (b.y0 + b.y1) / 2 < a.y1 AND {_AREA.format('b')} < 0.6 * {_AREA.format('a')}
 GROUP BY a.commit_id, a.det_id, a.x0, a.y0, a.x1, a.y1 HAVING count(*) >= 2 AND sum({_AREA.format('b')}) > 0.5 * {_AREA.format('a')}"""
 
 
 def part_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.part_boxes(detections(spark, sf_dir).withColumn("cls", F.lit("any")))
+    return d.part_boxes(detections(spark, sf_dir).withColumn("cls", F.col("side")))
 
 
 PART_BOXES = with_sql(DETECTIONS) + f"""
-SELECT DISTINCT a.commit_id, a.det_id FROM detections a JOIN detections b ON a.commit_id = b.commit_id AND a.det_id <> b.det_id
+SELECT DISTINCT a.commit_id, a.det_id FROM detections a JOIN detections b ON a.commit_id = b.commit_id AND a.side = b.side AND a.det_id <> b.det_id
 WHERE b.score >= a.score AND {_AREA.format('b')} > {_AREA.format('a')} AND ({_BOTH}) / greatest({_AREA.format('a')}, 1e-9) > 0.8"""
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy suppression at IoU 0.3, then row and part boxes: what is left per commit."""
-    kept = d.clean(detections(spark, sf_dir).withColumn("cls", F.lit("any")), 0.3)
+    kept = d.clean(detections(spark, sf_dir).withColumn("cls", F.col("side")), 0.3)
     return kept.select("commit_id", "det_id")
 
 
@@ -132,11 +132,11 @@ step AS (SELECT commit_id, 1::BIGINT AS rank, [1::BIGINT] AS kept FROM ordered W
   UNION ALL SELECT o.commit_id, o.rank, CASE WHEN h.over IS NOT NULL AND list_has_any(h.over, s.kept) THEN s.kept ELSE list_append(s.kept, o.rank) END
   FROM step s JOIN ordered o ON o.commit_id = s.commit_id AND o.rank = s.rank + 1 LEFT JOIN hits h ON h.commit_id = o.commit_id AND h.rank = o.rank),
 nms AS (SELECT o.* FROM ordered o JOIN (SELECT commit_id, arg_max(kept, rank) AS kept FROM step GROUP BY commit_id) k ON o.commit_id = k.commit_id AND list_contains(k.kept, o.rank)),
-rows_ AS (SELECT a.commit_id, a.det_id FROM nms a JOIN nms b ON a.commit_id = b.commit_id AND a.det_id <> b.det_id
+rows_ AS (SELECT a.commit_id, a.det_id FROM nms a JOIN nms b ON a.commit_id = b.commit_id AND a.side = b.side AND a.det_id <> b.det_id
   WHERE (b.x0 + b.x1) / 2 > a.x0 AND (b.x0 + b.x1) / 2 < a.x1 AND (b.y0 + b.y1) / 2 > a.y0 AND (b.y0 + b.y1) / 2 < a.y1 AND {_AREA.format('b')} < 0.6 * {_AREA.format('a')}
   GROUP BY a.commit_id, a.det_id, a.x0, a.y0, a.x1, a.y1 HAVING count(*) >= 2 AND sum({_AREA.format('b')}) > 0.5 * {_AREA.format('a')}),
 left_ AS (SELECT * FROM nms WHERE (commit_id, det_id) NOT IN (SELECT (commit_id, det_id) FROM rows_))
-SELECT commit_id, det_id FROM left_ EXCEPT SELECT a.commit_id, a.det_id FROM left_ a JOIN left_ b ON a.commit_id = b.commit_id AND a.det_id <> b.det_id
+SELECT commit_id, det_id FROM left_ EXCEPT SELECT a.commit_id, a.det_id FROM left_ a JOIN left_ b ON a.commit_id = b.commit_id AND a.side = b.side AND a.det_id <> b.det_id
 WHERE b.score >= a.score AND {_AREA.format('b')} > {_AREA.format('a')} AND ({_BOTH}) / greatest({_AREA.format('a')}, 1e-9) > 0.8"""
 
 

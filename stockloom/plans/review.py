@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from stockloom.functions import geometry as g
 from stockloom.operators import detectors, ledger, motion
-from stockloom.operators.detections import box_hits
+from stockloom.operators.detections import box_hits, near_items
 from stockloom.plans.detections import _IOU, _LINKS_SQL, _STATUS, _links, _statused
+from stockloom.plans.durable import staged
 from stockloom.plans.folds import FALLBACK_TRIGGER, HOLD_TRIGGER, SWEEP_TRIGGER, TIMED_TRIGGER, fallback_trigger, hold_trigger, sweep_trigger, timed_trigger
 from stockloom.sources.adapters import COMMITS, DETECTIONS, FRAMES, commits, detections, frames, sku, with_sql
 from stockloom.sources.tables import table
@@ -62,13 +63,15 @@ def after_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     d = _statused(spark, sf_dir).join(commits(spark, sf_dir).select("commit_id", "n"), "commit_id")
     cx, cy = g.centre(g.box())
-    live = d.where("status in ('inner', 'band')").withColumn("cx", cx).withColumn("cy", cy)
-    old = live.select(F.col("walk_id").alias("w"), F.col("cls").alias("c"), F.col("n").alias("m"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
-    near = (F.col("walk_id") == F.col("w")) & (F.col("cls") == F.col("c")) & (F.col("m") < F.col("n")) & (F.abs(F.col("cx") - F.col("ox")) * 2 <= F.col("x1") - F.col("x0")) & (F.abs(F.col("cy") - F.col("oy")) * 2 <= F.col("y1") - F.col("y0"))
-    alone = live.join(old, near, "left_anti").groupBy("cls").agg(F.count_if(F.col("status") == "inner").alias("new"), F.count_if(F.col("status") == "band").alias("edge"))
-    seen = live.join(old, near, "left_semi").groupBy("cls").agg(F.count("*").alias("seen"))
+    live = staged(d.where("status in ('inner', 'band')").withColumn("cx", cx).withColumn("cy", cy), "live")
+    reach = live.agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0] or 1.0
+    old = live.select("walk_id", "cls", F.col("n").alias("m"), F.col("cx").alias("ix"), F.col("cy").alias("iy"))
+    near = (F.col("m") < F.col("n")) & (F.abs(F.col("cx") - F.col("ix")) * 2 <= F.col("x1") - F.col("x0")) & (F.abs(F.col("cy") - F.col("iy")) * 2 <= F.col("y1") - F.col("y0"))
+    seen = near_items(live, old, ["walk_id", "cls"], "cx", "cy", max(reach / 2, 1e-6)).where(near).select("commit_id", "det_id").distinct()
+    marked = live.join(seen.withColumn("old", F.lit(True)), ["commit_id", "det_id"], "left").withColumn("old", F.coalesce("old", F.lit(False)))
+    counts = marked.groupBy("cls").agg(F.count_if(~F.col("old") & (F.col("status") == "inner")).alias("new"), F.count_if(~F.col("old") & (F.col("status") == "band")).alias("edge"), F.count_if("old").alias("seen"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return d.select("cls").distinct().join(alone, "cls", "left").join(seen, "cls", "left").select("cls", zero("new"), zero("edge"), zero("seen"))
+    return d.select("cls").distinct().join(counts, "cls", "left").select("cls", zero("new"), zero("edge"), zero("seen"))
 
 
 AFTER_MATCHING = with_sql(DETECTIONS, COMMITS, _STATUS, "live AS (SELECT s.*, c.n, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM statused s JOIN commits c USING (commit_id) WHERE s.status IN ('inner', 'band'))") + """

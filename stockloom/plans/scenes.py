@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stockloom.functions import geometry as g
 from stockloom.operators import counting, detectors, index, ledger, registration
+from stockloom.operators.detections import knn
 from stockloom.plans.detections import _LINKS_SQL, BAND, HEIGHT, WIDTH, _links
 from stockloom.plans.durable import fresh_path, staged
 from stockloom.sources import workbooks
@@ -163,6 +164,46 @@ LATERAL (SELECT round(list_sum(list_transform(list_zip(q.embedding, e.embedding)
 WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id"""
 
 
+SIZES = (1, 3, 5)
+
+
+def gallery_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-1 and top-3 accuracy of suggestions by how many examples of each name there are (A27): the first one, three or five of it."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    first = F.row_number().over(Window.partitionBy("label").orderBy("id"))
+    examples = staged(v.where("id % 20 <> 0").withColumn("r", first).where(F.col("r") <= max(SIZES)), "gallery")
+    asking, out = v.where("id % 20 = 0"), None
+    for size in SIZES:
+        near = knn(asking, examples.where(F.col("r") <= size), 3)
+        named = near.join(examples.select(F.col("id").alias("g"), F.col("label").alias("guess")), "g").join(asking.select(F.col("id").alias("q"), "label"), "q")
+        hit = F.col("label") == F.col("guess")
+        per = named.groupBy("q").agg(F.max((hit & (F.col("rank") == 1)).cast("int")).alias("one"), F.max(hit.cast("int")).alias("three"))
+        got = per.agg(F.count("*").alias("queries"), F.sum("one").alias("top1"), F.sum("three").alias("top3")).withColumn("examples", F.lit(size))
+        out = got if out is None else out.unionByName(got)
+    return out.select("examples", "queries", "top1", "top3")
+
+
+GALLERY_ACCURACY = f"""WITH ex AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings WHERE vec_id % 20 <> 0),
+near AS (SELECT k.examples, q.vec_id AS q, q.label, e.label AS guess, row_number() OVER (PARTITION BY k.examples, q.vec_id ORDER BY s DESC, e.vec_id) AS rank
+  FROM (VALUES {', '.join(f'({n})' for n in SIZES)}) k(examples), (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q, ex e,
+  LATERAL (SELECT round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 9) AS s) WHERE e.r <= k.examples)
+SELECT examples, count(*) AS queries, CAST(sum(one) AS BIGINT) AS top1, CAST(sum(three) AS BIGINT) AS top3
+FROM (SELECT examples, q, max(CASE WHEN rank = 1 AND label = guess THEN 1 ELSE 0 END) AS one, max(CASE WHEN label = guess THEN 1 ELSE 0 END) AS three FROM near WHERE rank <= 3 GROUP BY ALL) GROUP BY examples"""
+
+
+def median_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The median box of each class and how far its centres lie from their commit's median centre, by axis."""
+    cx, cy = g.centre(g.box())
+    d = detections(spark, sf_dir).select("commit_id", "cls", (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"), cx.alias("cx"), cy.alias("cy"))
+    mid = d.groupBy("commit_id").agg(F.median("cx").alias("mx"), F.median("cy").alias("my"))
+    moved = d.join(mid, "commit_id")
+    return moved.groupBy("cls").agg(*(F.round(F.median(c), 6).alias(n) for c, n in ((F.col("w"), "wide"), (F.col("h"), "tall"), (F.col("cx") - F.col("mx"), "dx"), (F.col("cy") - F.col("my"), "dy"))))
+
+
+MEDIAN_SIZES = with_sql(DETECTIONS, "c AS (SELECT *, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM detections)", "m AS (SELECT commit_id, median(cx) AS mx, median(cy) AS my FROM c GROUP BY commit_id)") + """
+SELECT cls, round(median(x1 - x0), 6) AS wide, round(median(y1 - y0), 6) AS tall, round(median(cx - mx), 6) AS dx, round(median(cy - my), 6) AS dy FROM c JOIN m USING (commit_id) GROUP BY cls"""
+
+
 # -- streams that are late or limited ---------------------------------------------------------------------------------------
 
 SLICES, DELAY_HOURS = 4, 1
@@ -258,4 +299,5 @@ SELECT commit_id, 2 * count(*) AS matches, 2 * count(*) FILTER (WHERE det_id % 4
 
 _NAMES = "view_overlaps zone_questions proposed_pairs knn_indexed taught_suggestions late_rows limited_counts detectors_in_sql imported_catalogue zone_fits".split()
 QUERIES = {f"q{i + 99}_{n}": globals()[n] for i, n in enumerate(_NAMES)}
-ORACLE_SQL = {f"q{i + 99}_{n}": globals()[n.upper()] for i, n in enumerate(_NAMES) if n.upper() in globals()}
+QUERIES |= {"q110_gallery_accuracy": gallery_accuracy, "q111_median_sizes": median_sizes}
+ORACLE_SQL = {k: globals()[f.__name__.upper()] for k, f in QUERIES.items() if f.__name__.upper() in globals()}
