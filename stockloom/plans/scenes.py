@@ -109,9 +109,9 @@ DESCRIPTORS, BITS, MORE, OFTEN = 4, 6, 4, 1000
 def _descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each keyframe's descriptors: a few vectors of ``embeddings``, picked by its key."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vec"), F.col("embedding").alias("v"))
-    many = v.agg(F.count("*").alias("many"))  # one row
-    own = commits(spark, sf_dir).select("walk_id", "n", "commit_id", F.explode(F.sequence(F.lit(0), F.lit(DESCRIPTORS - 1))).alias("j")).crossJoin(many)
-    return own.withColumn("vec", (F.col("commit_id") * (7 + 2 * F.col("j")) + 31 * F.col("j")) % F.col("many")).join(v, "vec").select("walk_id", "n", "v")
+    many = max(v.count(), 1)
+    own = commits(spark, sf_dir).select("walk_id", "n", "commit_id", F.explode(F.sequence(F.lit(0), F.lit(DESCRIPTORS - 1))).alias("j"))
+    return own.withColumn("vec", (F.col("commit_id") * (7 + 2 * F.col("j")) + 31 * F.col("j")) % many).join(v, "vec").select("walk_id", "n", "v")
 
 
 def proposed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
