@@ -21,6 +21,7 @@ from stockloom.llm.text import chunks, held_out, ngram_counts
 from stockloom.plans.durable import staged
 
 WIDTH, ORDERS = 4096, (1, 2, 3)
+MOST_SENT = 100_000  # training rows whose ids are sent to every executor; more are joined by a shuffle
 _OTHER = re.compile(r"[\W\d_]+")
 _WORDLIKE = re.compile(r"[^\W\d_]")  # letters, but also numbers such as fractions
 
@@ -204,7 +205,7 @@ def fit_language(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id"
     are not held out. Up to ``most_here`` training rows are solved on the driver, more are summed in tasks; either way gives
     the same weights, and the same trust and sharpness, which come from a fifth of the rows and weights learned without it."""
     known = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(lang_col).cast("string").alias("lang")).dropna().where(~held_out("_id"))
-    picked = first_by_hash(known.distinct(), "lang", per_language).select("_id", "lang")
+    picked = staged(first_by_hash(known.distinct(), "lang", per_language).select("_id", "lang"), "picked")
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +215,8 @@ def fit_language(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id"
                 [part.column(0), part.column(1), pa.array([features(t).astype(np.float16).tobytes() if t else None for t in plain], pa.binary())], ["_id", "lang", "x"]
             )
 
-    one = texts.join(picked.hint("merge"), ["_id", "lang"]).groupBy("_id", "lang").agg(F.max("text").alias("text"))
+    side = F.broadcast(picked) if picked.count() <= MOST_SENT else picked.hint("merge")  # rows of an id and a name, the same result
+    one = texts.join(side, ["_id", "lang"]).groupBy("_id", "lang").agg(F.max("text").alias("text"))
     rows = staged(one.mapInArrow(run, "_id long, lang string, x binary").where("x is not null"), "languages")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     names, count = sorted(counts), sum(counts.values())

@@ -90,13 +90,16 @@ def test_every_language_is_learned(spark):
     assert len(model.names) == 70 and (got.lang_pred == got.lang).mean() > 0.98
 
 
-def test_language_sums_in_tasks_give_the_same_weights(spark):
+def test_language_sums_in_tasks_give_the_same_weights(spark, monkeypatch):
     docs = _many_languages(spark, 8, 40)
     here, tasks = language.fit_language(docs), language.fit_language(docs, most_here=0)
     assert here.names == tasks.names and np.allclose(here.weights, tasks.weights, atol=1e-4)
     assert np.allclose(here.trust, tasks.trust) and here.sharpness == tasks.sharpness
     one, other = (language.identify_language(docs, m).orderBy("doc_id").toPandas() for m in (here, tasks))
     assert np.allclose(one.score, other.score, atol=1e-4) and (one.ambiguous == other.ambiguous).all()
+    monkeypatch.setattr(language, "MOST_SENT", 0)
+    joined = language.fit_language(docs)
+    assert np.allclose(joined.weights, here.weights, atol=1e-4) and joined.sharpness == here.sharpness
     mixed = docs.withColumn("lang", F.concat(F.lit("x"), (F.xxhash64("doc_id") % 3).cast("string")))  # labels that no text tells
     blind = language.fit_language(mixed, most_here=0)
     assert blind.sharpness < 8 and language.identify_language(docs, blind).where("held_out").agg(F.avg("score")).first()[0] < 0.7
