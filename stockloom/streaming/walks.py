@@ -1,4 +1,4 @@
-"""Counting walks as a stream: what a walk has counted is keyed state, one map entry for each commit."""
+"""Counting walks as a stream: what a walk has counted is keyed state, a map entry for a few commits."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -14,8 +15,10 @@ from stockloom.functions import geometry as g
 from stockloom.operators.counting import BOX, STATUS_SCHEMA, view_matches
 from stockloom.operators.detections import status as view_place
 
-_SEEN = "item array<bigint>, kind array<string>, box array<double>"  # a field named cls would clash in Row
-_DETECTION = "det_id bigint, cls string, place string, x0 double, y0 double, x1 double, y1 double"
+_SEEN = "n binary, item binary, at binary, kind array<string>, box binary"
+_OUT = Row(*(c.split()[0] for c in STATUS_SCHEMA.split(", ")))
+CHUNK = 16
+NEXT = [1, 2, 3, 0]
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -27,78 +30,112 @@ def commit_rows(dets: DataFrame, links: DataFrame, threshold: float, width: floa
     return own.join(to, ["walk_id", "n"], "left")
 
 
-def _moved(h: np.ndarray, xy: np.ndarray) -> np.ndarray:
-    out = np.concatenate([xy, np.ones((*xy.shape[:-1], 1))], -1) @ h.T
-    return out[..., :2] / out[..., 2:]
+def _moved(h: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Points under transforms, nine numbers along the first axis of ``h``, by the same order of operations as in Spark."""
+    w = h[6] * x + h[7] * y + h[8]
+    return (h[0] * x + h[1] * y + h[2]) / w, (h[3] * x + h[4] * y + h[5]) / w
+
+
+class Seen:
+    """The items that a few commits of a walk have seen, as columns: commit, item, class, box and when they were written."""
+
+    def __init__(self, row: tuple | None = None):
+        self.n, self.item, self.at, self.kind, self.box = ([], [], [], [], [])
+        self.grown = row is None
+        if row is not None:
+            self.n, self.item, self.at = (np.frombuffer(row[i], np.int64).tolist() for i in (0, 1, 2))
+            self.kind, self.box = list(row[3]), list(np.frombuffer(row[4], float).reshape(-1, 4))
+
+    def add(self, n: int, item: int, kind: str, box: np.ndarray, at: int) -> None:
+        self.n.append(n), self.item.append(item), self.kind.append(kind), self.box.append(box), self.at.append(at)
+        self.grown = True
+
+    def row(self) -> tuple:
+        box = np.array(self.box, float).reshape(-1, 4)
+        return (*(np.array(v, np.int64).tobytes() for v in (self.n, self.item, self.at)), self.kind, box.tobytes())
+
+    def of(self, n: int, since: int) -> list[int]:
+        return [i for i, (k, at) in enumerate(zip(self.n, self.at, strict=True)) if k == n and at > since]
 
 
 class WalkCounter(StatefulProcessor):
-    """Items seen in each commit (map state, with a time to live) and the walk's last commit (value state); a timer in event time drops idle walks.
+    """Items seen in each commit (map state, ``CHUNK`` commits an entry, with a time to live) and when an idle walk is due (value state).
 
-    A commit reads only the entries of the commits that it is linked with, so that neither memory nor reading follows the walk.
+    A batch of a walk reads each entry that its commits are linked with once and writes each that it adds to once: what a call to the
+    state costs does not follow the commits. Nor does a commit move the walk's timer: one that fires before the walk is due is set again.
     """
 
     def __init__(self, width: float, height: float, band: float, expire_ms: int, keep_ms: int | None):
-        self.frame = np.array([[band, band], [width - band, band], [width - band, height - band], [band, height - band]])
+        self.frame = np.array([[band, width - band, width - band, band], [band, band, height - band, height - band]])
         self.expire, self.keep = expire_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "n bigint", _SEEN, ttlDurationMs=self.keep)
-        self.last = handle.getValueState("last", "n bigint, due bigint")
-
-    def _view(self, n: int, dets: list, links: list) -> list[tuple]:
-        box = np.array([[d[c] for c in BOX] for d in dets], float).reshape(-1, 4)
-        cls = np.array([d["cls"] for d in dets], object)
-        live = np.flatnonzero([d["place"] in ("inner", "band") for d in dets])
-        mid, asked = (box[:, :2] + box[:, 2:]) / 2, np.zeros(len(dets), bool)
+        self.seen = handle.getMapState("seen", "chunk bigint", _SEEN, ttlDurationMs=self.keep)
+        self.due = handle.getValueState("due", "due bigint")
+
+    def _entry(self, held: dict[int, Seen], n: int) -> Seen:
+        chunk = n // CHUNK
+        if chunk not in held:
+            held[chunk] = Seen(self.seen.getValue((chunk,)))
+            held[chunk].grown = False
+        return held[chunk]
+
+    def _view(self, held: dict[int, Seen], at: int, n: int, det_id: list, cls: list, place: list, box: np.ndarray, links: list[tuple]) -> Iterator[tuple]:
+        places = np.array(place, object)
+        live = np.flatnonzero((places == "inner") | (places == "band"))
+        asked, owner = np.zeros(len(det_id), bool), np.full(len(det_id), -1)
         best: dict[int, tuple] = {}
-        for link in links:
-            h = np.array(link["h"], float).reshape(3, 3)
-            quad = _moved(h, self.frame)
-            side = np.roll(quad, -1, 0) - quad
-            turn = side[:, 0] * (mid[:, None, 1] - quad[:, 1]) - side[:, 1] * (mid[:, None, 0] - quad[:, 0])
-            asked |= (turn >= 0).all(1) | (turn <= 0).all(1)
-            if not self.seen.containsKey((link["a"],)):
-                continue
-            items, kinds, flat = self.seen.getValue((link["a"],))
-            for k, (item, kind) in enumerate(zip(items, kinds, strict=True)):
-                rank = (link["inliers"], link["a"])
-                if item not in best or rank > best[item][0]:
-                    x0, y0, x1, y1 = flat[4 * k : 4 * k + 4]
-                    at = _moved(h, np.array([[x0, y0], [x1, y0], [x1, y1], [x0, y1]]))
-                    best[item] = rank, kind, np.concatenate([at.min(0), at.max(0)])
-        owner = np.full(len(dets), -1)
+        if links:
+            links = sorted(links, key=lambda k: k[:2], reverse=True)  # most inliers first, the later of equals
+            h = np.array([k[2] for k in links], float).T[..., None]
+            qx, qy = _moved(h, *self.frame)
+            sx, sy = qx[:, NEXT] - qx, qy[:, NEXT] - qy
+            mx, my = (box[:, 0] + box[:, 2]) / 2, (box[:, 1] + box[:, 3]) / 2
+            turn = sx[:, None] * (my[:, None] - qy[:, None]) - sy[:, None] * (mx[:, None] - qx[:, None])
+            asked = ((turn >= 0).all(2) | (turn <= 0).all(2)).any(0)
+            for k, (_, a, _) in enumerate(links):
+                e = self._entry(held, a)
+                for i in e.of(a, at - self.keep if self.keep else -1):
+                    best.setdefault(e.item[i], (k, e.kind[i], e.box[i]))
         if best and len(live):
-            ids = np.array(sorted(best))
-            d, k = view_matches(box[live], cls[live], np.stack([best[i][2] for i in ids.tolist()]), np.array([best[i][1] for i in ids.tolist()], object))
-            owner[live[d]] = ids[k]
-        out, found = [], []
-        for i, d in enumerate(dets):
-            word = d["place"]
+            ids = sorted(best)
+            by, b = np.array([best[i][0] for i in ids]), np.array([best[i][2] for i in ids])
+            x, y = _moved(h[:, by], b[:, [0, 2, 2, 0]], b[:, [1, 1, 3, 3]])
+            there = np.stack([x.min(1), y.min(1), x.max(1), y.max(1)], 1)
+            d, k = view_matches(box[live], np.array(cls, object)[live], there, np.array([best[i][1] for i in ids], object))
+            owner[live[d]] = np.array(ids)[k]
+        own = None
+        for i, (word, item, ask) in enumerate(zip(place, owner.tolist(), asked.tolist(), strict=True)):
             if word in ("inner", "band"):
-                word = "seen" if owner[i] >= 0 else "miss" if asked[i] else "new" if word == "inner" else "edge"
+                word = "seen" if item >= 0 else "miss" if ask else "new" if word == "inner" else "edge"
             if word in ("seen", "new"):
-                found.append((int(owner[i]) if word == "seen" else (n << 32) + d["det_id"], d["cls"], box[i]))
-            out.append((n, d["det_id"], d["cls"], word))
-        self.seen.updateValue((n,), ([f[0] for f in found], [f[1] for f in found], [float(x) for f in found for x in f[2]]))
-        return out
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        commits = pd.concat(list(rows)).sort_values("n")
-        out = [(key[0], *r) for c in commits.itertuples() for r in self._view(int(c.n), list(c.dets), list(c.links) if c.links is not None else [])]
-        due = int(pd.Timestamp(commits.ts.max()).tz_localize(None).timestamp() * 1000) + self.expire
-        due = max(due, timerValues.getCurrentWatermarkInMs() + 1)
-        if self.last.exists():
-            self.handle.deleteTimer(self.last.get()[1])
-        self.handle.registerTimer(due)
-        self.last.update((int(commits.n.max()), due))
-        yield pd.DataFrame(out, columns=["walk_id", "n", "det_id", "cls", "status"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.seen.clear()
-        self.last.clear()
-        yield pd.DataFrame(columns=["walk_id", "n", "det_id", "cls", "status"])
+                own = own or self._entry(held, n)
+                own.add(n, item if word == "seen" else (n << 32) + det_id[i], cls[i], box[i], at)
+            yield n, det_id[i], cls[i], word
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        commits, held, out = sorted((tuple(r) for r in rows), key=lambda r: r[1]), {}, []
+        at = timerValues.getCurrentProcessingTimeInMs() if self.keep else 0
+        for _, n, _, det_id, cls, place, x0, y0, x1, y1, a, inliers, h in commits:
+            out += self._view(held, at, n, det_id, cls, place, np.array([x0, y0, x1, y1], float).T, list(zip(inliers, a, h, strict=True)) if a else [])
+        for chunk, e in held.items():
+            if e.grown:
+                self.seen.updateValue((chunk,), e.row())
+        due = max(max(r[2] for r in commits) + self.expire, timerValues.getCurrentWatermarkInMs() + 1)
+        if self.due.get() is None:
+            self.handle.registerTimer(due)
+        self.due.update((due,))
+        return iter([_OUT(key[0], *r) for r in out])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        due = self.due.get()
+        if due is not None and due[0] > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(due[0])
+        else:
+            self.seen.clear()
+            self.due.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
@@ -114,4 +151,6 @@ def stream_statuses(commits: DataFrame, width: float, height: float, band: float
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     ms = lambda d: int(pd.Timedelta(d).total_seconds() * 1000)
     counter = WalkCounter(width, height, band, ms(expire), ms(keep) if keep else None)
-    return commits.withWatermark("ts", late).groupBy("walk_id").transformWithStateInPandas(counter, STATUS_SCHEMA, "Append", "EventTime")
+    of = lambda rows, *fields: [F.col(f"{rows}.{f}").alias(f) for f in fields]
+    rows = commits.withWatermark("ts", late).select("walk_id", "n", F.unix_millis("ts").alias("ms"), *of("dets", "det_id", "cls", "place", *BOX), *of("links", "a", "inliers", "h"))
+    return rows.groupBy("walk_id").transformWithState(counter, STATUS_SCHEMA, "Append", "EventTime")

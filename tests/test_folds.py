@@ -295,3 +295,36 @@ def test_detectors_go_by_name(spark):
     assert detectors.detector("rfdetr_tiled")(boxes).count() == 1 and detectors.detector("oracle")(boxes).count() == 1
     with pytest.raises(ValueError):
         detectors.detector("other")
+
+
+def test_a_batch_of_a_walk_calls_the_state_a_few_times():
+    """Twelve linked commits in one batch: one read and one write of the items, and no timer but the first."""
+    from stockloom.streaming import walks
+
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.held = {}
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name in ("updateValue", "update"):
+                    self.held[args[0] if name == "updateValue" else None] = args[-1]
+                return self.held.get(args[0] if args else None) if name in ("getValue", "get") else None if name not in ("exists", "containsKey") else (args[0] if args else None) in self.held
+
+            return call
+
+    handle, state = State(), State()
+    handle.getMapState = lambda *a, **k: state
+    handle.getValueState = lambda *a, **k: State()
+    times = type("T", (), {"getCurrentWatermarkInMs": lambda s: -1, "getCurrentProcessingTimeInMs": lambda s: 0})()
+    counter = walks.WalkCounter(100.0, 100.0, 12.0, 1000, None)
+    counter.init(handle)
+    same = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    xs = [20.0, 32.0, 44.0, 56.0]
+    commit = lambda n: (1, n, n, [1, 2, 3, 4], ["can"] * 4, ["inner"] * 4, xs, [40.0] * 4, [x + 10 for x in xs], [50.0] * 4, [n - 1] if n > 1 else None, [50], [same])
+    got = [(r["n"], r["status"]) for r in counter.handleInputRows((1,), iter([commit(n) for n in range(1, 13)]), times)]
+    assert got == [(n, "new" if n == 1 else "seen") for n in range(1, 13) for _ in range(4)]
+    assert calls.count("getValue") == 1 and calls.count("updateValue") == 1 and len(calls) <= 5
