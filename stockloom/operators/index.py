@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stockloom.plans.groups import dealt, whole_groups
 
-SAMPLE, ROUNDS, BLOCK = 20_000, 10, 4096
+SAMPLE, ROUNDS, BLOCK, SLICE = 20_000, 10, 4096, 256
 
 
 def _sample(vectors: DataFrame, many: int) -> np.ndarray:
@@ -73,31 +73,36 @@ def indexed(vectors: DataFrame, centres: np.ndarray, probes: int = 1) -> DataFra
 def knn_indexed(queries: DataFrame, gallery: DataFrame, centres: np.ndarray, k: int, probes: int) -> DataFrame:
     """``(q, rank, g, sim)``: the ``k`` most similar of the rows in the ``probes`` lists nearest to a query, by cosine, ties by id; unit vectors.
 
-    A row is not its own neighbour. A list with over ``BLOCK`` rows is dealt out in blocks; a query of it goes to each. With as many probes
-    as lists the result is exact. Where queries and gallery have a whole number ``at``, a query sees earlier rows only (an as-of search).
+    A row is not its own neighbour. A list with over ``BLOCK`` rows is dealt out in blocks, and so are its queries; each pair of blocks meets
+    in one task, ``SLICE`` queries at a time. With as many probes as lists the result is exact. Where queries and gallery have a whole number ``at``, a query sees earlier rows only (an as-of search).
     """
-    rows = indexed(gallery, centres)
-    sizes = rows.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = rows.join(sizes, "list").select("list", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(1).alias("side"), "id", "v", "at")
-    asks = indexed(queries, centres, probes).join(sizes, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), "id", "v", "at")
+    rows, asks = indexed(gallery, centres), indexed(queries, centres, probes)
+    blocks = lambda df, n: df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n))  # noqa: E731  # a row for each list
+    sizes = blocks(rows, "blocks").join(blocks(asks, "parts"), "list")
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = rows.join(sizes, "list").select("list", own("blocks").alias("block"), every("parts").alias("part"), F.lit(1).alias("side"), "id", "v", "at")
+    asks = asks.join(sizes, "list").select("list", every("blocks").alias("block"), own("parts").alias("part"), F.lit(0).alias("side"), "id", "v", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, at in whole_groups(batches, ["list", "block"]):
-            side, ids = b.column(2).to_numpy(), b.column(3).to_numpy()
-            at_ = b.column(5).cast(pa.float64()).to_numpy(zero_copy_only=False)  # null: NaN, which is later than nothing
-            v = b.column(4).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+        for b, at in whole_groups(batches, ["list", "block", "part"]):
+            side, ids = b.column(3).to_numpy(), b.column(4).to_numpy()
+            at_ = b.column(6).cast(pa.float64()).to_numpy(zero_copy_only=False)  # null: NaN, which is later than nothing
+            v = b.column(5).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                own, other = np.flatnonzero(side[i:j] == 0) + i, np.flatnonzero(side[i:j] == 1) + i
-                if not len(own) or not len(other):
+                asking, other = np.flatnonzero(side[i:j] == 0) + i, np.flatnonzero(side[i:j] == 1) + i
+                if not len(asking) or not len(other):
                     continue
                 other = other[np.argsort(ids[other], kind="stable")]
-                sim = np.round(v[own] @ v[other].T, 9)
-                sim[(ids[own][:, None] == ids[other][None]) | (at_[other][None] >= at_[own][:, None])] = -np.inf
-                best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-                got = np.take_along_axis(sim, best, 1).ravel()
-                live = np.isfinite(got)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[own], best.shape[1])[live]), pa.array(ids[other][best.ravel()][live]), pa.array(got[live])], ["q", "g", "sim"])
-
-    best = dealt(members.unionByName(asks), ["list", "block"]).mapInArrow(run, "q long, g long, sim double")
+                for lo in range(0, len(asking), SLICE):
+                    own = asking[lo : lo + SLICE]
+                    sim = np.round(v[own] @ v[other].T, 9)
+                    sim[(ids[own][:, None] == ids[other][None]) | (at_[other][None] >= at_[own][:, None])] = -np.inf
+                    best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+                    got = np.take_along_axis(sim, best, 1).ravel()
+                    live = np.isfinite(got)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[own], best.shape[1])[live]), pa.array(ids[other][best.ravel()][live]), pa.array(got[live])], ["q", "g", "sim"])
+
+    best = dealt(members.unionByName(asks), ["list", "block", "part"]).mapInArrow(run, "q long, g long, sim double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "g"))
     return best.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("q", "rank", "g", "sim")

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle

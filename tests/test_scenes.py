@@ -154,3 +154,20 @@ def test_stronger_links_win_over_clashing_ones(spark):
     rows = [(1, 5, 1, 90, []), (1, 5, 2, 80, [1, 3]), (1, 5, 3, 70, [2]), (1, 6, 1, 50, [2])]
     got = registration.consistent_links(spark.createDataFrame(rows, "walk_id long, commit_n long, a long, inliers long, foes array<long>")).collect()
     assert sorted((r.commit_n, r.a, r.inliers) for r in got) == [(5, 1, 90), (5, 3, 70), (6, 1, 50)]
+
+
+def test_queries_of_a_list_are_dealt_in_blocks_too(spark, monkeypatch):
+    """However many rows ask in one list, a task's group holds about a block of them; the result stays that of the exact search."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4))
+    v = spark.createDataFrame([(i, (r / np.linalg.norm(r)).tolist()) for i, r in enumerate(x)], "id long, v array<double>")
+    seen, real = [], index.dealt
+    monkeypatch.setattr(index, "BLOCK", 32)
+    monkeypatch.setattr(index, "dealt", lambda df, keys: (seen.append((df, keys)), real(df, keys))[1])
+    got = {(r.q, r["rank"], r.g) for r in index.knn_indexed(v, v, index.fit_centres(v, 1), 3, 1).collect()}
+    assert got == {(r.q, r["rank"], r.g) for r in d.knn(v, v, 3).collect()}
+    df, keys = seen[0]
+    assert df.where("side = 0").groupBy(*keys).count().agg(F.max("count")).first()[0] <= 64
