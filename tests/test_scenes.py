@@ -171,3 +171,11 @@ def test_queries_of_a_list_are_dealt_in_blocks_too(spark, monkeypatch):
     assert got == {(r.q, r["rank"], r.g) for r in d.knn(v, v, 3).collect()}
     df, keys = seen[0]
     assert df.where("side = 0").groupBy(*keys).count().agg(F.max("count")).first()[0] <= 64
+
+
+def test_detector_counts_make_the_boxes_once(spark):
+    """The boxes of all detectors come from one written table, not from a join of the lines for each."""
+    from stockloom.plans import review
+
+    plan = review.detector_counts(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "l_partkey" not in plan
