@@ -94,9 +94,10 @@ def knn_indexed(queries: DataFrame, gallery: DataFrame, centres: np.ndarray, k:
                 if not len(asking) or not len(other):
                     continue
                 other = other[np.argsort(ids[other], kind="stable")]
+                there = v[other].T
                 for lo in range(0, len(asking), SLICE):
                     own = asking[lo : lo + SLICE]
-                    sim = np.round(v[own] @ v[other].T, 9)
+                    sim = np.round(v[own] @ there, 9)
                     sim[(ids[own][:, None] == ids[other][None]) | (at_[other][None] >= at_[own][:, None])] = -np.inf
                     best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
                     got = np.take_along_axis(sim, best, 1).ravel()
