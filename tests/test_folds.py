@@ -8,7 +8,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stockloom.operators import commits, counting, folds
+from stockloom.operators import commits, counting, detections, folds
+from stockloom.plans import detections as sheets
 from stockloom.plans import folds as plans
 
 SF = "/root/testdata/sf0.001"
@@ -328,3 +329,26 @@ def test_a_batch_of_a_walk_calls_the_state_a_few_times():
     got = [(r["n"], r["status"]) for r in counter.handleInputRows((1,), iter([commit(n) for n in range(1, 13)]), times)]
     assert got == [(n, "new" if n == 1 else "seen") for n in range(1, 13) for _ in range(4)]
     assert calls.count("getValue") == 1 and calls.count("updateValue") == 1 and len(calls) <= 5
+
+
+def test_items_go_to_few_cells_and_all_within_reach_meet(spark):
+    places = [(i, (i * 37 % 101) * 0.5 - 20, (i * 53 % 97) * 0.5 - 9) for i in range(150)]
+    items = spark.createDataFrame([(1, i, x, y) for i, x, y in places], "k long, item long, ix double, iy double")
+    points = spark.createDataFrame([(1, i, y, x) for i, x, y in places], "k long, p long, px double, py double")
+    got = detections.near_items(points, items, ["k"], "px", "py", 3.0).where("abs(px - ix) <= 3 AND abs(py - iy) <= 3").select("p", "item").collect()
+    assert sorted(map(tuple, got)) == sorted((p, i) for p, py, px in places for i, x, y in places if abs(px - x) <= 3 and abs(py - y) <= 3)
+    assert items.select(detections._cells("ix", 3.0)).count() < 2 * len(places)
+
+
+def test_votes_of_many_offsets_equal_brute_force(spark):
+    dets = [(1, f"d{i}", "ab"[i % 2], i * 7.0 % 40, i * 3.0 % 30, i % 3) for i in range(12)]
+    items = [(1, "ab"[i % 2], i * 11.0 % 41, i * 5.0 % 29, i % 3) for i in range(12)]
+    cands = [(1, 2.0 * i, 2.0 * j) for i in range(-6, 7) for j in range(-6, 7)]
+    frames = (spark.createDataFrame(rows, schema) for rows, schema in ((dets, "walk_id long, det_id string, cls string, cx double, cy double, sku long"), (items, "walk_id long, cls string, ix double, iy double, item_sku long"), (cands, "walk_id long, dx double, dy double")))
+    got = {(r.dx, r.dy): r.votes for r in detections.offset_votes(*frames, ["walk_id"], 4.0, 13.0).collect()}
+    expected = {}
+    for _, dx, dy in cands:
+        near = [min(((np.hypot(x + dx - ix, y + dy - iy), s != t) for _, c, ix, iy, t in items if c == cls), default=(9, 0)) for _, _, cls, x, y, s in dets]
+        votes = sum(0.5 if differs else 1.0 for far, differs in near if far <= 4)
+        expected |= {(dx, dy): votes} if votes else {}
+    assert got == expected
