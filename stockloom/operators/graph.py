@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockloom.plans.durable import staged
+from stockloom.plans.groups import dealt
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -13,6 +18,29 @@ def _signature(edges: DataFrame) -> tuple:
     return r["n"], r["x"]
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        nodes, at = np.unique(np.concatenate([batch["a"].to_numpy(), batch["b"].to_numpy()]), return_inverse=True)
+        u, v = at[: batch.num_rows], at[batch.num_rows :]
+        low, before = np.arange(len(nodes)), None
+        while before is None or (low != before).any():
+            before, least = low.copy(), np.minimum(low[u], low[v])
+            np.minimum.at(low, u, least)
+            np.minimum.at(low, v, least)
+            low = low[low]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[low])], ["a", "b"])
+
+
+def contracted(edges: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
+    """``(a, b)``: edges with the same components (ids are whole numbers, not null), each Arrow batch's as stars around their smallest nodes.
+
+    Edges of equal ``keys`` come one after another; where these hold most of a component, few rounds are left for the others.
+    """
+    return dealt(edges.select(*keys, F.col(a).alias("a"), F.col(b).alias("b")), keys).select("a", "b").mapInArrow(_stars, "a long, b long")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node of an undirected edge list; component is its smallest node.
 

@@ -9,7 +9,7 @@ from stockloom.functions import geometry as g
 from stockloom.operators import commits as committed
 from stockloom.operators import counting, folds, motion, registration
 from stockloom.operators.detections import gated_new, near_items
-from stockloom.operators.graph import connected_components
+from stockloom.operators.graph import connected_components, contracted
 from stockloom.plans import scenes
 from stockloom.plans.detections import HEIGHT, WIDTH, _links
 from stockloom.plans.durable import fresh_path, staged
@@ -185,11 +185,11 @@ def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     cx, cy = g.centre(g.box())
     key = F.xxhash64("commit_id", "det_id")
-    d = detections(spark, sf_dir).select("walk_id", "cls", "side", key.alias("k"), cx.alias("cx"), cy.alias("cy"))
+    d = staged(detections(spark, sf_dir).select("walk_id", "cls", "side", key.alias("k"), cx.alias("cx"), cy.alias("cy")), "points")
     items = d.where("side = 'F'").select("walk_id", "cls", F.col("k").alias("item"), F.col("cx").alias("ix"), F.col("cy").alias("iy"))
     pairs = near_items(d.where("side = 'O'"), items, ["walk_id", "cls"], "cx", "cy", GATE).withColumn("dist", F.hypot(F.col("cx") - F.col("ix"), F.col("cy") - F.col("iy")))
-    pairs = staged(pairs.where(F.col("dist") <= GATE).select("walk_id", F.col("k").alias("det"), "item", "dist"), "gated")
-    groups = connected_components(pairs, "det", "item")
+    pairs = staged(pairs.where(F.col("dist") <= GATE).select("walk_id", "cls", F.col("k").alias("det"), "item", "dist"), "gated")
+    groups = connected_components(contracted(pairs, "det", "item", ["walk_id", "cls"]))
     got = folds.assigned_groups(pairs.join(groups.select(F.col("node").alias("det"), F.col("component").alias("grp")), "det").select("walk_id", "grp", "det", "item", "dist"))
     of = got.groupBy("walk_id").agg(F.sum("matches").alias("matches"), F.sum("cost").alias("cost"))
     whole = d.groupBy("walk_id").agg(F.count_if(F.col("side") == "O").alias("dets"))

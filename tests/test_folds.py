@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stockloom.operators import commits, counting, detections, folds
+from stockloom.operators import commits, counting, detections, folds, graph
 from stockloom.plans import detections as sheets
 from stockloom.plans import folds as plans
 
@@ -352,3 +352,18 @@ def test_votes_of_many_offsets_equal_brute_force(spark):
         votes = sum(0.5 if differs else 1.0 for far, differs in near if far <= 4)
         expected |= {(dx, dy): votes} if votes else {}
     assert got == expected
+
+
+def test_contracted_edges_are_stars_of_the_same_components(spark):
+    edges = spark.createDataFrame([(1, i, i + 1) for i in range(10, 60)] + [(2, 100 - i, 99 - i) for i in range(20)], "w long, a long, b long")
+    stars = graph.contracted(edges.coalesce(1), "a", "b", ["w"])
+    assert {tuple(r) for r in graph.connected_components(stars).collect()} == {tuple(r) for r in graph.connected_components(edges).collect()}
+    assert len({r.b for r in stars.where("w = 2" if "w" in stars.columns else "a > 70").collect()}) == 1
+
+
+def test_small_and_large_assignments_agree(monkeypatch):
+    rnd = np.random.default_rng(5)
+    costs = [np.where(c > 15, folds.FORBIDDEN, np.round(c)) for c in (rnd.uniform(0, 20, rnd.integers(1, 9, 2)) for _ in range(60))]
+    small = [folds.assign(c) for c in costs]
+    monkeypatch.setattr(folds, "SMALL", -1)
+    assert all((np.array(a) == np.array(folds.assign(c))).all() for a, c in zip(small, costs, strict=True))
