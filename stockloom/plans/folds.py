@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stockloom.functions import geometry as g
 from stockloom.operators import commits as committed
 from stockloom.operators import counting, folds, motion, registration
-from stockloom.operators.detections import gated_new, near_items
+from stockloom.operators.detections import near_items
 from stockloom.operators.graph import connected_components, contracted
 from stockloom.plans import scenes
 from stockloom.plans.detections import HEIGHT, WIDTH, _links
@@ -203,16 +203,22 @@ DRIFTS = (0.0, 2.0, 5.0, 8.0)
 
 def strategy_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counted and missed detections of one side for each gate and drift: the drift moves a detection before it is gated."""
-    all_ = detections(spark, sf_dir)
-    drift = F.explode(F.array(*map(F.lit, DRIFTS))).alias("drift")
-    moved = all_.where("side = 'O'").select("*", drift).withColumns({c: F.col(c) + F.col("drift") for c in ("x0", "x1")})
-    items = all_.where("side = 'F'")
-    out = None
-    for name, gate in STRATEGIES.items():
-        new = gated_new(moved, items, gate, (1.0, 0.5), ["walk_id", "cls"]).groupBy("drift").agg(F.count("*").alias("counted")).withColumn("strategy", F.lit(name))
-        out = new if out is None else out.unionByName(new)
-    total = all_.where("side = 'O'").agg(F.count("*").alias("detections"))  # one row
-    return out.crossJoin(total).select("strategy", "drift", "counted", "detections", F.round(100.0 * (F.col("detections") - F.col("counted")) / F.col("detections"), 6).alias("seen_percent"))
+    all_ = staged(detections(spark, sf_dir).where("side in ('O', 'F')").groupBy("walk_id", "cls", "side", *g.box()).agg(F.count("*").alias("many")), "places")
+    own = all_.where("side = 'O'")
+    grid = [(name, gate, drift) for name, gate in STRATEGIES.items() for drift in DRIFTS]
+    cx, cy = g.centre(g.box())
+    # Places within the widest gate of any drift meet once, and stand for all their detections; a row says which gates and drifts cover a place.
+    points = own.select("*", (cx + max(DRIFTS) / 2).alias("_x"), (cy * 0.5).alias("_y"))
+    items = all_.where("side = 'F'").select("walk_id", "cls", cx.alias("ix"), (cy * 0.5).alias("iy"), cy.alias("_cy"))
+    pairs = near_items(points, items, ["walk_id", "cls"], "_x", "_y", max(STRATEGIES.values()) + (max(DRIFTS) - min(DRIFTS)) / 2)
+    moved = lambda drift: (F.col("x0") + drift + (F.col("x1") + drift)) / 2
+    covered = [(moved(drift) - F.col("ix")) ** 2 + ((cy - F.col("_cy")) * 0.5) ** 2 <= gate * gate for _, gate, drift in grid]
+    hits = pairs.groupBy("walk_id", "cls", *g.box(), "many").agg(*(F.max(c).alias(f"_{i}") for i, c in enumerate(covered)))
+    seen = hits.agg(*(F.coalesce(F.sum(F.when(F.col(f"_{i}"), F.col("many"))), F.lit(0)).alias(f"_{i}") for i in range(len(grid))))  # one row, as the next
+    total = own.agg(F.sum("many").alias("detections"))
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("strategy"), F.lit(drift).alias("drift"), F.col(f"_{i}").alias("seen")) for i, (name, _, drift) in enumerate(grid))))
+    out = seen.crossJoin(total).select("detections", each.alias("s")).select("s.strategy", "s.drift", (F.col("detections") - F.col("s.seen")).alias("counted"), "detections")
+    return out.where("counted > 0").select("strategy", "drift", "counted", "detections", F.round(100.0 * (F.col("detections") - F.col("counted")) / F.col("detections"), 6).alias("seen_percent"))
 
 
 STRATEGY_GRID = with_sql(DETECTIONS) + f"""

@@ -354,6 +354,11 @@ def test_votes_of_many_offsets_equal_brute_force(spark):
     assert got == expected
 
 
+def test_strategy_grid_and_votes_read_the_detections_once(spark):
+    for name in ("q75_strategy_grid", "q30_offset_votes"):
+        assert "lineitem" not in (plans.QUERIES | sheets.QUERIES)[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_contracted_edges_are_stars_of_the_same_components(spark):
     edges = spark.createDataFrame([(1, i, i + 1) for i in range(10, 60)] + [(2, 100 - i, 99 - i) for i in range(20)], "w long, a long, b long")
     stars = graph.contracted(edges.coalesce(1), "a", "b", ["w"])
