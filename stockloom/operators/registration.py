@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from stockloom.plans.groups import whole_groups
 
+TOGETHER, ALIKE = 1 << 18, 32  # numbers at once; groups of up to so many matches are fitted together by size
+
 
 def sign_word(vector: Column, bits: int, first: int = 0) -> Column:
     """A descriptor quantised to the signs of ``bits`` of its components, from the one at ``first``."""
@@ -76,6 +78,32 @@ def consensus(p: np.ndarray, q: np.ndarray, within: float, most: int = 64) -> tu
     return None if fit is None else (fit, np.hypot(*(np.stack([fit[0] * p[:, 0] - fit[1] * p[:, 1] + fit[2], fit[1] * p[:, 0] + fit[0] * p[:, 1] + fit[3]], 1) - q).T) <= within)
 
 
+def consensus_many(p: np.ndarray, q: np.ndarray, within: float) -> tuple[np.ndarray, np.ndarray]:
+    """``consensus`` of many groups of as many matches each (groups, matches, 2), all of which propose: ``(a, b, x, y)`` by group, nan where there is none, and how many agree."""
+    i, j = np.triu_indices(p.shape[1], 1)
+    fits, agree = np.full((len(p), 4), np.nan), np.zeros(len(p), np.int64)
+    if not len(i):
+        return fits, agree
+    zp, zq = p @ [1, 1j], q @ [1, 1j]
+    gap = zp[:, j] - zp[:, i]
+    apart = np.abs(gap) > 1e-9
+    turn = (zq[:, j] - zq[:, i]) / np.where(apart, gap, 1)
+    shift = zq[:, i] - turn * zp[:, i]
+    near = np.abs(turn[..., None] * zp[:, None] + shift[..., None] - zq[:, None]) <= within
+    best = np.take_along_axis(near, np.argmax(np.where(apart, near.sum(2), -1), 1)[:, None, None], 1)[:, 0, :, None]
+    many = np.maximum(best.sum(1), 1)
+    mid, to = (p * best).sum(1) / many, (q * best).sum(1) / many
+    u, v = (p - mid[:, None]) * best, (q - to[:, None]) * best
+    size = (u * u).sum((1, 2))
+    some = apart.any(1) & (size > 0)
+    a, b = ((u * v).sum((1, 2)) / np.where(some, size, 1), (u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]).sum(1) / np.where(some, size, 1))
+    x, y = to[:, 0] - a * mid[:, 0] + b * mid[:, 1], to[:, 1] - b * mid[:, 0] - a * mid[:, 1]
+    moved = np.stack([a[:, None] * p[..., 0] - b[:, None] * p[..., 1] + x[:, None], b[:, None] * p[..., 0] + a[:, None] * p[..., 1] + y[:, None]], 2)
+    fits[some] = np.stack([a, b, x, y], 1)[some]
+    agree[some] = (np.hypot(*np.moveaxis(moved - q, 2, 0)) <= within).sum(1)[some]
+    return fits, agree
+
+
 def robust_fits(matches: DataFrame, keys: list[str], within: float, most: int = 64) -> DataFrame:
     """``(keys, matches, agree, a, b, x, y)`` of each group of matched points (keys, id, px, py, qx, qy): the similarity that most agree with.
 
@@ -86,10 +114,21 @@ def robust_fits(matches: DataFrame, keys: list[str], within: float, most: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in whole_groups(batches, keys):
             p, q = (np.stack([t.column(t.schema.get_field_index(c)).to_numpy() for c in pair], 1) for pair in (("px", "py"), ("qx", "qy")))
-            found = [consensus(p[i:j], q[i:j], within, most) for i, j in zip(at[:-1], at[1:], strict=True)]
-            numbers = [[None if f is None else float(f[0][n]) for f in found] for n in range(4)]
-            first = pa.array(at[:-1])
-            columns = [*(t.column(t.schema.get_field_index(k)).take(first) for k in keys), pa.array(np.diff(at)), pa.array([0 if f is None else int(f[1].sum()) for f in found], pa.int64()), *(pa.array(c, pa.float64()) for c in numbers)]
+            size = np.diff(at)
+            fits, agree = np.full((len(size), 4), np.nan), np.zeros(len(size), np.int64)
+            for n in np.unique(size):
+                own, step = np.flatnonzero(size == n), max(1, TOGETHER // int(n) ** 3)
+                if n > min(most, ALIKE):
+                    for g in own:
+                        found = consensus(p[at[g] : at[g + 1]], q[at[g] : at[g + 1]], within, most)
+                        if found is not None:
+                            fits[g], agree[g] = found[0], found[1].sum()
+                    continue
+                for part in (own[k : k + step] for k in range(0, len(own), step)):
+                    rows = at[part][:, None] + np.arange(n)
+                    fits[part], agree[part] = consensus_many(p[rows], q[rows], within)
+            first, none = pa.array(at[:-1]), np.isnan(fits[:, 0])
+            columns = [*(t.column(t.schema.get_field_index(k)).take(first) for k in keys), pa.array(size), pa.array(agree), *(pa.array(c, pa.float64(), mask=none) for c in fits.T)]
             yield pa.RecordBatch.from_arrays(columns, [*keys, *names])
 
     own = matches.select(*(F.col(k).cast("long") for k in keys), F.col("id").cast("long"), *(F.col(c).cast("double") for c in ("px", "py", "qx", "qy")))

@@ -179,3 +179,18 @@ def test_detector_counts_make_the_boxes_once(spark):
 
     plan = review.detector_counts(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan and "l_partkey" not in plan
+
+
+def test_groups_of_equal_size_are_fitted_together():
+    rnd = np.random.default_rng(8)
+    for n in (1, 2, 3, 6, 9):
+        p = rnd.uniform(0, 90, (30, n, 2))
+        p[0] = p[0, :1]  # no two different points
+        q = p @ np.array([[1.02, 0.05], [-0.05, 1.02]]) + [4, -7] + np.where(rnd.uniform(size=(30, n, 1)) < 0.3, rnd.uniform(20, 60, (30, n, 2)), 0)
+        fits, agree = registration.consensus_many(p, q, 0.5)
+        for k in range(30):
+            found = registration.consensus(p[k], q[k], 0.5)
+            if found is None:
+                assert np.isnan(fits[k]).all() and agree[k] == 0
+            else:
+                assert fits[k] == pytest.approx(found[0], abs=1e-9) and agree[k] == found[1].sum()
