@@ -372,3 +372,15 @@ def test_small_and_large_assignments_agree(monkeypatch):
     small = [folds.assign(c) for c in costs]
     monkeypatch.setattr(folds, "SMALL", -1)
     assert all((np.array(a) == np.array(folds.assign(c))).all() for a, c in zip(small, costs, strict=True))
+
+
+def test_boxes_of_many_commits_are_suppressed_together():
+    rnd = np.random.default_rng(3)
+    low = rnd.integers(0, 12, (40, 6, 2))
+    boxes = np.concatenate([low, low + rnd.integers(1, 12, (40, 6, 2))], 2).astype(float)
+    for own, kept in zip(boxes, folds.kept_boxes(boxes, 0.3), strict=True):
+        expected = []
+        for i in range(6):
+            if not expected or folds.box_iou(own[i : i + 1], own[expected]).max() < 0.3:
+                expected.append(i)
+        assert np.flatnonzero(kept).tolist() == expected
