@@ -70,9 +70,10 @@ def moved_zones(then: DataFrame, now: DataFrame, keys: list[str]) -> DataFrame:
 def frames_over(dets: DataFrame, frames: DataFrame, width: float, height: float, band: float) -> DataFrame:
     """``(walk_id, det_id)`` of the detections whose centre lies in the inner frame of a view under one of its walk's transforms ``h``."""
     corners = [(band, band), (width - band, band), (width - band, height - band), (band, height - band)]
-    quad = [g.warp_point(F.col("_h"), F.lit(x), F.lit(y)) for x, y in corners]
+    quad = [(F.col(f"_x{k}"), F.col(f"_y{k}")) for k in range(4)]
     cx, cy = g.centre(g.box())
-    other = frames.select(F.col("walk_id").alias("_w"), F.col("h").alias("_h"))
+    warped = [g.warp_point(F.col("h"), F.lit(x), F.lit(y)) for x, y in corners]  # once for each frame, not for each pair
+    other = frames.select(F.col("walk_id").alias("_w"), *(p.alias(n) for k, (x, y) in enumerate(warped) for p, n in ((x, f"_x{k}"), (y, f"_y{k}"))))
     return dets.join(other, (F.col("walk_id") == F.col("_w")) & g.in_convex(cx, cy, quad), "left_semi").select("walk_id", "det_id")
 
 

@@ -384,3 +384,12 @@ def test_boxes_of_many_commits_are_suppressed_together():
             if not expected or folds.box_iou(own[i : i + 1], own[expected]).max() < 0.3:
                 expected.append(i)
         assert np.flatnonzero(kept).tolist() == expected
+
+
+def test_frames_are_warped_once_and_not_for_each_detection(spark):
+    dets = spark.createDataFrame([(1, 1, 20.0, 20.0, 30.0, 30.0), (1, 2, 0.0, 0.0, 4.0, 4.0)], "walk_id long, det_id long, x0 double, y0 double, x1 double, y1 double")
+    frames = spark.createDataFrame([(1, list(counting.IDENTITY))], "walk_id long, h array<double>")
+    got = counting.frames_over(dets, frames, 130.0, 100.0, 12.0)
+    assert [tuple(r) for r in got.collect()] == [(1, 1)]
+    join = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "LeftSemi" in x]
+    assert len(join) == 1 and "[6]" not in join[0]
