@@ -133,16 +133,26 @@ def _opened(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[t
             yield block, _numbers(ids), _numbers(ends), spread.decompress(body), *rest
 
 
+def packed(digits: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
+    """Sorted numbers of eight bytes by columns of their bytes, of which the first and the last hardly change."""
+    return squeeze.compress(np.ascontiguousarray(digits.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpacked(raw: bytes, spread: zstandard.ZstdDecompressor) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(spread.decompress(raw), np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
+
+
 def _digits(blocks: DataFrame, window: int, gram: int, buckets: int) -> DataFrame:
     """First pass: the distinct digits of each block in order, cut into buckets; the low byte tells how often one occurs there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
         for block, _, ends, body in _opened(batches, []):
             u, n = np.unique(anchors(body, ends, window, gram)[0], return_counts=True)
-            raw = (u | np.ceil(np.log2(n)).astype(np.uint64)).astype("<u8").tobytes()
+            raw = u | np.ceil(np.log2(n)).astype(np.uint64)
             cut = np.searchsorted(_bucket(u, buckets), np.arange(buckets + 1)).tolist()
             full = [i for i in range(buckets) if cut[i] < cut[i + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), pa.array([raw[8 * cut[i] : 8 * cut[i + 1]] for i in full], pa.binary())], ["bucket", "block", "digits"])
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), pa.array([packed(raw[cut[i] : cut[i + 1]], squeeze) for i in full], pa.binary())], ["bucket", "block", "digits"])
 
     return blocks.mapInArrow(run, "bucket int, block long, digits binary")
 
@@ -151,10 +161,11 @@ def _marks(digits: DataFrame, hot: int) -> DataFrame:
     """``(block, bucket, mark, runs, hot)``: bit masks of the digits that occur again, and of those that do so over ``hot`` times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spread = zstandard.ZstdDecompressor()
         for t, at in whole_groups(batches, ["bucket"]):
             for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 own = t.slice(i, j - i)
-                parts = [_numbers(x.as_py(), "<u8") for x in own.column(2)]
+                parts = [unpacked(x.as_py(), spread) for x in own.column(2)]
                 raw = np.concatenate(parts)
                 digit, n = raw >> np.uint64(8), np.left_shift(np.int64(1), (raw & np.uint64(255)).astype(np.int64))
                 order = np.argsort(digit, kind="stable")

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from odd import no_documents, odd_documents, odd_rows
 
 from stockloom.llm import repeats
@@ -90,3 +91,10 @@ def test_odd_rows_empty_tables_and_clashing_names(spark):
     assert empty.count() == 0 and Counter(empty.columns) == Counter(["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
     with pytest.raises(ValueError):
         repeats.remove_repeats(no_documents(spark), 8)
+
+
+def test_digits_are_packed_by_columns():
+    digits = np.sort(np.random.default_rng(2).integers(0, 2**56, 20_000, np.uint64)) << np.uint64(8)
+    raw = repeats.packed(digits, zstandard.ZstdCompressor(level=1))
+    assert (repeats.unpacked(raw, zstandard.ZstdDecompressor()) == digits).all() and len(raw) < 0.8 * digits.nbytes
+    assert len(repeats.unpacked(repeats.packed(digits[:0], zstandard.ZstdCompressor()), zstandard.ZstdDecompressor())) == 0
