@@ -3,9 +3,10 @@
 All walks go on together, one commit each in a superstep. Step ``n`` takes every walk's commit number ``n`` and is a plan over
 what the steps before it have written:
 
-- items come into the view by a join of their sightings with the commit's links, each through the best-registered commit
-  that saw it; with motion, items and counted zones are tables that move from step to step;
-- a detection is asked about if a counted zone covers its centre: a semi join with the zones' moved frames;
+- items come into the view along links: a step hands its items on to the commits that its own are linked with, once for each
+  link, and a commit takes each item from the best-registered commit that saw it, so that no step reads what earlier ones have
+  seen; with motion, items, counted zones and the zones' items are tables that move from step to step;
+- a detection is asked about if a counted zone covers its centre: a join with the zones' moved frames;
 - the detections and carried items of one commit meet in a small helper: pairs of a class vote for a common offset, and those within
   the gate after it fall into connected groups, of which the cheapest one-to-one matches are taken.
 
@@ -31,6 +32,8 @@ REACH, QUANTUM, LEAST, SHARE = 0.5, 2.0, 3, 0.25
 BOX = ("x0", "y0", "x1", "y1")
 STATUS_SCHEMA = "walk_id long, n long, det_id long, cls string, status string"
 _STEP = STATUS_SCHEMA + ", t double, x0 double, y0 double, x1 double, y1 double, item long"
+_HANDED = "walk_id long, item long, cls string, x0 double, y0 double, x1 double, y1 double, inliers long, seen_in long, a int, b int"
+_HELD = 2**62  # what is tracked goes before what a link brings
 IDENTITY = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
 
 
@@ -67,16 +70,30 @@ def moved_zones(then: DataFrame, now: DataFrame, keys: list[str]) -> DataFrame:
     return means.join(sums, keys).select(*keys, h.alias("h"))
 
 
+def _inner_frame(width: float, height: float, band: float) -> list[tuple[Column, Column]]:
+    """The corners of a view's inner frame under its transform ``h``."""
+    corners = [(band, band), (width - band, band), (width - band, height - band), (band, height - band)]
+    return [g.warp_point(F.col("h"), F.lit(x), F.lit(y)) for x, y in corners]
+
+
 def frames_over(dets: DataFrame, frames: DataFrame, width: float, height: float, band: float) -> DataFrame:
     """``(walk_id, det_id)`` of the detections whose centre lies in the inner frame of a view under one of its walk's transforms ``h``."""
-    corners = [(band, band), (width - band, band), (width - band, height - band), (band, height - band)]
     quad = [(F.col(f"_x{k}"), F.col(f"_y{k}")) for k in range(4)]
     cx, cy = g.centre(g.box())
-    warped = [g.warp_point(F.col("h"), F.lit(x), F.lit(y)) for x, y in corners]  # once for each frame, not for each pair
+    warped = _inner_frame(width, height, band)  # once for each frame, not for each pair
     other = frames.select(F.col("walk_id").alias("_w"), *(p.alias(n) for k, (x, y) in enumerate(warped) for p, n in ((x, f"_x{k}"), (y, f"_y{k}"))))
     return dets.join(other, (F.col("walk_id") == F.col("_w")) & g.in_convex(cx, cy, quad), "left_semi").select("walk_id", "det_id")
 
 
+def _asked(dets: DataFrame, frames: DataFrame, width: float, height: float, band: float) -> DataFrame:
+    """Detections of one commit a walk with ``asked``: whether their centre lies in one of the walk's frames, which are one row a walk here."""
+    corners = [p.alias(n) for k, (x, y) in enumerate(_inner_frame(width, height, band)) for p, n in ((x, f"x{k}"), (y, f"y{k}"))]
+    quads = frames.groupBy("walk_id").agg(F.collect_list(F.struct(*corners)).alias("_quads"))
+    cx, cy = g.centre(g.box())
+    inside = F.exists("_quads", lambda q: g.in_convex(cx, cy, [(q[f"x{k}"], q[f"y{k}"]) for k in range(4)]))
+    return dets.join(quads, "walk_id", "left").withColumn("asked", F.col("place").isin("inner", "band") & F.coalesce(inside, F.lit(False))).drop("_quads")
+
+
 def _groups(det: np.ndarray, item: np.ndarray) -> np.ndarray:
     """The connected group of each pair, as its smallest detection."""
     label = det.copy()
@@ -128,34 +145,41 @@ def view_matches(box: np.ndarray, cls: np.ndarray, there: np.ndarray, there_cls:
     return cheapest_matches(det[near], item[near], gap[near])
 
 
+def _best_sightings(item: np.ndarray, inliers: np.ndarray, seen_in: np.ndarray) -> np.ndarray:
+    """The rows of each item's best-registered sighting, the later one of equals, in order of the items."""
+    order = np.lexsort((seen_in, inliers, item))
+    return order[np.append(item[order][1:] != item[order][:-1], True)]
+
+
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The detections of each walk's commit (place is not null) with the carried item (place is null) that they show."""
     for b, at in whole_groups(batches, ["walk_id"]):
-        v = {c: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("place", "cls", *BOX, "item")}
+        v = {c: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("place", "cls", *BOX)}
+        came = {c: b.column(b.schema.get_field_index(c)).fill_null(-1).to_numpy() for c in ("item", "inliers", "seen_in")}
         box, item = np.stack([v[c] for c in BOX], 1), np.full(b.num_rows, -1)
         is_det = np.array([p is not None for p in v["place"]], bool)
         live = np.isin(v["place"].astype(str), ("inner", "band"))
         for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             d, k = np.flatnonzero(live[i:j]) + i, np.flatnonzero(~is_det[i:j]) + i
             if len(d) and len(k):
+                k = k[_best_sightings(*(came[c][k] for c in ("item", "inliers", "seen_in")))]
                 x, y = view_matches(box[d], v["cls"][d], box[k], v["cls"][k])
-                item[d[x]] = v["item"][k[y]]
+                item[d[x]] = came["item"][k[y]]
         got = b.set_column(b.schema.get_field_index("item"), "item", pa.array(item, mask=item < 0))
         yield got.filter(pa.array(is_det))
 
 
-def _linked_items(seen: DataFrame, links: DataFrame) -> DataFrame:
-    """Items and their boxes in the view, through the linked commit with most inliers that saw them, the later of equals."""
-    other = links.select("walk_id", F.col("a").alias("n"), "h", "inliers")
-    got = seen.join(other, ["walk_id", "n"]).groupBy("walk_id", "item").agg(F.max_by(F.struct("cls", *BOX, "h"), F.struct("inliers", "n")).alias("s")).select("walk_id", "item", "s.*")
-    return got.select("walk_id", "item", "cls", *(x.alias(c) for c, x in zip(BOX, g.warp_box(F.col("h"), g.box()), strict=True)))
+def _handed_on(seen: DataFrame, links: DataFrame) -> DataFrame:
+    """Items of one commit a walk, moved into each later view ``b`` that theirs is linked with."""
+    got = seen.join(links, "walk_id")
+    moved = (x.alias(c) for c, x in zip(BOX, g.warp_box(F.col("h"), g.box()), strict=True))
+    return got.select("walk_id", "item", "cls", *moved, "inliers", F.col("n").alias("seen_in"), "b").hint("rebalance", F.col("b"))
 
 
-def _finished(dets: DataFrame, carried: DataFrame | None, asked: DataFrame | None, n: int) -> DataFrame:
+def _finished(dets: DataFrame, carried: DataFrame | None, n: int) -> DataFrame:
     """Statuses of a commit; a new item goes by its commit and detection. A miss is never stored, so that it prompts again."""
-    d = dets.withColumn("item", F.lit(None).cast("long"))
-    d = d.withColumn("asked", F.lit(False)) if asked is None else d.join(asked.withColumn("asked", F.lit(True)), ["walk_id", "det_id"], "left")
-    d = d.select("walk_id", "t", "det_id", *BOX, "cls", "place", F.coalesce("asked", F.lit(False)).alias("asked"), "item")
+    none = F.lit(None).cast("long")
+    d = dets.select("walk_id", "t", "det_id", *BOX, "cls", "place", "asked", none.alias("item"), none.alias("inliers"), none.alias("seen_in"))
     if carried is not None:
         d = dealt(d.unionByName(carried, allowMissingColumns=True), ["walk_id"]).mapInArrow(_matched, d.schema)
     live = F.col("place").isin("inner", "band")
@@ -174,14 +198,13 @@ def _moved_on(items: DataFrame, now: DataFrame, width: float, height: float, pat
     return d.withColumn("seen_at", F.when(inside, F.col("now")).otherwise(F.col("seen_at"))).where(F.col("now") - F.col("seen_at") <= patience).select("walk_id", "item", "cls", *BOX, "seen_at")
 
 
-def _zones_on(zones: DataFrame, seen: DataFrame, items: DataFrame, now: DataFrame, patience: float) -> DataFrame:
-    """Zones after the step: as their items lie now, else as the view has moved for a while; others are dropped."""
+def _zones_on(zones: DataFrame, counted: DataFrame, items: DataFrame, now: DataFrame, patience: float) -> DataFrame:
+    """Zones after the step: as their items lie now, else as the view has moved for a while; others are dropped. counted: the zones' items as they lay in their own views."""
     z = zones.drop("h").join(now.withColumnRenamed("h", "step"), "walk_id")
     z = z.withColumn("motion", F.when(F.col("step").isNull(), F.col("motion")).otherwise(chained(F.col("step"), F.col("motion"))))
     cx, cy = g.centre(g.box())
     here = items.select("walk_id", "item", cx.alias("ix"), cy.alias("iy"))
-    then = seen.select("walk_id", F.col("n").alias("zone"), "item", cx.alias("cx"), cy.alias("cy")).join(zones.select("walk_id", "zone"), ["walk_id", "zone"], "left_semi")
-    z = z.join(moved_zones(then, here, ["walk_id", "zone"]), ["walk_id", "zone"], "left").withColumn("zone_t", F.when(F.col("h").isNotNull(), F.col("now")).otherwise(F.col("zone_t")))
+    z = z.join(moved_zones(counted, here, ["walk_id", "zone"]), ["walk_id", "zone"], "left").withColumn("zone_t", F.when(F.col("h").isNotNull(), F.col("now")).otherwise(F.col("zone_t")))
     return z.withColumn("h", F.coalesce("h", F.when(F.col("now") - F.col("zone_t") <= patience, F.col("motion")))).where("h is not null").select("walk_id", "zone", "zone_t", "motion", "h")
 
 
@@ -196,37 +219,46 @@ def count_commits(dets: DataFrame, links: DataFrame, threshold: float, width: fl
     base = fresh_path(spark, "walks")
     place = view_place(F.col("score"), g.box(), threshold, width, height, margin, band)
     cols = [F.col("walk_id").cast("long"), F.col("n").cast("int"), F.col("t").cast("double"), F.col("det_id").cast("long"), *(F.col(c).cast("double").alias(c) for c in BOX), F.col("cls").cast("string"), place.alias("place")]
-    dets.select(*cols).repartition("n").write.partitionBy("n").parquet(f"{base}/dets")
-    tied = links.select(F.col("walk_id").cast("long"), F.col("b").cast("int").alias("b"), F.col("a").cast("long").alias("a"), F.col("h").cast("array<double>").alias("h"), F.col("inliers").cast("long").alias("inliers"))
-    tied.repartition("b").write.partitionBy("b").parquet(f"{base}/links")
-    schema = "walk_id long, t double, det_id long, x0 double, y0 double, x1 double, y1 double, cls string, place string, n int"
-    all_dets, all_links = spark.read.schema(schema).parquet(f"{base}/dets"), spark.read.schema("walk_id long, a long, h array<double>, inliers long, b int").parquet(f"{base}/links")
+    dets.select(*cols).hint("rebalance", F.col("n")).write.partitionBy("n").parquet(f"{base}/dets")
+    tied = links.select(F.col("walk_id").cast("long"), F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), F.col("h").cast("array<double>").alias("h"), F.col("inliers").cast("long").alias("inliers"))
+    by = lambda way: spark.read.schema(f"walk_id long, h array<double>, inliers long, {'ab'.replace(way, '')} int, {way} int").parquet(f"{base}/links_{way}")
+    tied.hint("rebalance", F.col("b")).write.partitionBy("b").parquet(f"{base}/links_b")
+    all_links = by("b")
+    all_links.hint("rebalance", F.col("a")).write.partitionBy("a").parquet(f"{base}/links_a")  # once more, by the commit that hands items on
+    all_dets = spark.read.schema("walk_id long, t double, det_id long, x0 double, y0 double, x1 double, y1 double, cls string, place string, n int").parquet(f"{base}/dets")
+    ways_on = by("a")
     last = all_dets.agg(F.max("n")).first()[0] or 0
-    linked = {r["b"] for r in all_links.select("b").distinct().collect()}  # commit numbers, at most the steps there are
-    done = spark.read.schema(_STEP)
-    items = zones = None
+    # Commit numbers, at most the steps there are, and for each the earlier ones that it is linked with.
+    to_of = {r["b"]: sorted(r["of"]) for r in all_links.groupBy("b").agg(F.collect_set(F.when(F.col("a").between(1, F.col("b") - 1), F.col("a"))).alias("of")).collect()}
+    givers = set().union(*to_of.values())
+    done, handed = spark.read.schema(_STEP), spark.read.schema(_HANDED).option("basePath", f"{base}/handed")
+    items = zones = counted = None
     for n in range(1, last + 1):
         own, to = all_dets.where(F.col("n") == n).drop("n"), all_links.where(F.col("b") == n)
-        live = own.where("place in ('inner', 'band')")
-        seen = done.parquet(*[f"{base}/step={i}" for i in range(1, n)]).where("item is not null") if n > 1 else None
-        carried = _linked_items(seen, to) if n > 1 and n in linked else None
-        frames = to.select("walk_id", "h") if n in linked else None
+        frames = to.select("walk_id", "h") if n in to_of else None
+        carried = handed.parquet(*[f"{base}/handed/a={a}" for a in to_of[n]]).where(F.col("b") == n).drop("a", "b") if to_of.get(n) else None
         if motion and n > 1:
             now = own.groupBy("walk_id").agg(F.max("t").alias("now")).join(to.where(F.col("a") == n - 1).select("walk_id", "h"), "walk_id", "left")
             items = staged(_moved_on(items, now, width, height, dead_reckon), "items")
-            zones = staged(_zones_on(zones, seen, items, now, dead_reckon), "zones")
-            held = items.drop("seen_at")
-            carried = held if carried is None else held.unionByName(carried.join(held, ["walk_id", "item"], "left_anti"))
+            zones = staged(_zones_on(zones, counted, items, now, dead_reckon), "zones")
+            counted = staged(counted.join(zones.select("walk_id", "zone"), ["walk_id", "zone"], "left_semi"), "counted")
+            held = items.select("walk_id", "item", "cls", *BOX, F.lit(_HELD).alias("inliers"), F.lit(0).cast("long").alias("seen_in"))
+            carried = held if carried is None else held.unionByName(carried)
             moved = zones.select("walk_id", "h")
             frames = moved if frames is None else moved.unionByName(to.join(zones, (to["walk_id"] == zones["walk_id"]) & (to["a"] == zones["zone"]), "left_anti").select("walk_id", "h"))
-        asked = frames_over(live, frames, width, height, band) if frames is not None else None
-        _finished(own, carried, asked, n).write.parquet(f"{base}/step={n}")
+        own = _asked(own, frames, width, height, band) if frames is not None else own.withColumn("asked", F.lit(False))
+        _finished(own, carried, n).write.parquet(f"{base}/step={n}")
+        step = done.parquet(f"{base}/step={n}").where("item is not null")
+        if n in givers:
+            _handed_on(step, ways_on.where((F.col("a") == n) & (F.col("b") > n))).write.partitionBy("b").parquet(f"{base}/handed/a={n}")
         if motion:
-            step = done.parquet(f"{base}/step={n}").where("item is not null")
             fresh = step.select("walk_id", "item", "cls", *BOX, F.col("t").alias("seen_at"))
             items = fresh if items is None else items.join(fresh, ["walk_id", "item"], "left_anti").unionByName(fresh)
             zone = own.groupBy("walk_id").agg(F.max("t").alias("zone_t")).select("walk_id", F.lit(n).cast("long").alias("zone"), "zone_t", _nine(IDENTITY).alias("motion"), _nine(IDENTITY).alias("h"))
             zones = zone if zones is None else zones.unionByName(zone)
+            cx, cy = g.centre(g.box())
+            its = step.select("walk_id", F.lit(n).cast("long").alias("zone"), "item", cx.alias("cx"), cy.alias("cy"))
+            counted = its if counted is None else counted.unionByName(its)
     if not last:
         return spark.createDataFrame([], STATUS_SCHEMA)
     return done.parquet(*[f"{base}/step={i}" for i in range(1, last + 1)]).select("walk_id", "n", "det_id", "cls", "status")

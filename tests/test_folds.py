@@ -182,6 +182,20 @@ def test_tracked_items_are_seen_again_and_zones_move_along(spark):
     assert all(by[n, i] == ("new" if n == 1 else "seen") for n in (1, 2, 3) for i in range(4)) and by[3, 9] == "miss"
 
 
+@pytest.mark.parametrize("motion", [False, True])
+def test_no_superstep_reads_what_all_earlier_ones_have_seen(spark, monkeypatch, motion):
+    from pyspark.sql import DataFrameReader
+
+    rows = [dict(walk_id=1, n=n, t=float(n), det_id=i, score=0.9, cls="can", **at(40.0 + 12 * i)) for n in (1, 2, 3, 4) for i in range(4)]
+    whole, reads = DataFrameReader.parquet, []
+    monkeypatch.setattr(DataFrameReader, "parquet", lambda self, *paths, **more: reads.append([p for p in paths if "/step=" in p]) or whole(self, *paths, **more))
+    by = count(spark, rows, {(1, 3): (np.eye(3), 50), (2, 4): (np.eye(3), 50)}, 0.5, 100.0, 100.0, 0.5, 12.0, motion=motion)
+    assert [by[n, 0] for n in (1, 2, 3, 4)] == ["new", "seen" if motion else "new", "seen", "seen"]
+    assert max(map(len, reads[:-1])) == 1 and len(reads[-1]) == 4  # the last read is the result
+    best = counting._best_sightings(np.array([5, 3, 5, 5, 3]), np.array([40, 50, 60, 60, 50]), np.array([1, 2, 2, 3, 1]))
+    assert best.tolist() == [1, 3]
+
+
 def test_walk_query_keeps_its_invariants(spark):
     got = plans.counted_walks(spark, SF).toPandas()
     assert set(got.status) <= {"new", "seen", "miss", "edge", "cut", "low"}
