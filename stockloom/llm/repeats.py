@@ -11,8 +11,8 @@ goes from the most significant digit on, in three kinds of passes:
 3. Buckets of a digit that occurs more than ``hot`` times are not sorted in one task: their windows are dealt out by all their
    bytes, combined before the shuffle.
 
-Documents are packed into blocks of some megabytes, compressed, and written once; what moves after that are digits, runs and
-spans of whole blocks. No step holds more than a block, a bucket of bounded size or a group combined by block.
+Documents are packed into blocks of some megabytes, compressed, and written once, in buckets, so that joins leave them where they
+are; what moves after that are digits, marks, runs and spans of whole blocks. No step holds more than a block, a bucket of bounded size or a group combined by block.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockloom.llm.text import chunks
-from stockloom.plans.durable import staged
+from stockloom.plans.durable import bucketed, staged
 from stockloom.plans.groups import dealt, whole_groups
 
 BLOCK_BYTES = 4_000_000
@@ -372,7 +372,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     gram = window // 2 - 1
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     own = d.where("_id is not null").select("_id", F.col("_text").cast("binary").alias("_text"))
-    blocks = staged(own.mapInArrow(_block_rows, "block long, ids binary, ends binary, size long, body binary"), "blocks")
+    blocks = bucketed(own.mapInArrow(_block_rows, "block long, ids binary, ends binary, size long, body binary"), "block", "blocks")
     size = blocks.agg(F.sum("size")).first()[0] or 0
     buckets = 1 + int(size * 2 / (window - gram + 2)) // BUCKET_GRAMS
     marks = staged(_marks(_digits(blocks, window, gram, buckets), hot), "marks")

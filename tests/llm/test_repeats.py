@@ -98,3 +98,15 @@ def test_digits_are_packed_by_columns():
     raw = repeats.packed(digits, zstandard.ZstdCompressor(level=1))
     assert (repeats.unpacked(raw, zstandard.ZstdDecompressor()) == digits).all() and len(raw) < 0.8 * digits.nbytes
     assert len(repeats.unpacked(repeats.packed(digits[:0], zstandard.ZstdCompressor()), zstandard.ZstdDecompressor())) == 0
+
+
+def test_blocks_stay_where_they_are_when_spans_are_joined(spark):
+    docs = spark.createDataFrame([(i, "one passage that is longer than the window of fifty bytes, twice") for i in range(2)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = repeats.remove_repeats(docs)
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(block") == 1  # that of the spans
+        assert sorted((r.doc_id, r.n_removed) for r in got.collect()) == [(0, 0), (1, 64)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
