@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockloom.functions import geometry as g
+from stockloom.functions import polygons
 from stockloom.operators import commits as committed
 from stockloom.operators import counting, folds, motion, registration
 from stockloom.operators.detections import near_items
@@ -121,7 +122,7 @@ def consistent_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = lk.join(other, ["walk_id", "b"]).where("a < c").join(linked, ["walk_id", "a", "c"], "left_anti")
     quad = lambda k: scenes._warped(scenes.view_transform(F.col(k), F.col("kb")))
     view = [(F.lit(x), F.lit(y)) for x, y in scenes._CORNERS(0.0)]
-    shared = F.abs(g.signed_area(g.clipped(g.clipped(g.polygon(quad("ka")), quad("kc")), view)))
+    shared = polygons.shared_area(quad("ka"), quad("kc"), view)
     clash = met.where(shared > OVER * WIDTH * HEIGHT).select("walk_id", "b", F.explode(F.array(F.struct("a", F.col("c").alias("foe")), F.struct(F.col("c").alias("a"), F.col("a").alias("foe")))).alias("p"))
     foes = clash.groupBy("walk_id", "b", F.col("p.a").alias("a")).agg(F.collect_set("p.foe").alias("foes"))
     rows = lk.join(foes, ["walk_id", "b", "a"], "left").select("walk_id", F.col("b").alias("commit_n"), "a", "inliers", F.coalesce("foes", F.array().cast("array<bigint>")).alias("foes"))

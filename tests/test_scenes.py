@@ -39,6 +39,20 @@ def test_shared_area_of_convex_quads_equals_sampling(spark):
     assert np.allclose(got, want, atol=8) and max(got) > 500 and min(got) < 1
 
 
+def test_quads_are_cut_batch_by_batch(spark):
+    """Three squares either way round, apart and with an unknown corner; no expression over arrays of corners is left in the plan."""
+    from stockloom.functions import polygons
+
+    box = lambda x, y, size: [(x, y), (x + size, y), (x + size, y + size), (x, y + size)]
+    sets = [(box(0, 0, 10), box(5, 0, 10)[::-1], box(0, 4, 20)), (box(0, 0, 10), box(20, 0, 5), box(0, 0, 9)), (box(0, 0, 10), box(0, 0, 10), box(0, 0, 10)[::-1]), (box(0, 0, 1), [(None, 0)] * 4, box(0, 0, 1))]
+    names = [f"{s}{k}{c}" for s in "pqr" for k in range(4) for c in "xy"]
+    rows = spark.createDataFrame([tuple(v if v is None else float(v) for quad in s for point in quad for v in point) for s in sets], ", ".join(f"{n} double" for n in names)).coalesce(1)
+    side = lambda s: [(F.col(f"{s}{k}x"), F.col(f"{s}{k}y")) for k in range(4)]
+    assert [r[0] for r in rows.select(polygons.shared_area(side("p"), side("q"), side("r"))).collect()] == [30.0, 0.0, 100.0, None]
+    plan = scenes.view_overlaps(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "aggregate(" not in plan
+
+
 def test_frequent_words_are_split_not_dropped(spark):
     rng = np.random.default_rng(2)
     rows = [(1, n, [1.0, 1.0, *map(float, rng.choice([-1, 1], 4))]) for n in range(40)] + [(2, n, [1.0, -1.0, 1.0, 1.0, 1.0, 1.0]) for n in range(3)]
