@@ -5,12 +5,15 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from stockloom.operators.commits import COMMIT_SCHEMA, FRAME_COLUMNS, Trigger, run_trigger
+from stockloom.operators.commits import COMMIT_SCHEMA, FRAME_COLUMNS, Trigger
+
+WALKS = 16
 
 
 def stream_commits(frames: DataFrame, frame_time: float, expire: str = "1 day", late: str = "0 seconds", **options) -> DataFrame:
@@ -19,24 +22,36 @@ def stream_commits(frames: DataFrame, frame_time: float, expire: str = "1 day",
     Frames of a walk must arrive in time order across batches; inside a batch they are sorted. A pending commit is not
     flushed at the end. Frames have their event time in ``ts``: a walk's state is dropped once the watermark is ``expire`` past its
     last frame, so that state does not grow with all walks ever seen; a later frame begins the walk anew.
+    Up to ``WALKS`` walks with neighbouring ids share a call and an entry of the state, which has each walk's machine and when it is due.
     """
     Trigger(**options)
     span = int(pd.Timedelta(expire).total_seconds() * 1000)
     names = [c.split()[0] for c in COMMIT_SCHEMA.split(", ")]
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        machines, mark, met, found = pickle.loads(state.get[0]) if state.exists else {}, state.getCurrentWatermarkMs(), set(), []
+        if not state.hasTimedOut:
+            rows = pd.concat(list(pdfs)).sort_values(["walk_id", "t", "frame"])
+            ids, last = rows["walk_id"].to_numpy(), rows["ms"].to_numpy(float)
+            cols = {c: rows[c].to_numpy() for c in FRAME_COLUMNS}
+            cut = [0] if pd.isna(key[0]) else np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])).tolist()
+            for i, j in zip(cut, [*cut[1:], len(ids)], strict=True):
+                walk = None if pd.isna(key[0]) else int(ids[i])
+                machine = machines[walk][0] if walk in machines else Trigger(**options)
+                found += [{"walk_id": walk, **c} for c in machine.take({c: v[i:j] for c, v in cols.items()}, frame_time)]
+                machines[walk] = machine, int(np.fmax.reduce(last[i:j], initial=mark)) + span
+                met.add(walk)
+        machines = {walk: held for walk, held in machines.items() if walk in met or held[1] >= mark}
+        if machines:
+            state.update((pickle.dumps(machines),))
+            state.setTimeoutTimestamp(min(due for _, due in machines.values()))
+        else:
             state.remove()
-            return
-        machine = pickle.loads(state.get[0]) if state.exists else Trigger(**options)
-        rows = pd.concat(list(pdfs))
-        got = run_trigger(rows, frame_time, options, machine)
-        state.update((pickle.dumps(machine),))
-        last = int(pd.Timestamp(rows["ts"].max()).tz_localize(None).timestamp() * 1000)
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + span)
-        yield pd.DataFrame([{"walk_id": key[0], **c} for c in got], columns=names)
-
-    return frames.withWatermark("ts", late).select("walk_id", "ts", *FRAME_COLUMNS).groupBy("walk_id").applyInPandasWithState(step, COMMIT_SCHEMA, "machine binary", "append", GroupStateTimeout.EventTimeTimeout)
+        if found:
+            yield pd.DataFrame(found, columns=names)
+
+    rows = frames.withWatermark("ts", late).select(F.expr(f"walk_id div {WALKS}").alias("walks"), "walk_id", "ts", F.unix_millis("ts").alias("ms"), *FRAME_COLUMNS)
+    return rows.groupBy("walks").applyInPandasWithState(step, COMMIT_SCHEMA, "machines binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(frames: DataFrame, length: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:

@@ -293,6 +293,34 @@ def test_idle_walks_leave_the_state(spark, tmp_path):
     assert commits("10 seconds", "short").count((1, 1)) == 2 and commits("1 day", "long").count((1, 1)) == 1
 
 
+def test_neighbouring_walks_share_an_entry_of_the_state(spark, tmp_path):
+    """Forty walks, the last without an id, take four entries; each counts on from its own frames in the last part and is dropped when it is due itself."""
+    from pyspark.sql import functions as F
+
+    from stockloom.streaming import triggers
+
+    start, walks_ = pd.Timestamp("2024-01-01"), list(range(39))
+    part = lambda shift, of: pd.concat([walk().assign(walk_id=k, t=lambda f, k=k: f.t + shift + k) for k in of])
+    parts = [part(0, walks_), part(400, [500]), part(1000, walks_[::2])]  # the second moves the watermark
+
+    def run(expire, name):
+        out, used = f"{tmp_path}/{name}", []
+        for p in parts:
+            rows = spark.createDataFrame(p.assign(ts=start + pd.to_timedelta(p.t, unit="s"))).withColumn("walk_id", F.expr("if(walk_id = 38, null, walk_id)"))
+            rows.coalesce(1).write.mode("append").parquet(f"{out}/in")
+            src = spark.readStream.schema(rows.schema).parquet(f"{out}/in")
+            q = triggers.stream_commits(src, 0.1, expire=expire).writeStream.foreachBatch(triggers.exactly_once(f"{out}/got", ["walk_id", "n", "t"])).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+            q.awaitTermination()
+            used.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+        got = spark.read.parquet(f"{out}/got").toPandas()
+        return used, got.groupby(got.walk_id.fillna(-1)).n.apply(sorted).to_dict()
+
+    used, kept = run("1 day", "kept")
+    assert used == [4, 5, 5] and len(kept) == 40 and all(v == [1] for v in kept.values())
+    _, anew = run("100 seconds", "anew")
+    assert anew[0] == anew[36] == anew[-1] == [1, 1] and anew[1] == anew[37] == anew[500] == [1]
+
+
 def test_a_repeated_batch_is_written_once(spark, tmp_path):
     from stockloom.streaming import triggers
 
