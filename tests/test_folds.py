@@ -435,3 +435,11 @@ def test_frames_are_warped_once_and_not_for_each_detection(spark):
     assert [tuple(r) for r in got.collect()] == [(1, 1)]
     join = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "LeftSemi" in x]
     assert len(join) == 1 and "[6]" not in join[0]
+
+
+def test_blockers_make_the_views_once(spark):
+    """Lines are read for what was counted and for views without counts, not a second time for views with them."""
+    from stockloom.plans import ledger
+
+    plan = ledger.review_blockers(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len([x for x in plan.splitlines() if "Relation" in x and "l_orderkey" in x]) == 2
