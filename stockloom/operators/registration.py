@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom.plans.groups import whole_groups
@@ -24,10 +24,13 @@ def posting_words(descriptors: DataFrame, bits: int, more: int, most: int) -> Da
 
     A word that over ``most`` keyframes of a walk have says little and would pair them all: it is split by ``more`` further bits, not dropped.
     """
-    d = descriptors.select("walk_id", "n", sign_word(F.col("v"), bits).alias("_w"), sign_word(F.col("v"), more, bits).alias("_m")).distinct()
-    long_ = d.groupBy("walk_id", "_w").agg(F.countDistinct("n").alias("_c")).where(F.col("_c") > most)
-    split = F.when(F.col("_c").isNotNull(), F.lit(2 ** (bits + more)) + F.col("_w") * 2**more + F.col("_m")).otherwise(F.col("_w"))
-    return d.join(long_, ["walk_id", "_w"], "left").select("walk_id", "n", split.alias("word")).distinct()
+    d = descriptors.select("walk_id", "n", sign_word(F.col("v"), bits).alias("_w"), sign_word(F.col("v"), more, bits).alias("_m"))
+    # Entries of a word come together once, sorted, so that copies are next to each other and the descriptors are made once.
+    near, whole = Window.partitionBy("walk_id", "_w").orderBy("n", "_m"), Window.partitionBy("walk_id", "_w")
+    new = lambda c: F.coalesce(F.lag(c).over(near) != F.col(c), F.lit(True))
+    d = d.withColumn("_n", new("n")).withColumn("_new", F.col("_n") | new("_m")).withColumn("_often", F.sum(F.col("_n").cast("long")).over(whole) > most)
+    split = F.lit(2 ** (bits + more)) + F.col("_w") * 2**more + F.col("_m")
+    return d.where(F.when(F.col("_often"), F.col("_new")).otherwise(F.col("_n"))).select("walk_id", "n", F.when(F.col("_often"), split).otherwise(F.col("_w")).alias("word"))
 
 
 def proposed_pairs(postings: DataFrame, least: int = 1) -> DataFrame:

@@ -208,3 +208,12 @@ def test_groups_of_equal_size_are_fitted_together():
                 assert np.isnan(fits[k]).all() and agree[k] == 0
             else:
                 assert fits[k] == pytest.approx(found[0], abs=1e-9) and agree[k] == found[1].sum()
+
+
+def test_postings_read_the_descriptors_once(spark):
+    """Copies of a descriptor count once; a frequent word is split, a rare one is not; neither takes a second pass over the descriptors."""
+    rows = [(1, n, [1.0, 1.0, s]) for n in (1, 1, 2, 3) for s in (1.0, 1.0, -1.0)] + [(1, 4, [-1.0, 1.0, s]) for s in (1.0, -1.0)]
+    d = spark.createDataFrame(rows, "walk_id long, n long, v array<double>")
+    got = registration.posting_words(d, 2, 1, 2)
+    assert sorted(tuple(r) for r in got.collect()) == [*((1, n, w) for n in (1, 2, 3) for w in (14, 15)), (1, 4, 1)]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
