@@ -52,12 +52,12 @@ def overlaps(quads: np.ndarray) -> np.ndarray:
 
 def shared_area(*quads: list[tuple[Column, Column]]) -> Column:
     """The area that convex quads share: the first is cut by the line of one side of another after the other. Null where a corner is."""
+    many = len(quads)
 
     @F.pandas_udf("double")
     def shared(*corners: pd.Series) -> pd.Series:
         with np.errstate(invalid="ignore"):
-            at = np.stack([c.to_numpy(float) for c in corners]).reshape(len(quads_), 4, 2, -1)
+            at = np.stack([c.to_numpy(float) for c in corners]).reshape(many, 4, 2, -1)
             return pd.Series(np.concatenate([overlaps(at[..., i : i + ROWS]) for i in range(0, max(at.shape[-1], 1), ROWS)]))
 
-    quads_ = range(len(quads))
     return shared(*(c.cast("double") for quad in quads for point in quad for c in point))
