@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ BOX = ("x0", "y0", "x1", "y1")
 STATUS_SCHEMA = "walk_id long, n long, det_id long, cls string, status string"
 _STEP = STATUS_SCHEMA + ", t double, x0 double, y0 double, x1 double, y1 double, item long"
 _HANDED = "walk_id long, item long, cls string, x0 double, y0 double, x1 double, y1 double, inliers long, seen_in long, a int, b int"
+TOGETHER = 1 << 18  # pairs and offsets at once
 _HELD = 2**62  # what is tracked goes before what a link brings
 IDENTITY = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
 
@@ -96,11 +98,10 @@ def _asked(dets: DataFrame, frames: DataFrame, width: float, height: float, band
 
 def _groups(det: np.ndarray, item: np.ndarray) -> np.ndarray:
     """The connected group of each pair, as its smallest detection."""
-    label = det.copy()
+    label, sides = det.copy(), [np.unique(side, return_inverse=True)[1] for side in (item, det)]
     while True:
         before = label
-        for side in (item, det):
-            _, at = np.unique(side, return_inverse=True)
+        for at in sides:
             low = np.full(at.max() + 1, np.iinfo(np.int64).max)
             np.minimum.at(low, at, label)
             label = low[at]
@@ -108,47 +109,110 @@ def _groups(det: np.ndarray, item: np.ndarray) -> np.ndarray:
             return label
 
 
+def _starts(*sorted_by: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows of sorted columns begin."""
+    new = np.ones(len(sorted_by[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in sorted_by])
+    return np.flatnonzero(new)
+
+
+def spread(low: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges that begin at ``low`` with ``many`` numbers each, written out: the range of each number, and the number."""
+    of = np.repeat(np.arange(len(many)), many)
+    return of, np.arange(len(of)) + np.repeat(low - np.cumsum(many) + many, many)
+
+
 def cheapest_matches(det: np.ndarray, item: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One-to-one matches of gated pairs: most matches first, then the cheapest, found in each connected group."""
-    out = []
-    label = _groups(det, item) if len(det) else det
-    for own in (label == x for x in np.unique(label)):
-        rows, cols = np.unique(det[own]), np.unique(item[own])
+    if not len(det):
+        return det, item
+    label = _groups(det, item)
+    order = np.lexsort((item, det, far, label))
+    det, item, far, at = det[order], item[order], far[order], _starts(label[order])
+    ends = np.append(at[1:], len(det))
+    star = np.logical_or(*(np.minimum.reduceat(x, at) == np.maximum.reduceat(x, at) for x in (det, item)))  # has one match, the first
+    out = [np.stack([det[at[star]], item[at[star]]])]
+    for i, j in zip(at[~star].tolist(), ends[~star].tolist(), strict=True):
+        rows, cols = np.unique(det[i:j]), np.unique(item[i:j])
         cost = np.full((len(rows), len(cols)), FORBIDDEN)
-        cost[np.searchsorted(rows, det[own]), np.searchsorted(cols, item[own])] = far[own]
-        i, j = assign(cost)
-        used = cost[i, j] < FORBIDDEN
-        out.append(np.stack([rows[i[used]], cols[j[used]]]))
-    return tuple(np.concatenate(out, axis=1)) if out else (det, item)
-
-
-def view_matches(box: np.ndarray, cls: np.ndarray, there: np.ndarray, there_cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The detections of one commit, and the carried items (boxes in this view) that they show again.
+        cost[np.searchsorted(rows, det[i:j]), np.searchsorted(cols, item[i:j])] = far[i:j]
+        x, y = assign(cost)
+        used = cost[x, y] < FORBIDDEN
+        out.append(np.stack([rows[x[used]], cols[y[used]]]))
+    return tuple(np.concatenate(out, axis=1))
+
+
+def _medians(values: np.ndarray, at: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The median of each column in each view; ``at``: the view of each row, ascending, ``many``: the rows of each view."""
+    end = np.cumsum(many)
+    out = np.full((len(many), values.shape[1]), np.nan)
+    some = many > 0
+    low, high, last = (end - many + (many - 1) // 2)[some], (end - many + many // 2)[some], (end - 1)[some]
+    for k in range(values.shape[1]):
+        v = values[np.lexsort((values[:, k], at)), k]
+        out[some, k] = np.where(np.isnan(v[last]), np.nan, (v[low] + v[high]) / 2)
+    return out
+
+
+def _supports(diff: np.ndarray, half: np.ndarray, det: np.ndarray, offset: np.ndarray, low: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """How many detections each offset brings near an item: its pairs are ``many`` from ``low`` on, by detection. Bounded in memory."""
+    out, i = np.zeros(len(offset), int), 0
+    total = np.cumsum(many)
+    while i < len(offset):
+        j = max(i + 1, int(np.searchsorted(total, total[i] - many[i] + TOGETHER, "right")))
+        of, pair = spread(low[i:j], many[i:j])
+        near = np.hypot(*((diff[pair] - offset[i:j][of]) / half[pair]).T) <= 1
+        of, who = of[near], det[pair[near]]
+        out[i:j] = np.bincount(of[_starts(of, who)], minlength=j - i)
+        i = j
+    return out
+
+
+def view_matches(box: np.ndarray, cls: np.ndarray, there: np.ndarray, there_cls: np.ndarray, at: np.ndarray | None = None, there_at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The detections of a commit, and the carried items (boxes in this view) that they show again.
 
     Each pair of a class proposes its difference, rounded to a grid, if that is within half a median box. The offset that brings most
     detections within half their own box of an item wins, the shortest and smallest of equals, and none if it has less support than
-    three or a quarter of the detections; pairs within the gate after it are matched.
+    three or a quarter of the detections; pairs within the gate after it are matched. Many commits go side by side: ``at`` and
+    ``there_at`` then are the commit of each detection and item, from 0 and ascending; no commit bears on another.
     """
-    det, item = np.nonzero(cls[:, None] == there_cls[None])
+    at, there_at = np.zeros(len(box), int) if at is None else at, np.zeros(len(there), int) if there_at is None else there_at
+    kind = pd.factorize(np.concatenate([cls, there_cls]))[0] + 1
+    own, their = (k * (kind.max(initial=0) + 1) + c for k, c in ((at, kind[: len(cls)]), (there_at, kind[len(cls) :])))
+    order = np.argsort(their, kind="stable")
+    low, high = (np.searchsorted(their[order], own, side) for side in ("left", "right"))
+    det, item = spread(low, high - low)
+    item = order[item]
     if not len(det):
         return det, item
+    views = int(at[-1]) + 1
+    dets = np.bincount(at, minlength=views)
     size = box[:, 2:] - box[:, :2]
     diff = (there[item, :2] + there[item, 2:] - box[det, :2] - box[det, 2:]) / 2
     half = np.maximum(REACH * size[det], 1e-9)
-    likely = diff[(np.abs(diff) <= REACH * np.median(size, axis=0)).all(1)]
-    offsets = np.unique(np.vstack([np.zeros((1, 2)), QUANTUM * np.round(likely / QUANTUM)]) + 0.0, axis=0)
-    far = lambda o: np.hypot(*((diff - o) / half).T)
-    support = np.array([len(np.unique(det[far(o) <= 1])) for o in offsets])
-    best = np.lexsort((offsets[:, 1], offsets[:, 0], np.hypot(*offsets.T), -support))[0]
-    gap = far(offsets[best] if support[best] >= max(LEAST, SHARE * len(box)) else np.zeros(2))
+    view = at[det]
+    likely = (np.abs(diff) <= REACH * _medians(size, at, dets)[view]).all(1)
+    met = view[_starts(view)]
+    of, offset = np.concatenate([met, view[likely]]), np.concatenate([np.zeros((len(met), 2)), QUANTUM * np.round(diff[likely] / QUANTUM)]) + 0.0
+    order = np.lexsort((offset[:, 1], offset[:, 0], of))
+    order = order[_starts(of[order], *offset[order].T)]
+    of, offset = of[order], offset[order]
+    first, many = np.searchsorted(view, np.arange(views)), np.bincount(view, minlength=views)
+    support = _supports(diff, half, det, offset, first[of], many[of])
+    order = np.lexsort((offset[:, 1], offset[:, 0], np.hypot(*offset.T), -support, of))
+    best = order[_starts(of[order])]
+    won = np.zeros((views, 2))
+    won[of[best]] = np.where((support[best] >= np.maximum(LEAST, SHARE * dets[of[best]]))[:, None], offset[best], 0.0)
+    gap = np.hypot(*((diff - won[view]) / half).T)
     near = gap <= 1
     return cheapest_matches(det[near], item[near], gap[near])
 
 
-def _best_sightings(item: np.ndarray, inliers: np.ndarray, seen_in: np.ndarray) -> np.ndarray:
-    """The rows of each item's best-registered sighting, the later one of equals, in order of the items."""
-    order = np.lexsort((seen_in, inliers, item))
-    return order[np.append(item[order][1:] != item[order][:-1], True)]
+def _best_sightings(item: np.ndarray, inliers: np.ndarray, seen_in: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """The rows of each item's best-registered sighting, the later one of equals, in order of the items; with ``at``, of each commit."""
+    at = np.zeros(len(item), int) if at is None else at
+    order = np.lexsort((seen_in, inliers, item, at))
+    return order[np.append(_starts(at[order], item[order])[1:], len(order)) - 1] if len(order) else order
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,13 +222,12 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         came = {c: b.column(b.schema.get_field_index(c)).fill_null(-1).to_numpy() for c in ("item", "inliers", "seen_in")}
         box, item = np.stack([v[c] for c in BOX], 1), np.full(b.num_rows, -1)
         is_det = np.array([p is not None for p in v["place"]], bool)
-        live = np.isin(v["place"].astype(str), ("inner", "band"))
-        for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            d, k = np.flatnonzero(live[i:j]) + i, np.flatnonzero(~is_det[i:j]) + i
-            if len(d) and len(k):
-                k = k[_best_sightings(*(came[c][k] for c in ("item", "inliers", "seen_in")))]
-                x, y = view_matches(box[d], v["cls"][d], box[k], v["cls"][k])
-                item[d[x]] = came["item"][k[y]]
+        view = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        d, k = np.flatnonzero((v["place"] == "inner") | (v["place"] == "band")), np.flatnonzero(~is_det)
+        k = k[_best_sightings(*(came[c][k] for c in ("item", "inliers", "seen_in")), view[k])]
+        if len(d) and len(k):
+            x, y = view_matches(box[d], v["cls"][d], box[k], v["cls"][k], view[d], view[k])
+            item[d[x]] = came["item"][k[y]]
         got = b.set_column(b.schema.get_field_index("item"), "item", pa.array(item, mask=item < 0))
         yield got.filter(pa.array(is_det))
 

@@ -1,4 +1,4 @@
-"""Counting walks as a stream: what a walk has counted is keyed state, a map entry for a few commits."""
+"""Counting walks as a stream: what neighbouring walks have counted is keyed state, a map entry for a few commits of theirs."""
 
 from __future__ import annotations
 
@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from stockloom.functions import geometry as g
-from stockloom.operators.counting import BOX, STATUS_SCHEMA, view_matches
+from stockloom.operators.counting import BOX, STATUS_SCHEMA, _starts, spread, view_matches
 from stockloom.operators.detections import status as view_place
 
-_SEEN = "n binary, item binary, at binary, kind array<string>, box binary"
+_SEEN = "walk binary, n binary, item binary, at binary, kind binary, names array<string>, box binary"
+_COMMIT = ["walk_id", "n", "ms", "det_id", "cls", "place", *BOX, "a", "inliers", "h"]
 _OUT = Row(*(c.split()[0] for c in STATUS_SCHEMA.split(", ")))
-CHUNK = 16
+CHUNK, WALKS = 16, 256  # commits and walks an entry
+NO_WALK = -(2**63)
 NEXT = [1, 2, 3, 0]
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -36,32 +38,36 @@ def _moved(h: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.
 
 
 class Seen:
-    """The items that a few commits of a walk have seen, as columns: commit, item, class, box and when they were written."""
+    """The items that a few commits have seen, as columns: walk, commit, item, when it was written, class (-1: none) and box."""
 
-    def __init__(self, row: tuple | None = None):
-        self.n, self.item, self.at, self.kind, self.box = ([], [], [], [], [])
-        self.grown = row is None
-        if row is not None:
-            self.n, self.item, self.at = (np.frombuffer(row[i], np.int64).tolist() for i in (0, 1, 2))
-            self.kind, self.box = list(row[3]), list(np.frombuffer(row[4], float).reshape(-1, 4))
+    def __init__(self, row: tuple | None = None, since: int = -1):
+        self.cols = [np.frombuffer(b"" if row is None else row[i], np.int64) for i in range(5)] + [np.frombuffer(b"" if row is None else row[6]).reshape(-1, 4)]
+        self.names = [] if row is None else list(row[5])
+        self.keep(self.cols[3] > since)
 
-    def add(self, n: int, item: int, kind: str, box: np.ndarray, at: int) -> None:
-        self.n.append(n), self.item.append(item), self.kind.append(kind), self.box.append(box), self.at.append(at)
-        self.grown = True
+    def keep(self, which: np.ndarray) -> None:
+        self.cols = [c[which] for c in self.cols]
 
-    def row(self) -> tuple:
-        box = np.array(self.box, float).reshape(-1, 4)
-        return (*(np.array(v, np.int64).tobytes() for v in (self.n, self.item, self.at)), self.kind, box.tobytes())
+    def kinds(self) -> np.ndarray:
+        return np.array([*self.names, None], object)[self.cols[4]]
+
+    def add(self, walk: np.ndarray, n: np.ndarray, item: np.ndarray, at: int, kind: np.ndarray, box: np.ndarray) -> None:
+        code, names = pd.factorize(np.concatenate([self.kinds(), kind]))
+        self.names, m = names.tolist(), len(self.cols[0])
+        self.cols[4] = code[:m]
+        self.cols = [np.concatenate([old, new]) for old, new in zip(self.cols, (walk, n, item, np.full(len(n), at), code[m:], box), strict=True)]
 
-    def of(self, n: int, since: int) -> list[int]:
-        return [i for i, (k, at) in enumerate(zip(self.n, self.at, strict=True)) if k == n and at > since]
+    def row(self) -> tuple:
+        *ints, box = self.cols
+        return (*(np.asarray(v, np.int64).tobytes() for v in ints), self.names, np.asarray(box, float).tobytes())
 
 
 class WalkCounter(StatefulProcessor):
-    """Items seen in each commit (map state, ``CHUNK`` commits an entry, with a time to live) and when an idle walk is due (value state).
+    """Items seen in each commit (map state, ``CHUNK`` commits of the walks of a key an entry, with a time to live) and when each walk is due (value state).
 
-    A batch of a walk reads each entry that its commits are linked with once and writes each that it adds to once: what a call to the
-    state costs does not follow the commits. Nor does a commit move the walk's timer: one that fires before the walk is due is set again.
+    A batch reads each entry that its commits are linked with once and writes each that it adds to once: what a call to the
+    state costs follows neither commits nor walks. Commits of different walks are counted side by side, those of a walk one after the other.
+    Nor does a commit move a timer: it fires when the first walk was due, drops those that are, and is set again for the others.
     """
 
     def __init__(self, width: float, height: float, band: float, expire_ms: int, keep_ms: int | None):
@@ -71,85 +77,149 @@ class WalkCounter(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.seen = handle.getMapState("seen", "chunk bigint", _SEEN, ttlDurationMs=self.keep)
-        self.due = handle.getValueState("due", "due bigint")
-
-    def _entry(self, held: dict[int, Seen], n: int) -> Seen:
-        chunk = n // CHUNK
-        if chunk not in held:
-            held[chunk] = Seen(self.seen.getValue((chunk,)))
-            held[chunk].grown = False
-        return held[chunk]
-
-    def _view(self, held: dict[int, Seen], at: int, n: int, det_id: list, cls: list, place: list, box: np.ndarray, links: list[tuple]) -> Iterator[tuple]:
-        places = np.array(place, object)
-        live = np.flatnonzero((places == "inner") | (places == "band"))
-        asked, owner = np.zeros(len(det_id), bool), np.full(len(det_id), -1)
-        best: dict[int, tuple] = {}
-        if links:
-            links = sorted(links, key=lambda k: k[:2], reverse=True)  # most inliers first, the later of equals
-            h = np.array([k[2] for k in links], float).T[..., None]
-            qx, qy = _moved(h, *self.frame)
-            sx, sy = qx[:, NEXT] - qx, qy[:, NEXT] - qy
-            mx, my = (box[:, 0] + box[:, 2]) / 2, (box[:, 1] + box[:, 3]) / 2
-            turn = sx[:, None] * (my[:, None] - qy[:, None]) - sy[:, None] * (mx[:, None] - qx[:, None])
-            asked = ((turn >= 0).all(2) | (turn <= 0).all(2)).any(0)
-            for k, (_, a, _) in enumerate(links):
-                e = self._entry(held, a)
-                for i in e.of(a, at - self.keep if self.keep else -1):
-                    best.setdefault(e.item[i], (k, e.kind[i], e.box[i]))
-        if best and len(live):
-            ids = sorted(best)
-            by, b = np.array([best[i][0] for i in ids]), np.array([best[i][2] for i in ids])
-            x, y = _moved(h[:, by], b[:, [0, 2, 2, 0]], b[:, [1, 1, 3, 3]])
-            there = np.stack([x.min(1), y.min(1), x.max(1), y.max(1)], 1)
-            d, k = view_matches(box[live], np.array(cls, object)[live], there, np.array([best[i][1] for i in ids], object))
-            owner[live[d]] = np.array(ids)[k]
-        own = None
-        for i, (word, item, ask) in enumerate(zip(place, owner.tolist(), asked.tolist(), strict=True)):
-            if word in ("inner", "band"):
-                word = "seen" if item >= 0 else "miss" if ask else "new" if word == "inner" else "edge"
-            if word in ("seen", "new"):
-                own = own or self._entry(held, n)
-                own.add(n, item if word == "seen" else (n << 32) + det_id[i], cls[i], box[i], at)
-            yield n, det_id[i], cls[i], word
+        self.due = handle.getValueState("due", "walk binary, due binary, timer bigint")
+
+    def _asked(self, of: np.ndarray, box: np.ndarray, h: np.ndarray, low: np.ndarray, many: np.ndarray) -> np.ndarray:
+        """Which detections lie in the inner frame of a view linked with theirs. of: the commit of each; low, many: where a commit's transforms ``h`` are."""
+        qx, qy = _moved(h.T[..., None], *self.frame)
+        sx, sy = qx[:, NEXT] - qx, qy[:, NEXT] - qy
+        mx, my = (box[:, 0] + box[:, 2]) / 2, (box[:, 1] + box[:, 3]) / 2
+        det, k = spread(low[of], many[of])
+        turn = sx[k] * (my[det, None] - qy[k]) - sy[k] * (mx[det, None] - qx[k])
+        return np.bincount(det[(turn >= 0).all(1) | (turn <= 0).all(1)], minlength=len(of)) > 0
+
+    def _counted(self, rows: pd.DataFrame, timerValues) -> pd.DataFrame:
+        at = timerValues.getCurrentProcessingTimeInMs() if self.keep else 0
+        rows = rows.sort_values(["walk_id", "n"], kind="stable", ignore_index=True)
+        walk, n, ms = (rows[c].to_numpy(np.int64) for c in ("walk_id", "n", "ms"))
+        first = _starts(walk)
+        rank = np.arange(len(walk)) - np.repeat(first, np.diff(np.append(first, len(walk))))
+        tied = rows[[x is not None for x in rows["a"]]]
+        flat = lambda part, c, kind: np.concatenate([np.zeros(0, kind), *(np.asarray(x, kind).ravel() for x in part[c])])
+        d_many, l_many = np.array([len(x) for x in rows["det_id"]], int), np.zeros(len(n), int)
+        l_many[tied.index] = [len(x) for x in tied["a"]]
+        d_low, l_low = np.cumsum(d_many) - d_many, np.cumsum(l_many) - l_many
+        of, l_of = np.repeat(np.arange(len(n)), d_many), np.repeat(np.arange(len(n)), l_many)
+        det_id, cls, place, box = flat(rows, "det_id", np.int64), flat(rows, "cls", object), flat(rows, "place", object), np.stack([flat(rows, c, float) for c in BOX], 1)
+        a, inliers, h = flat(tied, "a", np.int64), flat(tied, "inliers", np.int64), flat(tied, "h", float).reshape(-1, 9)
+        asked = self._asked(of, box, h, l_low, l_many)
+        inner = place == "inner"
+        live, owner, gained = inner | (place == "band"), np.full(len(of), -1), np.zeros(len(of), bool)
+
+        held = {c: self._entry(c, at) for c in np.unique(a // CHUNK).tolist()}
+        old = [np.concatenate(x) for x in zip(*([*e.cols[:3], e.kinds(), e.cols[5]] for e in held.values()), strict=True)] if held else [walk[:0]] * 3 + [cls[:0], box[:0]]
+        order = np.lexsort((old[1], old[0]))
+        w, k, item, kind, there = (x[order[np.isin(old[0][order], walk)]] for x in old)
+        # Places in the columns item, kind and there: what the state has by walk and commit, then what each step adds.
+        code = pd.factorize(np.concatenate([kind, cls]))[0]
+        cut, free = _starts(w, k), len(w)
+        numbers, walks = np.unique(np.concatenate([k, n])), np.unique(walk)
+        key = lambda w, k: np.searchsorted(walks, w) * (len(numbers) + 1) + np.where(np.isin(k, numbers), np.searchsorted(numbers, k), len(numbers))
+        keys = np.concatenate([key(w[cut], k[cut]), key(walk, n)])
+        order = np.argsort(keys, kind="stable")
+        place_of = np.argsort(order)[len(cut) :]  # of each commit
+        low, many = (np.concatenate([x, np.zeros(len(n), int)])[order] for x in (cut, np.diff(np.append(cut, len(w)))))
+        l_from, l_to = (np.searchsorted(keys[order], key(walk[l_of], a), side) for side in ("left", "right"))
+        item, there = np.concatenate([item, np.zeros(len(of), int)]), np.concatenate([there, np.zeros((len(of), 4))])
+        kind, own_kind = np.concatenate([code[:free], np.zeros(len(of), int)]), code[free:]
+        strong = np.empty(len(a), int)
+        strong[np.lexsort((np.arange(len(a)), -a, -inliers, l_of))] = np.arange(len(a))  # most inliers first, the later of equals
+        by_rank = np.argsort(rank, kind="stable")
+        for c in np.split(by_rank, np.searchsorted(rank[by_rank], np.arange(1, int(rank.max()) + 1))):
+            view, d = spread(d_low[c], d_many[c])
+            lv, link = spread(l_low[c], l_many[c])
+            x, y = spread(l_from[link], (l_to - l_from)[link])
+            z, row = spread(low[y], many[y])
+            link, lv = link[x[z]], lv[x[z]]
+            best = np.lexsort((row, strong[link], item[row], lv))
+            best = best[_starts(lv[best], item[row[best]])]
+            on = live[d]
+            if len(best) and on.any():
+                link, lv, row = link[best], lv[best], row[best]
+                mx, my = _moved(h[link].T[..., None], there[row][:, [0, 2, 2, 0]], there[row][:, [1, 1, 3, 3]])
+                i, j = view_matches(box[d[on]], own_kind[d[on]], np.stack([mx.min(1), my.min(1), mx.max(1), my.max(1)], 1), kind[row], view[on], lv)
+                owner[d[on][i]] = item[row[j]]
+            got = on & ((owner[d] >= 0) | (inner[d] & ~asked[d]))
+            view, d = view[got], d[got]
+            gained[d] = True
+            owner[d] = np.where(owner[d] >= 0, owner[d], (n[of[d]] << 32) + det_id[d])
+            end = free + len(d)
+            item[free:end], kind[free:end], there[free:end] = owner[d], own_kind[d], box[d]
+            added = np.bincount(view, minlength=len(c))
+            low[place_of[c]], many[place_of[c]], free = free + np.cumsum(added) - added, added, end
+        self._kept(held, at, walk[of[gained]], n[of[gained]], owner[gained], cls[gained], box[gained])
+        self._due(walks, np.maximum(np.maximum.reduceat(ms, first) + self.expire, timerValues.getCurrentWatermarkInMs() + 1))
+        fresh = gained & (owner == (n[of] << 32) + det_id)
+        status = np.where(live, np.select([fresh, gained, asked], ["new", "seen", "miss"], "edge").astype(object), place)
+        return pd.DataFrame({"walk_id": walk[of], "n": n[of], "det_id": det_id, "cls": cls, "status": status})
+
+    def _entry(self, chunk: int, at: int) -> Seen:
+        return Seen(self.seen.getValue((chunk,)), at - self.keep if self.keep else -1)
+
+    def _kept(self, held: dict[int, Seen], at: int, walk: np.ndarray, n: np.ndarray, item: np.ndarray, kind: np.ndarray, box: np.ndarray) -> None:
+        for chunk in np.unique(n // CHUNK).tolist():
+            own, e = n // CHUNK == chunk, held[chunk] if chunk in held else self._entry(chunk, at)
+            e.add(walk[own], n[own], item[own], at, kind[own], box[own])
+            self.seen.updateValue((chunk,), e.row())
+
+    def _due(self, walks: np.ndarray, due: np.ndarray) -> None:
+        was = self.due.get()
+        dues = (dict(zip(*(np.frombuffer(x, np.int64).tolist() for x in was[:2]), strict=True)) if was else {}) | dict(zip(walks.tolist(), due.tolist(), strict=True))
+        self._set(dues, was[2] if was else None)
+
+    def _set(self, dues: dict[int, int], timer: int | None) -> None:
+        if timer is None or min(dues.values()) < timer:
+            timer = min(dues.values())
+            self.handle.registerTimer(timer)
+        self.due.update((*(np.array(list(x), np.int64).tobytes() for x in (dues, dues.values())), timer))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        commits, held, out = sorted((tuple(r) for r in rows), key=lambda r: r[1]), {}, []
-        at = timerValues.getCurrentProcessingTimeInMs() if self.keep else 0
-        for _, n, _, det_id, cls, place, x0, y0, x1, y1, a, inliers, h in commits:
-            out += self._view(held, at, n, det_id, cls, place, np.array([x0, y0, x1, y1], float).T, list(zip(inliers, a, h, strict=True)) if a else [])
-        for chunk, e in held.items():
-            if e.grown:
-                self.seen.updateValue((chunk,), e.row())
-        due = max(max(r[2] for r in commits) + self.expire, timerValues.getCurrentWatermarkInMs() + 1)
-        if self.due.get() is None:
-            self.handle.registerTimer(due)
-        self.due.update((due,))
-        return iter([_OUT(key[0], *r) for r in out])
+        got = self._counted(pd.DataFrame([tuple(r) for r in rows], columns=_COMMIT), timerValues)
+        return iter([_OUT(*r) for r in got.itertuples(index=False)])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        due = self.due.get()
-        if due is not None and due[0] > timerValues.getCurrentWatermarkInMs():
-            self.handle.registerTimer(due[0])
-        else:
+        was, mark = self.due.get(), timerValues.getCurrentWatermarkInMs()
+        walk, due = (np.frombuffer(x, np.int64) for x in was[:2]) if was else (np.zeros(0, np.int64),) * 2
+        left = due > mark
+        if not left.any():
             self.seen.clear()
             self.due.clear()
+            return iter([])
+        for chunk, row in [] if left.all() else list(self.seen.iterator()):
+            e = Seen(row)
+            some = np.isin(e.cols[0], walk[left])
+            e.keep(some)
+            if not some.any():
+                self.seen.removeKey(chunk)
+            elif not some.all():
+                self.seen.updateValue(chunk, e.row())
+        self._set(dict(zip(walk[left].tolist(), due[left].tolist(), strict=True)), None)
         return iter([])
 
     def close(self) -> None:
         pass
 
 
+class FrameCounter(WalkCounter):
+    """The same on data frames, the columns of many walks' commits at once. Walks without an id are one walk, with a key of its own."""
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        got = self._counted(pd.concat(list(rows), ignore_index=True), timerValues)
+        yield got.assign(walk_id=None) if key[0] == NO_WALK else got
+
+
 def stream_statuses(commits: DataFrame, width: float, height: float, band: float, expire: str = "30 days", keep: str | None = None, late: str = "0 seconds") -> DataFrame:
     """The statuses of a stream of commits (rows of ``commit_rows``): those of ``count_commits`` without motion.
 
     Commits of a walk come in order of their number, those of one batch in any. A walk's state is dropped once the watermark is ``expire`` past its
-    last commit; ``keep`` drops what a commit has seen after so much processing time. Sets the state store to RocksDB, which keyed maps need.
+    last commit; ``keep`` drops what a commit has seen after so much processing time. Up to ``WALKS`` walks with neighbouring ids share a
+    call and the entries of the state. Sets the state store to RocksDB, which keyed maps need.
     """
     spark = commits.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     ms = lambda d: int(pd.Timedelta(d).total_seconds() * 1000)
-    counter = WalkCounter(width, height, band, ms(expire), ms(keep) if keep else None)
+    counter = FrameCounter(width, height, band, ms(expire), ms(keep) if keep else None)
     of = lambda rows, *fields: [F.col(f"{rows}.{f}").alias(f) for f in fields]
-    rows = commits.withWatermark("ts", late).select("walk_id", "n", F.unix_millis("ts").alias("ms"), *of("dets", "det_id", "cls", "place", *BOX), *of("links", "a", "inliers", "h"))
-    return rows.groupBy("walk_id").transformWithState(counter, STATUS_SCHEMA, "Append", "EventTime")
+    walks = F.coalesce(F.expr(f"walk_id div {WALKS}"), F.lit(NO_WALK)).alias("walks")
+    rows = commits.withWatermark("ts", late).select(walks, F.coalesce("walk_id", F.lit(0)).alias("walk_id"), "n", F.unix_millis("ts").alias("ms"), *of("dets", "det_id", "cls", "place", *BOX), *of("links", "a", "inliers"), F.flatten("links.h").alias("h"))
+    return rows.groupBy("walks").transformWithStateInPandas(counter, STATUS_SCHEMA, "Append", "EventTime")

@@ -443,3 +443,61 @@ def test_blockers_make_the_views_once(spark):
 
     plan = ledger.review_blockers(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert len([x for x in plan.splitlines() if "Relation" in x and "l_orderkey" in x]) == 2
+
+
+def test_walks_of_a_call_are_counted_side_by_side():
+    """Thirty walks in one call of the state: its reads and writes are those of one walk, and each walk is counted as if it were alone."""
+    from stockloom.streaming import walks
+
+    class Held:
+        def __init__(self):
+            self.rows, self.calls = {}, 0
+
+        def getValue(self, k):
+            self.calls += 1
+            return self.rows.get(k)
+
+        def updateValue(self, k, row):
+            self.calls += 1
+            self.rows[k] = row
+
+        get, update = (lambda self: self.getValue(0)), (lambda self, row: self.updateValue(0, row))
+
+    rnd = np.random.default_rng(11)
+
+    def commit(w, n):
+        many, before = int(rnd.integers(1, 7)), [m for m in range(1, n) if rnd.random() < 0.5]
+        x, y = rnd.integers(5, 80, (2, many)).astype(float)
+        h = [[1.0, 0.0, float(rnd.integers(-4, 5)), 0.0, 1.0, 0.0, 0.0, 0.0, 1.0] for _ in before]
+        box = [list(c) for c in (x, y, x + 25, y + 20)]
+        return (w, n, n, list(range(many)), [str(c) for c in rnd.choice(["can", "case"], many)], [str(p) for p in rnd.choice(["inner", "inner", "band", "low"], many)], *box, before or None, [int(i) for i in rnd.integers(40, 43, len(before))] or None, h or None)
+
+    all_, times = [commit(w, n) for w in range(30) for n in range(1, 21)], type("T", (), {"getCurrentWatermarkInMs": lambda s: -1, "getCurrentProcessingTimeInMs": lambda s: 0})()
+
+    def run(*groups):
+        out, calls = [], 0
+        for own in groups:
+            seen, due = Held(), Held()
+            counter = walks.WalkCounter(130.0, 100.0, 12.0, 1000, None)
+            counter.init(type("H", (), {"getMapState": lambda s, *a, seen=seen, **k: seen, "getValueState": lambda s, *a, due=due, **k: due, "registerTimer": lambda s, t: None})())
+            for low, high in ((1, 8), (9, 20)):  # two batches, and commits on both sides of an entry
+                out += [tuple(r) for r in counter.handleInputRows((own[0],), iter([c for c in all_ if c[0] in own and low <= c[1] <= high]), times)]
+            calls = max(calls, seen.calls)
+        return sorted(out), calls
+
+    together, calls = run(list(range(30)))
+    alone, calls_of_one = run(*([w] for w in range(30)))
+    assert together == alone and calls <= calls_of_one <= 6 and {"new", "seen", "miss", "edge", "low"} == {r[-1] for r in together}
+
+
+def test_commits_side_by_side_match_as_alone(monkeypatch):
+    rnd = np.random.default_rng(4)
+    monkeypatch.setattr(counting, "TOGETHER", 50)
+    box = lambda n: np.hstack([low := rnd.integers(0, 30, (n, 2)).astype(float), low + rnd.integers(4, 30, (n, 2))])
+    kind = lambda n: rnd.choice(np.array(["can", "case", None], object), n)
+    views = [(box(n), kind(n), box(m), kind(m)) for n, m in rnd.integers(0, 8, (60, 2))]
+    at, there_at = (np.repeat(np.arange(60), [len(v[k]) for v in views]) for k in (0, 2))
+    got = set(zip(*(x.tolist() for x in counting.view_matches(*(np.concatenate(c) for c in zip(*views, strict=True)), at, there_at)), strict=True))
+    low, there_low = np.searchsorted(at, np.arange(60)), np.searchsorted(there_at, np.arange(60))
+    assert got == {(int(i + a), int(j + b)) for v, a, b in zip(views, low, there_low, strict=True) for i, j in zip(*counting.view_matches(*v), strict=True)} and len(got) > 30
+    assert len(counting.cheapest_matches(np.array([0, 0, 1, 5]), np.array([7, 8, 7, 9]), np.array([0.2, 0.9, 0.9, 0.1]))[0]) == 3
