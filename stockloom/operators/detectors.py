@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udtf, udtf
 from pyspark.sql.types import BooleanType, StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
@@ -53,6 +55,26 @@ class _Detector:
             yield (*box, box["score"] >= counted)
 
 
-def register(spark: SparkSession) -> None:
-    """``SELECT * FROM detector(TABLE(...), 'owlv2')``: any table with x0, y0, x1, y1 and score; an unknown name is an error of the analysis."""
-    spark.udtf.register("detector", udtf(_Detector))
+class _BatchDetector:
+    """The same for boxes of one schema, an Arrow batch at a time. An unknown name is an error as well, once there are boxes."""
+
+    def eval(self, boxes: pa.RecordBatch, name: pa.Array) -> Iterator[pa.Table]:
+        for n in pc.unique(name).to_pylist():
+            if n not in THRESHOLDS:
+                raise ValueError(f"no detector {n!r}; there are {', '.join(THRESHOLDS)}")
+            shown, counted, tiled = THRESHOLDS[n]
+            own = pa.Table.from_batches([boxes]).filter(pc.equal(name, n))
+            keep = pc.greater_equal(own["score"], shown)
+            if tiled:
+                edges = (pc.abs(pc.subtract(own[c], e)) for c, e in zip(("x0", "x1", "y0", "y1"), (*TILE[:1] * 2, *TILE[1:] * 2), strict=True))
+                keep = pc.and_(keep, pc.greater(pc.min_element_wise(*edges), EDGE))
+            own = own.filter(keep)
+            yield own.append_column("counted", pc.greater_equal(own["score"], counted))
+
+
+def register(spark: SparkSession, boxes: StructType | None = None) -> None:
+    """``SELECT * FROM detector(TABLE(...), 'owlv2')``: any table with x0, y0, x1, y1 and score; an unknown name is an error of the analysis.
+
+    With the schema ``boxes`` only tables of that schema, which are then taken in batches: rows one by one cost most of the time.
+    """
+    spark.udtf.register("detector", udtf(_Detector) if boxes is None else arrow_udtf(_BatchDetector, returnType=StructType([*boxes.fields, StructField("counted", BooleanType())])))

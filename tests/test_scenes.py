@@ -217,3 +217,19 @@ def test_postings_read_the_descriptors_once(spark):
     got = registration.posting_words(d, 2, 1, 2)
     assert sorted(tuple(r) for r in got.collect()) == [*((1, n, w) for n in (1, 2, 3) for w in (14, 15)), (1, 4, 1)]
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_detectors_of_a_schema_take_batches(spark):
+    """Batch by batch the table function gives what it gives row by row, and the query makes its boxes once."""
+    rows = [(i, 40.0 + i % 30, 30.0 + i % 17, 60.0 + i % 7, 44.0 + i % 9, None if i % 11 == 0 else i % 10 / 10) for i in range(300)]
+    boxes = spark.createDataFrame(rows, "k long, x0 double, y0 double, x1 double, y1 double, score double")
+    boxes.createOrReplaceTempView("odd_boxes")
+    got = []
+    for schema in (None, boxes.schema):
+        detectors.register(spark, schema)
+        got.append([sorted(map(tuple, spark.sql(f"SELECT * FROM detector(TABLE(odd_boxes), '{n}')").collect())) for n in detectors.names()])
+    assert got[0] == got[1] and all(got[0])
+    with pytest.raises(Exception, match="no detector"):
+        spark.sql("SELECT * FROM detector(TABLE(odd_boxes), 'other')").collect()
+    plan = scenes.detectors_in_sql(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPythonUDTF" in plan and "l_orderkey" not in plan
