@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockloom.functions import geometry as g
+from stockloom.functions import transforms
 from stockloom.operators.detections import status as view_place
 from stockloom.operators.folds import FORBIDDEN, assign
 from stockloom.plans.durable import fresh_path, staged
@@ -43,11 +44,6 @@ def _nine(values) -> Column:
     return F.array(*(v if isinstance(v, Column) else F.lit(float(v)) for v in values))
 
 
-def chained(later: Column, first: Column) -> Column:
-    """The transform that applies ``first``, then ``later``; nine numbers in row order."""
-    return F.array(*(sum((later[3 * i + k] * first[3 * k + j] for k in (1, 2)), later[3 * i] * first[j]) for i in range(3) for j in range(3)))
-
-
 def zone_fit(many: Column, px: Column, py: Column, qx: Column, qy: Column, size: Column, along: Column, across: Column, dx: Column, dy: Column) -> Column:
     """How a zone has moved, from sums over its counted items: a least-squares similarity from four of them on if its scale is
     within (2/3, 1.5) and its rotation under 0.26 rad, else the median shift ``dx, dy``.
@@ -87,15 +83,6 @@ def frames_over(dets: DataFrame, frames: DataFrame, width: float, height: float,
     return dets.join(other, (F.col("walk_id") == F.col("_w")) & g.in_convex(cx, cy, quad), "left_semi").select("walk_id", "det_id")
 
 
-def _asked(dets: DataFrame, frames: DataFrame, width: float, height: float, band: float) -> DataFrame:
-    """Detections of one commit a walk with ``asked``: whether their centre lies in one of the walk's frames, which are one row a walk here."""
-    corners = [p.alias(n) for k, (x, y) in enumerate(_inner_frame(width, height, band)) for p, n in ((x, f"x{k}"), (y, f"y{k}"))]
-    quads = frames.groupBy("walk_id").agg(F.collect_list(F.struct(*corners)).alias("_quads"))
-    cx, cy = g.centre(g.box())
-    inside = F.exists("_quads", lambda q: g.in_convex(cx, cy, [(q[f"x{k}"], q[f"y{k}"]) for k in range(4)]))
-    return dets.join(quads, "walk_id", "left").withColumn("asked", F.col("place").isin("inner", "band") & F.coalesce(inside, F.lit(False))).drop("_quads")
-
-
 def _groups(det: np.ndarray, item: np.ndarray) -> np.ndarray:
     """The connected group of each pair, as its smallest detection."""
     label, sides = det.copy(), [np.unique(side, return_inverse=True)[1] for side in (item, det)]
@@ -215,36 +202,44 @@ def _best_sightings(item: np.ndarray, inliers: np.ndarray, seen_in: np.ndarray,
     return order[np.append(_starts(at[order], item[order])[1:], len(order)) - 1] if len(order) else order
 
 
-def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The detections of each walk's commit (place is not null) with the carried item (place is null) that they show."""
+def _matched(batches: Iterator[pa.RecordBatch], frame: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The detections of each walk's commit (place is not null) with the carried item (item is not null) that they show, and with
+    ``asked``: whether their centre lies in the inner frame of an earlier view under one of the commit's transforms (h is not null)."""
     for b, at in whole_groups(batches, ["walk_id"]):
-        v = {c: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("place", "cls", *BOX)}
-        came = {c: b.column(b.schema.get_field_index(c)).fill_null(-1).to_numpy() for c in ("item", "inliers", "seen_in")}
-        box, item = np.stack([v[c] for c in BOX], 1), np.full(b.num_rows, -1)
-        is_det = np.array([p is not None for p in v["place"]], bool)
+        col = lambda c: b.column(b.schema.get_field_index(c))  # noqa: B023, E731
+        v = {c: col(c).to_numpy(zero_copy_only=False) for c in ("place", "cls", *BOX)}
+        came = {c: col(c).fill_null(-1).to_numpy() for c in ("item", "inliers", "seen_in")}
+        box, item, asked = np.stack([v[c] for c in BOX], 1), np.full(b.num_rows, -1), np.zeros(b.num_rows, bool)
         view = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        d, k = np.flatnonzero((v["place"] == "inner") | (v["place"] == "band")), np.flatnonzero(~is_det)
+        d, k, f = np.flatnonzero((v["place"] == "inner") | (v["place"] == "band")), np.flatnonzero(col("item").is_valid()), np.flatnonzero(col("h").is_valid())
+        low, high = (np.searchsorted(view[f], view[d], side) for side in ("left", "right"))
+        asked[d] = transforms.in_frames(frame, col("h").flatten().to_numpy().reshape(-1, 9), box[d], *spread(low, high - low))
         k = k[_best_sightings(*(came[c][k] for c in ("item", "inliers", "seen_in")), view[k])]
         if len(d) and len(k):
             x, y = view_matches(box[d], v["cls"][d], box[k], v["cls"][k], view[d], view[k])
             item[d[x]] = came["item"][k[y]]
         got = b.set_column(b.schema.get_field_index("item"), "item", pa.array(item, mask=item < 0))
-        yield got.filter(pa.array(is_det))
+        yield got.set_column(b.schema.get_field_index("asked"), "asked", pa.array(asked)).filter(col("place").is_valid())
 
 
 def _handed_on(seen: DataFrame, links: DataFrame) -> DataFrame:
     """Items of one commit a walk, moved into each later view ``b`` that theirs is linked with."""
-    got = seen.join(links, "walk_id")
-    moved = (x.alias(c) for c, x in zip(BOX, g.warp_box(F.col("h"), g.box()), strict=True))
-    return got.select("walk_id", "item", "cls", *moved, "inliers", F.col("n").alias("seen_in"), "b").hint("rebalance", F.col("b"))
+    got = seen.join(links, "walk_id").withColumn("there", transforms.moved_box(F.col("h"), g.box()))
+    return got.select("walk_id", "item", "cls", "there.*", "inliers", F.col("n").alias("seen_in"), "b").hint("rebalance", F.col("b"))
+
 
+def _finished(dets: DataFrame, carried: DataFrame | None, frames: DataFrame | None, n: int, frame: np.ndarray) -> DataFrame:
+    """Statuses of a commit; a new item goes by its commit and detection. A miss is never stored, so that it prompts again.
 
-def _finished(dets: DataFrame, carried: DataFrame | None, n: int) -> DataFrame:
-    """Statuses of a commit; a new item goes by its commit and detection. A miss is never stored, so that it prompts again."""
-    none = F.lit(None).cast("long")
-    d = dets.select("walk_id", "t", "det_id", *BOX, "cls", "place", "asked", none.alias("item"), none.alias("inliers"), none.alias("seen_in"))
-    if carried is not None:
-        d = dealt(d.unionByName(carried, allowMissingColumns=True), ["walk_id"]).mapInArrow(_matched, d.schema)
+    frames: (walk_id, h), the transforms of the counted views that lie in these commits'.
+    """
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    d = dets.select("walk_id", "t", "det_id", *BOX, "cls", "place", none("item", "long"), none("inliers", "long"), none("seen_in", "long"), none("h", "array<double>"), F.lit(False).alias("asked"))
+    more = [x for x in (carried, frames) if x is not None]
+    for x in more:
+        d = d.unionByName(x, allowMissingColumns=True)
+    if more:
+        d = dealt(d, ["walk_id"]).mapInArrow(lambda batches: _matched(batches, frame), d.schema)
     live = F.col("place").isin("inner", "band")
     status = F.when(~live, F.col("place")).when(F.col("item").isNotNull(), "seen").when(F.col("asked"), "miss").when(F.col("place") == "inner", "new").otherwise("edge")
     item = F.when(F.col("status") == "new", F.lit(n << 32) + F.col("det_id")).otherwise(F.col("item"))
@@ -253,8 +248,8 @@ def _finished(dets: DataFrame, carried: DataFrame | None, n: int) -> DataFrame:
 
 def _moved_on(items: DataFrame, now: DataFrame, width: float, height: float, patience: float) -> DataFrame:
     """Items after the step to this commit: moved with the view, in time while inside it, gone after ``patience`` outside."""
-    d = items.join(now, "walk_id")
-    box = [F.when(F.col("h").isNull(), old).otherwise(new).alias(c) for c, old, new in zip(BOX, g.box(), g.warp_box(F.col("h"), g.box()), strict=True)]
+    d = items.join(now, "walk_id").withColumn("there", transforms.moved_box(F.col("h"), g.box()))
+    box = [F.when(F.col("h").isNull(), F.col(c)).otherwise(F.col(f"there.{c}")).alias(c) for c in BOX]
     d = d.select("walk_id", "item", "cls", *box, "seen_at", "now", F.col("h").isNotNull().alias("moved"))
     cx, cy = g.centre(g.box())
     inside = F.col("moved") & (cx >= 0) & (cx < width) & (cy >= 0) & (cy < height)
@@ -264,7 +259,7 @@ def _moved_on(items: DataFrame, now: DataFrame, width: float, height: float, pat
 def _zones_on(zones: DataFrame, counted: DataFrame, items: DataFrame, now: DataFrame, patience: float) -> DataFrame:
     """Zones after the step: as their items lie now, else as the view has moved for a while; others are dropped. counted: the zones' items as they lay in their own views."""
     z = zones.drop("h").join(now.withColumnRenamed("h", "step"), "walk_id")
-    z = z.withColumn("motion", F.when(F.col("step").isNull(), F.col("motion")).otherwise(chained(F.col("step"), F.col("motion"))))
+    z = z.withColumn("on", transforms.chained(F.col("step"), F.col("motion"))).withColumn("motion", F.when(F.col("step").isNull(), F.col("motion")).otherwise(F.col("on"))).drop("on")
     cx, cy = g.centre(g.box())
     here = items.select("walk_id", "item", cx.alias("ix"), cy.alias("iy"))
     z = z.join(moved_zones(counted, here, ["walk_id", "zone"]), ["walk_id", "zone"], "left").withColumn("zone_t", F.when(F.col("h").isNotNull(), F.col("now")).otherwise(F.col("zone_t")))
@@ -279,7 +274,7 @@ def count_commits(dets: DataFrame, links: DataFrame, threshold: float, width: fl
     commits; each reads its own commits and links from folders by number and writes its result, so a lost executor costs one step.
     """
     spark = dets.sparkSession
-    base = fresh_path(spark, "walks")
+    base, frame = fresh_path(spark, "walks"), np.array([[band, width - band, width - band, band], [band, band, height - band, height - band]])
     place = view_place(F.col("score"), g.box(), threshold, width, height, margin, band)
     cols = [F.col("walk_id").cast("long"), F.col("n").cast("int"), F.col("t").cast("double"), F.col("det_id").cast("long"), *(F.col(c).cast("double").alias(c) for c in BOX), F.col("cls").cast("string"), place.alias("place")]
     dets.select(*cols).hint("rebalance", F.col("n")).write.partitionBy("n").parquet(f"{base}/dets")
@@ -309,8 +304,7 @@ def count_commits(dets: DataFrame, links: DataFrame, threshold: float, width: fl
             carried = held if carried is None else held.unionByName(carried)
             moved = zones.select("walk_id", "h")
             frames = moved if frames is None else moved.unionByName(to.join(zones, (to["walk_id"] == zones["walk_id"]) & (to["a"] == zones["zone"]), "left_anti").select("walk_id", "h"))
-        own = _asked(own, frames, width, height, band) if frames is not None else own.withColumn("asked", F.lit(False))
-        _finished(own, carried, n).write.parquet(f"{base}/step={n}")
+        _finished(own, carried, frames, n, frame).write.parquet(f"{base}/step={n}")
         step = done.parquet(f"{base}/step={n}").where("item is not null")
         if n in givers:
             _handed_on(step, ways_on.where((F.col("a") == n) & (F.col("b") > n))).write.partitionBy("b").parquet(f"{base}/handed/a={n}")

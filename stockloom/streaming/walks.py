@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from stockloom.functions import geometry as g
+from stockloom.functions.transforms import in_frames, moved_boxes
 from stockloom.operators.counting import BOX, STATUS_SCHEMA, _starts, spread, view_matches
 from stockloom.operators.detections import status as view_place
 
@@ -19,7 +20,6 @@ _COMMIT = ["walk_id", "n", "ms", "det_id", "cls", "place", *BOX, "a", "inliers",
 _OUT = Row(*(c.split()[0] for c in STATUS_SCHEMA.split(", ")))
 CHUNK, WALKS = 16, 256  # commits and walks an entry
 NO_WALK = -(2**63)
-NEXT = [1, 2, 3, 0]
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -31,12 +31,6 @@ def commit_rows(dets: DataFrame, links: DataFrame, threshold: float, width: floa
     return own.join(to, ["walk_id", "n"], "left")
 
 
-def _moved(h: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Points under transforms, nine numbers along the first axis of ``h``, by the same order of operations as in Spark."""
-    w = h[6] * x + h[7] * y + h[8]
-    return (h[0] * x + h[1] * y + h[2]) / w, (h[3] * x + h[4] * y + h[5]) / w
-
-
 class Seen:
     """The items that a few commits have seen, as columns: walk, commit, item, when it was written, class (-1: none) and box."""
 
@@ -79,15 +73,6 @@ class WalkCounter(StatefulProcessor):
         self.seen = handle.getMapState("seen", "chunk bigint", _SEEN, ttlDurationMs=self.keep)
         self.due = handle.getValueState("due", "walk binary, due binary, timer bigint")
 
-    def _asked(self, of: np.ndarray, box: np.ndarray, h: np.ndarray, low: np.ndarray, many: np.ndarray) -> np.ndarray:
-        """Which detections lie in the inner frame of a view linked with theirs. of: the commit of each; low, many: where a commit's transforms ``h`` are."""
-        qx, qy = _moved(h.T[..., None], *self.frame)
-        sx, sy = qx[:, NEXT] - qx, qy[:, NEXT] - qy
-        mx, my = (box[:, 0] + box[:, 2]) / 2, (box[:, 1] + box[:, 3]) / 2
-        det, k = spread(low[of], many[of])
-        turn = sx[k] * (my[det, None] - qy[k]) - sy[k] * (mx[det, None] - qx[k])
-        return np.bincount(det[(turn >= 0).all(1) | (turn <= 0).all(1)], minlength=len(of)) > 0
-
     def _counted(self, rows: pd.DataFrame, timerValues) -> pd.DataFrame:
         at = timerValues.getCurrentProcessingTimeInMs() if self.keep else 0
         rows = rows.sort_values(["walk_id", "n"], kind="stable", ignore_index=True)
@@ -102,7 +87,7 @@ class WalkCounter(StatefulProcessor):
         of, l_of = np.repeat(np.arange(len(n)), d_many), np.repeat(np.arange(len(n)), l_many)
         det_id, cls, place, box = flat(rows, "det_id", np.int64), flat(rows, "cls", object), flat(rows, "place", object), np.stack([flat(rows, c, float) for c in BOX], 1)
         a, inliers, h = flat(tied, "a", np.int64), flat(tied, "inliers", np.int64), flat(tied, "h", float).reshape(-1, 9)
-        asked = self._asked(of, box, h, l_low, l_many)
+        asked = in_frames(self.frame, h, box, *spread(l_low[of], l_many[of]))
         inner = place == "inner"
         live, owner, gained = inner | (place == "band"), np.full(len(of), -1), np.zeros(len(of), bool)
 
@@ -136,8 +121,7 @@ class WalkCounter(StatefulProcessor):
             on = live[d]
             if len(best) and on.any():
                 link, lv, row = link[best], lv[best], row[best]
-                mx, my = _moved(h[link].T[..., None], there[row][:, [0, 2, 2, 0]], there[row][:, [1, 1, 3, 3]])
-                i, j = view_matches(box[d[on]], own_kind[d[on]], np.stack([mx.min(1), my.min(1), mx.max(1), my.max(1)], 1), kind[row], view[on], lv)
+                i, j = view_matches(box[d[on]], own_kind[d[on]], moved_boxes(h[link].T, there[row]), kind[row], view[on], lv)
                 owner[d[on][i]] = item[row[j]]
             got = on & ((owner[d] >= 0) | (inner[d] & ~asked[d]))
             view, d = view[got], d[got]

@@ -501,3 +501,25 @@ def test_commits_side_by_side_match_as_alone(monkeypatch):
     low, there_low = np.searchsorted(at, np.arange(60)), np.searchsorted(there_at, np.arange(60))
     assert got == {(int(i + a), int(j + b)) for v, a, b in zip(views, low, there_low, strict=True) for i, j in zip(*counting.view_matches(*v), strict=True)} and len(got) > 30
     assert len(counting.cheapest_matches(np.array([0, 0, 1, 5]), np.array([7, 8, 7, 9]), np.array([0.2, 0.9, 0.9, 0.1]))[0]) == 3
+
+
+def test_moves_in_batches_are_those_of_the_expressions(spark):
+    """Boxes, chained transforms and frames bit for bit; what has no transform stays, and a view without links is not asked about."""
+    from pyspark.sql import functions as F
+
+    from stockloom.functions import geometry as g
+    from stockloom.functions import transforms
+
+    rnd = np.random.default_rng(2)
+    rows = [(i, None if i % 7 == 0 else [float(x) for x in np.eye(3).ravel() + rnd.uniform(-0.01, 0.01, 9) + [0, 0, 20 * (i % 3), 0, 0, 5, 0, 0, 0]], *map(float, (x, y, x + 15, y + 9))) for i, (x, y) in enumerate(rnd.integers(0, 80, (60, 2)))]
+    d = spark.createDataFrame(rows, "walk_id long, h array<double>, x0 double, y0 double, x1 double, y1 double").withColumn("det_id", F.col("walk_id"))
+    h = F.col("h")
+    got = d.select("walk_id", "h", transforms.moved_box(h, g.box()).alias("b"), transforms.chained(h, h).alias("c"), F.array(*g.warp_box(h, g.box())).alias("want")).collect()
+    for r in (r for r in got if r.h is not None):
+        m = np.array(r.h).reshape(3, 3)
+        assert list(r.b) == r.want and r.c == [m[i, 0] * m[0, j] + m[i, 1] * m[1, j] + m[i, 2] * m[2, j] for i in range(3) for j in range(3)]
+    placed = d.withColumns({"t": F.lit(1.0), "cls": F.lit("can"), "place": F.lit("inner")})
+    frames, frame = d.where("h is not null").select("walk_id", "h"), np.array([[12.0, 118.0, 118.0, 12.0], [12.0, 12.0, 88.0, 88.0]])
+    status = {r.walk_id: r.status for r in counting._finished(placed, None, frames, 2, frame).collect()}
+    over = {r.walk_id for r in counting.frames_over(d, frames, 130.0, 100.0, 12.0).collect()}
+    assert status == {r[0]: "miss" if r[0] in over else "new" for r in rows} and 5 < len(over) < 50
