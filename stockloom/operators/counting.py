@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom.functions import geometry as g
@@ -60,12 +60,11 @@ def zone_fit(many: Column, px: Column, py: Column, qx: Column, qy: Column, size:
 def moved_zones(then: DataFrame, now: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys, h)`` of each zone with an item in ``now``. then: keys, item, cx, cy; now: walk_id, item, ix, iy."""
     both = then.join(now, ["walk_id", "item"])
-    means = both.groupBy(*keys).agg(F.count("*").alias("many"), *(F.avg(c).alias(f"m_{c}") for c in ("cx", "cy", "ix", "iy")), F.median(F.col("ix") - F.col("cx")).alias("dx"), F.median(F.col("iy") - F.col("cy")).alias("dy"))
-    d = both.join(means, keys)
+    mean = {f"m_{c}": F.avg(c).over(Window.partitionBy(*keys)) for c in ("cx", "cy", "ix", "iy")}
     px, py, qx, qy = (F.col(c) - F.col(f"m_{c}") for c in ("cx", "cy", "ix", "iy"))
-    sums = d.groupBy(*keys).agg(F.sum(px * px + py * py).alias("size"), F.sum(px * qx + py * qy).alias("along"), F.sum(px * qy - py * qx).alias("across"))
-    h = zone_fit(F.col("many"), *(F.col(f"m_{c}") for c in ("cx", "cy", "ix", "iy")), *map(F.col, ("size", "along", "across", "dx", "dy")))
-    return means.join(sums, keys).select(*keys, h.alias("h"))
+    sums = F.sum(px * px + py * py).alias("size"), F.sum(px * qx + py * qy).alias("along"), F.sum(px * qy - py * qx).alias("across")
+    d = both.withColumns(mean).groupBy(*keys).agg(F.count("*").alias("many"), *(F.first(c).alias(c) for c in mean), F.median(F.col("ix") - F.col("cx")).alias("dx"), F.median(F.col("iy") - F.col("cy")).alias("dy"), *sums)
+    return d.select(*keys, zone_fit(F.col("many"), *map(F.col, mean), *map(F.col, ("size", "along", "across", "dx", "dy"))).alias("h"))
 
 
 def _inner_frame(width: float, height: float, band: float) -> list[tuple[Column, Column]]:
@@ -285,6 +284,10 @@ def count_commits(dets: DataFrame, links: DataFrame, threshold: float, width: fl
     all_links.hint("rebalance", F.col("a")).write.partitionBy("a").parquet(f"{base}/links_a")  # once more, by the commit that hands items on
     all_dets = spark.read.schema("walk_id long, t double, det_id long, x0 double, y0 double, x1 double, y1 double, cls string, place string, n int").parquet(f"{base}/dets")
     ways_on = by("a")
+    if motion:  # when a commit was, and how the view has moved since the one before
+        steps = all_links.where(F.col("a") == F.col("b") - 1).groupBy("walk_id", F.col("b").alias("n")).agg(F.max_by("h", F.struct("inliers", "h")).alias("h"))
+        all_dets.groupBy("walk_id", "n").agg(F.max("t").alias("now")).join(steps, ["walk_id", "n"], "left").hint("rebalance", F.col("n")).write.partitionBy("n").parquet(f"{base}/times")
+        times = spark.read.schema("walk_id long, now double, h array<double>, n int").parquet(f"{base}/times")
     last = all_dets.agg(F.max("n")).first()[0] or 0
     # Commit numbers, at most the steps there are, and for each the earlier ones that it is linked with.
     to_of = {r["b"]: sorted(r["of"]) for r in all_links.groupBy("b").agg(F.collect_set(F.when(F.col("a").between(1, F.col("b") - 1), F.col("a"))).alias("of")).collect()}
@@ -295,8 +298,8 @@ def count_commits(dets: DataFrame, links: DataFrame, threshold: float, width: fl
         own, to = all_dets.where(F.col("n") == n).drop("n"), all_links.where(F.col("b") == n)
         frames = to.select("walk_id", "h") if n in to_of else None
         carried = handed.parquet(*[f"{base}/handed/a={a}" for a in to_of[n]]).where(F.col("b") == n).drop("a", "b") if to_of.get(n) else None
+        now = times.where(F.col("n") == n).drop("n") if motion else None
         if motion and n > 1:
-            now = own.groupBy("walk_id").agg(F.max("t").alias("now")).join(to.where(F.col("a") == n - 1).select("walk_id", "h"), "walk_id", "left")
             items = staged(_moved_on(items, now, width, height, dead_reckon), "items")
             zones = staged(_zones_on(zones, counted, items, now, dead_reckon), "zones")
             counted = staged(counted.join(zones.select("walk_id", "zone"), ["walk_id", "zone"], "left_semi"), "counted")
@@ -311,7 +314,7 @@ def count_commits(dets: DataFrame, links: DataFrame, threshold: float, width: fl
         if motion:
             fresh = step.select("walk_id", "item", "cls", *BOX, F.col("t").alias("seen_at"))
             items = fresh if items is None else items.join(fresh, ["walk_id", "item"], "left_anti").unionByName(fresh)
-            zone = own.groupBy("walk_id").agg(F.max("t").alias("zone_t")).select("walk_id", F.lit(n).cast("long").alias("zone"), "zone_t", _nine(IDENTITY).alias("motion"), _nine(IDENTITY).alias("h"))
+            zone = now.select("walk_id", F.lit(n).cast("long").alias("zone"), F.col("now").alias("zone_t"), _nine(IDENTITY).alias("motion"), _nine(IDENTITY).alias("h"))
             zones = zone if zones is None else zones.unionByName(zone)
             cx, cy = g.centre(g.box())
             its = step.select("walk_id", F.lit(n).cast("long").alias("zone"), "item", cx.alias("cx"), cy.alias("cy"))

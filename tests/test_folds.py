@@ -523,3 +523,13 @@ def test_moves_in_batches_are_those_of_the_expressions(spark):
     status = {r.walk_id: r.status for r in counting._finished(placed, None, frames, 2, frame).collect()}
     over = {r.walk_id for r in counting.frames_over(d, frames, 130.0, 100.0, 12.0).collect()}
     assert status == {r[0]: "miss" if r[0] in over else "new" for r in rows} and 5 < len(over) < 50
+
+
+def test_zones_are_fitted_in_one_pass(spark):
+    """Items meet the zones' once, and the sums of a zone come from the shuffle that its means come from; commits' times are made before the steps."""
+    then = spark.createDataFrame([(1, 1, i, float(i), float(i % 3)) for i in range(6)], "walk_id long, zone long, item long, cx double, cy double")
+    now = spark.createDataFrame([(1, i, i + 4.0, i % 3 - 2.0) for i in range(6)], "walk_id long, item long, ix double, iy double")
+    got = counting.moved_zones(then, now, ["walk_id", "zone"])
+    assert np.allclose(got.first().h, [1, 0, 4, 0, 1, -2, 0, 0, 1])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert len([x for x in plan.splitlines() if "Join" in x]) == 1
